@@ -118,3 +118,24 @@ def days_in(w: Win, purchase: bool = False) -> Column:
     col = F.col("mc4" if purchase else "mc")
     m = col.isNotNull() if w.days is None else (col <= F.lit(w.days))
     return F.nullif(F.count(F.when(m, F.lit(1))), F.lit(0))
+
+
+def materialized_cube(actions: DataFrame, end, start=None) -> DataFrame:
+    """The cube written once as Parquet under the shared checkpoint folder
+    (``spark.checkpoint.dir``) and read back.
+
+    Many families read the cube with different filters and columns; Catalyst
+    pushes those filters below the cube aggregate, so the branches would not
+    share one exchange and the raw log would be re-scanned per family.
+    Writing the (much smaller) cube once gives a single scan + shuffle of the
+    log, column pruning / predicate pushdown on the cube for every family,
+    and a lineage cut that survives executor loss.
+    """
+    import uuid
+
+    from shopcast.session import checkpoint_dir
+
+    spark = actions.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/cube/{uuid.uuid4().hex}"
+    activity_cube(actions, end, start).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

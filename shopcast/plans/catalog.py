@@ -426,3 +426,26 @@ def a13e(spark, sf):
 def a13f(spark, sf):
     d = load_a(spark, sf)
     return pivots.cate_rank_pivot(shares.cate_share_in_user(_cube(d), _acc(d)))
+
+
+# ---- D3 / D4: (user, sku) dataset ---------------------------------------------------------
+
+@register("d3_user_sku_dataset")
+def d3(spark, sf):
+    """D3 train form on adapter A (base = last 30 days, target category, labelled)."""
+    from shopcast.plans.ui_dataset import user_sku_dataset
+    return user_sku_dataset(load_a(spark, sf), with_label=True)
+
+
+@register("d3_user_sku_dataset_test")
+def d3_test(spark, sf):
+    """D3 scoring form: end shifted to the scoring end, no label."""
+    from shopcast.plans.ui_dataset import user_sku_dataset
+    d = load_a(spark, sf)
+    return user_sku_dataset(d, with_label=False, end=d["dates"].score_end)
+
+
+@register("d3_user_sku_dataset_lineitem")
+def d3_b(spark, sf):
+    from shopcast.plans.ui_dataset import user_sku_dataset
+    return user_sku_dataset(load_b(spark, sf), with_label=True)
