@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopcast.functions.exprs import one_hot, recode
-from shopcast.functions.timebins import date_lit, days_registered, interval_bucket
+from shopcast.functions.timebins import date_lit, days_registered, interval_bucket, parse_reg_date
 from shopcast.operators.cube import Win, in_win, is_type
 from shopcast.schemas import AGE_BUCKETS, ATTR_CODES, COMMENT_NUM_CODES, PURCHASE, SEX_CODES, USER_LEVELS
 
@@ -50,7 +50,8 @@ def reg_to_first_buy(cube: DataFrame, users: DataFrame, end, w: Win,
     floor((x+1)/5); a missing side counts as -1."""
     first = (cube.filter(in_win(w) & is_type(PURCHASE)).groupBy("user_id")
                  .agg(F.max("b").alias("first_buy")))
-    reg = registration_days(users, end, "reg")
+    # raw day difference here (no clipping of future registrations)
+    reg = users.na.drop("any").select("user_id", F.datediff(date_lit(end), parse_reg_date("user_reg_tm")).alias("reg"))
     j = reg.join(first, "user_id", "left")
     x = F.coalesce(F.col("reg"), F.lit(-1)) - F.coalesce(F.col("first_buy"), F.lit(-1))
     return j.select("user_id", interval_bucket(x).alias(name))

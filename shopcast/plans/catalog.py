@@ -449,3 +449,417 @@ def d3_test(spark, sf):
 def d3_b(spark, sf):
     from shopcast.plans.ui_dataset import user_sku_dataset
     return user_sku_dataset(load_b(spark, sf), with_label=True)
+
+
+# ---- D1 / D5–D8: user dataset -----------------------------------------------------------------
+
+@register("d1_user_dataset")
+def d1(spark, sf):
+    """D1 train form: users active in the category in the last 30 days, all user-model features, label."""
+    from shopcast.plans.user_dataset import user_dataset
+    return user_dataset(load_a(spark, sf), with_label=True)
+
+
+@register("d1_user_dataset_test")
+def d1_test(spark, sf):
+    from shopcast.plans.user_dataset import user_dataset_test
+    return user_dataset_test(load_a(spark, sf))
+
+
+@register("d1_user_dataset_lineitem")
+def d1_b(spark, sf):
+    from shopcast.plans.user_dataset import user_dataset
+    return user_dataset(load_b(spark, sf), with_label=True)
+
+
+@register("d5_user_accumulate")
+def d5(spark, sf):
+    from shopcast.plans.user_dataset import user_accumulate
+    d = load_a(spark, sf)
+    D = d["dates"]
+    cube8 = _cube(d, cate=D.target_cate)
+    w = _acc(d)
+    return user_accumulate(cube8, D.end, w).join(stats.user_sku_stats(cube8, [w], "user_action_{k}_{stat}"),
+                                                 "user_id", "left")
+
+
+@register("d6_user_accumulate_all")
+def d6(spark, sf):
+    from shopcast.plans.user_dataset import user_accumulate_all
+    d = load_a(spark, sf)
+    return user_accumulate_all(_cube(d), d["dates"].end, _acc(d))
+
+
+@register("d7_user_window")
+def d7(spark, sf):
+    from shopcast.plans.user_dataset import user_windows
+    d = load_a(spark, sf)
+    return user_windows(_cube(d, 30, cate=d["dates"].target_cate))
+
+
+# ---- profile / product / comments (P2, P3, T6, T8, A8c, A16, J6) -------------------------------
+
+from shopcast.operators import profile as prof  # noqa: E402
+
+
+@register("p2_user_one_hot")
+def p2u(spark, sf):
+    d = load_a(spark, sf)
+    return prof.basic_user_features(d["users"], prof.AGE_CODES_0_6)
+
+
+@register("p2_product_one_hot")
+def p2p(spark, sf):
+    return prof.basic_product_features(load_a(spark, sf)["products"])
+
+
+@register("p3_recode_age")
+def p3(spark, sf):
+    """Age coded 1..6 for the buckets, 0 otherwise."""
+    d = load_a(spark, sf)
+    return prof.age_code(d["users"], prof.AGE_CODES_1_7, 0).select("user_id", "age")
+
+
+@register("t6_days_registered")
+def t6(spark, sf):
+    d = load_a(spark, sf)
+    return prof.registration_days(d["users"], d["dates"].end)
+
+
+@register("a8c_reg_to_first_buy")
+def a8c(spark, sf):
+    d = load_a(spark, sf)
+    return prof.reg_to_first_buy(_cube(d), d["users"], d["dates"].end, _acc(d))
+
+
+@register("t8_asof_snapshot_date")
+def t8(spark, sf):
+    d = load_a(spark, sf)
+    return prof.asof_snapshot(d["comments"], d["dates"].end).select(F.col("snap").cast("string").alias("snap"))
+
+
+@register("a16_comment_features")
+def a16(spark, sf):
+    d = load_a(spark, sf)
+    return prof.comment_features(d["comments"], d["dates"].end)
+
+
+@register("j6_product_join")
+def j6(spark, sf):
+    from shopcast.operators.joins import product_join
+    d = load_a(spark, sf)
+    base = fam.decayed_df(_cube(d), "UICB", _acc(d), "action_{k}").select("user_id", "sku_id", "cate", "brand")
+    return product_join(base, prof.basic_product_features(d["products"]))
+
+
+# ---- scalar time functions (T1–T5, T7, T9, T10) ------------------------------------------------
+
+@register("t1_t7_time_bins")
+def t17(spark, sf):
+    from shopcast.functions import timebins as tb
+    d = load_a(spark, sf)
+    D = d["dates"]
+    a = d["actions"].filter((F.col("time") >= tb.ts_lit(D.acc_start)) & (F.col("time") < tb.ts_lit(D.end)))
+    return a.select("user_id", "sku_id", "type",
+                    tb.calendar_day().cast("string").alias("day"),
+                    tb.hour_of_day().alias("hour"),
+                    tb.calendar_distance(D.end).alias("c"),
+                    tb.elapsed_days(D.end).alias("b"),
+                    tb.elapsed_hours(D.end).alias("h"),
+                    tb.exp_decay(tb.elapsed_days(D.end)).alias("decay"),
+                    tb.interval_bucket(tb.elapsed_days(D.end) - F.lit(20)).alias("bucket"),
+                    tb.cast_int(F.col("brand")).alias("brand"))
+
+
+@register("t3_elapsed_days_lineitem")
+def t3_b(spark, sf):
+    """Midnight timestamps: elapsed days equal calendar distance."""
+    from shopcast.functions import timebins as tb
+    d = load_b(spark, sf)
+    D = d["dates"]
+    a = d["actions"].filter((F.col("time") >= tb.ts_lit(D.acc_start)) & (F.col("time") < tb.ts_lit(D.end)))
+    return (a.select(tb.calendar_distance(D.end).alias("c"), tb.elapsed_days(D.end).alias("b"))
+             .groupBy("c", "b").agg(F.count(F.lit(1)).alias("n")))
+
+
+# ---- filters (F1–F8, S5) ------------------------------------------------------------------------
+
+from shopcast.operators import filters as flt  # noqa: E402
+
+
+def _ts(c):
+    return F.date_format(F.col(c) if isinstance(c, str) else c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+
+
+def _rows(df):
+    return df.select("user_id", "sku_id", "type", "cate", _ts("time").alias("time"))
+
+
+@register("f1_time_range")
+def f1(spark, sf):
+    d = load_a(spark, sf)
+    return _rows(flt.time_range(d["actions"], window_start(d["dates"].end, days=5), d["dates"].end))
+
+
+@register("f2_f3_category_type")
+def f23(spark, sf):
+    d = load_a(spark, sf)
+    return _rows(flt.type_eq(flt.category_eq(d["actions"], 8), 4))
+
+
+@register("f4_exclude_period")
+def f4(spark, sf):
+    d = load_a(spark, sf)
+    D = d["dates"]
+    return _rows(flt.exclude_period(d["actions"], D.excl_lo, D.excl_hi, "range"))
+
+
+@register("f4_exclude_period_as_written")
+def f4w(spark, sf):
+    d = load_a(spark, sf)
+    D = d["dates"]
+    return _rows(flt.exclude_period(d["actions"], D.excl_lo, D.excl_hi, "after"))
+
+
+@register("f5_model_in")
+def f5(spark, sf):
+    d = load_a(spark, sf)
+    return flt.model_in(d["actions"]).groupBy("model_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("f6_focus_users")
+def f6(spark, sf):
+    d = load_a(spark, sf)
+    D = d["dates"]
+    return flt.focus_users(flt.time_range(d["actions"], D.acc_start, D.end), 8)
+
+
+@register("f7_drop_null_rows")
+def f7(spark, sf):
+    return flt.drop_null_rows(load_a(spark, sf)["users"])
+
+
+@register("f8_purchases_only")
+def f8(spark, sf):
+    d = load_b(spark, sf)
+    return _rows(flt.purchases_only(d["actions"]))
+
+
+@register("s5_category_slice")
+def s5(spark, sf):
+    from shopcast.sources.files import category_slice
+    d = load_a(spark, sf)
+    return category_slice(d["actions"], 8).select("user_id", "sku_id", "type", "brand", "model_id",
+                                                  _ts("time").alias("time"))
+
+
+# ---- joins / top-k / sets / metrics (J3–J5, L1–L2, U1–U2, W2–W4, E1–E3) ------------------------
+
+from shopcast.operators import evaluate as ev  # noqa: E402
+from shopcast.operators import joins as jn  # noqa: E402
+from shopcast.operators import windows as wn  # noqa: E402
+
+
+def _user_scores_plain(d):
+    """Score = purchases in the accumulate window (integer-valued, so ties
+    are exact and broken by key)."""
+    from shopcast.operators.cube import cnt0
+    w = _acc(d)
+    return fam.aggregate(_cube(d), "U", [cnt0(w, is_type(PURCHASE)).cast("double").alias("prob")], w)
+
+
+def _pair_scores(d):
+    from shopcast.operators.cube import cnt0
+    w = _acc(d)
+    return fam.aggregate(_cube(d), "UI", [(cnt0(w, is_type(PURCHASE)) * 10 + cnt0(w, is_type(1)))
+                                          .cast("double").alias("label")], w)
+
+
+@register("l1_topk_by_score")
+def l1(spark, sf):
+    from shopcast.sources.sinks import top_users
+    return top_users(_user_scores_plain(load_a(spark, sf)), 20)
+
+
+@register("l2_e3_cutoff_sweep")
+def l2(spark, sf):
+    d = load_a(spark, sf)
+    D = d["dates"]
+    truth = fam.labels(d["actions"], D.label_start, D.label_end)
+    return ev.cutoff_sweep(_user_scores_plain(d), truth, (20, 50, 100),
+                           [F.col("prob").desc(), F.col("user_id")])
+
+
+@register("e1_f11")
+def e1(spark, sf):
+    d = load_a(spark, sf)
+    D = d["dates"]
+    pred = _user_scores_plain(d).orderBy(F.col("prob").desc(), "user_id").limit(50)
+    return ev.f11(pred, fam.labels(d["actions"], D.label_start, D.label_end))
+
+
+@register("e2_f12_score")
+def e2(spark, sf):
+    d = load_a(spark, sf)
+    D = d["dates"]
+    pred = _pair_scores(d).orderBy(F.col("label").desc(), "user_id", "sku_id").limit(200)
+    truth = fam.labels(d["actions"], D.label_start, D.label_end, ("user_id", "sku_id"))
+    return ev.f12_score(pred.select("user_id", "sku_id"), truth)
+
+
+@register("j3_semi_restrict")
+def j3(spark, sf):
+    d = load_a(spark, sf)
+    D = d["dates"]
+    base = fam.decayed_df(_cube(d), "UICB", _acc(d), "action_{k}")
+    return jn.semi_restrict(base, fam.labels(d["actions"], D.label_start, D.label_end))
+
+
+@register("j3_semi_restrict_topk")
+def j3k(spark, sf):
+    """Scoring rows restricted to the first 100 candidate users (bounded -> broadcast)."""
+    d = load_a(spark, sf)
+    base = fam.decayed_df(_cube(d), "UICB", _acc(d), "action_{k}")
+    cands = _user_scores_plain(d).orderBy(F.col("prob").desc(), "user_id").limit(100)
+    return jn.semi_restrict(base, cands, bound=100)
+
+
+def _cart_sides(d):
+    D = d["dates"]
+    a = flt.time_range(d["actions"], D.acc_start, D.end)
+    cart = a.filter(F.col("type") == 2).select("user_id", F.col("time").alias("cart_time"), F.col("sku_id").alias("cart_sku"))
+    uncart = a.filter(F.col("type") == 3).select("user_id", F.col("time").alias("uncart_time"),
+                                                  F.col("sku_id").alias("uncart_sku"))
+    return cart, uncart
+
+
+@register("j4_cart_uncart_latest")
+def j4(spark, sf):
+    from shopcast.functions.exprs import flag
+    cart, uncart = _cart_sides(load_a(spark, sf))
+    j = (wn.keep_latest(cart, ["user_id"], "cart_time", ("cart_sku",))
+           .join(wn.keep_latest(uncart, ["user_id"], "uncart_time", ("uncart_sku",)), "user_id", "left"))
+    return j.select("user_id", _ts("cart_time").alias("cart_time"), _ts("uncart_time").alias("uncart_time"),
+                    flag(F.col("uncart_time") >= F.col("cart_time")).alias("buy_possible"))
+
+
+@register("j4_cart_uncart_as_written")
+def j4w(spark, sf):
+    cart, uncart = _cart_sides(load_a(spark, sf))
+    j = cart.join(uncart, "user_id", "left")
+    return j.groupBy("user_id").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@register("j5_topk_overlap")
+def j5(spark, sf):
+    d = load_a(spark, sf)
+    us = _user_scores_plain(d)
+    ps = _pair_scores(d)
+    return jn.topk_overlap(us, ps, 50, 200, [F.col("prob").desc(), F.col("user_id")],
+                           [F.col("label").desc(), F.col("user_id"), F.col("sku_id")])
+
+
+@register("u2_intersect")
+def u2(spark, sf):
+    d = load_a(spark, sf)
+    from shopcast.operators.cube import cnt0
+    w = _acc(d)
+    views = fam.aggregate(_cube(d), "U", [cnt0(w, is_type(1)).cast("double").alias("prob")], w)
+    a = _user_scores_plain(d).orderBy(F.col("prob").desc(), "user_id").limit(50).select("user_id")
+    b = views.orderBy(F.col("prob").desc(), "user_id").limit(50).select("user_id")
+    return a.intersect(b)
+
+
+@register("u1_union_all")
+def u1(spark, sf):
+    """Positives and negatives of the pair table concatenated by name."""
+    d = load_a(spark, sf)
+    D = d["dates"]
+    base = fam.decayed_df(_cube(d), "UICB", _acc(d), "action_{k}").select("user_id", "sku_id")
+    lab = fam.labels(d["actions"], D.label_start, D.label_end, ("user_id", "sku_id"))
+    pos = base.join(lab, ["user_id", "sku_id"], "left_semi").withColumn("label", F.lit(1))
+    neg = base.join(lab, ["user_id", "sku_id"], "left_anti").withColumn("label", F.lit(0))
+    return pos.unionByName(neg)
+
+
+@register("w2_dedupe_keep_last")
+def w2(spark, sf):
+    d = load_a(spark, sf)
+    a = flt.category_eq(d["actions"], 8)
+    out = wn.keep_latest(a.select("user_id", "sku_id", "time", "type", "model_id"), ["user_id", "sku_id"], "time",
+                         ("type", "model_id"))
+    return out.withColumn("time", _ts("time"))
+
+
+@register("w2_dedupe_keep_first")
+def w2f(spark, sf):
+    d = load_a(spark, sf)
+    a = flt.category_eq(d["actions"], 8)
+    out = wn.keep_latest(a.select("user_id", "sku_id", "time", "type"), ["user_id", "sku_id"], "time",
+                         ("type",), keep="first")
+    return out.withColumn("time", _ts("time"))
+
+
+@register("w3_relative_order")
+def w3(spark, sf):
+    d = load_a(spark, sf)
+    skus = fam.type_counts_df(_cube(d), "IC", _acc(d), "n_{k}").select("sku_id", "cate", F.col("n_1").alias("views"))
+    return wn.relative_order(skus, "views", "view_order", ["cate"])
+
+
+@register("w4_top1_per_user")
+def w4(spark, sf):
+    return wn.top1_per_key(_pair_scores(load_a(spark, sf)))
+
+
+@register("m8w_weighted_score")
+def m8w(spark, sf):
+    """Weighted sum of several score columns, then the best sku per user."""
+    from shopcast.operators.cube import cnt0
+    d = load_a(spark, sf)
+    w = _acc(d)
+    sc = fam.aggregate(_cube(d), "UI", [cnt0(w, is_type(k)).cast("double").alias(f"p{k}") for k in (1, 2, 4)], w)
+    s = sc.select("user_id", "sku_id", (0.3 * F.col("p4") + 0.07 * F.col("p1") + 0.07 * F.col("p2")).alias("label"))
+    return wn.top1_per_key(s)
+
+
+# ---- sampling (M1–M4) --------------------------------------------------------------------------------
+
+from shopcast.operators import sampling as smp  # noqa: E402
+
+
+def _pairs_labelled(d):
+    D = d["dates"]
+    base = fam.decayed_df(_cube(d), "UICB", _acc(d), "action_{k}").select("user_id", "sku_id")
+    lab = fam.labels(d["actions"], D.label_start, D.label_end, ("user_id", "sku_id"))
+    return base.join(lab, ["user_id", "sku_id"], "left").na.fill({"label": 0})
+
+
+@register("m1_downsample_negatives")
+def m1(spark, sf):
+    return smp.downsample_negatives(_pairs_labelled(load_a(spark, sf)), ["user_id", "sku_id"], ratio=3.0, seed=7)
+
+
+@register("m2_shuffle_rows")
+def m2(spark, sf):
+    df = _pairs_labelled(load_a(spark, sf))
+    return smp.shuffle_rows(df, ["user_id", "sku_id"], 7).withColumn(
+        "shuffle_key", smp.key_hash(7, ["user_id", "sku_id"]))
+
+
+@register("m3_train_eval_split")
+def m3(spark, sf):
+    df = _pairs_labelled(load_a(spark, sf))
+    return df.withColumn("bucket", smp.split_bucket(0, ["user_id", "sku_id"]))
+
+
+@register("m4_impute_mean")
+def m4(spark, sf):
+    from shopcast.operators.model import impute_mean
+    d = load_a(spark, sf)
+    D = d["dates"]
+    cube8 = _cube(d, 30, cate=D.target_cate)
+    base = fam.distinct_users(cube8, Win.of(30))
+    w5 = fam.type_counts(Win.of(5), "{i}_day_user_action_{k}")
+    feats = base.join(cube8.groupBy("user_id").agg(*w5), "user_id", "left")
+    return impute_mean(feats, [c for c in feats.columns if c != "user_id"])

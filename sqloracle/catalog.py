@@ -109,7 +109,7 @@ SQL["a4a_user_active_days_cal_lineitem"] = days_pair(
 
 # ---- A5 / A6 ---------------------------------------------------------------------------
 
-def hours_sql(ctx, hours=(4, 8, 16)):
+def hours_sql(ctx, hours=(4, 8, 16), extra=None, raw=False):
     import datetime as _dt
     cols = []
     for h in hours:
@@ -120,8 +120,9 @@ def hours_sql(ctx, hours=(4, 8, 16)):
         cols.append(f"CASE WHEN {pres} THEN CAST(count(DISTINCT hour(time)) FILTER (WHERE time >= {st}) AS BIGINT) END "
                     f"AS {q(f'{h}_h_user_active_hours')}")
     st = ts(ctx.end - _dt.timedelta(hours=max(hours)))
-    return ctx.sql(f"SELECT user_id, {', '.join(cols)} FROM actions WHERE time >= {st} AND time < {ts(ctx.end)} "
-                   f"GROUP BY user_id")
+    body = (f"SELECT user_id, {', '.join(cols)} FROM actions WHERE time >= {st} AND time < {ts(ctx.end)} "
+            + (f"AND {extra} " if extra else "") + "GROUP BY user_id")
+    return body if raw else ctx.sql(body)
 
 
 SQL["a5_active_hours"] = hours_sql(A)
@@ -204,7 +205,7 @@ SQL["a15t_truth_rows"] = A.sql(f"SELECT user_id FROM actions WHERE {label_where(
 STAT_FN = {"avg": "avg", "mean": "avg", "max": "max", "min": "min", "var": "var_samp", "std": "stddev_samp"}
 
 
-def two_level(ctx, keys, sub, wins, fmt, stats, with_sum=False, extra=None, sub_expr=None):
+def two_level(ctx, keys, sub, wins, fmt, stats, with_sum=False, extra=None, sub_expr=None, raw=False):
     """Nested windows: the widest window defines the rows; narrower ones are
     left-joined (NULL when the group is absent)."""
     parts = []
@@ -230,7 +231,8 @@ def two_level(ctx, keys, sub, wins, fmt, stats, with_sum=False, extra=None, sub_
     keep = ", ".join(f"w{order[0]}.{k}" for k in kl)
     other = ", ".join(f"w{i}.* EXCLUDE ({keys})" for i in order[1:])
     sel = f"{keep}, w{order[0]}.* EXCLUDE ({keys})" + (f", {other}" if other else "")
-    return ctx.sql(sql.replace("SELECT *", f"SELECT {sel}", 1))
+    body = sql.replace("SELECT *", f"SELECT {sel}", 1)
+    return body if raw else ctx.sql(body)
 
 
 SQL["a2u_user_sku_stats"] = two_level(A, "user_id", "sku_id", [5, 30], "{i}_day_user_action_{k}_{stat}",
@@ -311,3 +313,300 @@ def _a13f():
 
 
 SQL["a13f_cate_rank_pivot"] = _a13f()
+
+
+# ---- D5 / D6 / D7 / D1 ----------------------------------------------------------------------------
+
+import datetime as _dt  # noqa: E402
+
+
+def _end_ctx(ctx: Ctx, end) -> Ctx:
+    c = Ctx(ctx.adapter)
+    c.end = end
+    return c
+
+
+def d5_parts(ctx, cate_cond="cate = 8"):
+    e = ts(ctx.end)
+    ratios = []
+    for k in (1, 2, 5, 6):
+        num, den = "count(*) FILTER (WHERE type = 4)", f"count(*) FILTER (WHERE type = {k})"
+        ex = (f"CASE WHEN {den} = 0 THEN (CASE WHEN {num} > 0 THEN CAST('inf' AS DOUBLE) END) "
+              f"ELSE CAST({num} AS DOUBLE) / {den} END")
+        ratios.append(f"{r(ex)} AS user_action_{k}_ratio")
+    acc = (f"SELECT user_id, " + ", ".join(f"{n(f'type = {k}')} AS user_action_{k}" for k in TYPES) + ", "
+           + ", ".join(ratios)
+           + f", date_sub('hour', max(time), {e}) AS user_active_last, "
+             f"date_sub('hour', max(time) FILTER (WHERE type = 4), {e}) AS user_buy_last, "
+             f"CAST(count(DISTINCT CAST(time AS DATE)) AS BIGINT) AS user_active_days, "
+             f"CAST(NULLIF(count(DISTINCT CAST(time AS DATE)) FILTER (WHERE type = 4), 0) AS BIGINT) AS user_buy_days "
+             f"FROM actions WHERE {where(ctx, 0, cate_cond)} GROUP BY user_id")
+    st = two_level(ctx, "user_id", "sku_id", [0], "user_action_{k}_{stat}", ("avg", "max", "min", "var"), True,
+                   cate_cond, raw=True)
+    return acc, st
+
+
+def d6_part(ctx):
+    e = ts(ctx.end)
+    return (f"SELECT user_id, date_sub('hour', max(time), {e}) AS user_all_cate_active_last, "
+            f"CAST(count(DISTINCT CAST(time AS DATE)) AS BIGINT) AS user_all_cate_active_days, "
+            f"CAST(NULLIF(count(DISTINCT CAST(time AS DATE)) FILTER (WHERE type = 4), 0) AS BIGINT) "
+            f"AS user_all_cate_buy_days FROM actions WHERE {where(ctx, 0)} GROUP BY user_id")
+
+
+def d7_window(ctx, i):
+    cols = [f"{n(f'type = {k}')} AS {q(f'{i}_day_user_action_{k}')}" for k in TYPES]
+    if i != 1:
+        cols += [f"CAST(count(DISTINCT CAST(time AS DATE)) AS BIGINT) AS {q(f'{i}_day_user_active_days')}",
+                 f"CAST(NULLIF(count(DISTINCT CAST(time AS DATE)) FILTER (WHERE type = 4), 0) AS BIGINT) "
+                 f"AS {q(f'{i}_day_user_buy_days')}"]
+    return f"SELECT user_id, {', '.join(cols)} FROM actions WHERE {where(ctx, i, 'cate = 8')} GROUP BY user_id"
+
+
+UM_WINDOWS = (1, 2, 3, 5, 7, 10, 15, 21, 30)
+AGE_CASE = ("CASE age WHEN '-1' THEN 0 WHEN '15岁以下' THEN 1 WHEN '16-25岁' THEN 2 WHEN '26-35岁' THEN 3 "
+            "WHEN '36-45岁' THEN 4 WHEN '46-55岁' THEN 5 WHEN '56岁以上' THEN 6 ELSE -1 END")
+
+
+def profile_sql(with_sex=True):
+    cols = [f"CASE WHEN code = {v} THEN 1 ELSE 0 END AS age_{v}" for v in range(7)]
+    if with_sex:
+        cols += [f"CASE WHEN sex = {v}.0 THEN 1 ELSE 0 END AS sex_{v}" for v in range(3)]
+    cols += [f"CASE WHEN user_lv_cd = {v} THEN 1 ELSE 0 END AS user_lv_cd_{v}" for v in range(1, 6)]
+    return f"SELECT user_id, {', '.join(cols)} FROM (SELECT *, {AGE_CASE} AS code FROM users) u"
+
+
+def joined(ctx, base, parts, tail=""):
+    ctes = [f"base AS ({base})"] + [f"p{j} AS ({p})" for j, p in enumerate(parts)]
+    sql = "SELECT * FROM base" + "".join(f" LEFT JOIN p{j} USING (user_id)" for j in range(len(parts)))
+    return ctx.sql(sql + tail, ctes)
+
+
+def d7_sql(ctx):
+    base = f"SELECT DISTINCT user_id FROM actions WHERE {where(ctx, 30, 'cate = 8')}"
+    return joined(ctx, base, [d7_window(ctx, i) for i in UM_WINDOWS])
+
+
+def d1_sql(ctx, end=None, with_label=True):
+    c = _end_ctx(ctx, end) if end else ctx
+    base = f"SELECT DISTINCT user_id FROM actions WHERE {where(c, 30, 'cate = 8')}"
+    one_day = (f"SELECT user_id, CAST(count(DISTINCT hour(time)) AS BIGINT) AS \"1_day_user_active_hours\", "
+               f"CAST(count(DISTINCT sku_id) AS BIGINT) AS \"1_day_user_product_nums\" "
+               f"FROM actions WHERE {where(c, 1, 'cate = 8')} GROUP BY user_id")
+    acc, acc_stats = d5_parts(c)
+    parts = [d7_window(c, i) for i in UM_WINDOWS] + [
+        hours_sql(c, (4, 8, 16), "cate = 8", raw=True), one_day,
+        two_level(c, "user_id", "sku_id", [5, 30], "{i}_day_user_action_{k}_{stat}", ("avg", "max", "min", "var"),
+                  True, "cate = 8", raw=True),
+        profile_sql(with_sex=False), acc, acc_stats, d6_part(c)]
+    if with_label:
+        parts.append(f"SELECT DISTINCT user_id, 1 AS label FROM actions WHERE "
+                     f"{in_range(c.end, c.end + _dt.timedelta(days=5))} AND type = 4 AND cate = 8")
+        sql = joined(c, base, parts)
+        return sql.replace("SELECT * FROM base", "SELECT * REPLACE (coalesce(label, 0) AS label) FROM base", 1)
+    return joined(c, base, parts)
+
+
+_acc5, _acc5s = d5_parts(A)
+SQL["d5_user_accumulate"] = A.sql(f"SELECT * FROM ({_acc5}) a LEFT JOIN ({_acc5s}) s USING (user_id)")
+SQL["d6_user_accumulate_all"] = A.sql(d6_part(A))
+SQL["d7_user_window"] = d7_sql(A)
+SQL["d1_user_dataset"] = d1_sql(A)
+SQL["d1_user_dataset_test"] = d1_sql(A, A.score_end, with_label=False)
+SQL["d1_user_dataset_lineitem"] = d1_sql(B)
+
+
+# ---- profile / product / comments ----------------------------------------------------------------
+
+SQL["p2_user_one_hot"] = A.sql(profile_sql(True))
+SQL["p2_product_one_hot"] = A.sql(
+    "SELECT sku_id, cate, brand, " + ", ".join(
+        f"CASE WHEN {a} = {v} THEN 1 ELSE 0 END AS {q(f'{a}_{v}')}" for a in ("a1", "a2", "a3")
+        for v in (-1, 0, 1, 2, 3)) + " FROM products")
+SQL["p3_recode_age"] = A.sql(
+    "SELECT user_id, CASE age WHEN '15岁以下' THEN 1 WHEN '16-25岁' THEN 2 WHEN '26-35岁' THEN 3 "
+    "WHEN '36-45岁' THEN 4 WHEN '46-55岁' THEN 5 WHEN '56岁以上' THEN 6 ELSE 0 END AS age FROM users")
+_nonnull = "age IS NOT NULL AND sex IS NOT NULL AND user_lv_cd IS NOT NULL AND user_reg_tm IS NOT NULL"
+SQL["t6_days_registered"] = A.sql(
+    f"SELECT user_id, CAST(CASE WHEN d < 0 THEN -1 ELSE d END AS BIGINT) AS user_reg_tm FROM "
+    f"(SELECT user_id, date_diff('day', CAST(user_reg_tm AS DATE), {dt(A.end)}) AS d FROM users WHERE {_nonnull}) x")
+SQL["a8c_reg_to_first_buy"] = A.sql(
+    f"SELECT u.user_id, CAST(floor((coalesce(u.reg, -1) - coalesce(f.first_buy, -1) + 1) / 5.0) AS BIGINT) "
+    f"AS inter_reg_first_buy FROM (SELECT user_id, date_diff('day', CAST(user_reg_tm AS DATE), {dt(A.end)}) AS reg "
+    f"FROM users WHERE {_nonnull}) u LEFT JOIN (SELECT user_id, max({b(A)}) AS first_buy FROM actions "
+    f"WHERE {where(A, 0, 'type = 4')} GROUP BY user_id) f ON u.user_id = f.user_id")
+_snap = f"SELECT coalesce(max(dt) FILTER (WHERE dt < {dt(A.end)}), min(dt)) AS snap FROM (SELECT DISTINCT dt FROM comments) d"
+SQL["t8_asof_snapshot_date"] = A.sql(f"SELECT CAST(snap AS VARCHAR) AS snap FROM ({_snap}) s")
+SQL["a16_comment_features"] = A.sql(
+    "SELECT sku_id, has_bad_comment, round(bad_comment_rate, 6) AS bad_comment_rate, "
+    + ", ".join(f"CASE WHEN comment_num = {v} THEN 1 ELSE 0 END AS comment_num_{v}" for v in (1, 2, 3, 4))
+    + f" FROM comments WHERE dt = (SELECT snap FROM ({_snap}) s WHERE snap < {dt(A.end)})")
+SQL["j6_product_join"] = A.sql(
+    "SELECT b.user_id, b.sku_id, b.cate, b.brand, " + ", ".join(
+        f"CASE WHEN {a} = {v} THEN 1 ELSE 0 END AS {q(f'{a}_{v}')}" for a in ("a1", "a2", "a3") for v in (-1, 0, 1, 2, 3))
+    .replace("CASE WHEN", "CASE WHEN p.sku_id IS NULL THEN NULL WHEN")
+    + f" FROM (SELECT DISTINCT user_id, sku_id, cate, brand FROM actions WHERE {where(A, 0)}) b "
+      "LEFT JOIN products p ON b.sku_id = p.sku_id AND b.cate = p.cate AND b.brand = p.brand")
+
+
+# ---- scalar time functions ------------------------------------------------------------------------
+
+SQL["t1_t7_time_bins"] = A.sql(
+    f"SELECT user_id, sku_id, type, CAST(CAST(time AS DATE) AS VARCHAR) AS day, hour(time) AS hour, "
+    f"date_diff('day', CAST(time AS DATE), {dt(A.end)}) AS c, {b(A)} AS b, date_sub('hour', time, {ts(A.end)}) AS h, "
+    f"round(exp(-{b(A)}), 6) AS decay, CAST(floor(({b(A)} - 20 + 1) / 5.0) AS BIGINT) AS bucket, "
+    f"CAST(brand AS BIGINT) AS brand FROM actions WHERE {where(A, 0)}")
+SQL["t3_elapsed_days_lineitem"] = B.sql(
+    f"SELECT date_diff('day', CAST(time AS DATE), {dt(B.end)}) AS c, {b(B)} AS b, count(*) AS n "
+    f"FROM actions WHERE {where(B, 0)} GROUP BY 1, 2")
+
+
+# ---- filters --------------------------------------------------------------------------------------
+
+TSF = "strftime(time, '%Y-%m-%d %H:%M:%S.%f')"
+ROWS = f"SELECT user_id, sku_id, type, cate, {TSF} AS time FROM actions"
+SQL["f1_time_range"] = A.sql(f"{ROWS} WHERE {where(A, 5)}")
+SQL["f2_f3_category_type"] = A.sql(f"{ROWS} WHERE cate = 8 AND type = 4")
+SQL["f4_exclude_period"] = A.sql(
+    f"{ROWS} WHERE NOT (CAST(time AS DATE) BETWEEN {dt(A.excl_lo)} AND {dt(A.excl_hi)})")
+SQL["f4_exclude_period_as_written"] = A.sql(f"{ROWS} WHERE time < {ts(A.excl_lo)}")
+SQL["f5_model_in"] = A.sql("SELECT model_id, count(*) AS n FROM actions WHERE model_id IN (14, 21, 28, 110, 210) "
+                           "GROUP BY model_id")
+SQL["f6_focus_users"] = A.sql(f"SELECT DISTINCT user_id FROM actions WHERE {where(A, 0, 'cate = 8 AND type IN (2, 4, 5)')}")
+SQL["f7_drop_null_rows"] = A.sql(f"SELECT * FROM users WHERE user_id IS NOT NULL AND {_nonnull}")
+SQL["f8_purchases_only"] = B.sql(f"{ROWS} WHERE type = 4")
+SQL["s5_category_slice"] = A.sql(f"SELECT user_id, sku_id, type, brand, model_id, {TSF} AS time FROM actions "
+                                 f"WHERE cate = 8")
+
+
+# ---- joins / top-k / sets / metrics -----------------------------------------------------------------
+
+USCORE = (f"SELECT user_id, CAST(count(*) FILTER (WHERE type = 4) AS DOUBLE) AS prob FROM actions "
+          f"WHERE {where(A, 0)} GROUP BY user_id")
+PSCORE = (f"SELECT user_id, sku_id, CAST(count(*) FILTER (WHERE type = 4) * 10 + count(*) FILTER (WHERE type = 1) "
+          f"AS DOUBLE) AS label FROM actions WHERE {where(A, 0)} GROUP BY user_id, sku_id")
+TRUTH_U = f"SELECT DISTINCT user_id FROM actions WHERE {label_where(A)}"
+TRUTH_P = f"SELECT DISTINCT user_id, sku_id FROM actions WHERE {label_where(A)}"
+
+SQL["l1_topk_by_score"] = A.sql(f"SELECT user_id, CAST(-1 AS BIGINT) AS sku_id FROM ({USCORE}) s "
+                                f"ORDER BY prob DESC, user_id LIMIT 20")
+
+
+def _sweep():
+    top = f"SELECT user_id, row_number() OVER (ORDER BY prob DESC, user_id) AS rk FROM ({USCORE}) s"
+    rows = []
+    for c in (20, 50, 100):
+        rows.append(
+            f"SELECT {c} AS cutoff, CAST(count(*) FILTER (WHERE t.user_id IS NOT NULL AND rk <= {c}) AS BIGINT) AS hits, "
+            f"CAST(count(*) FILTER (WHERE rk <= {c}) AS BIGINT) AS predicted, (SELECT count(*) FROM truth) AS actual "
+            f"FROM top LEFT JOIN truth t USING (user_id)")
+    body = " UNION ALL ".join(rows)
+    f = ("CASE WHEN hits > 0 THEN 6.0 * (hits / predicted) * (hits / actual) / "
+         "(5.0 * (hits / actual) + hits / predicted) ELSE 0.0 END")
+    return A.sql(f"SELECT cutoff, hits, predicted, actual, {r(f.replace('hits /', 'CAST(hits AS DOUBLE) /'))} AS f11 "
+                 f"FROM ({body}) x", [f"top AS ({top} QUALIFY rk <= 100)", f"truth AS ({TRUTH_U})"])
+
+
+SQL["l2_e3_cutoff_sweep"] = _sweep()
+
+
+def _f11_sql(pred, truth, prefix=""):
+    m = (f"SELECT CAST(count(*) FILTER (WHERE p = 1 AND t = 1) AS BIGINT) AS hits, "
+         f"CAST(count(*) FILTER (WHERE p = 1) AS BIGINT) AS predicted, CAST(count(*) FILTER (WHERE t = 1) AS BIGINT) AS actual "
+         f"FROM (SELECT coalesce(a.user_id, b.user_id) AS user_id, CASE WHEN a.user_id IS NULL THEN 0 ELSE 1 END AS p, "
+         f"CASE WHEN b.user_id IS NULL THEN 0 ELSE 1 END AS t FROM (SELECT DISTINCT user_id FROM ({pred}) x) a "
+         f"FULL OUTER JOIN ({truth}) b ON a.user_id = b.user_id) z")
+    P, R = "(CAST(hits AS DOUBLE) / predicted)", "(CAST(hits AS DOUBLE) / actual)"
+    return (f"SELECT hits, predicted, actual, {r(f'coalesce({P}, 0.0)')} AS precision, "
+            f"{r(f'coalesce({R}, 0.0)')} AS recall, "
+            f"{r(f'CASE WHEN hits > 0 THEN 6.0 * {P} * {R} / (5.0 * {R} + {P}) ELSE 0.0 END')} AS f11 FROM ({m}) mm")
+
+
+_PRED_U = f"SELECT user_id FROM ({USCORE}) s ORDER BY prob DESC, user_id LIMIT 50"
+SQL["e1_f11"] = A.sql(_f11_sql(_PRED_U, TRUTH_U))
+_PRED_P = f"SELECT user_id, sku_id FROM ({PSCORE}) s ORDER BY label DESC, user_id, sku_id LIMIT 200"
+_pairs = (f"SELECT CAST(count(*) FILTER (WHERE t.user_id IS NOT NULL) AS BIGINT) AS pair_hits, "
+          f"CAST(count(*) AS BIGINT) AS pp, (SELECT count(*) FROM ({TRUTH_P}) tt) AS pa "
+          f"FROM ({_PRED_P}) p LEFT JOIN ({TRUTH_P}) t ON p.user_id = t.user_id AND p.sku_id = t.sku_id")
+_P2, _R2 = "(CAST(pair_hits AS DOUBLE) / pp)", "(CAST(pair_hits AS DOUBLE) / pa)"
+SQL["e2_f12_score"] = A.sql(
+    f"SELECT u.*, q.pair_hits, q.f12, round(0.4 * u.f11 + 0.6 * q.f12, 6) AS score FROM ({_f11_sql(_PRED_P, TRUTH_U)}) u, "
+    f"(SELECT pair_hits, {r(f'CASE WHEN pair_hits > 0 THEN 5.0 * {_P2} * {_R2} / (2.0 * {_R2} + 3.0 * {_P2}) ELSE 0.0 END')}"
+    f" AS f12 FROM ({_pairs}) x) q")
+
+_DB = (f"SELECT user_id, sku_id, cate, brand, " + ", ".join(
+    f"{r(f'coalesce(sum(exp(-{b(A)})) FILTER (WHERE type = {k}), 0)')} AS action_{k}" for k in TYPES)
+    + f" FROM actions WHERE {where(A, 0)} GROUP BY user_id, sku_id, cate, brand")
+SQL["j3_semi_restrict"] = A.sql(f"SELECT * FROM ({_DB}) d WHERE user_id IN ({TRUTH_U})")
+SQL["j3_semi_restrict_topk"] = A.sql(
+    f"SELECT * FROM ({_DB}) d WHERE user_id IN (SELECT user_id FROM ({USCORE}) s ORDER BY prob DESC, user_id LIMIT 100)")
+_CART = f"SELECT user_id, time FROM actions WHERE {where(A, 0, 'type = 2')}"
+_UNCART = f"SELECT user_id, time FROM actions WHERE {where(A, 0, 'type = 3')}"
+SQL["j4_cart_uncart_latest"] = A.sql(
+    "SELECT c.user_id, strftime(c.t, '%Y-%m-%d %H:%M:%S.%f') AS cart_time, "
+    "strftime(u.t, '%Y-%m-%d %H:%M:%S.%f') AS uncart_time, CASE WHEN u.t >= c.t THEN 1 ELSE 0 END AS buy_possible "
+    f"FROM (SELECT user_id, max(time) AS t FROM ({_CART}) x GROUP BY user_id) c "
+    f"LEFT JOIN (SELECT user_id, max(time) AS t FROM ({_UNCART}) y GROUP BY user_id) u ON c.user_id = u.user_id")
+SQL["j4_cart_uncart_as_written"] = A.sql(
+    f"SELECT c.user_id, count(*) AS rows FROM ({_CART}) c LEFT JOIN ({_UNCART}) u ON c.user_id = u.user_id "
+    f"GROUP BY c.user_id")
+SQL["j5_topk_overlap"] = A.sql(
+    f"SELECT a.user_id, a.prob, b.sku_id, b.label FROM (SELECT * FROM ({USCORE}) s ORDER BY prob DESC, user_id LIMIT 50) a "
+    f"JOIN (SELECT * FROM ({PSCORE}) p ORDER BY label DESC, user_id, sku_id LIMIT 200) b ON a.user_id = b.user_id")
+_VIEWS = (f"SELECT user_id, CAST(count(*) FILTER (WHERE type = 1) AS DOUBLE) AS prob FROM actions "
+          f"WHERE {where(A, 0)} GROUP BY user_id")
+SQL["u2_intersect"] = A.sql(
+    f"SELECT user_id FROM (SELECT user_id FROM ({USCORE}) s ORDER BY prob DESC, user_id LIMIT 50) a "
+    f"INTERSECT SELECT user_id FROM (SELECT user_id FROM ({_VIEWS}) v ORDER BY prob DESC, user_id LIMIT 50) b")
+_PAIRS = f"SELECT DISTINCT user_id, sku_id FROM actions WHERE {where(A, 0)}"
+SQL["u1_union_all"] = A.sql(
+    f"SELECT user_id, sku_id, 1 AS label FROM ({_PAIRS}) p WHERE (user_id, sku_id) IN ({TRUTH_P}) UNION ALL "
+    f"SELECT user_id, sku_id, 0 AS label FROM ({_PAIRS}) p WHERE (user_id, sku_id) NOT IN ({TRUTH_P})")
+SQL["w2_dedupe_keep_last"] = A.sql(
+    f"SELECT user_id, sku_id, {TSF} AS time, type, model_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, sku_id "
+    f"ORDER BY time DESC, type DESC, model_id DESC) AS rn FROM actions WHERE cate = 8) x WHERE rn = 1")
+SQL["w2_dedupe_keep_first"] = A.sql(
+    f"SELECT user_id, sku_id, {TSF} AS time, type FROM (SELECT *, row_number() OVER (PARTITION BY user_id, sku_id "
+    f"ORDER BY time, type) AS rn FROM actions WHERE cate = 8) x WHERE rn = 1")
+_SV = (f"SELECT sku_id, cate, count(*) FILTER (WHERE type = 1) AS views FROM actions WHERE {where(A, 0)} "
+       f"GROUP BY sku_id, cate")
+SQL["w3_relative_order"] = A.sql(
+    "SELECT s.sku_id, s.cate, s.views, (SELECT count(*) FROM sv s2 WHERE s2.cate = s.cate AND s2.views >= s.views) - 1 "
+    "AS view_order FROM sv s", [f"sv AS ({_SV})"])
+SQL["w4_top1_per_user"] = A.sql(
+    f"SELECT user_id, sku_id, label FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY label DESC, sku_id) "
+    f"AS rn FROM ({PSCORE}) p) x WHERE rn = 1")
+_WS = (f"SELECT user_id, sku_id, 0.3 * p4 + 0.07 * p1 + 0.07 * p2 AS label FROM (SELECT user_id, sku_id, "
+       + ", ".join(f"CAST(count(*) FILTER (WHERE type = {k}) AS DOUBLE) AS p{k}" for k in (1, 2, 4))
+       + f" FROM actions WHERE {where(A, 0)} GROUP BY user_id, sku_id) x")
+SQL["m8w_weighted_score"] = A.sql(
+    f"SELECT user_id, sku_id, {r('label')} AS label FROM (SELECT *, row_number() OVER (PARTITION BY user_id "
+    f"ORDER BY label DESC, sku_id) AS rn FROM ({_WS}) p) x WHERE rn = 1")
+
+
+# ---- sampling ----------------------------------------------------------------------------------------
+
+_LAB = (f"SELECT p.user_id, p.sku_id, CASE WHEN t.user_id IS NULL THEN 0 ELSE 1 END AS label FROM ({_PAIRS}) p "
+        f"LEFT JOIN ({TRUTH_P}) t ON p.user_id = t.user_id AND p.sku_id = t.sku_id")
+
+
+def _h(seed):
+    return f"md5(concat_ws(':', '{seed}', CAST(user_id AS VARCHAR), CAST(sku_id AS VARCHAR)))"
+
+
+SQL["m1_downsample_negatives"] = A.sql(
+    f"SELECT user_id, sku_id, label FROM lab WHERE label = 1 UNION ALL "
+    f"SELECT user_id, sku_id, label FROM (SELECT *, row_number() OVER (ORDER BY {_h(7)}, user_id, sku_id) AS rn "
+    f"FROM lab WHERE label = 0) x WHERE rn <= (SELECT round(3.0 * count(*)) FROM lab WHERE label = 1)",
+    [f"lab AS ({_LAB})"])
+SQL["m2_shuffle_rows"] = A.sql(f"SELECT *, {_h(7)} AS shuffle_key FROM ({_LAB}) l")
+SQL["m3_train_eval_split"] = A.sql(
+    f"SELECT *, CAST(CAST(('0x' || substr({_h(0)}, 1, 8)) AS BIGINT) % 5 AS INTEGER) AS bucket FROM ({_LAB}) l")
+_M4 = (f"SELECT b.user_id, " + ", ".join(f"w.{q(f'5_day_user_action_{k}')}" for k in TYPES)
+       + f" FROM (SELECT DISTINCT user_id FROM actions WHERE {where(A, 30, 'cate = 8')}) b LEFT JOIN ("
+       + f"SELECT user_id, " + ", ".join(f"{n(f'type = {k}')} AS {q(f'5_day_user_action_{k}')}" for k in TYPES)
+       + f" FROM actions WHERE {where(A, 5, 'cate = 8')} GROUP BY user_id) w ON b.user_id = w.user_id")
+SQL["m4_impute_mean"] = A.sql(
+    "SELECT user_id, " + ", ".join(
+        f"{r(f'coalesce(CAST({q(c)} AS DOUBLE), avg({q(c)}) OVER ())')} AS {q(c)}"
+        for c in [f"5_day_user_action_{k}" for k in TYPES]) + f" FROM ({_M4}) m")
