@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from shopcast.functions.exprs import safe_ratio
 from shopcast.functions.timebins import exp_decay, ts_lit, window_start
 from shopcast.operators.cube import (
-    ALL, GRAINS, Win, cnt, cnt0, day_level, days_in, has, in_win, is_type, present,
+    ALL, GRAINS, Win, cnt, cnt0, cnt0_sql, cnt_sql, day_level, days_in, has, in_win, is_type, present,
+    present_sql, ratio_sql, sql_col, type_sql, win_sql,
 )
 from shopcast.schemas import CONV_TYPES, MODEL_IDS, PURCHASE, TYPES
 
@@ -33,13 +34,13 @@ def _keys(grain):
 
 def type_counts(w: Win, fmt: str, types=TYPES) -> list[Column]:
     """A1: events per type in the window; NULL for groups absent from it."""
-    return [present(w, cnt0(w, is_type(k))).alias(fmt.format(i=w.label, k=k)) for k in types]
+    return [sql_col(present_sql(w, cnt0_sql(w, type_sql(k))), fmt.format(i=w.label, k=k)) for k in types]
 
 
 def conv_ratios(w: Win, fmt: str, ks=CONV_TYPES, on_zero: str = "zero") -> list[Column]:
     """Purchases / type-k events."""
-    buys = cnt0(w, is_type(PURCHASE))
-    return [present(w, safe_ratio(buys, cnt0(w, is_type(k)), on_zero)).alias(fmt.format(i=w.label, k=k))
+    buys = cnt0_sql(w, type_sql(PURCHASE))
+    return [sql_col(present_sql(w, ratio_sql(buys, cnt0_sql(w, type_sql(k)), on_zero)), fmt.format(i=w.label, k=k))
             for k in ks]
 
 
@@ -47,14 +48,14 @@ def decayed_counts(w: Win, fmt: str, types=TYPES) -> list[Column]:
     """A3: sum of exp(-elapsed days) per type."""
     out = []
     for k in types:
-        s = F.sum(F.when(in_win(w) & is_type(k), F.col("n") * exp_decay("b")))
-        out.append(present(w, F.coalesce(s, F.lit(0.0))).alias(fmt.format(i=w.label, k=k)))
+        s = f"sum(CASE WHEN {win_sql(w)} AND type = {k} THEN n * exp(-CAST(b AS DOUBLE)) END)"
+        out.append(sql_col(present_sql(w, f"coalesce({s}, 0D)"), fmt.format(i=w.label, k=k)))
     return out
 
 
 def recency_days(w: Win, name: str, k: int) -> Column:
     """Elapsed days since the latest type-k event (NULL if none)."""
-    return F.min(F.when(in_win(w) & is_type(k), F.col("b"))).alias(name)
+    return sql_col(f"min(CASE WHEN {win_sql(w)} AND type = {k} THEN b END)", name)
 
 
 def recency_hours(w: Win, end, name: str, cond: Column | None = None) -> Column:
@@ -65,21 +66,20 @@ def recency_hours(w: Win, end, name: str, cond: Column | None = None) -> Column:
 
 def first_last_buy(w: Win, first_name: str, interval_name: str) -> list[Column]:
     """Elapsed days of the first purchase and first − last."""
-    m = in_win(w) & is_type(PURCHASE)
-    first = F.max(F.when(m, F.col("b")))
-    last = F.min(F.when(m, F.col("b")))
-    return [first.alias(first_name), (first - last).alias(interval_name)]
+    m = f"{win_sql(w)} AND type = {PURCHASE}"
+    first, last = f"max(CASE WHEN {m} THEN b END)", f"min(CASE WHEN {m} THEN b END)"
+    return [sql_col(first, first_name), sql_col(f"{first} - {last}", interval_name)]
 
 
 def purchase_rows(w: Win, name: str) -> Column:
     """Purchase rows (not distinct skus); NULL when none."""
-    return cnt(w, is_type(PURCHASE)).alias(name)
+    return sql_col(cnt_sql(w, type_sql(PURCHASE)), name)
 
 
 def type_shares(w: Win, fmt: str, types=TYPES, on_zero: str = "null") -> list[Column]:
     """Type count / all events in the window."""
-    tot = cnt0(w)
-    return [present(w, safe_ratio(cnt0(w, is_type(k)), tot, on_zero)).alias(fmt.format(i=w.label, k=k))
+    tot = cnt0_sql(w)
+    return [sql_col(present_sql(w, ratio_sql(cnt0_sql(w, type_sql(k)), tot, on_zero)), fmt.format(i=w.label, k=k))
             for k in types]
 
 

@@ -71,13 +71,12 @@ def fit_gbt(train: DataFrame, cols, label: str = "label", max_depth: int = 5, ma
     if validation:
         df = df.withColumn("_val", split_bucket(seed, list(keys)) == 0)
     df = _assemble(df, cols).withColumn(label, F.col(label).cast("double"))
+    kw = {"validationIndicatorCol": "_val", "validationTol": 0.001} if validation else {}
+    if pos_weight is not None:
+        kw["weightCol"] = "_w"
     gbt = GBTClassifier(featuresCol="features", labelCol=label, maxDepth=max_depth, maxIter=max_iter,
                         stepSize=step, minInstancesPerNode=min_instances, subsamplingRate=subsample,
-                        seed=seed, maxBins=32)
-    if pos_weight is not None:
-        gbt = gbt.setWeightCol("_w")
-    if validation:
-        gbt = gbt.setValidationIndicatorCol("_val").setValidationTol(0.001)
+                        seed=seed, maxBins=32, **kw)
     return gbt.fit(df)
 
 

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopcast.functions.exprs import safe_ratio
-from shopcast.operators.cube import Win, cnt, cnt0, day_level, in_win, is_type
+from shopcast.operators.cube import (
+    Win, cnt0_sql, cnt_sql, day_level, in_win, is_type, ratio_sql, sql_col,
+)
 from shopcast.schemas import CATES, CONV_TYPES, PURCHASE, TYPES
 
 
@@ -21,7 +23,7 @@ def _is_cate(c):
 def cate_pivot_counts(cube: DataFrame, w: Win, cates=CATES,
                       fmt: str = "{i}_cate_{c}_action_{k}") -> DataFrame:
     """The six type counts per category (0 when none)."""
-    aggs = [cnt0(w, _is_cate(c) & is_type(k)).alias(fmt.format(i=w.label, c=c, k=k))
+    aggs = [sql_col(cnt0_sql(w, f"cate = {c} AND type = {k}"), fmt.format(i=w.label, c=c, k=k))
             for c in cates for k in TYPES]
     return cube.filter(in_win(w)).groupBy("user_id").agg(*aggs)
 
@@ -32,11 +34,11 @@ def cate_pivot_conv(cube: DataFrame, w: Win, cates=CATES,
     has no event in that category."""
     aggs = []
     for c in cates:
-        buys = cnt0(w, _is_cate(c) & is_type(PURCHASE))
-        seen = cnt(w, _is_cate(c)).isNotNull()
+        buys = cnt0_sql(w, f"cate = {c} AND type = {PURCHASE}")
+        seen = f"{cnt_sql(w, f'cate = {c}')} IS NOT NULL"
         for k in CONV_TYPES:
-            aggs.append(F.when(seen, safe_ratio(buys, cnt0(w, _is_cate(c) & is_type(k)), "zero"))
-                        .alias(fmt.format(i=w.label, c=c, k=k)))
+            r = ratio_sql(buys, cnt0_sql(w, f"cate = {c} AND type = {k}"), "zero")
+            aggs.append(sql_col(f"CASE WHEN {seen} THEN {r} END", fmt.format(i=w.label, c=c, k=k)))
     return cube.filter(in_win(w)).groupBy("user_id").agg(*aggs)
 
 

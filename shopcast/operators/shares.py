@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopcast.functions.exprs import safe_ratio
-from shopcast.operators.cube import GRAINS, Win, cnt0, in_win, is_type
+from shopcast.operators.cube import GRAINS, Win, cnt0_sql, in_win, sql_col, type_sql
 from shopcast.schemas import CATES, PURCHASE, TYPES
 
 # Parents whose key set is bounded by a fixed vocabulary -> safe to broadcast.
@@ -31,7 +31,7 @@ def share_rank(cube: DataFrame, child, parent, w: Win, rank_name: str, ratio4_na
     ck = list(GRAINS[child]) if isinstance(child, str) else list(child)
     pk = list(GRAINS[parent]) if isinstance(parent, str) else list(parent)
     g = (cube.filter(in_win(w)).groupBy(*ck)
-             .agg(*[cnt0(w, is_type(k)).alias(f"_g{k}") for k in TYPES]))
+             .agg(*[sql_col(cnt0_sql(w, type_sql(k)), f"_g{k}") for k in TYPES]))
     p = g.groupBy(*pk).agg(*[F.sum(f"_g{k}").alias(f"_p{k}") for k in TYPES])
     if tuple(pk) in _BOUNDED_PARENTS:
         p = F.broadcast(p)

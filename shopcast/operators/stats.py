@@ -15,12 +15,11 @@ from operator import add
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopcast.operators.cube import Win, cnt0, has, is_type
+from shopcast.operators.cube import Win, cnt0_sql, cnt_sql, sql_col, type_sql
 from shopcast.schemas import TYPES
 
-_STATS = {
-    "avg": F.avg, "mean": F.avg, "max": F.max, "min": F.min,
-    "var": F.var_samp, "std": F.stddev_samp,
+_STATS_SQL = {
+    "avg": "avg", "mean": "avg", "max": "max", "min": "min", "var": "var_samp", "std": "stddev_samp",
 }
 
 
@@ -36,21 +35,20 @@ def two_level_stats(cube: DataFrame, keys, sub, wins, fmt: str,
     keys, sub = list(keys), list(sub)
     lvl1_aggs = []
     for w in wins:
-        lvl1_aggs.append(has(w).alias(f"_p{w.label}"))
+        lvl1_aggs.append(sql_col(f"{cnt_sql(w)} IS NOT NULL", f"_p{w.label}"))
         for k in types:
-            lvl1_aggs.append(cnt0(w, is_type(k)).alias(f"_w{w.label}_{k}"))
+            lvl1_aggs.append(sql_col(cnt0_sql(w, type_sql(k)), f"_w{w.label}_{k}"))
     lvl1 = cube.groupBy(*keys, *sub).agg(*lvl1_aggs)
     if with_sum:
         lvl1 = lvl1.select("*", *[reduce(add, [F.col(f"_w{w.label}_{k}") for k in types])
                                   .alias(f"_w{w.label}_{sum_label}") for w in wins])
     ks = list(types) + ([sum_label] if with_sum else [])
-    aggs = [F.max(F.col(f"_p{w.label}").cast("int")).alias(f"_any{w.label}") for w in wins]
+    aggs = [sql_col(f"max(CAST(_p{w.label} AS INT))", f"_any{w.label}") for w in wins]
     for w in wins:
-        p = F.col(f"_p{w.label}")
         for k in ks:
-            v = F.when(p, F.col(f"_w{w.label}_{k}").cast("double"))
+            v = f"CASE WHEN _p{w.label} THEN CAST(_w{w.label}_{k} AS DOUBLE) END"
             for st in stats:
-                aggs.append(_STATS[st](v).alias(fmt.format(i=w.label, k=k, stat=st)))
+                aggs.append(sql_col(f"{_STATS_SQL[st]}({v})", fmt.format(i=w.label, k=k, stat=st)))
     out = lvl1.groupBy(*keys).agg(*aggs)
     keep = reduce(lambda a, b: a | b, [F.col(f"_any{w.label}") == 1 for w in wins])
     return out.filter(keep).drop(*[f"_any{w.label}" for w in wins])

@@ -863,3 +863,156 @@ def m4(spark, sf):
     w5 = fam.type_counts(Win.of(5), "{i}_day_user_action_{k}")
     feats = base.join(cube8.groupBy("user_id").agg(*w5), "user_id", "left")
     return impute_mean(feats, [c for c in feats.columns if c != "user_id"])
+
+
+# ---- file sources / sinks (S1–S4, S6–S10): round trips through the shared folder ------------------
+
+def _scratch(spark, name: str) -> str:
+    import uuid
+
+    from shopcast.session import checkpoint_dir
+    return f"{checkpoint_dir(spark).rstrip('/')}/scratch/{name}-{uuid.uuid4().hex}"
+
+
+@register("s1_scan_actions")
+def s1(spark, sf):
+    """Write the log as three monthly CSV files, read them back as one table."""
+    from shopcast.sources.files import scan_actions
+    d = load_a(spark, sf)
+    a = d["actions"].select("user_id", "sku_id", "time", "model_id", "type", "cate", "brand")
+    base = _scratch(spark, "actions")
+    bounds = ["2023-12-01", "2024-01-11", "2024-01-21", "2024-03-01"]
+    paths = []
+    from shopcast.functions.timebins import ts_lit
+    for j in range(3):
+        p = f"{base}/part{j}"
+        a.filter((F.col("time") >= ts_lit(bounds[j])) & (F.col("time") < ts_lit(bounds[j + 1]))) \
+         .write.option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(p)
+        paths.append(p)
+    return _rows(scan_actions(spark, paths))
+
+
+@register("s2_scan_users_gbk")
+def s2(spark, sf):
+    """User table written and read back in the GBK charset."""
+    from shopcast.sources.files import scan_users
+    users = load_a(spark, sf)["users"]
+    p = _scratch(spark, "users")
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    users.write.option("header", True).option("encoding", "GBK").csv(p)
+    return scan_users(spark, p, "GBK")
+
+
+@register("s3_scan_products")
+def s3(spark, sf):
+    from shopcast.sources.files import scan_products
+    p = _scratch(spark, "products")
+    load_a(spark, sf)["products"].write.option("header", True).csv(p)
+    return scan_products(spark, p)
+
+
+@register("s4_scan_comments")
+def s4(spark, sf):
+    from shopcast.sources.files import scan_comments
+    p = _scratch(spark, "comments")
+    load_a(spark, sf)["comments"].write.option("header", True).csv(p)
+    return scan_comments(spark, p).withColumn("dt", F.col("dt").cast("string"))
+
+
+@register("s6_materialize")
+def s6(spark, sf):
+    """Decayed counts written once as a feature set keyed by its parameters and read back."""
+    from shopcast.sources.files import materialize
+    d = load_a(spark, sf)
+    df = fam.decayed_df(_cube(d), "UICB", _acc(d), "action_{k}")
+    return materialize(df, "decayed_counts", sf=sf, end=str(d["dates"].end), start=str(d["dates"].acc_start),
+                       run=_scratch(spark, "m"))
+
+
+@register("s7_write_user_submission")
+def s7(spark, sf):
+    from shopcast.sources.sinks import write_user_submission
+    p = _scratch(spark, "pred_user")
+    write_user_submission(_user_scores_plain(load_a(spark, sf)), 20, p)
+    return spark.read.option("header", True).schema("user_id long, sku_id long").csv(p)
+
+
+@register("s10_read_candidates")
+def s10(spark, sf):
+    """The first 10 rows of the ranked candidate file written by S7."""
+    from shopcast.sources.files import read_candidates
+    from shopcast.sources.sinks import write_user_submission
+    p = _scratch(spark, "pred_user")
+    write_user_submission(_user_scores_plain(load_a(spark, sf)), 20, p)
+    return read_candidates(spark, p, 10)
+
+
+@register("s8_s9_scores_submission")
+def s89(spark, sf):
+    """Scores CSV written (S8), then read, cast and written as the final submission."""
+    from shopcast.sources.sinks import final_submission, write_scores
+    p, out = _scratch(spark, "scores"), _scratch(spark, "sub")
+    write_scores(_pair_scores(load_a(spark, sf)), p)
+    final_submission(spark, p, out)
+    return spark.read.option("header", True).schema("user_id long, sku_id long").csv(out)
+
+
+# ---- models (M5–M8): rows-only checks ---------------------------------------------------------------
+
+def _train_test_ui(spark, sf):
+    from shopcast.plans.ui_dataset import feature_columns, user_sku_dataset
+    d = load_a(spark, sf)
+    D = d["dates"]
+    from shopcast.sources.files import materialize
+    train = user_sku_dataset(d, with_label=True)
+    buyers = fam.labels(d["actions"], D.label_start, D.label_end)
+    # True buyers only; written once so every boosting round reads the table, not its plan
+    train = materialize(jn.semi_restrict(train, buyers), "ui_train", run=_scratch(spark, "t"))
+    test = user_sku_dataset(d, with_label=False, end=D.score_end)
+    return train, test, feature_columns(train)
+
+
+@register("m6_fit_predict_boosted")
+def m6(spark, sf):
+    """Entry 1: user model on D1, scored on the shifted D1, top 1000 users (L1 / S7 shape)."""
+    from shopcast.operators.model import fit_predict_boosted
+    from shopcast.plans.user_dataset import user_dataset, user_dataset_test
+    from shopcast.sources.sinks import top_users
+    d = load_a(spark, sf)
+    from shopcast.sources.files import materialize
+    train = materialize(user_dataset(d, with_label=True), "user_train", run=_scratch(spark, "t"))
+    test = user_dataset_test(d)
+    cols = sorted(c for c in train.columns if c not in ("user_id", "label"))
+    scored = fit_predict_boosted(train, test, cols, max_iter=30)
+    return top_users(scored, 1000)
+
+
+@register("m5_importance_topn")
+def m5(spark, sf):
+    """Boosted trees (depth 6) on the (user, sku) table; importance > 0, best 50 (L3)."""
+    from shopcast.operators.model import fit_gbt, importance_table
+    train, _, cols = _train_test_ui(spark, sf)
+    m = fit_gbt(train, cols, max_depth=6, max_iter=30, keys=("user_id", "sku_id"))
+    return ev.importance_topn(importance_table(spark, m, cols), 50)
+
+
+@register("m7_importance_partition")
+def m7(spark, sf):
+    from shopcast.operators.model import fit_gbt, importance_table
+    train, _, cols = _train_test_ui(spark, sf)
+    m = fit_gbt(train, cols, max_depth=5, max_iter=30, step=0.05, validation=True, keys=("user_id", "sku_id"))
+    return importance_table(spark, m, cols).select("feature", (F.col("importance") > 0).cast("int").alias("used"))
+
+
+@register("m8_subspace_ensemble")
+def m8(spark, sf):
+    """Entry 2: 11-model random-subspace ensemble on the (user, sku) table of
+    the true buyers, scored on the shifted table of the candidate users,
+    best sku per user (W4)."""
+    from shopcast.operators.model import subspace_ensemble
+    train, test, cols = _train_test_ui(spark, sf)
+    d = load_a(spark, sf)
+    cands = _user_scores_plain(d).orderBy(F.col("prob").desc(), "user_id").limit(1000)
+    test = jn.semi_restrict(test, cands, bound=1000)
+    scored = subspace_ensemble(train, test, cols, max_iter=30)
+    return wn.top1_per_key(scored.select("user_id", "sku_id", "label"))

@@ -17,8 +17,14 @@ from shopcast import schemas
 from shopcast.session import checkpoint_dir
 
 
+# Action times are text 'yyyy-MM-dd HH:mm:ss' with an optional fraction.
+TIME_FORMAT = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
+TIME_WRITE_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+
+
 def _csv(spark: SparkSession, paths, schema, encoding: str | None = None) -> DataFrame:
-    r = spark.read.schema(schema).option("header", True).option("mode", "FAILFAST")
+    r = (spark.read.schema(schema).option("header", True).option("mode", "FAILFAST")
+         .option("timestampNTZFormat", TIME_FORMAT))
     if encoding:
         r = r.option("encoding", encoding)
     return r.csv(list(paths) if isinstance(paths, (list, tuple)) else paths)

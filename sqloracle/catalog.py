@@ -610,3 +610,17 @@ SQL["m4_impute_mean"] = A.sql(
     "SELECT user_id, " + ", ".join(
         f"{r(f'coalesce(CAST({q(c)} AS DOUBLE), avg({q(c)}) OVER ())')} AS {q(c)}"
         for c in [f"5_day_user_action_{k}" for k in TYPES]) + f" FROM ({_M4}) m")
+
+
+# ---- file round trips ----------------------------------------------------------------------------------
+
+SQL["s1_scan_actions"] = A.sql(ROWS)
+SQL["s2_scan_users_gbk"] = A.sql("SELECT * FROM users")
+SQL["s3_scan_products"] = A.sql("SELECT * FROM products")
+SQL["s4_scan_comments"] = A.sql("SELECT CAST(dt AS VARCHAR) AS dt, sku_id, comment_num, has_bad_comment, "
+                                "round(bad_comment_rate, 6) AS bad_comment_rate FROM comments")
+SQL["s6_materialize"] = SQL["a3_decayed_counts"]
+SQL["s7_write_user_submission"] = SQL["l1_topk_by_score"]
+SQL["s10_read_candidates"] = A.sql(f"SELECT user_id, CAST(-1 AS BIGINT) AS sku_id FROM ({USCORE}) s "
+                                   f"ORDER BY prob DESC, user_id LIMIT 10")
+SQL["s8_s9_scores_submission"] = A.sql(f"SELECT user_id, sku_id FROM ({PSCORE}) p")
