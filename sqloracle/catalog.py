@@ -205,9 +205,11 @@ SQL["a15t_truth_rows"] = A.sql(f"SELECT user_id FROM actions WHERE {label_where(
 STAT_FN = {"avg": "avg", "mean": "avg", "max": "max", "min": "min", "var": "var_samp", "std": "stddev_samp"}
 
 
-def two_level(ctx, keys, sub, wins, fmt, stats, with_sum=False, extra=None, sub_expr=None, raw=False):
+def two_level(ctx, keys, sub, wins, fmt, stats, with_sum=False, extra=None, sub_expr=None, raw=False,
+              days_of=None):
     """Nested windows: the widest window defines the rows; narrower ones are
-    left-joined (NULL when the group is absent)."""
+    left-joined (NULL when the group is absent).  ``days_of`` maps a window
+    label to its length in days when they differ (label 0 = 35 days)."""
     parts = []
     ks = list(TYPES) + (["sum"] if with_sum else [])
     for i in wins:
@@ -215,7 +217,9 @@ def two_level(ctx, keys, sub, wins, fmt, stats, with_sum=False, extra=None, sub_
         l1_cols = ", ".join(f"count(*) FILTER (WHERE type = {k}) AS t{k}" for k in TYPES)
         sum_col = (", " + " + ".join(f"count(*) FILTER (WHERE type = {k})" for k in TYPES) + " AS tsum") \
             if with_sum else ""
-        l1 = (f"SELECT {keys}, {sexpr} AS sub, {l1_cols}{sum_col} FROM actions WHERE {where(ctx, i, extra)} "
+        wh = where(ctx, i, extra) if not days_of or i not in days_of else \
+            in_range(minus_days(ctx.end, days_of[i]), ctx.end) + (f" AND {extra}" if extra else "")
+        l1 = (f"SELECT {keys}, {sexpr} AS sub, {l1_cols}{sum_col} FROM actions WHERE {wh} "
               f"GROUP BY {keys}, {sexpr}")
         cols = ", ".join(f"{r(f'{STAT_FN[st]}(CAST(t{k} AS DOUBLE))')} AS {q(fmt.format(i=i, k=k, stat=st))}"
                          for k in ks for st in stats)
@@ -624,3 +628,140 @@ SQL["s7_write_user_submission"] = SQL["l1_topk_by_score"]
 SQL["s10_read_candidates"] = A.sql(f"SELECT user_id, CAST(-1 AS BIGINT) AS sku_id FROM ({USCORE}) s "
                                    f"ORDER BY prob DESC, user_id LIMIT 10")
 SQL["s8_s9_scores_submission"] = A.sql(f"SELECT user_id, sku_id FROM ({PSCORE}) p")
+
+
+# ---- D3: (user, sku) dataset ----------------------------------------------------------------------------
+
+UI_WINDOWS = (1, 2, 3, 5, 10, 15, 21, 28, 35)
+MIDS_T = (14, 21, 28, 110, 210)
+
+
+def d3_sql(ctx0: Ctx, end=None, with_label=True):
+    c = _end_ctx(ctx0, end) if end else ctx0
+    E = ts(c.end)
+    bexp = f"date_sub('day', time, {E})"
+    wins = list(UI_WINDOWS) + [0]
+
+    def wf(i):
+        return f"time >= {ts(start_of(c, i))}"
+
+    def cnt_w(i, cond=None):
+        return f"count(*) FILTER (WHERE {wf(i)}" + (f" AND {cond})" if cond else ")")
+
+    def counts_cols(fmt, ws, types=TYPES):
+        return [f"CASE WHEN {cnt_w(i)} > 0 THEN CAST({cnt_w(i, f'type = {k}')} AS BIGINT) END "
+                f"AS {q(fmt.format(i=i, k=k))}" for i in ws for k in types]
+
+    def conv_cols(fmt, ws):
+        out = []
+        for i in ws:
+            for k in CONV:
+                num, den = cnt_w(i, "type = 4"), cnt_w(i, f"type = {k}")
+                e = f"CASE WHEN {cnt_w(i)} > 0 THEN (CASE WHEN {den} = 0 THEN 0.0 ELSE CAST({num} AS DOUBLE) / {den} END) END"
+                out.append(f"{r(e)} AS {q(fmt.format(i=i, k=k))}")
+        return out
+
+    def days_cols(any_fmt, buy_fmt, ws):
+        out = []
+        for i in ws:
+            out.append(f"CAST(NULLIF(count(DISTINCT {bexp}) FILTER (WHERE {wf(i)}), 0) AS BIGINT) AS {q(any_fmt.format(i=i))}")
+            out.append(f"CAST(NULLIF(count(DISTINCT {bexp}) FILTER (WHERE {wf(i)} AND type = 4), 0) AS BIGINT) "
+                       f"AS {q(buy_fmt.format(i=i))}")
+        return out
+
+    def first_last_cols(first, interval):
+        m = f"{wf(0)} AND type = 4"
+        return [f"max({bexp}) FILTER (WHERE {m}) AS {q(first)}",
+                f"max({bexp}) FILTER (WHERE {m}) - min({bexp}) FILTER (WHERE {m}) AS {q(interval)}"]
+
+    def grp(keys, cols, extra=None):
+        lo = min(start_of(c, 0), minus_days(c.end, max(UI_WINDOWS)))
+        wh = in_range(lo, c.end) + (f" AND {extra}" if extra else "")
+        return f"SELECT {keys}, {', '.join(cols)} FROM actions WHERE {wh} GROUP BY {keys}"
+
+    def share_body(child, parent, rank, ratio4):
+        g = (f"SELECT {child}, " + ", ".join(f"count(*) FILTER (WHERE type = {k}) AS g{k}" for k in TYPES)
+             + f" FROM actions WHERE {where(c, 0)} GROUP BY {child}")
+        pp = f"SELECT {parent}, " + ", ".join(f"sum(g{k}) AS p{k}" for k in TYPES) + f" FROM ({g}) g0 GROUP BY {parent}"
+        ratios = [f"CAST(g{k} AS DOUBLE) / NULLIF(p{k}, 0)" for k in TYPES]
+        return (f"SELECT {child}, {r(' + '.join(ratios))} AS {q(rank)}, {r(ratios[3])} AS {q(ratio4)} "
+                f"FROM ({g}) g JOIN ({pp}) p USING ({parent})")
+
+    ac = c.acc_days
+    base = (f"SELECT user_id, sku_id, cate, brand, " + ", ".join(
+        f"{r(f'coalesce(sum(exp(-{bexp})) FILTER (WHERE type = {k}), 0)')} AS action_{k}" for k in TYPES)
+        + f" FROM actions WHERE {where(c, 30, 'cate = 8')} GROUP BY user_id, sku_id, cate, brand")
+    u = grp("user_id", counts_cols("{i}_user_action_{k}", [0], CONV) + conv_cols("{i}_user_conv_ratio_{k}", wins)
+            + first_last_cols("0_user_first_buy", "0_user_interval")
+            + [f"min({bexp}) FILTER (WHERE {wf(0)} AND type = 4) AS user_last_buy",
+               f"min({bexp}) FILTER (WHERE {wf(0)} AND type = 3) AS user_last_cart"]
+            + days_cols("{i}_user_action_tm", "{i}_user_action_buy_tm", wins))
+    u_stats = two_level(c, "user_id", "sku_id", [0, 5, 30], "{i}_action_{stat}_{k}",
+                        ("mean", "max", "min", "var", "std"), False, "cate = 8", raw=True)
+    reg = (f"SELECT user_id, CAST(CASE WHEN d < 0 THEN -1 ELSE d END AS BIGINT) AS user_reg_tm FROM "
+           f"(SELECT user_id, date_diff('day', CAST(user_reg_tm AS DATE), {dt(c.end)}) AS d FROM users WHERE {_nonnull}) x")
+    reg_first = (f"SELECT u.user_id, CAST(floor((coalesce(u.reg, -1) - coalesce(f.first_buy, -1) + 1) / 5.0) AS BIGINT) "
+                 f"AS inter_reg_first_buy FROM (SELECT user_id, date_diff('day', CAST(user_reg_tm AS DATE), {dt(c.end)}) "
+                 f"AS reg FROM users WHERE {_nonnull}) u LEFT JOIN (SELECT user_id, max({bexp}) AS first_buy FROM actions "
+                 f"WHERE {where(c, 0, 'type = 4')} GROUP BY user_id) f ON u.user_id = f.user_id")
+    per = ", ".join(f"count(*) FILTER (WHERE type = {k}) AS n{k}" for k in TYPES)
+    period = (f"SELECT u.user_id, " + ", ".join(
+        f"{r(f'CASE WHEN p.n{k} > 0 THEN {float(ac)} / p.n{k} ELSE -1.0 END')} AS {q(f'0_action_period_{k}')}"
+        for k in TYPES) + f" FROM users u LEFT JOIN (SELECT user_id, {per} FROM actions WHERE {where(c, 0)} "
+        f"GROUP BY user_id) p ON u.user_id = p.user_id")
+    basket = ("SELECT u.user_id, " + ", ".join(f"p.cate_{cc}" for cc in CATES) + " FROM users u LEFT JOIN (SELECT user_id, "
+              + ", ".join(f"{n(f'cate = {cc}')} AS cate_{cc}" for cc in CATES)
+              + f" FROM actions WHERE {where(c, 0, 'type = 4')} GROUP BY user_id) p ON u.user_id = p.user_id")
+
+    def model(keys, prefix, extra=None):
+        cond = "model_id IN (14, 21, 28, 110, 210)" + (f" AND {extra}" if extra else "")
+        return (f"SELECT {keys}, " + ", ".join(f"{n(f'model_id = {v}')} AS {prefix}_{v}" for v in MIDS_T)
+                + f" FROM actions WHERE {where(c, 0, cond)} GROUP BY {keys}")
+
+    uc = grp("user_id, cate", counts_cols("{i}_uc_action_{k}", wins)
+             + [f"CAST(NULLIF({cnt_w(i, 'type = 4')}, 0) AS BIGINT) AS {q(f'{i}_sku_buy_num_in_cate')}" for i in wins]
+             + conv_cols("{i}_uc_conv_ratio_{k}", [0]) + days_cols("{i}_uc_tm", "{i}_uc_buy_tm", wins))
+    uic = grp("user_id, sku_id, cate", counts_cols("{i}_syn_action_{k}", wins) + conv_cols("{i}_syn_conv_ratio_{k}", [0])
+              + first_last_cols("0_first_buy", "0_interval"))
+    ui = grp("user_id, sku_id", counts_cols("{i}_action_{k}", wins) + conv_cols("{i}_ui_conv_ratio_{k}", [0])
+             + [f"min({bexp}) FILTER (WHERE {wf(0)} AND type = {k} AND cate = 8) AS {nm}"
+                for k, nm in ((3, "ui_last_cart"), (4, "ui_last_buy"), (2, "ui_last_del_cart"))]
+             + days_cols("{i}_ui_tm", "{i}_ui_buy_tm", wins))
+    sku = grp("sku_id", counts_cols("{i}_sku_action_{k}", wins) + conv_cols("{i}_sku_conv_ratio_{k}", [0]))
+    sku_stats = two_level(c, "sku_id", "b", [0, 5, 30], "{i}_pro_action_{stat}_{k}",
+                          ("mean", "max", "min", "var", "std"), False, "cate = 8", bexp, raw=True, days_of={0: 35})
+    snap = (f"SELECT coalesce(max(dt) FILTER (WHERE dt < {dt(c.end)}), min(dt)) AS snap "
+            f"FROM (SELECT DISTINCT dt FROM comments) d")
+    comments = ("SELECT sku_id, has_bad_comment, round(bad_comment_rate, 6) AS bad_comment_rate, "
+                + ", ".join(f"CASE WHEN comment_num = {v} THEN 1 ELSE 0 END AS comment_num_{v}" for v in (1, 2, 3, 4))
+                + f" FROM comments WHERE dt = (SELECT snap FROM ({snap}) s WHERE snap < {dt(c.end)})")
+    product = ("SELECT sku_id, cate, brand, " + ", ".join(
+        f"CASE WHEN {a} = {v} THEN 1 ELSE 0 END AS {q(f'{a}_{v}')}" for a in ("a1", "a2", "a3") for v in (-1, 0, 1, 2, 3))
+        + " FROM products")
+    joins = [("user_id", u), ("user_id", u_stats), ("user_id", profile_sql(with_sex=False)), ("user_id", reg),
+             ("user_id", reg_first), ("user_id", period), ("user_id", basket),
+             ("user_id", model("user_id", "user_model_id")), ("user_id", model("user_id", "user_cate8_model_id", "cate = 8")),
+             ("user_id, cate", uc), ("user_id, cate", share_body("user_id, cate", "user_id", "cate_user_rank",
+                                                                 "cate_user_ratio_4")),
+             ("user_id, cate, sku_id", share_body("user_id, cate, sku_id", "user_id, cate", "sku_in_uc_rank",
+                                                  "sku_in_uc_ratio_4")),
+             ("user_id, sku_id, cate", uic), ("user_id, sku_id", ui),
+             ("user_id, sku_id", model("user_id, sku_id", "ui_model_id")),
+             ("user_id, sku_id", share_body("user_id, sku_id", "user_id", "0_sku_user_rank", "0_sku_user_ratio_4"))]
+    if with_label:
+        joins.append(("user_id, sku_id", f"SELECT DISTINCT user_id, sku_id, 1 AS label FROM actions WHERE "
+                                         f"{in_range(c.end, c.end + _dt.timedelta(days=5))} AND type = 4 AND cate = 8"))
+    joins += [("sku_id", sku), ("sku_id", sku_stats), ("sku_id", comments),
+              ("sku_id, cate", share_body("sku_id, cate", "cate", "sku_cate_rank", "sku_cate_ratio_4")),
+              ("brand, cate", share_body("brand, cate", "cate", "brand_cate_rank", "brand_cate_ratio_4")),
+              ("sku_id, cate, brand", product)]
+    ctes = [f"base AS ({base})"] + [f"j{j} AS ({body})" for j, (_, body) in enumerate(joins)]
+    sql = "SELECT * FROM base" + "".join(f" LEFT JOIN j{j} USING ({k})" for j, (k, _) in enumerate(joins))
+    filled = f"SELECT coalesce(COLUMNS(*), 0) FROM ({sql}) x"
+    return c.sql(f"SELECT *, CAST(CASE WHEN ui_last_del_cart - ui_last_cart <= 0 THEN 1 ELSE 0 END AS INTEGER) "
+                 f"AS cart_or_not FROM ({filled}) y", ctes)
+
+
+SQL["d3_user_sku_dataset"] = d3_sql(A)
+SQL["d3_user_sku_dataset_test"] = d3_sql(A, A.score_end, with_label=False)
+SQL["d3_user_sku_dataset_lineitem"] = d3_sql(B)
