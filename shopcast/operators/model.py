@@ -118,26 +118,37 @@ def importance_partition(model, cols) -> tuple[list[str], list[str]]:
 def subspace_ensemble(train: DataFrame, test: DataFrame, cols, label: str = "label",
                       weights=(0.3,) + (0.07,) * 10, frac: float = 0.4, seed: int = 0,
                       max_iter: int = 200, max_depth: int = 5, step: float = 0.05,
-                      keys=("user_id", "sku_id")) -> DataFrame:
+                      keys=("user_id", "sku_id"), parallelism: int = 4) -> DataFrame:
     """M8: model 0 on the important features (weight 0.3) and 10 models on
     seeded random 40 % subsets of the other features (0.07 each); the score is
     the weighted sum of the probabilities.  Every fit early-stops on a stable
-    20 % validation split."""
+    20 % validation split.  The independent fits are submitted from
+    ``parallelism`` driver threads so their (small, per-iteration) Spark jobs
+    run concurrently."""
+    from concurrent.futures import ThreadPoolExecutor
+
     cols = list(cols)
     probe = fit_gbt(train, cols, label, max_depth=max_depth, max_iter=max_iter, step=step,
                     subsample=1.0, validation=True, seed=seed, keys=keys)
     important, trivial = importance_partition(probe, cols)
     rng = random.Random(seed)
-    scored = test
-    parts = []
-    for i, w in enumerate(weights):
+    subsets = []
+    for i in range(len(weights)):
         if i == 0:
-            sub = important or cols
+            subsets.append(important or cols)
         else:
             k = max(1, int(len(trivial) * frac))
-            sub = sorted(rng.sample(trivial, k)) if len(trivial) >= k else (trivial or cols)
-        m = fit_gbt(train, sub, label, max_depth=max_depth, max_iter=max_iter, step=step,
-                    validation=True, seed=seed, keys=keys)
+            subsets.append(sorted(rng.sample(trivial, k)) if len(trivial) >= k else (trivial or cols))
+
+    def fit(sub):
+        return fit_gbt(train, sub, label, max_depth=max_depth, max_iter=max_iter, step=step,
+                       validation=True, seed=seed, keys=keys)
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        models = list(pool.map(fit, subsets))
+    scored = test
+    parts = []
+    for i, (w, sub, m) in enumerate(zip(weights, subsets, models)):
         scored = predict(m, scored, sub, out=f"_p{i}")
         parts.append(F.lit(float(w)) * F.col(f"_p{i}"))
     total = parts[0]
