@@ -1016,3 +1016,24 @@ def m8(spark, sf):
     test = jn.semi_restrict(test, cands, bound=1000)
     scored = subspace_ensemble(train, test, cols, max_iter=30)
     return wn.top1_per_key(scored.select("user_id", "sku_id", "label"))
+
+
+# ---- streaming: daily table maintained by a file stream, cube derived for the end date ----------
+
+@register("st1_streamed_daily_cube")
+def st1(spark, sf):
+    """The adapter-A log lands as two file drops; a file stream keeps the
+    daily table (two micro-batches); the cube for ``end`` is derived from it."""
+    from shopcast.streaming import cube_from_daily, read_daily, start_daily_cube
+    d = load_a(spark, sf)
+    D = d["dates"]
+    src, sink, ck = _scratch(spark, "src"), _scratch(spark, "daily"), _scratch(spark, "ck")
+    a = d["actions"]
+    from shopcast.functions.timebins import ts_lit
+    a.filter(F.col("time") < ts_lit("2024-01-15")).write.parquet(f"{src}/drop=1")
+    a.filter(F.col("time") >= ts_lit("2024-01-15")).write.parquet(f"{src}/drop=2")
+    q = start_daily_cube(spark, f"{src}/*", sink, ck, max_files_per_trigger=1)
+    q.awaitTermination()
+    cube = cube_from_daily(read_daily(spark, sink), D.end, D.acc_start)
+    return cube.select("user_id", "sku_id", "cate", "brand", "type", "c", "b", "n",
+                       _ts("t_min").alias("t_min"), _ts("t_max").alias("t_max"))

@@ -765,3 +765,12 @@ def d3_sql(ctx0: Ctx, end=None, with_label=True):
 SQL["d3_user_sku_dataset"] = d3_sql(A)
 SQL["d3_user_sku_dataset_test"] = d3_sql(A, A.score_end, with_label=False)
 SQL["d3_user_sku_dataset_lineitem"] = d3_sql(B)
+
+
+# ---- streaming ----------------------------------------------------------------------------------------
+
+SQL["st1_streamed_daily_cube"] = A.sql(
+    f"SELECT user_id, sku_id, cate, brand, type, date_diff('day', CAST(time AS DATE), {dt(A.end)}) AS c, {b(A)} AS b, "
+    f"count(*) AS n, strftime(min(time), '%Y-%m-%d %H:%M:%S.%f') AS t_min, "
+    f"strftime(max(time), '%Y-%m-%d %H:%M:%S.%f') AS t_max FROM actions WHERE {where(A, 0)} "
+    f"GROUP BY user_id, sku_id, cate, brand, type, 6, 7")

@@ -73,3 +73,17 @@ def test_d1_one_row_per_user(spark):
     df = user_dataset(load_a(spark, SF_SMALL))
     assert df.count() == df.select("user_id").distinct().count()
     assert set(r.label for r in df.select("label").distinct().collect()) <= {0, 1}
+
+
+def test_cube_from_daily_equals_cube_midnight_heavy(spark):
+    from shopcast.streaming import cube_from_daily, daily_partials, merge_partials
+    for loader in (load_a, load_b):
+        d = loader(spark, SF_SMALL)
+        D = d["dates"]
+        a = d["actions"]
+        halves = a.randomSplit([0.5, 0.5], seed=1)
+        daily = merge_partials(daily_partials(halves[0]).unionByName(daily_partials(halves[1])))
+        cols = ["user_id", "sku_id", "cate", "brand", "type", "c", "b", "n", "t_min", "t_max"]
+        got = sorted(tuple(r) for r in cube_from_daily(daily, D.end, D.acc_start).select(*cols).collect())
+        want = sorted(tuple(r) for r in activity_cube(a, D.end, D.acc_start).select(*cols).collect())
+        assert got == want
