@@ -1037,3 +1037,23 @@ def st1(spark, sf):
     cube = cube_from_daily(read_daily(spark, sink), D.end, D.acc_start)
     return cube.select("user_id", "sku_id", "cate", "brand", "type", "c", "b", "n",
                        _ts("t_min").alias("t_min"), _ts("t_max").alias("t_max"))
+
+
+# ---- D2: wide user dataset --------------------------------------------------------------------------
+
+@register("d2_user_dataset_wide")
+def d2(spark, sf):
+    from shopcast.plans.wide_user import user_dataset_wide
+    return user_dataset_wide(load_a(spark, sf), with_label=True)
+
+
+@register("d2_user_dataset_wide_test")
+def d2_test(spark, sf):
+    from shopcast.plans.wide_user import user_dataset_wide_test
+    return user_dataset_wide_test(load_a(spark, sf))
+
+
+@register("d2_user_dataset_wide_lineitem")
+def d2_b(spark, sf):
+    from shopcast.plans.wide_user import user_dataset_wide
+    return user_dataset_wide(load_b(spark, sf), with_label=True)

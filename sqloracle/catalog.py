@@ -774,3 +774,93 @@ SQL["st1_streamed_daily_cube"] = A.sql(
     f"count(*) AS n, strftime(min(time), '%Y-%m-%d %H:%M:%S.%f') AS t_min, "
     f"strftime(max(time), '%Y-%m-%d %H:%M:%S.%f') AS t_max FROM actions WHERE {where(A, 0)} "
     f"GROUP BY user_id, sku_id, cate, brand, type, 6, 7")
+
+
+# ---- D2: wide user dataset ------------------------------------------------------------------------------
+
+def d2_sql(ctx0: Ctx, end=None, with_label=True, days=5):
+    c = _end_ctx(ctx0, end) if end else ctx0
+    E = ts(c.end)
+    bexp = f"date_sub('day', time, {E})"
+    wins = [0] + list(UI_WINDOWS)
+    ac = c.acc_days
+
+    def wf(i):
+        return f"time >= {ts(start_of(c, i))}"
+
+    def cw(i, cond=None):
+        return f"count(*) FILTER (WHERE {wf(i)}" + (f" AND {cond})" if cond else ")")
+
+    def ratio0(num, den):
+        return f"CASE WHEN {den} = 0 THEN 0.0 ELSE CAST({num} AS DOUBLE) / {den} END"
+
+    ucols = []
+    for i in wins:
+        wd = ac if i == 0 else i
+        for k in CONV:
+            ucols.append(f"{r(f'CASE WHEN {cw(i)} > 0 THEN {ratio0(cw(i, 'type = 4'), cw(i, f'type = {k}'))} END')} "
+                         f"AS {q(f'{i}_user_conv_ratio_{k}')}")
+        for k in CONV:
+            ucols.append(f"CASE WHEN {cw(i)} > 0 THEN CAST({cw(i, f'type = {k}')} AS BIGINT) END AS {q(f'{i}_user_action_{k}')}")
+        for k in TYPES:
+            ucols.append(f"{r(f'CASE WHEN {cw(i, f'type = {k}')} > 0 THEN {float(wd)} / {cw(i, f'type = {k}')} ELSE -1.0 END')} "
+                         f"AS {q(f'{i}_action_period_{k}')}")
+        for k in TYPES:
+            ucols.append(f"{r(f'CASE WHEN {cw(i, 'cate = 8')} > 0 THEN {ratio0(cw(i, f'cate = 8 AND type = {k}'), cw(i, 'cate = 8'))} END')} "
+                         f"AS {q(f'{i}_user_cate8_ratio_{k}')}")
+        for cc in CATES:
+            for k in CONV:
+                e = (f"CASE WHEN {cw(i, f'cate = {cc}')} > 0 THEN "
+                     f"{ratio0(cw(i, f'cate = {cc} AND type = 4'), cw(i, f'cate = {cc} AND type = {k}'))} END")
+                ucols.append(f"{r(e)} AS {q(f'{i}_cate_{cc}_conv_ratio_{k}')}")
+        ucols.append(f"CAST(NULLIF(count(DISTINCT {bexp}) FILTER (WHERE {wf(i)}), 0) AS BIGINT) AS {q(f'{i}_user_action_tm')}")
+        ucols.append(f"CAST(NULLIF(count(DISTINCT {bexp}) FILTER (WHERE {wf(i)} AND type = 4), 0) AS BIGINT) "
+                     f"AS {q(f'{i}_user_action_buy_tm')}")
+        ucols.append(f"CAST(count(DISTINCT {bexp}) FILTER (WHERE {wf(i)} AND cate = 8) AS BIGINT) AS {q(f'{i}_cate_8_action_days')}")
+        ucols.append(f"CAST(count(DISTINCT {bexp}) FILTER (WHERE {wf(i)} AND cate = 8 AND type = 4) AS BIGINT) "
+                     f"AS {q(f'{i}_cate_8_buy_days')}")
+    ucols += [f"min({bexp}) FILTER (WHERE {wf(0)} AND type = 3) AS user_last_cart",
+              f"min({bexp}) FILTER (WHERE {wf(0)} AND type = 4) AS user_last_buy"]
+    lo = min(start_of(c, 0), minus_days(c.end, max(UI_WINDOWS)))
+    u = f"SELECT user_id, {', '.join(ucols)} FROM actions WHERE {in_range(lo, c.end)} GROUP BY user_id"
+    cart = (f"SELECT user_id, uc8_last_cart, coalesce(uc8_last_del_cart, 0) AS uc8_last_del_cart, "
+            f"CASE WHEN coalesce(uc8_last_del_cart, 0) - uc8_last_cart >= 0 THEN 1 ELSE 0 END AS buy_possible FROM ("
+            f"SELECT user_id, min({bexp}) FILTER (WHERE type = 2) AS uc8_last_cart, "
+            f"min({bexp}) FILTER (WHERE type = 3) AS uc8_last_del_cart FROM actions "
+            f"WHERE {where(c, 0, 'cate = 8 AND type IN (2, 3)')} GROUP BY user_id) x WHERE uc8_last_cart IS NOT NULL")
+    g = ("SELECT user_id, cate, " + ", ".join(f"count(*) FILTER (WHERE type = {k}) AS g{k}" for k in TYPES)
+         + f" FROM actions WHERE {where(c, 0)} GROUP BY user_id, cate")
+    pp = "SELECT user_id, " + ", ".join(f"sum(g{k}) AS p{k}" for k in TYPES) + f" FROM ({g}) g0 GROUP BY user_id"
+    ratios = [f"CAST(g{k} AS DOUBLE) / NULLIF(p{k}, 0)" for k in TYPES]
+    sh = f"SELECT user_id, cate, {' + '.join(ratios)} AS rk, {ratios[3]} AS r4 FROM ({g}) g JOIN ({pp}) p USING (user_id)"
+    rank_piv = (f"SELECT user_id, " + ", ".join(
+        f"{r(f'max(CASE WHEN cate = {cc} THEN rk END)')} AS cate_{cc}_rank, "
+        f"{r(f'max(CASE WHEN cate = {cc} THEN r4 END)')} AS cate_{cc}_ratio_4" for cc in CATES)
+        + f" FROM ({sh}) s GROUP BY user_id")
+    basket = ("SELECT u.user_id, " + ", ".join(f"p.cate_{cc}" for cc in CATES) + " FROM users u LEFT JOIN (SELECT user_id, "
+              + ", ".join(f"{n(f'cate = {cc}')} AS cate_{cc}" for cc in CATES)
+              + f" FROM actions WHERE {where(c, 0, 'type = 4')} GROUP BY user_id) p ON u.user_id = p.user_id")
+    last_buy = ("SELECT user_id, " + ", ".join(
+        f"coalesce(min({bexp}) FILTER (WHERE cate = {cc} AND type = 4), 0) AS {q(f'cate_{cc}_last_buy')}" for cc in CATES)
+        + f" FROM actions WHERE {where(c, 0)} GROUP BY user_id")
+    reg = (f"SELECT user_id, CAST(CASE WHEN d < 0 THEN -1 ELSE d END AS BIGINT) AS user_reg_tm FROM "
+           f"(SELECT user_id, date_diff('day', CAST(user_reg_tm AS DATE), {dt(c.end)}) AS d FROM users WHERE {_nonnull}) x")
+    reg_first = (f"SELECT u.user_id, CAST(floor((coalesce(u.reg, -1) - coalesce(f.first_buy, -1) + 1) / 5.0) AS BIGINT) "
+                 f"AS inter_reg_first_buy FROM (SELECT user_id, date_diff('day', CAST(user_reg_tm AS DATE), {dt(c.end)}) "
+                 f"AS reg FROM users WHERE {_nonnull}) u LEFT JOIN (SELECT user_id, max({bexp}) AS first_buy FROM actions "
+                 f"WHERE {where(c, 0, 'type = 4')} GROUP BY user_id) f ON u.user_id = f.user_id")
+    st = two_level(c, "user_id", "sku_id", [0, 5, 30], "{i}_action_{stat}_{k}", ("mean", "max", "min", "var", "std"),
+                   False, "cate = 8", raw=True)
+    parts = [profile_sql(with_sex=False), reg, reg_first, u, cart, rank_piv, basket, last_buy, st]
+    if with_label:
+        parts.append(f"SELECT DISTINCT user_id, 1 AS label FROM actions WHERE "
+                     f"{in_range(c.end, c.end + _dt.timedelta(days=5))} AND type = 4 AND cate = 8")
+    base = f"SELECT DISTINCT user_id FROM actions WHERE {where(c, days, 'cate = 8')}"
+    ctes = [f"base AS ({base})"] + [f"p{j} AS ({b_})" for j, b_ in enumerate(parts)]
+    sql = "SELECT * FROM base" + "".join(f" LEFT JOIN p{j} USING (user_id)" for j in range(len(parts)))
+    return c.sql(f"SELECT coalesce(COLUMNS(*), 0) FROM ({sql}) x", ctes)
+
+
+SQL["d2_user_dataset_wide"] = d2_sql(A)
+SQL["d2_user_dataset_wide_test"] = d2_sql(A, A.score_end, with_label=False)
+SQL["d2_user_dataset_wide_lineitem"] = d2_sql(B)
