@@ -1057,3 +1057,68 @@ def d2_test(spark, sf):
 def d2_b(spark, sf):
     from shopcast.plans.wide_user import user_dataset_wide
     return user_dataset_wide(load_b(spark, sf), with_label=True)
+
+
+# ---- projections exercised on their own (P1, P4, P6, P8, J1/J2, D4) ----------------------------------
+
+@register("p1_project_rename")
+def p1(spark, sf):
+    """Select / drop / rename on the decayed-count table."""
+    d = load_a(spark, sf)
+    df = fam.decayed_df(_cube(d), "UICB", _acc(d), "action_{k}")
+    return df.drop("brand", "action_6").withColumnsRenamed({"action_4": "buy_decay", "action_1": "view_decay"})
+
+
+@register("p4_row_sum")
+def p4(spark, sf):
+    from shopcast.functions.exprs import row_sum
+    d = load_a(spark, sf)
+    df = fam.type_counts_df(_cube(d, 5), "U", W5, "{i}_user_action_{k}")
+    return df.select("user_id", row_sum([f"5_user_action_{k}" for k in range(1, 7)]).alias("5_user_action_sum"))
+
+
+@register("p6_fill_replace")
+def p6(spark, sf):
+    """inf -> NULL, NULL -> 0 for ratios; NULL or <= 0 -> -1 for recency hours."""
+    from shopcast.functions.exprs import nonpositive_to
+    d = load_a(spark, sf)
+    D = d["dates"]
+    cube8 = _cube(d, cate=D.target_cate)
+    w = _acc(d)
+    ms = fam.conv_ratios(w, "user_action_{k}_ratio", ks=(1, 2, 5, 6), on_zero="inf")
+    ms += [fam.recency_hours(w, D.end, "user_buy_last", is_type(PURCHASE))]
+    df = fam.aggregate(cube8, "U", ms, w)
+    ratios = [f"user_action_{k}_ratio" for k in (1, 2, 5, 6)]
+    df = df.select("user_id", *[F.when(F.col(c) == float("inf"), None).otherwise(F.col(c)).alias(c) for c in ratios],
+                   nonpositive_to("user_buy_last").alias("user_buy_last"))
+    return df.na.fill(0, ratios)
+
+
+@register("p8_pair_key")
+def p8(spark, sf):
+    d = load_a(spark, sf)
+    D = d["dates"]
+    lab = fam.labels(d["actions"], D.label_start, D.label_end, ("user_id", "sku_id"))
+    return lab.select(F.concat_ws("-", F.col("user_id").cast("string"), F.col("sku_id").cast("string")).alias("pair"))
+
+
+@register("j1_j2_left_joins")
+def j12(spark, sf):
+    """One-key (user) and two-key (user, sku) left joins onto the pair base."""
+    from shopcast.operators.cube import cnt0
+    d = load_a(spark, sf)
+    w = _acc(d)
+    cube = _cube(d)
+    base = fam.decayed_df(cube, "UICB", w, "action_{k}").select("user_id", "sku_id")
+    u = fam.type_counts_df(_cube(d, 5), "U", W5, "{i}_user_action_{k}").select("user_id", "5_user_action_4")
+    ui = fam.recency_df(cube, "UI", w, "ui_last_buy", PURCHASE)
+    return jn.left_join(jn.left_join(base, u, "user_id"), ui, ["user_id", "sku_id"])
+
+
+@register("d4_drop_columns")
+def d4(spark, sf):
+    """D4 on the user table: keys and label out, sex one-hot removed."""
+    from shopcast.plans.user_dataset import user_dataset
+    df = user_dataset(load_a(spark, sf), with_label=True)
+    feats = sorted(c for c in df.columns if c not in ("user_id", "label") and not c.startswith("sex_"))
+    return df.select(*[F.col(f"`{c}`") for c in feats])

@@ -864,3 +864,36 @@ def d2_sql(ctx0: Ctx, end=None, with_label=True, days=5):
 SQL["d2_user_dataset_wide"] = d2_sql(A)
 SQL["d2_user_dataset_wide_test"] = d2_sql(A, A.score_end, with_label=False)
 SQL["d2_user_dataset_wide_lineitem"] = d2_sql(B)
+
+
+# ---- projections on their own ---------------------------------------------------------------------------
+
+SQL["p1_project_rename"] = A.sql(
+    f"SELECT user_id, sku_id, cate, action_1 AS view_decay, action_2, action_3, action_4 AS buy_decay, action_5 "
+    f"FROM ({_DB}) d")
+SQL["p4_row_sum"] = A.sql(f"SELECT user_id, CAST(count(*) AS BIGINT) AS \"5_user_action_sum\" FROM actions "
+                          f"WHERE {where(A, 5)} GROUP BY user_id")
+
+
+def _p6():
+    cols = []
+    for k in (1, 2, 5, 6):
+        num, den = "count(*) FILTER (WHERE type = 4)", f"count(*) FILTER (WHERE type = {k})"
+        cols.append(f"{r(f'coalesce(CASE WHEN {den} = 0 THEN NULL ELSE CAST({num} AS DOUBLE) / {den} END, 0.0)')} "
+                    f"AS user_action_{k}_ratio")
+    h = f"date_sub('hour', max(time) FILTER (WHERE type = 4), {ts(A.end)})"
+    cols.append(f"CASE WHEN {h} IS NULL OR {h} <= 0 THEN -1 ELSE {h} END AS user_buy_last")
+    return A.sql(f"SELECT user_id, {', '.join(cols)} FROM actions WHERE {where(A, 0, 'cate = 8')} GROUP BY user_id")
+
+
+SQL["p6_fill_replace"] = _p6()
+SQL["p8_pair_key"] = A.sql(f"SELECT concat_ws('-', CAST(user_id AS VARCHAR), CAST(sku_id AS VARCHAR)) AS pair "
+                           f"FROM ({TRUTH_P}) t")
+SQL["j1_j2_left_joins"] = A.sql(
+    f"SELECT b.user_id, b.sku_id, u.\"5_user_action_4\", ui.ui_last_buy FROM ({_PAIRS}) b "
+    f"LEFT JOIN (SELECT user_id, {n('type = 4')} AS \"5_user_action_4\" FROM actions WHERE {where(A, 5)} "
+    f"GROUP BY user_id) u ON b.user_id = u.user_id "
+    f"LEFT JOIN (SELECT user_id, sku_id, min({b(A)}) AS ui_last_buy FROM actions WHERE {where(A, 0, 'type = 4')} "
+    f"GROUP BY user_id, sku_id) ui ON b.user_id = ui.user_id AND b.sku_id = ui.sku_id")
+SQL["d4_drop_columns"] = SQL["d1_user_dataset"].replace(
+    "SELECT * REPLACE (coalesce(label, 0) AS label) FROM base", "SELECT * EXCLUDE (user_id, label) FROM base", 1)
