@@ -7,7 +7,8 @@ Physical plan:
    every window of every family as conditional aggregates, plus one
    day-level aggregate per grain for distinct-day counts and the two-level
    statistics (user×sku -> user, sku×day -> sku);
-3. share ranks (parent totals aggregated from the child table);
+3. share ranks: user / category parents as projections over the joined
+   accumulate counts, category parents as broadcast totals (bounded);
 4. left joins onto the base rows ordered by key set, so the base is
    re-partitioned once per key set, not once per family.
 
@@ -26,12 +27,12 @@ from shopcast.functions.exprs import flag
 from shopcast.functions.timebins import window_start
 from shopcast.operators import families as fam
 from shopcast.operators import shares, stats
-from shopcast.operators.cube import Win, day_level, days_in, in_win, is_type, materialized_cube
+from shopcast.operators.cube import Win, day_level, days_in, in_win, is_type, materialized_cube, sql_col
 from shopcast.operators.profile import (
     basic_product_features, basic_user_features, comment_features, reg_to_first_buy, registration_days,
 )
 from shopcast.operators.pivots import cate_purchase_basket
-from shopcast.schemas import CONV_TYPES, PURCHASE, UI_DAY_WINDOWS
+from shopcast.schemas import CONV_TYPES, PURCHASE, TYPES, UI_DAY_WINDOWS
 from shopcast.sources.adapters import Dates
 
 
@@ -56,6 +57,13 @@ def _days_table(cube, keys, wins, any_fmt, buy_fmt):
     return lvl.groupBy(*keys).agg(*aggs)
 
 
+def _share_cols(child_fmt: str, parent_fmt: str, rank: str, ratio4: str):
+    """Share rank from counts on the row: Σ_k child_k / parent_k (NULL when a
+    parent total is 0) and the purchase share."""
+    r = [f"try_divide(CAST(`{child_fmt.format(i=0, k=k)}` AS DOUBLE), `{parent_fmt.format(i=0, k=k)}`)" for k in TYPES]
+    return [sql_col(" + ".join(r), rank), sql_col(r[PURCHASE - 1], ratio4)]
+
+
 def user_sku_dataset(src: dict, with_label: bool = True, spec: UISpec = UISpec(),
                      end=None) -> DataFrame:
     """Build the (user, sku) table.  ``src`` has ``actions``, ``users``,
@@ -85,7 +93,6 @@ def user_sku_dataset(src: dict, with_label: bool = True, spec: UISpec = UISpec()
     ui = cube.groupBy("user_id", "sku_id").agg(*ui_m)
     ui_days = _days_table(cube, ["user_id", "sku_id"], [acc] + wins, "{i}_ui_tm", "{i}_ui_buy_tm")
     ui_model = fam.model_id_counts(actions, D.acc_start, end, ("user_id", "sku_id"), "ui_model_id")
-    sku_in_user = shares.sku_share_in_user(cube, acc)
 
     # UIC grain
     uic_m = []
@@ -93,11 +100,11 @@ def user_sku_dataset(src: dict, with_label: bool = True, spec: UISpec = UISpec()
         uic_m += fam.type_counts(w, "{i}_syn_action_{k}")
     uic_m += fam.conv_ratios(acc, "{i}_syn_conv_ratio_{k}")
     uic_m += fam.first_last_buy(acc, "0_first_buy", "0_interval")
-    uic = cube.groupBy("user_id", "sku_id", "cate").agg(*uic_m)
-    sku_in_uc = shares.sku_share_in_user_cate(cube, acc)
+    uic = cube.groupBy("user_id", "cate", "sku_id").agg(*uic_m)
 
-    # U grain
+    # U grain (+ hidden accumulate totals per type: the parent of the user share ranks)
     u_m = fam.type_counts(acc, "{i}_user_action_{k}", CONV_TYPES)
+    u_m += fam.type_counts(acc, "_utot_{k}")
     for w in wins + [acc]:
         u_m += fam.conv_ratios(w, "{i}_user_conv_ratio_{k}")
     u_m += fam.first_last_buy(acc, "0_user_first_buy", "0_user_interval")
@@ -121,7 +128,6 @@ def user_sku_dataset(src: dict, with_label: bool = True, spec: UISpec = UISpec()
     uc_m += fam.conv_ratios(acc, "{i}_uc_conv_ratio_{k}")
     uc = cube.groupBy("user_id", "cate").agg(*uc_m)
     uc_days = _days_table(cube, ["user_id", "cate"], [acc] + wins, "{i}_uc_tm", "{i}_uc_buy_tm")
-    cate_in_user = shares.cate_share_in_user(cube, acc)
 
     # I / IC / BC grains
     i_m = []
@@ -136,15 +142,15 @@ def user_sku_dataset(src: dict, with_label: bool = True, spec: UISpec = UISpec()
     product = basic_product_features(src["products"])
     comments = comment_features(src["comments"], end)
 
-    # joins, grouped by key set
+    # joins, grouped by key set (consecutive joins on the same keys reuse the
+    # base's partitioning)
     df = base
     for t in (u, u_days, u_stats, profile, reg, reg_first, period, basket, user_model, user_model_c):
         df = df.join(t, "user_id", "left")
-    for t in (uc, uc_days, cate_in_user):
+    for t in (uc, uc_days):
         df = df.join(t, ["user_id", "cate"], "left")
-    df = df.join(sku_in_uc, ["user_id", "cate", "sku_id"], "left")
-    df = df.join(uic, ["user_id", "sku_id", "cate"], "left")
-    for t in (ui, ui_days, ui_model, sku_in_user):
+    df = df.join(uic, ["user_id", "cate", "sku_id"], "left")
+    for t in (ui, ui_days, ui_model):
         df = df.join(t, ["user_id", "sku_id"], "left")
     if with_label:
         lab = fam.labels(actions, D.label_start, D.label_end, ("user_id", "sku_id"), cate=cate)
@@ -152,8 +158,15 @@ def user_sku_dataset(src: dict, with_label: bool = True, spec: UISpec = UISpec()
     for t in (sku, sku_stats, comments):
         df = df.join(t, "sku_id", "left")
     df = df.join(sku_in_cate, ["sku_id", "cate"], "left")
-    df = df.join(brand_in_cate, ["brand", "cate"], "left")
     df = df.join(product, ["sku_id", "cate", "brand"], "left")
+    df = df.join(brand_in_cate, ["brand", "cate"], "left")
+
+    # W1a–W1c as projections: child and parent accumulate counts are already
+    # on every row (user totals, (user, cate) and (user, cate, sku) counts)
+    df = df.select("*", *_share_cols("0_action_{k}", "_utot_{k}", "0_sku_user_rank", "0_sku_user_ratio_4"),
+                   *_share_cols("0_syn_action_{k}", "0_uc_action_{k}", "sku_in_uc_rank", "sku_in_uc_ratio_4"),
+                   *_share_cols("0_uc_action_{k}", "_utot_{k}", "cate_user_rank", "cate_user_ratio_4"))
+    df = df.drop(*[f"_utot_{k}" for k in TYPES])
 
     df = df.na.fill(0)
     return df.withColumn("cart_or_not", flag((F.col("ui_last_del_cart") - F.col("ui_last_cart")) <= 0))
