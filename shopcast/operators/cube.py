@@ -144,6 +144,67 @@ def sql_col(expr: str, name: str) -> Column:
     return F.expr(expr).alias(name)
 
 
+# ---- distinct-day counts from day bitmasks -------------------------------------
+# Per group, OR together 1 << day over the events: the set of active days in
+# a fixed number of longs (63 days each, bounded by the window length, not by
+# the data) that combines map-side like any sum.  For elapsed days b, window i
+# holds every day b < i plus day i only through midnight events (c == b), so
+# a second mask over midnight events makes the count exact:
+#     days_i = popcount(any & (days < i)) + bit(midnight, i).
+# For calendar days c, window i is simply popcount(any & (days <= i)).
+
+_CHUNK = 63
+
+
+def _chunks(max_day: int) -> int:
+    return max_day // _CHUNK + 1
+
+
+def day_mask_aggs(tag: str, max_day: int, cond: str | None = None, by: str = "b") -> list[Column]:
+    """Hidden aggregate columns ``_{tag}a{j}`` (any event) and, for elapsed
+    days, ``_{tag}m{j}`` (midnight events)."""
+    out = []
+    kinds = [("a", None)] + ([("m", "c = b")] if by == "b" else [])
+    for kind, extra in kinds:
+        for j in range(_chunks(max_day)):
+            lo = j * _CHUNK
+            m = f"{by} >= {lo} AND {by} < {lo + _CHUNK}"
+            if cond:
+                m += f" AND ({cond})"
+            if extra:
+                m += f" AND {extra}"
+            out.append(sql_col(f"bit_or(CASE WHEN {m} THEN shiftleft(1L, {by} - {lo}) END)", f"_{tag}{kind}{j}"))
+    return out
+
+
+def _popcount_below(col: str, upto: int, max_day: int) -> str:
+    terms = []
+    for j in range(_chunks(max_day)):
+        n = upto - j * _CHUNK
+        if n <= 0:
+            break
+        mask = (1 << min(n, _CHUNK)) - 1
+        terms.append(f"bit_count(coalesce({col}{j}, 0L) & {mask}L)")
+    return " + ".join(terms) if terms else "0"
+
+
+def days_from_masks(tag: str, w: Win, max_day: int, by: str = "b") -> str:
+    """Distinct days in window ``w`` from the hidden mask columns (NULL when
+    none)."""
+    top = max_day if w.days is None else w.days
+    if by == "c":
+        count = _popcount_below(f"_{tag}a", top + 1, max_day)
+    else:
+        j, r = divmod(top, _CHUNK)
+        count = (f"{_popcount_below(f'_{tag}a', top, max_day)} + "
+                 f"CAST(shiftright(coalesce(_{tag}m{j}, 0L), {r}) & 1L AS INT)")
+    return f"nullif({count}, 0)"
+
+
+def mask_columns(df: DataFrame, tag: str) -> list[str]:
+    return [c for c in df.columns if c.startswith(f"_{tag}a") or c.startswith(f"_{tag}m")]
+
+
 # ---- day-level tables for distinct-day counts ------------------------------
 
 def day_level(cube: DataFrame, keys, by: str = "b") -> DataFrame:

@@ -4,8 +4,8 @@ Physical plan:
 
 1. one activity cube over ``[min(acc_start, end - 35d), end)``;
 2. ONE fused ``groupBy(grain).agg(...)`` per grain (UI, UIC, U, UC, I) with
-   every window of every family as conditional aggregates, plus one
-   day-level aggregate per grain for distinct-day counts and the two-level
+   every window of every family as conditional aggregates, distinct-day
+   counts from day bitmasks inside the same aggregate, plus the two-level
    statistics (user×sku -> user, sku×day -> sku);
 3. share ranks: user / category parents as projections over the joined
    accumulate counts, category parents as broadcast totals (bounded);
@@ -27,7 +27,9 @@ from shopcast.functions.exprs import flag
 from shopcast.functions.timebins import window_start
 from shopcast.operators import families as fam
 from shopcast.operators import shares, stats
-from shopcast.operators.cube import Win, day_level, days_in, in_win, is_type, materialized_cube, sql_col
+from shopcast.operators.cube import (
+    Win, day_mask_aggs, days_from_masks, in_win, is_type, mask_columns, materialized_cube, sql_col,
+)
 from shopcast.operators.profile import (
     basic_product_features, basic_user_features, comment_features, reg_to_first_buy, registration_days,
 )
@@ -48,13 +50,17 @@ def _recency_in_cate(w: Win, name: str, k: int, cate: int):
     return F.min(F.when(in_win(w) & is_type(k) & (F.col("cate") == cate), F.col("b"))).alias(name)
 
 
-def _days_table(cube, keys, wins, any_fmt, buy_fmt):
-    lvl = day_level(cube, keys, "b")
-    aggs = []
+def _with_days(grouped_aggs, keys, cube, wins, max_day, any_fmt, buy_fmt, tag):
+    """Grain aggregate plus distinct active / purchase days per window, from
+    day bitmasks in the same aggregate (no day-level table, no extra join)."""
+    aggs = list(grouped_aggs) + day_mask_aggs(f"{tag}x", max_day) + day_mask_aggs(f"{tag}p", max_day, "type = 4")
+    g = cube.groupBy(*keys).agg(*aggs)
+    days = []
     for w in wins:
-        aggs.append(days_in(w).alias(any_fmt.format(i=w.label)))
-        aggs.append(days_in(w, True).alias(buy_fmt.format(i=w.label)))
-    return lvl.groupBy(*keys).agg(*aggs)
+        days.append(F.expr(days_from_masks(f"{tag}x", w, max_day)).alias(any_fmt.format(i=w.label)))
+        days.append(F.expr(days_from_masks(f"{tag}p", w, max_day)).alias(buy_fmt.format(i=w.label)))
+    hidden = mask_columns(g, f"{tag}x") + mask_columns(g, f"{tag}p")
+    return g.select(*[F.col(f"`{c}`") for c in g.columns if c not in hidden], *days)
 
 
 def _share_cols(child_fmt: str, parent_fmt: str, rank: str, ratio4: str):
@@ -90,8 +96,8 @@ def user_sku_dataset(src: dict, with_label: bool = True, spec: UISpec = UISpec()
     ui_m += fam.conv_ratios(acc, "{i}_ui_conv_ratio_{k}")
     ui_m += [_recency_in_cate(acc, "ui_last_cart", 3, cate), _recency_in_cate(acc, "ui_last_buy", PURCHASE, cate),
              _recency_in_cate(acc, "ui_last_del_cart", 2, cate)]
-    ui = cube.groupBy("user_id", "sku_id").agg(*ui_m)
-    ui_days = _days_table(cube, ["user_id", "sku_id"], [acc] + wins, "{i}_ui_tm", "{i}_ui_buy_tm")
+    max_day = max(acc_days, max(spec.windows))
+    ui = _with_days(ui_m, ["user_id", "sku_id"], cube, [acc] + wins, max_day, "{i}_ui_tm", "{i}_ui_buy_tm", "ui")
     ui_model = fam.model_id_counts(actions, D.acc_start, end, ("user_id", "sku_id"), "ui_model_id")
 
     # UIC grain
@@ -109,8 +115,7 @@ def user_sku_dataset(src: dict, with_label: bool = True, spec: UISpec = UISpec()
         u_m += fam.conv_ratios(w, "{i}_user_conv_ratio_{k}")
     u_m += fam.first_last_buy(acc, "0_user_first_buy", "0_user_interval")
     u_m += [fam.recency_days(acc, "user_last_buy", PURCHASE), fam.recency_days(acc, "user_last_cart", 3)]
-    u = cube.groupBy("user_id").agg(*u_m)
-    u_days = _days_table(cube, ["user_id"], [acc] + wins, "{i}_user_action_tm", "{i}_user_action_buy_tm")
+    u = _with_days(u_m, ["user_id"], cube, [acc] + wins, max_day, "{i}_user_action_tm", "{i}_user_action_buy_tm", "u")
     u_stats = stats.user_category_sku_stats(cube, [acc] + [Win.of(i) for i in spec.stat_windows], cate)
     users = src["users"]
     profile = basic_user_features(users, drop_sex=True)          # D4: sex one-hot removed
@@ -126,8 +131,7 @@ def user_sku_dataset(src: dict, with_label: bool = True, spec: UISpec = UISpec()
     for w in wins + [acc]:
         uc_m += fam.type_counts(w, "{i}_uc_action_{k}") + [fam.purchase_rows(w, f"{w.label}_sku_buy_num_in_cate")]
     uc_m += fam.conv_ratios(acc, "{i}_uc_conv_ratio_{k}")
-    uc = cube.groupBy("user_id", "cate").agg(*uc_m)
-    uc_days = _days_table(cube, ["user_id", "cate"], [acc] + wins, "{i}_uc_tm", "{i}_uc_buy_tm")
+    uc = _with_days(uc_m, ["user_id", "cate"], cube, [acc] + wins, max_day, "{i}_uc_tm", "{i}_uc_buy_tm", "uc")
 
     # I / IC / BC grains
     i_m = []
@@ -145,12 +149,11 @@ def user_sku_dataset(src: dict, with_label: bool = True, spec: UISpec = UISpec()
     # joins, grouped by key set (consecutive joins on the same keys reuse the
     # base's partitioning)
     df = base
-    for t in (u, u_days, u_stats, profile, reg, reg_first, period, basket, user_model, user_model_c):
+    for t in (u, u_stats, profile, reg, reg_first, period, basket, user_model, user_model_c):
         df = df.join(t, "user_id", "left")
-    for t in (uc, uc_days):
-        df = df.join(t, ["user_id", "cate"], "left")
+    df = df.join(uc, ["user_id", "cate"], "left")
     df = df.join(uic, ["user_id", "cate", "sku_id"], "left")
-    for t in (ui, ui_days, ui_model):
+    for t in (ui, ui_model):
         df = df.join(t, ["user_id", "sku_id"], "left")
     if with_label:
         lab = fam.labels(actions, D.label_start, D.label_end, ("user_id", "sku_id"), cate=cate)

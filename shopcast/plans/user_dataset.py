@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from shopcast.functions.timebins import window_start
 from shopcast.operators import families as fam
 from shopcast.operators import stats
-from shopcast.operators.cube import Win, day_level, days_in, in_win, is_type, materialized_cube
+from shopcast.operators.cube import (
+    Win, day_mask_aggs, days_from_masks, in_win, is_type, mask_columns, materialized_cube,
+)
 from shopcast.operators.profile import AGE_CODES_0_6, basic_user_features
 from shopcast.schemas import PURCHASE, USER_MODEL_DAY_WINDOWS, USER_MODEL_HOUR_WINDOWS
 from shopcast.sources.adapters import Dates
@@ -35,13 +37,21 @@ from shopcast.sources.adapters import Dates
 SAMPLE_DAYS = 30
 
 
-def _cal_days(cube, wins, any_fmt, buy_fmt):
-    lvl = day_level(cube, ["user_id"], "c")
-    aggs = []
+def _with_cal_days(cube, measures, wins, any_fmt, buy_fmt, max_day):
+    """User aggregate plus calendar active / purchase days per window from
+    calendar-day bitmasks in the same aggregate."""
+    g = cube.groupBy("user_id").agg(*measures, *day_mask_aggs("da", max_day, by="c"),
+                                    *day_mask_aggs("dp", max_day, "type = 4", by="c"))
+    days = []
     for w, lab in wins:
-        aggs.append(days_in(w).alias(any_fmt.format(i=lab)))
-        aggs.append(days_in(w, True).alias(buy_fmt.format(i=lab)))
-    return lvl.groupBy("user_id").agg(*aggs)
+        days.append(F.expr(days_from_masks("da", w, max_day, by="c")).alias(any_fmt.format(i=lab)))
+        days.append(F.expr(days_from_masks("dp", w, max_day, by="c")).alias(buy_fmt.format(i=lab)))
+    hidden = mask_columns(g, "da") + mask_columns(g, "dp")
+    return g.select(*[F.col(f"`{c}`") for c in g.columns if c not in hidden], *days)
+
+
+def _max_day(cube_days: int) -> int:
+    return cube_days + 1
 
 
 def user_accumulate(cube8: DataFrame, end, acc: Win) -> DataFrame:
@@ -50,16 +60,17 @@ def user_accumulate(cube8: DataFrame, end, acc: Win) -> DataFrame:
     ms += fam.conv_ratios(acc, "user_action_{k}_ratio", ks=(1, 2, 5, 6), on_zero="inf")
     ms += [fam.recency_hours(acc, end, "user_active_last"),
            fam.recency_hours(acc, end, "user_buy_last", is_type(PURCHASE))]
-    u = fam.aggregate(cube8, "U", ms, acc)
-    days = _cal_days(cube8, [(acc, "")], "user_active_days{i}", "user_buy_days{i}")
-    return u.join(days, "user_id", "left")
+    md = _max_day(acc.days)
+    u = _with_cal_days(cube8.filter(F.col("c") <= acc.days), ms, [(acc, "")], "user_active_days{i}",
+                       "user_buy_days{i}", md)
+    return u
 
 
 def user_accumulate_all(cube: DataFrame, end, acc: Win) -> DataFrame:
     """All categories."""
-    u = fam.aggregate(cube, "U", [fam.recency_hours(acc, end, "user_all_cate_active_last")], acc)
-    days = _cal_days(cube, [(acc, "")], "user_all_cate_active_days{i}", "user_all_cate_buy_days{i}")
-    return u.join(days, "user_id", "left")
+    md = _max_day(acc.days)
+    return _with_cal_days(cube.filter(F.col("c") <= acc.days), [fam.recency_hours(acc, end, "user_all_cate_active_last")],
+                          [(acc, "")], "user_all_cate_active_days{i}", "user_all_cate_buy_days{i}", md)
 
 
 def user_windows(cube8: DataFrame, windows=USER_MODEL_DAY_WINDOWS) -> DataFrame:
@@ -67,10 +78,10 @@ def user_windows(cube8: DataFrame, windows=USER_MODEL_DAY_WINDOWS) -> DataFrame:
     ms = []
     for i in windows:
         ms += fam.type_counts(Win.of(i), "{i}_day_user_action_{k}")
-    u = cube8.groupBy("user_id").agg(*ms)
     day_wins = [(Win.of(i), i) for i in windows if i != 1]
-    days = _cal_days(cube8, day_wins, "{i}_day_user_active_days", "{i}_day_user_buy_days")
-    return u.join(days, "user_id", "left")
+    u = _with_cal_days(cube8, ms, day_wins, "{i}_day_user_active_days", "{i}_day_user_buy_days", _max_day(max(windows)))
+    # rows only for users with an event in the widest window (as the per-window tables)
+    return u.filter(F.col(f"{max(windows)}_day_user_action_1").isNotNull())
 
 
 def user_dataset(src: dict, with_label: bool = True, end=None,

@@ -11,9 +11,9 @@ cart-vs-uncart recency (aggregated per user first); statistics at 0 / 5 / 30.
 All NULLs are filled with 0; the label is a purchase in the category in the
 label window.
 
-Physical plan: one materialized cube; the per-window user families are ONE
-user-grain aggregate, the category pivots a second, the two distinct-day
-families come from day-level tables; everything else is a small per-user
+Physical plan: one materialized cube; the per-window user families,
+including the distinct-day families (day bitmasks), are ONE user-grain
+aggregate, the category pivots a second; everything else is a small per-user
 aggregate; all are joined to the base on ``user_id``.
 """
 
@@ -27,7 +27,8 @@ from shopcast.functions.timebins import window_start
 from shopcast.operators import families as fam
 from shopcast.operators import pivots, shares, stats
 from shopcast.operators.cube import (
-    Win, cnt0_sql, cnt_sql, day_level, days_in, materialized_cube, ratio_sql, sql_col, type_sql,
+    Win, cnt0_sql, cnt_sql, day_mask_aggs, days_from_masks, mask_columns, materialized_cube, ratio_sql, sql_col,
+    type_sql,
 )
 from shopcast.operators.profile import AGE_CODES_0_6, basic_user_features, reg_to_first_buy, registration_days
 from shopcast.schemas import CATES, CONV_TYPES, PURCHASE, TYPES, UI_DAY_WINDOWS
@@ -83,17 +84,23 @@ def user_dataset_wide(src: dict, with_label: bool = True, end=None, days: int =
         m += period_measures(w, wd, "{i}_action_period_{k}")
         m += cate_share_measures(w, cate, "{i}_user_cate8_ratio_{k}")
     m += [fam.recency_days(acc, "user_last_cart", 3), fam.recency_days(acc, "user_last_buy", PURCHASE)]
-    u = cube.groupBy("user_id").agg(*m)
+    # distinct active / purchase days (all categories and the target one) from day bitmasks
+    max_day = max(acc_days, max(windows))
+    masks = [("ux", None), ("up", "type = 4"), ("cx", f"cate = {cate}"), ("cp", f"cate = {cate} AND type = 4")]
+    for tag, cond in masks:
+        m += day_mask_aggs(tag, max_day, cond)
+    g = cube.groupBy("user_id").agg(*m)
+    days = []
+    for w in allw:
+        days += [F.expr(days_from_masks("ux", w, max_day)).alias(f"{w.label}_user_action_tm"),
+                 F.expr(days_from_masks("up", w, max_day)).alias(f"{w.label}_user_action_buy_tm"),
+                 F.expr(f"coalesce({days_from_masks('cx', w, max_day)}, 0)").alias(f"{w.label}_cate_{cate}_action_days"),
+                 F.expr(f"coalesce({days_from_masks('cp', w, max_day)}, 0)").alias(f"{w.label}_cate_{cate}_buy_days")]
+    hidden = [c for tag, _ in masks for c in mask_columns(g, tag)]
+    u = g.select(*[F.col(f"`{c}`") for c in g.columns if c not in hidden], *days)
 
     conv_piv = cube.groupBy("user_id").agg(*[c for w in allw for c in cate_conv_measures(w, "{i}_cate_{c}_conv_ratio_{k}")])
 
-    lvl = day_level(cube, ["user_id"], "b")
-    user_days = lvl.groupBy("user_id").agg(*[x for w in allw for x in (
-        days_in(w).alias(f"{w.label}_user_action_tm"), days_in(w, True).alias(f"{w.label}_user_action_buy_tm"))])
-    lvl8 = day_level(cube.filter(F.col("cate") == cate), ["user_id"], "b")
-    cate_days = lvl8.groupBy("user_id").agg(*[x for w in allw for x in (
-        F.coalesce(days_in(w), F.lit(0)).alias(f"{w.label}_cate_{cate}_action_days"),
-        F.coalesce(days_in(w, True), F.lit(0)).alias(f"{w.label}_cate_{cate}_buy_days"))])
 
     # J4 default: latest cart / uncart per user in the category, then the flag
     cart = (cube.filter((F.col("c") <= acc_days) & (F.col("cate") == cate) & F.col("type").isin(2, 3))
@@ -108,7 +115,7 @@ def user_dataset_wide(src: dict, with_label: bool = True, end=None, days: int =
         basic_user_features(users, AGE_CODES_0_6, drop_sex=True),
         registration_days(users, end),
         reg_to_first_buy(cube, users, end, acc),
-        u, conv_piv, user_days, cate_days, cart,
+        u, conv_piv, cart,
         pivots.cate_rank_pivot(shares.cate_share_in_user(cube, acc)),
         pivots.cate_purchase_basket(cube, users, acc),
         pivots.cate_pivot_recency(cube, acc),
