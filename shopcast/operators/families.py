@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from shopcast.functions.exprs import safe_ratio
 from shopcast.functions.timebins import exp_decay, ts_lit, window_start
 from shopcast.operators.cube import (
-    ALL, GRAINS, Win, cnt, cnt0, cnt0_sql, cnt_sql, day_level, days_in, has, in_win, is_type, present,
-    present_sql, ratio_sql, sql_col, type_sql, win_sql,
+    ALL, GRAINS, Win, cnt, cnt0, cnt0_sql, cnt_sql, day_level, day_mask_aggs, days_from_masks, days_in, has, in_win,
+    is_type, present, present_sql, ratio_sql, sql_col, type_sql, win_sql,
 )
 from shopcast.schemas import CONV_TYPES, MODEL_IDS, PURCHASE, TYPES
 
@@ -115,10 +115,17 @@ def first_last_df(cube, grain, w: Win, first_name: str, interval_name: str) -> D
 
 
 def active_days_df(cube, grain, w: Win, name: str, purchase: bool = False, by: str = "b") -> DataFrame:
-    """A4a (``by='c'``, calendar days) / A4b–d (``by='b'``, elapsed days)."""
-    days = day_level(cube, _keys(grain), by)
-    return (days.groupBy(*_keys(grain)).agg(days_in(w, purchase).alias(name))
-                .filter(F.col(name).isNotNull()))
+    """A4a (``by='c'``, calendar days) / A4b–d (``by='b'``, elapsed days):
+    day bitmasks in one aggregate; an unbounded window falls back to a
+    day-level table."""
+    keys = _keys(grain)
+    if w.days is None:
+        days = day_level(cube, keys, by)
+        return (days.groupBy(*keys).agg(days_in(w, purchase).alias(name))
+                    .filter(F.col(name).isNotNull()))
+    g = cube.groupBy(*keys).agg(*day_mask_aggs("d", w.days, "type = 4" if purchase else None, by=by))
+    return (g.select(*keys, F.expr(days_from_masks("d", w, w.days, by=by)).alias(name))
+             .filter(F.col(name).isNotNull()))
 
 
 def distinct_skus_df(cube, w: Win, name: str) -> DataFrame:

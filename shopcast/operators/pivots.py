@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from shopcast.functions.exprs import safe_ratio
 from shopcast.operators.cube import (
-    Win, cnt0_sql, cnt_sql, day_level, in_win, is_type, ratio_sql, sql_col,
+    Win, cnt0_sql, cnt_sql, day_level, day_mask_aggs, days_from_masks, in_win, is_type, ratio_sql, sql_col,
 )
 from shopcast.schemas import CATES, CONV_TYPES, PURCHASE, TYPES
 
@@ -44,14 +44,23 @@ def cate_pivot_conv(cube: DataFrame, w: Win, cates=CATES,
 
 def cate_pivot_days(cube: DataFrame, w: Win, cates=CATES,
                     fmt: str = "{i}_cate_{c}_{what}_days") -> DataFrame:
-    """Distinct elapsed days per category, any event / purchases."""
-    lvl = day_level(cube.filter(in_win(w)), ["user_id", "cate"], "b")
-    aggs = []
+    """Distinct elapsed days per category, any event / purchases (day
+    bitmasks per category in one aggregate; 0 when none)."""
+    if w.days is None:
+        lvl = day_level(cube, ["user_id", "cate"], "b")
+        aggs = [F.count(F.when(_is_cate(c) & F.col(col).isNotNull(), 1)).alias(fmt.format(i=w.label, c=c, what=what))
+                for c in cates for what, col in (("action", "mc"), ("buy", "mc4"))]
+        return lvl.groupBy("user_id").agg(*aggs)
+    masks = []
+    for c in cates:
+        masks += day_mask_aggs(f"a{c}_", w.days, f"cate = {c}") + day_mask_aggs(f"p{c}_", w.days, f"cate = {c} AND type = 4")
+    g = cube.filter(in_win(w)).groupBy("user_id").agg(*masks)
+    out = [F.col("user_id")]
     for c in cates:
-        for what, col in (("action", "mc"), ("buy", "mc4")):
-            m = _is_cate(c) & (F.col(col).isNotNull() if w.days is None else F.col(col) <= w.days)
-            aggs.append(F.count(F.when(m, 1)).alias(fmt.format(i=w.label, c=c, what=what)))
-    return lvl.groupBy("user_id").agg(*aggs)
+        for what, tag in (("action", f"a{c}_"), ("buy", f"p{c}_")):
+            out.append(F.expr(f"coalesce({days_from_masks(tag, w, w.days)}, 0)").cast("long")
+                       .alias(fmt.format(i=w.label, c=c, what=what)))
+    return g.select(*out)
 
 
 def cate_pivot_recency(cube: DataFrame, w: Win, cates=CATES,

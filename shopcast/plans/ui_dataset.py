@@ -34,7 +34,7 @@ from shopcast.operators.profile import (
     basic_product_features, basic_user_features, comment_features, reg_to_first_buy, registration_days,
 )
 from shopcast.operators.pivots import cate_purchase_basket
-from shopcast.schemas import CONV_TYPES, PURCHASE, TYPES, UI_DAY_WINDOWS
+from shopcast.schemas import CONV_TYPES, MODEL_IDS, PURCHASE, TYPES, UI_DAY_WINDOWS
 from shopcast.sources.adapters import Dates
 
 
@@ -98,7 +98,12 @@ def user_sku_dataset(src: dict, with_label: bool = True, spec: UISpec = UISpec()
              _recency_in_cate(acc, "ui_last_del_cart", 2, cate)]
     max_day = max(acc_days, max(spec.windows))
     ui = _with_days(ui_m, ["user_id", "sku_id"], cube, [acc] + wins, max_day, "{i}_ui_tm", "{i}_ui_buy_tm", "ui")
-    ui_model = fam.model_id_counts(actions, D.acc_start, end, ("user_id", "sku_id"), "ui_model_id")
+    # model-id counts: one scan of the log at (user, sku, cate), re-aggregated per grain
+    m_uic = fam.model_id_counts(actions, D.acc_start, end, ("user_id", "sku_id", "cate"), "_m")
+    ui_model = m_uic.groupBy("user_id", "sku_id").agg(*[F.sum(f"_m_{v}").alias(f"ui_model_id_{v}") for v in MODEL_IDS])
+    user_model = m_uic.groupBy("user_id").agg(
+        *[F.sum(f"_m_{v}").alias(f"user_model_id_{v}") for v in MODEL_IDS],
+        *[F.sum(F.when(F.col("cate") == cate, F.col(f"_m_{v}"))).alias(f"user_cate8_model_id_{v}") for v in MODEL_IDS])
 
     # UIC grain
     uic_m = []
@@ -123,8 +128,6 @@ def user_sku_dataset(src: dict, with_label: bool = True, spec: UISpec = UISpec()
     reg_first = reg_to_first_buy(cube, users, end, acc)
     period = fam.action_period(cube, users, acc, acc_days)
     basket = cate_purchase_basket(cube, users, acc)
-    user_model = fam.model_id_counts(actions, D.acc_start, end, ("user_id",), "user_model_id")
-    user_model_c = fam.model_id_counts(actions, D.acc_start, end, ("user_id",), "user_cate8_model_id", cate=cate)
 
     # UC grain
     uc_m = []
@@ -149,7 +152,7 @@ def user_sku_dataset(src: dict, with_label: bool = True, spec: UISpec = UISpec()
     # joins, grouped by key set (consecutive joins on the same keys reuse the
     # base's partitioning)
     df = base
-    for t in (u, u_stats, profile, reg, reg_first, period, basket, user_model, user_model_c):
+    for t in (u, u_stats, profile, reg, reg_first, period, basket, user_model):
         df = df.join(t, "user_id", "left")
     df = df.join(uc, ["user_id", "cate"], "left")
     df = df.join(uic, ["user_id", "cate", "sku_id"], "left")
