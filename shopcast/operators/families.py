@@ -194,30 +194,22 @@ def model_id_counts(actions: DataFrame, start, end, keys=("user_id",), prefix: s
 def hour_window_counts(actions: DataFrame, end, hours=(4, 8, 16), fmt: str = "{h}_h_user_action_{k}",
                        active_fmt: str = "{h}_h_user_active_hours", cate: int | None = None) -> DataFrame:
     """Per-user type counts and distinct hours-of-day in the last
-    ``h`` hours, for several ``h`` over one scan of the last ``max(h)`` hours.
-    Distinct hours are counted on a (user, hour-of-day) level table."""
+    ``h`` hours, for several ``h``, in ONE aggregate over the last ``max(h)``
+    hours.  Distinct hours are a 24-bit mask (``bit_or(1 << hour)``), so no
+    level table and no ``collect_set``."""
     lo = window_start(end, hours=max(hours))
     m = (F.col("time") >= ts_lit(lo)) & (F.col("time") < ts_lit(end))
     if cate is not None:
         m = m & (F.col("cate") == cate)
-    src = actions.filter(m).select("user_id", "type", "time", F.hour("time").alias("hod"))
-    lvl = (src.groupBy("user_id", "hod", "type")
-              .agg(F.count(F.lit(1)).alias("n"), F.max("time").alias("t_max"),
-                   *[F.count(F.when(F.col("time") >= ts_lit(window_start(end, hours=h)), 1)).alias(f"_n{h}")
-                     for h in hours]))
+    src = actions.filter(m).select("user_id", "type", "time")
     aggs = []
     for h in hours:
-        start = ts_lit(window_start(end, hours=h))
-        inh = F.col("t_max") >= start
-        aggs.append(F.max(F.when(inh, F.lit(1))).alias(f"_p{h}"))
+        st = window_start(end, hours=h).strftime("%Y-%m-%d %H:%M:%S")
+        inh = f"time >= TIMESTAMP_NTZ'{st}'"
+        pres = f"count(CASE WHEN {inh} THEN 1 END) > 0"
         for k in TYPES:
-            aggs.append(F.sum(F.when(F.col("type") == k, F.col(f"_n{h}"))).alias(f"_c{h}_{k}"))
-        aggs.append(F.size(F.collect_set(F.when(inh, F.col("hod")))).alias(f"_a{h}"))
-    per = lvl.groupBy("user_id").agg(*aggs)
-    out = [F.col("user_id")]
-    for h in hours:
-        p = F.col(f"_p{h}") == 1
-        for k in TYPES:
-            out.append(F.when(p, F.coalesce(F.col(f"_c{h}_{k}"), F.lit(0).cast("long"))).alias(fmt.format(h=h, k=k)))
-        out.append(F.when(p, F.col(f"_a{h}").cast("long")).alias(active_fmt.format(h=h)))
-    return per.select(*out)
+            aggs.append(sql_col(f"CASE WHEN {pres} THEN count(CASE WHEN {inh} AND type = {k} THEN 1 END) END",
+                                fmt.format(h=h, k=k)))
+        aggs.append(sql_col(f"CASE WHEN {pres} THEN CAST(bit_count(bit_or(CASE WHEN {inh} THEN "
+                            f"shiftleft(1L, hour(time)) END)) AS BIGINT) END", active_fmt.format(h=h)))
+    return src.groupBy("user_id").agg(*aggs)

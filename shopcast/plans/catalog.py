@@ -1014,7 +1014,7 @@ def m8(spark, sf):
     d = load_a(spark, sf)
     cands = _user_scores_plain(d).orderBy(F.col("prob").desc(), "user_id").limit(1000)
     test = jn.semi_restrict(test, cands, bound=1000)
-    scored = subspace_ensemble(train, test, cols, max_iter=30)
+    scored = subspace_ensemble(train, test, cols, max_iter=20, parallelism=6)
     return wn.top1_per_key(scored.select("user_id", "sku_id", "label"))
 
 
