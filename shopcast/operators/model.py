@@ -80,9 +80,10 @@ def fit_gbt(train: DataFrame, cols, label: str = "label", max_depth: int = 5, ma
     return gbt.fit(df)
 
 
-def predict(model, df: DataFrame, cols, out: str = "prob") -> DataFrame:
-    """Probability of class 1 as a double column."""
-    x = _assemble(prepare(df, cols), cols)
+def predict(model, df: DataFrame, cols, out: str = "prob", prepared: bool = False) -> DataFrame:
+    """Probability of class 1 as a double column (``prepared``: the feature
+    columns are already sentinel-filled)."""
+    x = _assemble(df if prepared else prepare(df, cols), cols)
     p = model.transform(x).withColumn(out, vector_to_array(F.col("probability"))[1])
     return p.drop("features", "rawPrediction", "probability", "prediction")
 
@@ -146,10 +147,10 @@ def subspace_ensemble(train: DataFrame, test: DataFrame, cols, label: str = "lab
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         models = list(pool.map(fit, subsets))
-    scored = test
+    scored = prepare(test, cols)          # once, not once per member
     parts = []
     for i, (w, sub, m) in enumerate(zip(weights, subsets, models)):
-        scored = predict(m, scored, sub, out=f"_p{i}")
+        scored = predict(m, scored, sub, out=f"_p{i}", prepared=True)
         parts.append(F.lit(float(w)) * F.col(f"_p{i}"))
     total = parts[0]
     for p in parts[1:]:
