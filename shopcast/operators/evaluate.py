@@ -1,6 +1,6 @@
 """Metrics (E1–E3) and ranking helpers.
 
-Every metric is ONE aggregate over a tagged union of predictions and truth
+Every metric is an aggregate over a tagged union of predictions and truth
 grouped by key — no join, no driver loop, no cross join — so it scales with
 both inputs and a hot key is combined map-side.
 """
@@ -46,9 +46,11 @@ def f12_score(pred_pairs: DataFrame, truth_pairs: DataFrame) -> DataFrame:
     p, r = _pr(F.col("hits"), F.col("predicted"), F.col("actual"))
     f12 = F.when(F.col("hits") > 0, F.lit(5.0) * p * r / (F.lit(2.0) * r + F.lit(3.0) * p)).otherwise(F.lit(0.0))
     pairs = m.select(F.col("hits").alias("pair_hits"), f12.alias("f12"))
-    # both sides are single-row aggregates: a one-row join on a constant key
-    out = u.withColumn("_k", F.lit(1)).join(pairs.withColumn("_k", F.lit(1)), "_k").drop("_k")
-    return out.withColumn("score", F.lit(0.4) * F.col("f11") + F.lit(0.6) * F.col("f12"))
+    # two single-row results side by side: union with NULL padding, then one
+    # aggregate (no join)
+    cols = u.columns + pairs.columns
+    both = u.unionByName(pairs, allowMissingColumns=True).agg(*[F.max(c).alias(c) for c in cols])
+    return both.withColumn("score", F.lit(0.4) * F.col("f11") + F.lit(0.6) * F.col("f12"))
 
 
 def ranked_top(df: DataFrame, k: int, order, rank_col: str = "rank") -> DataFrame:
@@ -63,15 +65,14 @@ def cutoff_sweep(pred: DataFrame, truth: DataFrame, cutoffs, order, keys=("user_
     top-``max(cutoffs)`` list — one aggregate per key of the tagged union,
     then one conditional aggregate per cutoff."""
     keys = list(keys)
-    top = ranked_top(pred, max(cutoffs), order)
-    t = truth.select(*keys).distinct().withColumn("_t", F.lit(1))
-    j = top.join(t, keys, "left")
-    actual = truth.select(*keys).distinct().agg(F.count(F.lit(1)).alias("actual"))
-    aggs = []
+    top = ranked_top(pred, max(cutoffs), order).select(*keys, "rank", F.lit(0).alias("_t"))
+    t = truth.select(*keys, F.lit(None).cast("int").alias("rank"), F.lit(1).alias("_t"))
+    per_key = top.unionByName(t).groupBy(*keys).agg(F.min("rank").alias("rank"), F.max("_t").alias("_t"))
+    aggs = [F.sum("_t").cast("long").alias("actual")]
     for c in cutoffs:
         aggs.append(F.count(F.when(F.col("rank") <= c, 1)).alias(f"pred_{c}"))
         aggs.append(F.count(F.when((F.col("rank") <= c) & (F.col("_t") == 1), 1)).alias(f"hits_{c}"))
-    m = j.agg(*aggs).withColumn("_k", F.lit(1)).join(actual.withColumn("_k", F.lit(1)), "_k")
+    m = per_key.agg(*aggs)
     rows = []
     for c in cutoffs:
         h, pn, a = F.col(f"hits_{c}").cast("double"), F.col(f"pred_{c}").cast("double"), F.col("actual").cast("double")
