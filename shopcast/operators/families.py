@@ -17,11 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shopcast.functions.exprs import safe_ratio
-from shopcast.functions.timebins import exp_decay, ts_lit, window_start
+from shopcast.functions.timebins import ts_lit, window_start
 from shopcast.operators.cube import (
-    ALL, GRAINS, Win, cnt, cnt0, cnt0_sql, cnt_sql, day_level, day_mask_aggs, days_from_masks, days_in, has, in_win,
-    is_type, present, present_sql, ratio_sql, sql_col, type_sql, win_sql,
+    ALL, GRAINS, Win, cnt, cnt0_sql, cnt_sql, day_level, day_mask_aggs, days_from_masks, days_in, in_win,
+    is_type, present_sql, ratio_sql, sql_col, type_sql, win_sql,
 )
 from shopcast.schemas import CONV_TYPES, MODEL_IDS, PURCHASE, TYPES
 

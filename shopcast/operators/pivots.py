@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopcast.functions.exprs import safe_ratio
 from shopcast.operators.cube import (
     Win, cnt0_sql, cnt_sql, day_level, day_mask_aggs, days_from_masks, in_win, is_type, ratio_sql, sql_col,
 )

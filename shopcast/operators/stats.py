@@ -15,7 +15,7 @@ from operator import add
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopcast.operators.cube import Win, cnt0_sql, cnt_sql, sql_col, type_sql
+from shopcast.operators.cube import cnt0_sql, cnt_sql, sql_col, type_sql
 from shopcast.schemas import TYPES
 
 _STATS_SQL = {

@@ -13,7 +13,7 @@ from shopcast.functions.exprs import rounded
 from shopcast.functions.timebins import window_start
 from shopcast.operators import families as fam
 from shopcast.operators import pivots, shares, stats
-from shopcast.operators.cube import ALL, Win, activity_cube, is_type
+from shopcast.operators.cube import Win, activity_cube, is_type
 from shopcast.schemas import PURCHASE
 from shopcast.sources.adapters import load_a, load_b
 

@@ -28,7 +28,7 @@ from shopcast.functions.timebins import window_start
 from shopcast.operators import families as fam
 from shopcast.operators import stats
 from shopcast.operators.cube import (
-    Win, day_mask_aggs, days_from_masks, in_win, is_type, mask_columns, materialized_cube,
+    Win, day_mask_aggs, days_from_masks, is_type, mask_columns, materialized_cube,
 )
 from shopcast.operators.profile import AGE_CODES_0_6, basic_user_features
 from shopcast.schemas import PURCHASE, USER_MODEL_DAY_WINDOWS, USER_MODEL_HOUR_WINDOWS
