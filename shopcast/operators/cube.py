@@ -224,7 +224,7 @@ def days_in(w: Win, purchase: bool = False) -> Column:
     return F.nullif(F.count(F.when(m, F.lit(1))), F.lit(0))
 
 
-def materialized_cube(actions: DataFrame, end, start=None) -> DataFrame:
+def materialized_cube(actions: DataFrame, end, start=None, daily: DataFrame | None = None) -> DataFrame:
     """The cube written once as Parquet under the shared checkpoint folder
     (``spark.checkpoint.dir``) and read back.
 
@@ -234,6 +234,10 @@ def materialized_cube(actions: DataFrame, end, start=None) -> DataFrame:
     Writing the (much smaller) cube once gives a single scan + shuffle of the
     log, column pruning / predicate pushdown on the cube for every family,
     and a lineage cut that survives executor loss.
+
+    With ``daily`` (the end-independent daily table, see ``streaming``) the
+    cube is derived from it instead of the raw log, so several end dates
+    (train and scoring sets) cost one pass over the log.
     """
     import uuid
 
@@ -241,5 +245,24 @@ def materialized_cube(actions: DataFrame, end, start=None) -> DataFrame:
 
     spark = actions.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/cube/{uuid.uuid4().hex}"
-    activity_cube(actions, end, start).write.mode("overwrite").parquet(path)
+    if daily is not None:
+        from shopcast.streaming.daily_cube import cube_from_daily
+        cube = cube_from_daily(daily, end, start)
+    else:
+        cube = activity_cube(actions, end, start)
+    cube.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def materialized_daily(actions: DataFrame) -> DataFrame:
+    """The end-independent daily table written once under the checkpoint
+    folder (batch form of the streaming job)."""
+    import uuid
+
+    from shopcast.session import checkpoint_dir
+    from shopcast.streaming.daily_cube import daily_partials
+
+    spark = actions.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/daily/{uuid.uuid4().hex}"
+    daily_partials(actions).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

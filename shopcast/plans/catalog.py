@@ -445,6 +445,16 @@ def d3_test(spark, sf):
     return user_sku_dataset(d, with_label=False, end=d["dates"].score_end)
 
 
+@register("d3_user_sku_dataset_from_daily")
+def d3_daily(spark, sf):
+    """D3 with its cube derived from the daily table (the path used when
+    train and scoring sets share one pass over the log)."""
+    from shopcast.operators.cube import materialized_daily
+    from shopcast.plans.ui_dataset import user_sku_dataset
+    d = load_a(spark, sf)
+    return user_sku_dataset(dict(d, daily=materialized_daily(d["actions"])), with_label=True)
+
+
 @register("d3_user_sku_dataset_lineitem")
 def d3_b(spark, sf):
     from shopcast.plans.ui_dataset import user_sku_dataset
@@ -963,7 +973,10 @@ def _train_test_ui(spark, sf):
     from shopcast.plans.ui_dataset import feature_columns, user_sku_dataset
     d = load_a(spark, sf)
     D = d["dates"]
+    from shopcast.operators.cube import materialized_daily
     from shopcast.sources.files import materialize
+    # one pass over the log serves both end dates (train and scoring cubes)
+    d = dict(d, daily=materialized_daily(d["actions"]))
     train = user_sku_dataset(d, with_label=True)
     buyers = fam.labels(d["actions"], D.label_start, D.label_end)
     # True buyers only; written once so every boosting round reads the table, not its plan
@@ -979,7 +992,9 @@ def m6(spark, sf):
     from shopcast.plans.user_dataset import user_dataset, user_dataset_test
     from shopcast.sources.sinks import top_users
     d = load_a(spark, sf)
+    from shopcast.operators.cube import materialized_daily
     from shopcast.sources.files import materialize
+    d = dict(d, daily=materialized_daily(d["actions"]))
     train = materialize(user_dataset(d, with_label=True), "user_train", run=_scratch(spark, "t"))
     test = user_dataset_test(d)
     cols = sorted(c for c in train.columns if c not in ("user_id", "label"))

@@ -82,7 +82,7 @@ def user_sku_dataset(src: dict, with_label: bool = True, spec: UISpec = UISpec()
     start = min(D.acc_start, window_start(end, days=max(spec.windows)))
     cate = D.target_cate
     actions = src["actions"]
-    cube = materialized_cube(actions, end, start)
+    cube = materialized_cube(actions, end, start, src.get("daily"))
 
     # base rows: decayed counts per (user, sku, cate, brand) in the base window, target category
     bw = acc if spec.base_days == 0 else Win.of(spec.base_days)

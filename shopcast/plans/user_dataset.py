@@ -91,7 +91,7 @@ def user_dataset(src: dict, with_label: bool = True, end=None,
     cate = D.target_cate
     acc = Win(0, (end - D.acc_start).days)
     start = min(D.acc_start, window_start(end, days=max(max(windows), SAMPLE_DAYS)))
-    cube = materialized_cube(src["actions"], end, start)
+    cube = materialized_cube(src["actions"], end, start, src.get("daily"))
     cube8 = cube.filter(F.col("cate") == cate)
     actions8 = src["actions"].filter(F.col("cate") == cate)
 

@@ -71,7 +71,7 @@ def user_dataset_wide(src: dict, with_label: bool = True, end=None, days: int =
     wins = [Win.of(i) for i in windows]
     allw = [acc] + wins
     start = min(D.acc_start, window_start(end, days=max(windows)))
-    cube = materialized_cube(src["actions"], end, start)
+    cube = materialized_cube(src["actions"], end, start, src.get("daily"))
     users = src["users"]
 
     base = fam.distinct_users(cube.filter(F.col("cate") == cate), Win.of(days))

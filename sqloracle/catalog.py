@@ -897,3 +897,4 @@ SQL["j1_j2_left_joins"] = A.sql(
     f"GROUP BY user_id, sku_id) ui ON b.user_id = ui.user_id AND b.sku_id = ui.sku_id")
 SQL["d4_drop_columns"] = SQL["d1_user_dataset"].replace(
     "SELECT * REPLACE (coalesce(label, 0) AS label) FROM base", "SELECT * EXCLUDE (user_id, label) FROM base", 1)
+SQL["d3_user_sku_dataset_from_daily"] = SQL["d3_user_sku_dataset"]
