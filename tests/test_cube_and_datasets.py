@@ -87,3 +87,22 @@ def test_cube_from_daily_equals_cube_midnight_heavy(spark):
         got = sorted(tuple(r) for r in cube_from_daily(daily, D.end, D.acc_start).select(*cols).collect())
         want = sorted(tuple(r) for r in activity_cube(a, D.end, D.acc_start).select(*cols).collect())
         assert got == want
+
+
+def test_streamed_daily_table_gives_the_cube(spark):
+    import __spark_entry__ as entry
+    d = load_a(spark, SF_SMALL)
+    D = d["dates"]
+    got = entry.queries()["st1_streamed_daily_cube"](spark, SF_SMALL)
+    want = activity_cube(d["actions"], D.end, D.acc_start)
+    key = ["user_id", "sku_id", "cate", "brand", "type", "c", "b", "n"]
+    assert sorted(tuple(r) for r in got.select(*key).collect()) == sorted(tuple(r) for r in want.select(*key).collect())
+
+
+def test_d2_one_row_per_user_and_schema_equal(spark):
+    from shopcast.plans.wide_user import user_dataset_wide, user_dataset_wide_test
+    d = load_a(spark, SF_SMALL)
+    train = user_dataset_wide(d)
+    test = user_dataset_wide_test(d)
+    assert train.count() == train.select("user_id").distinct().count()
+    assert sorted(c for c in train.columns if c != "label") == sorted(test.columns)
