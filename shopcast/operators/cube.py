@@ -198,7 +198,7 @@ def days_from_masks(tag: str, w: Win, max_day: int, by: str = "b") -> str:
         j, r = divmod(top, _CHUNK)
         count = (f"{_popcount_below(f'_{tag}a', top, max_day)} + "
                  f"CAST(shiftright(coalesce(_{tag}m{j}, 0L), {r}) & 1L AS INT)")
-    return f"nullif({count}, 0)"
+    return f"CAST(nullif({count}, 0) AS BIGINT)"
 
 
 def mask_columns(df: DataFrame, tag: str) -> list[str]:
