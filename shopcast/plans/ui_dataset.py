@@ -31,7 +31,7 @@ from shopcast.operators.cube import (
     Win, day_mask_aggs, days_from_masks, in_win, is_type, mask_columns, materialized_cube, sql_col,
 )
 from shopcast.operators.profile import (
-    basic_product_features, basic_user_features, comment_features, reg_to_first_buy, registration_days,
+    basic_product_features, comment_features, reg_to_first_buy, static_user_features,
 )
 from shopcast.operators.pivots import cate_purchase_basket
 from shopcast.schemas import CONV_TYPES, MODEL_IDS, PURCHASE, TYPES, UI_DAY_WINDOWS
@@ -123,8 +123,7 @@ def user_sku_dataset(src: dict, with_label: bool = True, spec: UISpec = UISpec()
     u = _with_days(u_m, ["user_id"], cube, [acc] + wins, max_day, "{i}_user_action_tm", "{i}_user_action_buy_tm", "u")
     u_stats = stats.user_category_sku_stats(cube, [acc] + [Win.of(i) for i in spec.stat_windows], cate)
     users = src["users"]
-    profile = basic_user_features(users, drop_sex=True)          # D4: sex one-hot removed
-    reg = registration_days(users, end)
+    profile = static_user_features(users, end, drop_sex=True)    # one-hot + days registered; D4: no sex
     reg_first = reg_to_first_buy(cube, users, end, acc)
     period = fam.action_period(cube, users, acc, acc_days)
     basket = cate_purchase_basket(cube, users, acc)
@@ -152,7 +151,7 @@ def user_sku_dataset(src: dict, with_label: bool = True, spec: UISpec = UISpec()
     # joins, grouped by key set (consecutive joins on the same keys reuse the
     # base's partitioning)
     df = base
-    for t in (u, u_stats, profile, reg, reg_first, period, basket, user_model):
+    for t in (u, u_stats, profile, reg_first, period, basket, user_model):
         df = df.join(t, "user_id", "left")
     df = df.join(uc, ["user_id", "cate"], "left")
     df = df.join(uic, ["user_id", "cate", "sku_id"], "left")

@@ -30,7 +30,7 @@ from shopcast.operators.cube import (
     Win, cnt0_sql, cnt_sql, day_mask_aggs, days_from_masks, mask_columns, materialized_cube, ratio_sql, sql_col,
     type_sql,
 )
-from shopcast.operators.profile import AGE_CODES_0_6, basic_user_features, reg_to_first_buy, registration_days
+from shopcast.operators.profile import AGE_CODES_0_6, reg_to_first_buy, static_user_features
 from shopcast.schemas import CATES, CONV_TYPES, PURCHASE, TYPES, UI_DAY_WINDOWS
 from shopcast.sources.adapters import Dates
 
@@ -112,8 +112,7 @@ def user_dataset_wide(src: dict, with_label: bool = True, end=None, days: int =
     cart = cart.withColumn("buy_possible", flag(F.col("uc8_last_del_cart") - F.col("uc8_last_cart") >= 0))
 
     parts = [
-        basic_user_features(users, AGE_CODES_0_6, drop_sex=True),
-        registration_days(users, end),
+        static_user_features(users, end, AGE_CODES_0_6, drop_sex=True),
         reg_to_first_buy(cube, users, end, acc),
         u, conv_piv, cart,
         pivots.cate_rank_pivot(shares.cate_share_in_user(cube, acc)),
