@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash
+from . import bpe, minhash, simhash
 from .tables import table
 
 
@@ -14,8 +14,20 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.edited_pairs(table(spark, sf_dir, "documents"))
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return bpe.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+                       public_tokenizers.PATTERN)
+
+
+def op4_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_document_fingerprints": op1_document_fingerprints,
+    "op2_byte_bpe": op2_byte_bpe,
+    "op4_simhash_near_duplicates": op4_simhash_near_duplicates,
 }
 
 SQL: dict[str, str] = {}
