@@ -32,6 +32,8 @@ def random_table(n: int, seed: int) -> np.ndarray:
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+IS_LETTER = np.zeros(256, bool)   # ASCII letters and all bytes of other scripts' characters
+IS_LETTER[65:91] = IS_LETTER[97:123] = IS_LETTER[128:] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BYTE_VALUE = random_table(256, 17)
@@ -79,12 +81,12 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         at = to
 
 
-def word_bounds(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and for each text the index of its first word (n+1 values)."""
+def word_bounds(raw: np.ndarray, off: np.ndarray, within: np.ndarray = ~IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all runs of ``within`` bytes, and for each text the index of its first (n+1 values)."""
     if not len(raw):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(off), np.int64)
-    w = ~IS_SPACE[raw]
+    w = within[raw]
     before = np.empty_like(w)
     before[0] = False
     before[1:] = w[:-1]
