@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, minhash, mixing, quality, simhash, toxicity
+from . import bpe, minhash, mixing, pii, quality, simhash, toxicity
 from .tables import table
 
 
@@ -20,6 +20,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        public_tokenizers.PATTERN)
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_personal_data": op3_personal_data,
     "op4_simhash_near_duplicates": op4_simhash_near_duplicates,
     "op8_mixing": op8_mixing,
     "op9_quality": op9_quality,

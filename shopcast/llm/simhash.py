@@ -213,3 +213,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                                  .select("fp", F.col("doc_id").alias("component_id"))), "simhash-groups")
     return (fps.join(named, "fp")
             .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """The rows with the smallest id of their component, with all their columns; equal rows once."""
+    stays = near_duplicates(docs, shingle).where("doc_id <=> component_id").select(F.col("doc_id").alias("stays")).distinct()
+    return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi").dropDuplicates(["doc_id", "text"])

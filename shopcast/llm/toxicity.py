@@ -29,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -186,17 +187,29 @@ def training_rows(labels: DataFrame, most: int = TRAIN_ROWS) -> dict[int, int]:
     return dict(zip(rows["doc_id"].to_pylist(), rows["toxic"].to_pylist(), strict=True))
 
 
-def scored(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row; the text is read twice and never shuffled."""
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[Broadcast, np.ndarray]:
+    """The score table (broadcast, of fixed size) and the logistic weights (zeros if a class is missing)."""
     spark = docs.sparkSession
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     label = training_rows(labels, train_rows)
-    counted = {i: y for i, y in label.items() if fold_of(i) != CALIBRATE}
-    known = spark.sparkContext.broadcast(counted)
+    known = spark.sparkContext.broadcast({i: y for i, y in label.items() if fold_of(i) != CALIBRATE})
     counts = written(src.mapInArrow(lambda b: _count(b, known.value), "g long, n long, toxic long, ordinary long")
                      .groupBy("g").agg(*(F.sum(c).alias(c) for c in ("n", "toxic", "ordinary"))), "toxicity-counts")
     table = spark.sparkContext.broadcast(score_table(gram_scores(counts)))
+    for fold in (True, False):   # the calibration fold, or all labelled rows if it lacks a class
+        use = {i: y for i, y in label.items() if fold_of(i) == CALIBRATE or not fold}
+        if len(set(use.values())) < 2:
+            continue
+        ids = spark.createDataFrame(pd.DataFrame({"doc_id": list(use), "toxic": list(use.values())}))
+        rows = _measured(src.join(F.broadcast(ids.select("doc_id")), "doc_id"), table).groupBy("doc_id").agg(
+            F.max("whole").alias("whole"), F.max("stretch").alias("stretch")).toArrow()
+        y = np.array([use[i] for i in rows["doc_id"].to_pylist()])
+        if len(set(y.tolist())) == 2:
+            return table, logistic(np.column_stack((rows["whole"].to_numpy(), rows["stretch"].to_numpy())), y)
+    return table, np.zeros(3)
 
+
+def _measured(src: DataFrame, table: Broadcast) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in T.slices(batch, "text"):
@@ -204,26 +217,33 @@ def scored(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) ->
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(x[:, 0]), pa.array(x[:, 1])],
                                                  names=["doc_id", "whole", "stretch"])
 
-    found = written(src.mapInArrow(run, "doc_id long, whole double, stretch double"), "toxicity-features")
-    w = _calibrate(found, label)
+    return src.select("doc_id", "text").mapInArrow(run, "doc_id long, whole double, stretch double")
+
+
+def probability(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x @ w[:2] + w[2], -700, 700))) if w.any() else np.zeros(len(x))
+
+
+def scored(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every row; the text is never shuffled."""
+    table, w = fit(docs, labels, train_rows)
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS)) == HELD_OUT, F.lit(True))
     z = F.col("whole") * float(w[0]) + F.col("stretch") * float(w[1]) + float(w[2])
     score = 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-700.0)), F.lit(700.0)))) if w.any() else F.lit(0.0)
-    return found.select("doc_id", held.alias("held_out"), score.alias("score"), "whole", "stretch").selectExpr(
+    return _measured(src, table).select("doc_id", held.alias("held_out"), score.alias("score"), "whole", "stretch").selectExpr(
         "doc_id", "held_out", "score", "CASE WHEN score >= 0.5 THEN 1 ELSE 0 END AS predicted", "whole", "stretch")
 
 
-def _calibrate(found: DataFrame, label: dict[int, int]) -> np.ndarray:
-    """Logistic weights from the calibration fold of the (bounded) labelled rows; all of them if it lacks a class."""
-    spark = found.sparkSession
-    for fold in (True, False):
-        use = {i: y for i, y in label.items() if (fold_of(i) == CALIBRATE) or not fold}
-        if len(set(use.values())) < 2:
-            continue
-        ids = spark.createDataFrame(pd.DataFrame({"doc_id": list(use), "toxic": list(use.values())}))
-        rows = found.join(ids, "doc_id").groupBy("doc_id", "toxic").agg(
-            F.max("whole").alias("whole"), F.max("stretch").alias("stretch")).toArrow()
-        y = rows["toxic"].to_numpy()
-        if len(set(y.tolist())) == 2:
-            return logistic(np.column_stack((rows["whole"].to_numpy(), rows["stretch"].to_numpy())), y)
-    return np.zeros(3)
+def clean(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows that are not predicted toxic, with all their columns; the text is never shuffled."""
+    table, w = fit(docs, labels)
+    where = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in T.slices(batch, text_col):
+                x = features(*T.string_bytes(part.column(where)), table.value)
+                yield part.filter(pa.array(probability(x, w) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
