@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, cover, graph, minhash, mixing, pii, quality, simhash, toxicity
+from . import bpe, cover, graph, minhash, mixing, pii, quality, simhash, suffix, toxicity
 from .tables import table
 
 
@@ -28,6 +28,10 @@ def op4_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeated_bytes_removed(table(spark, sf_dir, "documents"))
+
+
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.nearest(table(spark, sf_dir, "embeddings"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_personal_data": op3_personal_data,
     "op4_simhash_near_duplicates": op4_simhash_near_duplicates,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_mixing": op8_mixing,
