@@ -36,7 +36,10 @@ SHINGLE, DISTANCE, SEED = 4, 4, 42
 BLOCKS = ((0, 22), (22, 21), (43, 21))   # first bit and width; DISTANCE // 3 = 1 differing bit in one of them
 HAMMING = 15                             # code bits of a block; the block's other bits stand as they are
 RADIUS = 1
+HOME = 1 << 31                           # bit of an anchor key: the fingerprint is at home there
 CELL = 16_384                            # most rows of either side in one comparison
+PART_ROWS = 50_000                       # fingerprints for each part of the anchors
+HELD_ROWS = 1 << 22                      # rows of a part after which crowded anchors are looked for
 
 
 def fingerprint(words: list[bytes], shingle: int = SHINGLE) -> int:
@@ -105,27 +108,31 @@ def _copies(value: np.ndarray, width: int, reach: int) -> tuple[np.ndarray, np.n
     return np.concatenate(rows), np.concatenate(anchors)
 
 
-def anchored(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor key, at home, fingerprint) rows of distinct fingerprints over all blocks."""
+def anchored(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(anchor key, fingerprint) rows of distinct fingerprints over all blocks; ``HOME`` marks the home anchor."""
     nearest = _hamming_words()
-    keys, homes, values = [], [], []
+    keys, values = [], []
     for b, (first, width) in enumerate(BLOCKS):
         value = (fps >> np.uint64(first) & np.uint64((1 << width) - 1)).astype(np.int64)
         rows, anchors = _copies(value, width, RADIUS + DISTANCE // len(BLOCKS))
         home = value >> HAMMING << HAMMING | nearest[value & ((1 << HAMMING) - 1)]
-        keys.append(b << 32 | anchors)
-        homes.append(home[rows] == anchors)
+        keys.append((b << 24 | anchors | np.where(home[rows] == anchors, HOME, 0)).astype(np.uint32))
         values.append(fps[rows])
-    return np.concatenate(keys), np.concatenate(homes), np.concatenate(values)
+    return np.concatenate(keys), np.concatenate(values)
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _deal(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Anchor rows as one packed row for each part of the anchors and 16,384 fingerprints."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 4096):
-            fps = batch.column("fp").slice(at, 4096).to_numpy().view(np.uint64)
-            key, home, fp = anchored(fps)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(home), pa.array(fp.view(np.int64))],
-                                             names=["anchor", "home", "fp"])
+        for at in range(0, batch.num_rows, 16_384):
+            key, fp = anchored(batch.column("fp").slice(at, 16_384).to_numpy().view(np.uint64))
+            part = (T.mix((key & np.uint32(HOME - 1)).astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            key, fp, part = key[order], fp[order], part[order]
+            cut = np.flatnonzero(np.diff(part)) + 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(part[np.concatenate(([0], cut))]), pa.array([k.tobytes() for k in np.split(key, cut)], pa.binary()),
+                 pa.array([f.tobytes() for f in np.split(fp, cut)], pa.binary())], names=["part", "keys", "fps"])
 
 
 def forest(home: np.ndarray, copied: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
@@ -144,60 +151,115 @@ def forest(home: np.ndarray, copied: np.ndarray, distance: int = DISTANCE) -> tu
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
 
+class _Part:
+    """The rows of one part of the anchors; those of crowded anchors leave as they come."""
+
+    def __init__(self):
+        self.keys, self.fps, self.rows = [], [], 0
+        self.crowded = np.zeros(0, np.uint32)
+
+    def add(self, keys: np.ndarray, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        self.keys.append(keys)
+        self.fps.append(fps)
+        self.rows += len(keys)
+        if self.rows > HELD_ROWS:
+            yield self.leave()
+
+    def leave(self) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of anchors with more than ``CELL`` rows, now or before."""
+        keys = np.concatenate(self.keys) if self.keys else np.zeros(0, np.uint32)
+        fps = np.concatenate(self.fps) if self.fps else np.zeros(0, np.uint64)
+        anchor = keys & np.uint32(HOME - 1)
+        u, n = np.unique(anchor, return_counts=True)
+        self.crowded = np.union1d(self.crowded, u[n > CELL])
+        out = np.isin(anchor, self.crowded)
+        self.keys, self.fps, self.rows = [keys[~out]], [fps[~out]], int((~out).sum())
+        return keys[out], fps[out]
+
+    def edges(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Compare what stayed, anchor by anchor."""
+        keys, fps = self.keys[0], self.fps[0]
+        anchor = keys & np.uint32(HOME - 1)
+        order = np.argsort(anchor, kind="stable")
+        anchor, fps, home = anchor[order], fps[order], (keys[order] & np.uint32(HOME)) != 0
+        cuts = [0, *(np.flatnonzero(np.diff(anchor)) + 1).tolist(), len(anchor)]
+        return [forest(fps[lo:hi][home[lo:hi]], fps[lo:hi]) for lo, hi in zip(cuts, cuts[1:], strict=False) if hi - lo > 1]
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (anchor, cell): compare each run; the cells bound the runs."""
-    held, held_key = [], None   # the run that may go on in the next batch
+    """Packed rows sorted by part: edges (key null), and as they are the rows of crowded anchors (a null)."""
+    now, held = None, _Part()
+
+    def crowd(rows: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+        none = pa.nulls(len(rows[0]), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(rows[0].astype(np.int64)), none, pa.array(rows[1].view(np.int64))],
+                                          names=["key", "a", "b"])
+
+    def finish() -> Iterator[pa.RecordBatch]:
+        yield crowd(held.leave())
+        a, b = _joined(held.edges())
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b)], names=["key", "a", "b"])
 
+    for batch in batches:
+        for part, keys, fps in zip(*(batch.column(c) for c in ("part", "keys", "fps")), strict=True):
+            if part.as_py() != now:
+                yield from finish()
+                now, held = part.as_py(), _Part()
+            for rows in held.add(np.frombuffer(keys.as_buffer(), np.uint32), np.frombuffer(fps.as_buffer(), np.uint64)):
+                yield crowd(rows)
+    yield from finish()
+
+
+def _compare_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (anchor, cell), the cells bounding the runs."""
     def edges_of(run: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         fp = np.concatenate([r[0] for r in run])
         return forest(fp[np.concatenate([r[1] for r in run])], np.unique(fp))
 
+    held, held_key = [], None   # the run that may go on in the next batch
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        key, cell = batch.column("anchor").to_numpy(), batch.column("cell").to_numpy()
+        anchor, cell = batch.column("anchor").to_numpy(), batch.column("cell").to_numpy()
         fp = batch.column("fp").to_numpy().view(np.uint64)
         home = batch.column("home").to_numpy(zero_copy_only=False)
-        cut = np.flatnonzero((np.diff(key) != 0) | (np.diff(cell) != 0)) + 1
-        cuts, out = [0, *cut.tolist(), len(key)], []
+        cuts = [0, *(np.flatnonzero((np.diff(anchor) != 0) | (np.diff(cell) != 0)) + 1).tolist(), len(anchor)]
         for lo, hi in zip(cuts, cuts[1:], strict=False):
-            if (here := (key[lo], cell[lo])) != held_key:
+            if lo < hi and (here := (anchor[lo], cell[lo])) != held_key:
                 if held:
-                    out.append(edges_of(held))
+                    yield _edge_batch(edges_of(held))
                 held, held_key = [], here
-            if hi < len(key) and hi - lo == 1 and not held:
-                continue   # alone at its anchor
             held.append((fp[lo:hi], home[lo:hi]))
-        yield _edge_batch(out)
-    yield _edge_batch([edges_of(held)] if held else [])
+    if held:
+        yield _edge_batch(edges_of(held))
 
 
-def _edge_batch(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+def _joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
     none = [np.zeros(0, np.uint64)]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.concatenate([p[i] for p in parts] or none).view(np.int64)) for i in (0, 1)], names=["a", "b"])
+    return [np.concatenate([p[i] for p in parts] or none).view(np.int64) for i in (0, 1)]
+
+
+def _edge_batch(edges: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in _joined([edges])], names=["a", "b"])
 
 
 def links(distinct: DataFrame) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of fingerprints within four bits."""
-    rows = distinct.select("fp").mapInArrow(_anchor_rows, "anchor long, home boolean, fp long")
-    # anchors that draw many rows: a grid of cells, ``down`` parts of those at home by ``across`` parts of all
-    large = written(rows.groupBy("anchor").agg(F.sum(F.col("home").cast("long")).alias("homes"),
-                                               F.count("*").alias("n"))
-                    .where(f"n > {CELL} AND homes > 0")
-                    .selectExpr("anchor", f"ceil(homes / {CELL}) AS down", f"ceil(n / {CELL}) AS across"),
-                    "simhash-large")
-    dealt = (rows.join(large, "anchor", "left")
-             .selectExpr("anchor", "home", "fp", "coalesce(down, 1) AS down", "coalesce(across, 1) AS across")
-             .selectExpr("*", "pmod(xxhash64(fp, 7), down) AS i", "pmod(xxhash64(fp, 8), across) AS j"))
-    one = dealt.where("down * across = 1").selectExpr("anchor", "0L AS cell", "home", "fp")
-    many = dealt.where("down * across > 1")
+    parts = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), distinct.count() // PART_ROWS + 1)
+    dealt = distinct.select("fp").mapInArrow(lambda b: _deal(b, parts), "part long, keys binary, fps binary")
+    first = written(dealt.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(
+        _compare, "key long, a long, b long"), "simhash-anchors")
+    crowd = first.where("key IS NOT NULL").selectExpr(f"key & {HOME - 1} AS anchor", f"(key & {HOME}) <> 0 AS home", "b AS fp")
+    # crowded anchors: a grid of cells, ``down`` parts of those at home by ``across`` parts of all
+    grid = written(crowd.groupBy("anchor").agg(F.sum(F.col("home").cast("long")).alias("homes"), F.count("*").alias("n"))
+                   .where("homes > 0")
+                   .selectExpr("anchor", f"ceil(homes / {CELL}) AS down", f"ceil(n / {CELL}) AS across"), "simhash-grid")
+    many = crowd.join(grid, "anchor").selectExpr(
+        "*", "pmod(xxhash64(fp, 7), down) AS i", "pmod(xxhash64(fp, 8), across) AS j")
     copied = many.selectExpr("anchor", "explode(transform(sequence(0, down - 1), x -> x * across + j)) AS cell",
                              "false AS home", "fp")
     at_home = many.where("home").selectExpr(
         "anchor", "explode(transform(sequence(0, across - 1), y -> i * across + y)) AS cell", "home", "fp")
-    return (one.unionByName(copied).unionByName(at_home).repartition("anchor", "cell")
-            .sortWithinPartitions("anchor", "cell").mapInArrow(_compare, "a long, b long"))
+    cells = copied.unionByName(at_home).repartition("anchor", "cell").sortWithinPartitions("anchor", "cell")
+    return first.where("key IS NULL").select("a", "b").unionByName(cells.mapInArrow(_compare_cells, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -216,6 +278,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The rows with the smallest id of their component, with all their columns; equal rows once."""
-    stays = near_duplicates(docs, shingle).where("doc_id <=> component_id").select(F.col("doc_id").alias("stays")).distinct()
-    return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi").dropDuplicates(["doc_id", "text"])
+    """The rows with the smallest id of their component, with all their columns; equal ids and texts once."""
+    own = "__smallest_id_of_component"     # no column of the documents
+    stays = near_duplicates(docs, shingle).where("doc_id <=> component_id").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(stays, F.col("doc_id").eqNullSafe(F.col(own)), "left_semi").dropDuplicates(["doc_id", "text"])
