@@ -1,0 +1,15 @@
+import os
+import sys
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+
+@pytest.fixture(scope="session", autouse=True)
+def shared_folder(spark, tmp_path_factory):
+    """The folder that a cluster would name; and the package for the workers."""
+    from shopcast.llm.tables import ship
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        spark.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
+    ship(spark)

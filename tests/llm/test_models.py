@@ -1,0 +1,166 @@
+"""Toxicity, quality, mixing and the pipeline: held-out accuracy, brute force and DuckDB."""
+
+import duckdb
+import numpy as np
+import pytest
+from helpers import AWKWARD, documents
+
+from shopcast.llm import mixing, pii, quality, queries, simhash, tables, toxicity
+
+SF = "/root/testdata/sf0.01"
+
+
+def no_labels(spark):
+    return spark.createDataFrame([(0, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+
+
+@pytest.fixture(scope="module")
+def toxic(spark):
+    return toxicity.scored(tables.table(spark, SF, "documents"), tables.table(spark, SF, "labels")).toPandas()
+
+
+def test_toxicity_held_out(spark, toxic):
+    import zlib
+    labels = tables.table(spark, SF, "labels").toPandas()
+    m = toxic.merge(labels, on="doc_id")
+    assert len(toxic) == 1000 and toxic.score.between(0, 1).all()
+    assert (toxic.held_out == [zlib.crc32(str(i).encode()) % 5 == 0 for i in toxic.doc_id]).all()
+    assert ((toxic.score >= 0.5) == (toxic.predicted == 1)).all()
+    h = m[m.held_out]
+    r, n = h.score.rank(), (h.toxic == 1).sum()
+    assert (r[h.toxic == 1].sum() - n * (n + 1) / 2) / n / (len(h) - n) > 0.9
+    assert (h.predicted == h.toxic).mean() > 0.93
+
+
+def test_kneser_ney_lower_orders_are_distributions(spark):
+    docs = spark.createDataFrame([(1, "abc abd abe xyz"), (2, "abc xyz")], "doc_id long, text string")
+    import pyarrow as pa
+    raw = toxicity._count(iter([pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["abc abd abe xyz", "abc xyz"]})]), {1: 1, 2: 0})
+    counts = spark.createDataFrame([tuple(int(v) for v in r) for b in raw for r in zip(*(c.to_pylist() for c in b.columns), strict=True)],
+                                   "g long, n long, toxic long, ordinary long")
+    scores = {r.g: r.score for r in toxicity.gram_scores(counts).collect()}
+    assert len(scores) == counts.count() and docs.count() == 2
+    both = int.from_bytes(b"   ab", "big")      # seen by both classes after the same context
+    only = int.from_bytes(b"  abd", "big")      # seen by the toxic class only
+    assert scores[only] > scores[both]
+
+
+def test_toxicity_of_awkward_rows(spark):
+    docs = documents(spark, extra=True)
+    labels = spark.createDataFrame([(i, 0, i % 2) for i, _ in AWKWARD if i is not None] + [(4, 0, None)], "doc_id long, quality int, toxic int")
+    got = toxicity.scored(docs, labels).toPandas()
+    assert len(got) == len(AWKWARD) and got.score.between(0, 1).all()
+    assert toxicity.clean(docs, labels).schema == docs.schema
+    assert (toxicity.scored(docs, no_labels(spark)).toPandas().score == 0.0).all()
+    assert toxicity.clean(docs, no_labels(spark)).count() == len(AWKWARD)
+    assert toxicity.scored(documents(spark, []), labels).count() == 0
+
+
+def test_quality_held_out(spark):
+    got = quality.scored(tables.table(spark, SF, "documents"), tables.table(spark, SF, "labels")).toPandas()
+    h = got.merge(tables.table(spark, SF, "labels").toPandas(), on="doc_id")
+    h = h[h.held_out]
+    r, n = h.score.rank(), (h.quality == 1).sum()
+    assert len(got) == 1000 and got.score.between(0, 1).all()
+    assert (r[h.quality == 1].sum() - n * (n + 1) / 2) / n / (len(h) - n) > 0.97 and (h.predicted == h.quality).mean() > 0.95
+
+
+def test_isotonic_is_the_least_squares_fit():
+    x, rate = quality.isotonic(np.arange(6.0), np.array([1, 1, 2, 1, 1, 4]), np.array([0, 1, 0, 1, 0, 4]))
+    assert (np.diff(rate) >= 0).all() and rate[0] == 0 and rate[-1] == 1 and 1 / 3 in rate and 1 / 2 in rate
+
+
+def test_normal_equations_equal_one_machine(spark):
+    rng = np.random.default_rng(0)
+    x, y = rng.normal(size=(200, 5)).astype(np.float32), rng.integers(0, 2, 200)
+    rows = spark.createDataFrame([(v.tolist(), int(t), i % 2) for i, (v, t) in enumerate(zip(x, y, strict=True))],
+                                 "x array<float>, y int, half long").repartition(5)
+    eq = quality._equations(rows, np.zeros(5), np.ones(5))
+    for h in (0, 1):
+        z = quality.cosines(x[h::2].astype(float), np.zeros(5), np.ones(5))
+        assert np.allclose(eq[h][0], z.T @ z) and np.allclose(eq[h][1], z.T @ y[h::2])
+
+
+def test_quality_of_awkward_rows(spark):
+    docs = documents(spark, extra=True)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i, _ in AWKWARD if i is not None], "doc_id long, quality int, toxic int")
+    assert quality.scored(docs, labels).toPandas().score.between(0, 1).all()
+    assert (quality.scored(docs, no_labels(spark)).toPandas().score == 0.5).all()
+    assert quality.scored(documents(spark, []), labels).count() == 0
+
+
+def reshared(size, weight):
+    """Shares of 1.5 times all sizes by weight, the excess over 2 sizes shared again and again."""
+    capped, total = set(), 1.5 * sum(size)
+    while True:
+        rest = [i for i in range(len(size)) if i not in capped]
+        left = total - sum(2 * size[i] for i in capped)
+        w = sum(weight[i] for i in rest)
+        target = [2.0 * size[i] if i in capped else left * weight[i] / w for i in range(len(size))]
+        over = {i for i in rest if target[i] > 2 * size[i]}
+        if not over:
+            return target
+        capped |= over
+
+
+def test_mixing_equals_sql_and_the_rules(spark):
+    docs = tables.table(spark, SF, "documents")
+    got = mixing.allotted(docs).toPandas().sort_values("doc_id").reset_index(drop=True)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = con.sql(mixing.SQL).df().sort_values("doc_id").reset_index(drop=True)
+    for c in want.columns:
+        assert np.allclose(got[c].astype(float), want[c].astype(float), rtol=1e-12, equal_nan=True), c
+    by = got.merge(docs.select("doc_id", "source").toPandas(), on="doc_id").groupby("source").agg(
+        size=("size", "sum"), target=("target", "first"), taken=("taken", "sum"))
+    assert np.allclose(by.target, reshared(by["size"].tolist(), [(3, 1, 2)[i % 3] for i in range(len(by))]))
+    assert (by.target - by.taken).abs().max() <= 0.5 and (got.taken <= 2 * got["size"]).all()
+
+
+def test_mixing_of_awkward_rows(spark):
+    got = mixing.allotted(documents(spark, extra=True)).toPandas()
+    assert len(got) == len(AWKWARD) and (got.taken <= 2 * got["size"]).all()
+    assert got.drop_duplicates("source_size").target.sum() == pytest.approx(1.5 * got["size"].sum())
+    docs = documents(spark, extra=True)
+    mixed = mixing.mixed(docs)
+    assert mixed.columns == docs.columns
+    rows = mixed.collect()
+    assert sum(len((r.text or "").encode().split()) for r in rows) == got.taken.sum()
+    assert all(r.n_chars == len(r.text) for r in rows)
+    assert mixing.allotted(documents(spark, [])).count() == 0 and mixing.mixed(documents(spark, [])).count() == 0
+
+
+def test_curriculum_positions_invert_the_demand(spark):
+    rows = [(i, "w " * (1 + i % 17)) for i in range(900)]
+    docs = documents(spark, rows)
+    got = mixing.allotted(docs).join(docs.select("doc_id", "source"), "doc_id").where("taken > 0").toPandas()
+    for slope, source in zip(mixing.SLOPES, ("s0", "s1", "s2"), strict=True):
+        g = got[got.source == source].sort_values("position")
+        first = np.minimum(g.taken, g["size"])
+        u = (np.cumsum(first) - first / 2) / g.target
+        t = g.position
+        assert np.allclose(t + slope * (t * t - t), u)
+
+
+def test_pipeline_equals_its_stages_by_hand(spark):
+    import corpus_pipeline
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "personal_data", "mixing", "tokens"]
+    docs = tables.table(spark, SF, "documents")
+    bad = set(toxicity.scored(docs, tables.table(spark, SF, "labels")).where("predicted = 1").toPandas().doc_id)
+    raw = docs.where(~docs.doc_id.isin([int(i) for i in bad]))
+    groups = simhash.near_duplicates(raw).toPandas()
+    keep = set(groups[groups.doc_id == groups.component_id].doc_id)
+    field = pii.train(pii.labelled_table())
+    left = [(r.doc_id, r.text, r.lang, r.source) for r in raw.collect() if r.doc_id in keep]
+    texts = [pii.mask(t, b + a) for (_, t, _, _), (b, a) in zip(left, pii._search([r[1] for r in left], field), strict=True)]
+    masked = spark.createDataFrame([(i, t, l, s, len(t)) for (i, _, l, s), t in zip(left, texts, strict=True)], docs.schema)
+    taken = mixing.allotted(masked).toPandas()
+    got = corpus_pipeline.run(spark, SF).toPandas()
+    assert set(got.doc_id) == set(taken[taken.taken > 0].doc_id)
+    whole = taken[taken.taken == 2 * taken["size"]]
+    assert (got[got.doc_id.isin(set(whole[whole["size"] > 0].doc_id))].groupby("doc_id").size() == 2).all()
+
+
+def test_every_query_is_registered():
+    assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 11))
+    assert set(queries.SQL) <= set(queries.QUERIES)
