@@ -83,6 +83,42 @@ def cutoff_sweep(pred: DataFrame, truth: DataFrame, cutoffs, order, keys=("user_
     return m.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
+def pair_cutoff_sweep(pred: DataFrame, truth: DataFrame, cutoffs, order) -> DataFrame:
+    """E3 on pairs: F11 over the users and F12 over the (user, sku) pairs of
+    every prefix of the ranked predictions, and score = 0.4 F11 + 0.6 F12.
+
+    One ranked top-``max(cutoffs)`` list; per user and per pair one aggregate
+    of the tagged union with the truth, then one conditional aggregate each."""
+    top = ranked_top(pred, max(cutoffs), order).select("user_id", "sku_id", "rank", F.lit(0).alias("_t"))
+    t = truth.select("user_id", "sku_id").distinct().select("user_id", "sku_id", F.lit(None).cast("int").alias("rank"),
+                                                            F.lit(1).alias("_t"))
+    both = top.unionByName(t)
+    sides = []
+    for side, keys in (("user", ["user_id"]), ("pair", ["user_id", "sku_id"])):
+        per_key = both.groupBy(*keys).agg(F.min("rank").alias("rank"), F.max("_t").alias("_t"))
+        aggs = [F.sum("_t").cast("long").alias(f"{side}_actual")]
+        for c in cutoffs:
+            seen = F.col("rank") <= c
+            aggs += [F.count(F.when(seen, 1)).alias(f"{side}_pred_{c}"),
+                     F.count(F.when(seen & (F.col("_t") == 1), 1)).alias(f"{side}_hits_{c}")]
+        sides.append(per_key.agg(*aggs))
+    cols = sides[0].columns + sides[1].columns
+    m = sides[0].unionByName(sides[1], allowMissingColumns=True).agg(*[F.max(c).alias(c) for c in cols])
+
+    def measure(side: str, c: int, a: float, b: float, d: float):
+        h = F.col(f"{side}_hits_{c}")
+        p, r = _pr(h, F.col(f"{side}_pred_{c}"), F.col(f"{side}_actual"))
+        return F.when(h > 0, F.lit(a) * p * r / (F.lit(b) * r + F.lit(d) * p)).otherwise(F.lit(0.0))
+
+    rows = [F.struct(F.lit(c).alias("cutoff"), F.col(f"user_hits_{c}").alias("user_hits"),
+                     F.col(f"user_pred_{c}").alias("users_predicted"), F.col("user_actual").alias("users_actual"),
+                     F.col(f"pair_hits_{c}").alias("pair_hits"), F.col(f"pair_pred_{c}").alias("pairs_predicted"),
+                     F.col("pair_actual").alias("pairs_actual"), measure("user", c, 6.0, 5.0, 1.0).alias("f11"),
+                     measure("pair", c, 5.0, 2.0, 3.0).alias("f12")) for c in cutoffs]
+    out = m.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    return out.withColumn("score", F.lit(0.4) * F.col("f11") + F.lit(0.6) * F.col("f12"))
+
+
 def importance_topn(importance: DataFrame, dim: int) -> DataFrame:
     """L3: features with importance > 0, best first, the first ``dim``."""
     return (importance.filter(F.col("importance") > 0)

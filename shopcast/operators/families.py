@@ -150,9 +150,11 @@ def labels(actions: DataFrame, start, end, keys=("user_id",), cate: int | None =
     return actions.filter(m).select(*keys).distinct().withColumn("label", F.lit(1))
 
 
-def truth_rows(actions: DataFrame, start, end) -> DataFrame:
-    """A15t: purchase rows, not de-duplicated."""
+def truth_rows(actions: DataFrame, start, end, cate: int | None = None) -> DataFrame:
+    """A15t: purchase rows (of one category), not de-duplicated."""
     m = (F.col("time") >= ts_lit(start)) & (F.col("time") < ts_lit(end)) & is_type(PURCHASE)
+    if cate is not None:
+        m = m & (F.col("cate") == cate)
     return actions.filter(m).select("user_id")
 
 

@@ -4,10 +4,12 @@ pushes them into the Parquet scan (``PushedFilters``) and, for a log stored
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopcast.functions.timebins import date_lit, ts_lit
+from shopcast.functions.timebins import ts_lit
 from shopcast.schemas import MODEL_IDS, PURCHASE
 
 
@@ -31,8 +33,9 @@ def exclude_period(df: DataFrame, lo, hi, mode: str = "range", col: str = "time"
     (inclusive); ``after`` keeps only events before ``lo`` (the source as
     written)."""
     if mode == "range":
-        d = F.to_date(F.col(col))
-        return df.filter(~d.between(date_lit(lo), date_lit(hi)))
+        # on the time itself, so that the predicate reaches the scan
+        after = ts_lit(hi + timedelta(days=1))
+        return df.filter((F.col(col) < ts_lit(lo)) | (F.col(col) >= after))
     if mode == "after":
         return df.filter(F.col(col) < ts_lit(lo))
     raise ValueError(mode)

@@ -22,23 +22,30 @@ def left_join(left: DataFrame, right: DataFrame, on) -> DataFrame:
 
 def semi_restrict(rows: DataFrame, keep: DataFrame, on="user_id", bound: int | None = None) -> DataFrame:
     """Keep rows whose key is in ``keep`` (LEFT SEMI — duplicates in
-    ``keep`` never fan rows out).  ``bound`` = a proven maximum row count of
-    ``keep`` (e.g. a top-k list) -> broadcast it."""
+    ``keep`` never fan rows out).  ``bound`` says that the caller has limited
+    ``keep`` to so many rows (a top-k list): it is then broadcast, whole."""
     k = keep.select(*([on] if isinstance(on, str) else on))
     if bound is not None:
-        k = F.broadcast(k.limit(bound))
+        k = F.broadcast(k)
     return rows.join(k, on, "left_semi")
 
 
-def latest_per_user_join(left: DataFrame, right: DataFrame, time_col: str = "time",
-                         as_written: bool = False) -> DataFrame:
-    """Join two per-user event lists.  Default: reduce each side to its
-    latest event per user first (one row per user out).  ``as_written``
-    keeps the many-to-many fan-out of the source."""
-    if as_written:
-        return left.join(right, "user_id", "left")
-    return keep_latest(left, ["user_id"], time_col).join(keep_latest(right, ["user_id"], time_col),
-                                                         "user_id", "left")
+def latest_per_user_join(left: DataFrame, right: DataFrame, left_time: str, right_time: str,
+                         left_ties=(), right_ties=()) -> DataFrame:
+    """Join two per-user event lists, each reduced to its latest event per
+    user first (one row per user out)."""
+    return keep_latest(left, ["user_id"], left_time, left_ties).join(
+        keep_latest(right, ["user_id"], right_time, right_ties), "user_id", "left")
+
+
+def fan_out_counts(left: DataFrame, right: DataFrame, key: str = "user_id", name: str = "rows") -> DataFrame:
+    """J4 as written joins every left event with every right event of a user.
+    Rows per user of that join, from one aggregate of each side: the pairs
+    themselves, quadratic for a hot user, are never made."""
+    n_left = left.groupBy(key).agg(F.count(F.lit(1)).alias("_l"))
+    n_right = right.groupBy(key).agg(F.count(F.lit(1)).alias("_r"))
+    return n_left.join(n_right, key, "left").select(
+        key, (F.col("_l") * F.greatest(F.coalesce("_r", F.lit(0)), F.lit(1))).alias(name))
 
 
 def topk_overlap(a: DataFrame, b: DataFrame, na: int, nb: int, order_a, order_b, on=("user_id",)) -> DataFrame:

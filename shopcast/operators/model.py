@@ -61,10 +61,10 @@ def _assemble(df: DataFrame, cols, out: str = "features") -> DataFrame:
 
 def fit_gbt(train: DataFrame, cols, label: str = "label", max_depth: int = 5, max_iter: int = 100,
             step: float = 0.1, min_instances: int = 1, pos_weight: float | None = None,
-            subsample: float = 1.0, validation: bool = False, seed: int = 0, keys=("user_id",)):
+            subsample: float = 1.0, columns: float = 1.0, validation: bool = False, seed: int = 0, keys=("user_id",)):
     """Fit one boosted-tree binary classifier.  ``pos_weight`` weights the
-    positive class; ``validation`` holds out a stable 20 % (M3) for early
-    stopping."""
+    positive class; ``columns`` is the share of the features that a tree may
+    split on; ``validation`` holds out a stable 20 % (M3) for early stopping."""
     df = prepare(train, cols)
     if pos_weight is not None:
         df = df.withColumn("_w", F.when(F.col(label) == 1, F.lit(float(pos_weight))).otherwise(F.lit(1.0)))
@@ -76,6 +76,7 @@ def fit_gbt(train: DataFrame, cols, label: str = "label", max_depth: int = 5, ma
         kw["weightCol"] = "_w"
     gbt = GBTClassifier(featuresCol="features", labelCol=label, maxDepth=max_depth, maxIter=max_iter,
                         stepSize=step, minInstancesPerNode=min_instances, subsamplingRate=subsample,
+                        featureSubsetStrategy=str(float(columns)) if columns < 1 else "all",
                         seed=seed, maxBins=32, **kw)
     return gbt.fit(df)
 
@@ -118,7 +119,7 @@ def importance_partition(model, cols) -> tuple[list[str], list[str]]:
 
 def subspace_ensemble(train: DataFrame, test: DataFrame, cols, label: str = "label",
                       weights=(0.3,) + (0.07,) * 10, frac: float = 0.4, seed: int = 0,
-                      max_iter: int = 200, max_depth: int = 5, step: float = 0.05,
+                      max_iter: int = 1000, max_depth: int = 5, step: float = 0.05, columns: float = 0.8,
                       keys=("user_id", "sku_id"), parallelism: int = 4) -> DataFrame:
     """M8: model 0 on the important features (weight 0.3) and 10 models on
     seeded random 40 % subsets of the other features (0.07 each); the score is
@@ -130,7 +131,7 @@ def subspace_ensemble(train: DataFrame, test: DataFrame, cols, label: str = "lab
 
     cols = list(cols)
     probe = fit_gbt(train, cols, label, max_depth=max_depth, max_iter=max_iter, step=step,
-                    subsample=1.0, validation=True, seed=seed, keys=keys)
+                    columns=columns, validation=True, seed=seed, keys=keys)
     important, trivial = importance_partition(probe, cols)
     rng = random.Random(seed)
     subsets = []
@@ -142,7 +143,7 @@ def subspace_ensemble(train: DataFrame, test: DataFrame, cols, label: str = "lab
             subsets.append(sorted(rng.sample(trivial, k)) if len(trivial) >= k else (trivial or cols))
 
     def fit(sub):
-        return fit_gbt(train, sub, label, max_depth=max_depth, max_iter=max_iter, step=step,
+        return fit_gbt(train, sub, label, max_depth=max_depth, max_iter=max_iter, step=step, columns=columns,
                        validation=True, seed=seed, keys=keys)
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:

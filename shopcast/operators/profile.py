@@ -10,10 +10,10 @@ from shopcast.functions.timebins import date_lit, days_registered, interval_buck
 from shopcast.operators.cube import Win, in_win, is_type
 from shopcast.schemas import AGE_BUCKETS, ATTR_CODES, COMMENT_NUM_CODES, PURCHASE, SEX_CODES, USER_LEVELS
 
-# Age text -> code.  Three codings exist in the source; all are expressible
-# as a mapping plus default.
+# Age text -> code.  Two codings exist in the source, both over the same
+# texts; anything else is -1 in the first and 0 in the second.
 AGE_CODES_0_6 = {txt: i for i, txt in enumerate(AGE_BUCKETS)}            # '-1' -> 0 … '56岁以上' -> 6
-AGE_CODES_1_7 = {txt: i + 1 for i, txt in enumerate(AGE_BUCKETS[1:])}   # buckets -> 1..6, else 0
+AGE_CODES_1_7 = {txt: i + 1 for i, txt in enumerate(AGE_BUCKETS)}        # '-1' -> 1 … '56岁以上' -> 7
 
 
 def age_code(users: DataFrame, mapping: dict = AGE_CODES_0_6, default=-1) -> DataFrame:

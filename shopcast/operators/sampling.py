@@ -55,7 +55,10 @@ def first_n_by_hash(df: DataFrame, keys, n: int, seed: int) -> DataFrame:
 
 def downsample_negatives(df: DataFrame, keys, label: str = "label", ratio: float = 1.0, seed: int = 0) -> DataFrame:
     """M1: all positives plus exactly ``round(ratio * positives)`` negatives
-    chosen by key hash (the count is one scalar action)."""
+    chosen by key hash (the count is one scalar action).  The input is written
+    once, so the count, both parts and the histogram read a table, not its plan."""
+    from shopcast.sources.files import staged
+    df = staged(df, "downsample")
     pos = df.filter(F.col(label) == 1)
     neg = df.filter(F.col(label) != 1)
     n = int(round(ratio * pos.count()))

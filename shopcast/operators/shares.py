@@ -7,8 +7,7 @@ rank is NULL unless all six totals are non-zero).
 
 Parent totals are an aggregate of the child table (never a window
 ``partitionBy(parent)``, which would put a hot user in one task), joined back
-on the parent key.  When the parent is the category, its cardinality is
-bounded by the fixed category vocabulary, so the totals are broadcast.
+on the parent key; AQE broadcasts them when their measured size is small.
 """
 
 from __future__ import annotations
@@ -21,10 +20,7 @@ from pyspark.sql import functions as F
 
 from shopcast.functions.exprs import safe_ratio
 from shopcast.operators.cube import GRAINS, Win, cnt0_sql, in_win, sql_col, type_sql
-from shopcast.schemas import CATES, PURCHASE, TYPES
-
-# Parents whose key set is bounded by a fixed vocabulary -> safe to broadcast.
-_BOUNDED_PARENTS = {("cate",): len(CATES)}
+from shopcast.schemas import PURCHASE, TYPES
 
 
 def share_rank(cube: DataFrame, child, parent, w: Win, rank_name: str, ratio4_name: str) -> DataFrame:
@@ -33,8 +29,6 @@ def share_rank(cube: DataFrame, child, parent, w: Win, rank_name: str, ratio4_na
     g = (cube.filter(in_win(w)).groupBy(*ck)
              .agg(*[sql_col(cnt0_sql(w, type_sql(k)), f"_g{k}") for k in TYPES]))
     p = g.groupBy(*pk).agg(*[F.sum(f"_g{k}").alias(f"_p{k}") for k in TYPES])
-    if tuple(pk) in _BOUNDED_PARENTS:
-        p = F.broadcast(p)
     j = g.join(p, pk, "inner")
     ratios = {k: safe_ratio(F.col(f"_g{k}"), F.col(f"_p{k}"), "null") for k in TYPES}
     return j.select(*ck, reduce(add, ratios.values()).alias(rank_name),

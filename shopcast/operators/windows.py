@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+RANGES = 200
+
 
 def keep_latest(df: DataFrame, keys, order_col: str = "time", tiebreak=(), keep: str = "last") -> DataFrame:
     """One row per key — the latest (``keep='last'``) or earliest row by
@@ -29,13 +31,31 @@ def relative_order(df: DataFrame, value: str, out: str = "order", partition_by=(
 
     Computed on the histogram of distinct values (a map-side-combined
     aggregate), whose running total is joined back — rows are never sorted,
-    only distinct values are."""
+    only distinct values are.  Without partition keys the values are cut into
+    ``RANGES`` ranges at approximate quantiles: a running total inside each
+    range plus the totals of the ranges above it, so no task sees them all.
+    NULL comes after every value."""
     keys = list(partition_by)
     hist = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))) \
-        .orderBy(F.col(value).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranks = hist.select(*keys, value, (F.sum("_n").over(w) - 1).alias(out))
-    return df.join(ranks, keys + [value], "left")
+    above = F.lit(0)
+    if not keys:
+        cuts = hist.agg(F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 10_000).alias("c")).first().c
+        cuts = sorted(set(cuts or []))
+        below = F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: F.col(value) < c) if cuts else F.array()
+        hist = hist.withColumn("_range", F.when(F.col(value).isNull(), len(cuts) + 1).otherwise(F.size(below)))
+        # at most RANGES + 1 rows
+        sums = hist.groupBy("_range").agg(F.sum("_n").alias("_s"))
+        order = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        sums = sums.select("_range", (F.sum("_s").over(order) - F.col("_s")).alias("_above"))
+        hist, above = hist.join(F.broadcast(sums), "_range"), F.col("_above")
+    w = (Window.partitionBy(*(keys or ["_range"])).orderBy(F.col(value).desc_nulls_last())
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranks = hist.select(*keys, F.col(value).alias("_v"), (F.sum("_n").over(w) + above - 1).alias(out))
+    same = F.col(value).eqNullSafe(F.col("_v"))
+    for k in keys:
+        ranks = ranks.withColumnRenamed(k, f"_k_{k}")
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return df.join(ranks, same, "left").drop("_v", *[f"_k_{k}" for k in keys])
 
 
 def top1_per_key(df: DataFrame, key: str = "user_id", item: str = "sku_id", score: str = "label") -> DataFrame:

@@ -308,7 +308,7 @@ def a14(spark, sf):
 def a15u(spark, sf):
     d = load_a(spark, sf)
     D = d["dates"]
-    return fam.labels(d["actions"], D.label_start, D.label_end)
+    return fam.labels(d["actions"], D.label_start, D.label_end, cate=D.target_cate)
 
 
 @register("a15ui_pair_labels")
@@ -322,7 +322,7 @@ def a15ui(spark, sf):
 def a15t(spark, sf):
     d = load_a(spark, sf)
     D = d["dates"]
-    return fam.truth_rows(d["actions"], D.label_start, D.label_end)
+    return fam.truth_rows(d["actions"], D.label_start, D.label_end, cate=D.target_cate)
 
 
 # ---- A2 statistics ----------------------------------------------------------------------------
@@ -525,7 +525,7 @@ def p2p(spark, sf):
 
 @register("p3_recode_age")
 def p3(spark, sf):
-    """Age coded 1..6 for the buckets, 0 otherwise."""
+    """Age text coded 1..7 in bucket order, anything else 0."""
     d = load_a(spark, sf)
     return prof.age_code(d["users"], prof.AGE_CODES_1_7, 0).select("user_id", "age")
 
@@ -688,24 +688,34 @@ def _pair_scores(d):
 @register("l1_topk_by_score")
 def l1(spark, sf):
     from shopcast.sources.sinks import top_users
-    return top_users(_user_scores_plain(load_a(spark, sf)), 20)
+    return top_users(_user_scores_plain(load_a(spark, sf)), 1000)
 
 
 @register("l2_e3_cutoff_sweep")
 def l2(spark, sf):
     d = load_a(spark, sf)
     D = d["dates"]
-    truth = fam.labels(d["actions"], D.label_start, D.label_end)
-    return ev.cutoff_sweep(_user_scores_plain(d), truth, (20, 50, 100),
+    truth = fam.labels(d["actions"], D.label_start, D.label_end, cate=D.target_cate)
+    return ev.cutoff_sweep(_user_scores_plain(d), truth, (900, 950, 1000),
                            [F.col("prob").desc(), F.col("user_id")])
 
 
+@register("e3_pair_cutoff_sweep")
+def e3(spark, sf):
+    """User and pair metrics of the best 600 / 800 / 900 / 1000 (user, sku) pairs."""
+    d = load_a(spark, sf)
+    D = d["dates"]
+    truth = fam.labels(d["actions"], D.label_start, D.label_end, ("user_id", "sku_id"), cate=D.target_cate)
+    return ev.pair_cutoff_sweep(_pair_scores(d), truth, (600, 800, 900, 1000),
+                                [F.col("label").desc(), F.col("user_id"), F.col("sku_id")])
+
+
 @register("e1_f11")
 def e1(spark, sf):
     d = load_a(spark, sf)
     D = d["dates"]
     pred = _user_scores_plain(d).orderBy(F.col("prob").desc(), "user_id").limit(50)
-    return ev.f11(pred, fam.labels(d["actions"], D.label_start, D.label_end))
+    return ev.f11(pred, fam.labels(d["actions"], D.label_start, D.label_end, cate=D.target_cate))
 
 
 @register("e2_f12_score")
@@ -713,7 +723,7 @@ def e2(spark, sf):
     d = load_a(spark, sf)
     D = d["dates"]
     pred = _pair_scores(d).orderBy(F.col("label").desc(), "user_id", "sku_id").limit(200)
-    truth = fam.labels(d["actions"], D.label_start, D.label_end, ("user_id", "sku_id"))
+    truth = fam.labels(d["actions"], D.label_start, D.label_end, ("user_id", "sku_id"), cate=D.target_cate)
     return ev.f12_score(pred.select("user_id", "sku_id"), truth)
 
 
@@ -722,7 +732,7 @@ def j3(spark, sf):
     d = load_a(spark, sf)
     D = d["dates"]
     base = fam.decayed_df(_cube(d), "UICB", _acc(d), "action_{k}")
-    return jn.semi_restrict(base, fam.labels(d["actions"], D.label_start, D.label_end))
+    return jn.semi_restrict(base, fam.labels(d["actions"], D.label_start, D.label_end, cate=D.target_cate))
 
 
 @register("j3_semi_restrict_topk")
@@ -747,17 +757,16 @@ def _cart_sides(d):
 def j4(spark, sf):
     from shopcast.functions.exprs import flag
     cart, uncart = _cart_sides(load_a(spark, sf))
-    j = (wn.keep_latest(cart, ["user_id"], "cart_time", ("cart_sku",))
-           .join(wn.keep_latest(uncart, ["user_id"], "uncart_time", ("uncart_sku",)), "user_id", "left"))
+    j = jn.latest_per_user_join(cart, uncart, "cart_time", "uncart_time", ("cart_sku",), ("uncart_sku",))
     return j.select("user_id", _ts("cart_time").alias("cart_time"), _ts("uncart_time").alias("uncart_time"),
                     flag(F.col("uncart_time") >= F.col("cart_time")).alias("buy_possible"))
 
 
 @register("j4_cart_uncart_as_written")
 def j4w(spark, sf):
+    """Rows per user of the many-to-many join, counted without making them."""
     cart, uncart = _cart_sides(load_a(spark, sf))
-    j = cart.join(uncart, "user_id", "left")
-    return j.groupBy("user_id").agg(F.count(F.lit(1)).alias("rows"))
+    return jn.fan_out_counts(cart, uncart)
 
 
 @register("j5_topk_overlap")
@@ -769,6 +778,18 @@ def j5(spark, sf):
                            [F.col("label").desc(), F.col("user_id"), F.col("sku_id")])
 
 
+@register("j5_topk_overlap_pairs")
+def j5p(spark, sf):
+    """The best 1000 pairs of two scorings that name the same user and sku."""
+    from shopcast.operators.cube import cnt0
+    d = load_a(spark, sf)
+    w = _acc(d)
+    views = fam.aggregate(_cube(d), "UI", [cnt0(w, is_type(1)).cast("double").alias("views")], w)
+    return jn.topk_overlap(_pair_scores(d), views, 1000, 1000,
+                           [F.col("label").desc(), F.col("user_id"), F.col("sku_id")],
+                           [F.col("views").desc(), F.col("user_id"), F.col("sku_id")], on=("user_id", "sku_id"))
+
+
 @register("u2_intersect")
 def u2(spark, sf):
     d = load_a(spark, sf)
@@ -786,7 +807,7 @@ def u1(spark, sf):
     d = load_a(spark, sf)
     D = d["dates"]
     base = fam.decayed_df(_cube(d), "UICB", _acc(d), "action_{k}").select("user_id", "sku_id")
-    lab = fam.labels(d["actions"], D.label_start, D.label_end, ("user_id", "sku_id"))
+    lab = fam.labels(d["actions"], D.label_start, D.label_end, ("user_id", "sku_id"), cate=D.target_cate)
     pos = base.join(lab, ["user_id", "sku_id"], "left_semi").withColumn("label", F.lit(1))
     neg = base.join(lab, ["user_id", "sku_id"], "left_anti").withColumn("label", F.lit(0))
     return pos.unionByName(neg)
@@ -817,6 +838,14 @@ def w3(spark, sf):
     return wn.relative_order(skus, "views", "view_order", ["cate"])
 
 
+@register("w3_relative_order_global")
+def w3g(spark, sf):
+    """The same order over all skus, without a partition key."""
+    d = load_a(spark, sf)
+    skus = fam.type_counts_df(_cube(d), "I", _acc(d), "n_{k}").select("sku_id", F.col("n_1").alias("views"))
+    return wn.relative_order(skus, "views", "view_order")
+
+
 @register("w4_top1_per_user")
 def w4(spark, sf):
     return wn.top1_per_key(_pair_scores(load_a(spark, sf)))
@@ -841,7 +870,7 @@ from shopcast.operators import sampling as smp  # noqa: E402
 def _pairs_labelled(d):
     D = d["dates"]
     base = fam.decayed_df(_cube(d), "UICB", _acc(d), "action_{k}").select("user_id", "sku_id")
-    lab = fam.labels(d["actions"], D.label_start, D.label_end, ("user_id", "sku_id"))
+    lab = fam.labels(d["actions"], D.label_start, D.label_end, ("user_id", "sku_id"), cate=D.target_cate)
     return base.join(lab, ["user_id", "sku_id"], "left").na.fill({"label": 0})
 
 
@@ -859,8 +888,9 @@ def m2(spark, sf):
 
 @register("m3_train_eval_split")
 def m3(spark, sf):
-    df = _pairs_labelled(load_a(spark, sf))
-    return df.withColumn("bucket", smp.split_bucket(0, ["user_id", "sku_id"]))
+    train, held = smp.train_eval_split(_pairs_labelled(load_a(spark, sf)), ["user_id", "sku_id"])
+    both = train.withColumn("is_eval", F.lit(0)).unionByName(held.withColumn("is_eval", F.lit(1)))
+    return both.withColumn("bucket", smp.split_bucket(0, ["user_id", "sku_id"]))
 
 
 @register("m4_impute_mean")
@@ -891,13 +921,13 @@ def s1(spark, sf):
     d = load_a(spark, sf)
     a = d["actions"].select("user_id", "sku_id", "time", "model_id", "type", "cate", "brand")
     base = _scratch(spark, "actions")
-    bounds = ["2023-12-01", "2024-01-11", "2024-01-21", "2024-03-01"]
-    paths = []
     from shopcast.functions.timebins import ts_lit
-    for j in range(3):
+    t, lo, hi = F.col("time"), ts_lit("2024-01-11"), ts_lit("2024-01-21")
+    paths = []
+    # the outer files are open-ended and the first takes rows without a time, so no row is left out
+    for j, rows in enumerate((t.isNull() | (t < lo), (t >= lo) & (t < hi), t >= hi)):
         p = f"{base}/part{j}"
-        a.filter((F.col("time") >= ts_lit(bounds[j])) & (F.col("time") < ts_lit(bounds[j + 1]))) \
-         .write.option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(p)
+        a.filter(rows).write.option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(p)
         paths.append(p)
     return _rows(scan_actions(spark, paths))
 
@@ -943,18 +973,18 @@ def s6(spark, sf):
 def s7(spark, sf):
     from shopcast.sources.sinks import write_user_submission
     p = _scratch(spark, "pred_user")
-    write_user_submission(_user_scores_plain(load_a(spark, sf)), 20, p)
-    return spark.read.option("header", True).schema("user_id long, sku_id long").csv(p)
+    write_user_submission(_user_scores_plain(load_a(spark, sf)), 1000, p)
+    return spark.read.option("header", True).schema("user_id long, sku_id long, rank int").csv(p)
 
 
 @register("s10_read_candidates")
 def s10(spark, sf):
-    """The first 10 rows of the ranked candidate file written by S7."""
+    """The candidates of the ranked file written by S7, at most the first 1000."""
     from shopcast.sources.files import read_candidates
     from shopcast.sources.sinks import write_user_submission
     p = _scratch(spark, "pred_user")
-    write_user_submission(_user_scores_plain(load_a(spark, sf)), 20, p)
-    return read_candidates(spark, p, 10)
+    write_user_submission(_user_scores_plain(load_a(spark, sf)), 1000, p)
+    return read_candidates(spark, p)
 
 
 @register("s8_s9_scores_submission")
@@ -969,68 +999,82 @@ def s89(spark, sf):
 
 # ---- models (M5–M8): rows-only checks ---------------------------------------------------------------
 
-def _train_test_ui(spark, sf):
+def _with_daily(d: dict) -> dict:
+    """One pass over the log serves both end dates (train and scoring cubes)."""
+    from shopcast.operators.cube import materialized_daily
+    return dict(d, daily=materialized_daily(d["actions"]))
+
+
+def _train_ui(d: dict):
+    """The (user, sku) training table of the true buyers (J3), written once so
+    every boosting round reads the table, not its plan; and its features."""
     from shopcast.plans.ui_dataset import feature_columns, user_sku_dataset
-    d = load_a(spark, sf)
+    from shopcast.sources.files import staged
     D = d["dates"]
-    from shopcast.operators.cube import materialized_daily
-    from shopcast.sources.files import materialize
-    # one pass over the log serves both end dates (train and scoring cubes)
-    d = dict(d, daily=materialized_daily(d["actions"]))
-    train = user_sku_dataset(d, with_label=True)
-    buyers = fam.labels(d["actions"], D.label_start, D.label_end)
-    # True buyers only; written once so every boosting round reads the table, not its plan
-    train = materialize(jn.semi_restrict(train, buyers), "ui_train", run=_scratch(spark, "t"))
-    test = user_sku_dataset(d, with_label=False, end=D.score_end)
-    return train, test, feature_columns(train)
+    buyers = fam.labels(d["actions"], D.label_start, D.label_end, cate=D.target_cate)
+    train = staged(jn.semi_restrict(user_sku_dataset(d, with_label=True), buyers), "ui-train")
+    return train, feature_columns(train)
+
+
+def _user_model_scores(d: dict) -> DataFrame:
+    """M6: the user model on D1, scored on D1 at the scoring end."""
+    from shopcast.operators.model import fit_predict_boosted
+    from shopcast.plans.user_dataset import user_dataset, user_dataset_test
+    from shopcast.sources.files import staged
+    train = staged(user_dataset(d, with_label=True), "user-train")
+    cols = sorted(c for c in train.columns if c not in ("user_id", "label"))
+    return fit_predict_boosted(train, user_dataset_test(d), cols).select("user_id", "prob")
+
+
+def _ensemble_scores(d: dict, candidates: DataFrame) -> DataFrame:
+    """M8 on the (user, sku) rows of the (limited) candidate users."""
+    from shopcast.operators.model import subspace_ensemble
+    from shopcast.plans.ui_dataset import user_sku_dataset
+    train, cols = _train_ui(d)
+    test = user_sku_dataset(d, with_label=False, end=d["dates"].score_end)
+    test = jn.semi_restrict(test, candidates, bound=1000)
+    return subspace_ensemble(train, test, cols, parallelism=6).select("user_id", "sku_id", "label")
 
 
 @register("m6_fit_predict_boosted")
 def m6(spark, sf):
     """Entry 1: user model on D1, scored on the shifted D1, top 1000 users (L1 / S7 shape)."""
-    from shopcast.operators.model import fit_predict_boosted
-    from shopcast.plans.user_dataset import user_dataset, user_dataset_test
     from shopcast.sources.sinks import top_users
-    d = load_a(spark, sf)
-    from shopcast.operators.cube import materialized_daily
-    from shopcast.sources.files import materialize
-    d = dict(d, daily=materialized_daily(d["actions"]))
-    train = materialize(user_dataset(d, with_label=True), "user_train", run=_scratch(spark, "t"))
-    test = user_dataset_test(d)
-    cols = sorted(c for c in train.columns if c not in ("user_id", "label"))
-    scored = fit_predict_boosted(train, test, cols, max_iter=30)
-    return top_users(scored, 1000)
+    return top_users(_user_model_scores(_with_daily(load_a(spark, sf))), 1000)
 
 
 @register("m5_importance_topn")
 def m5(spark, sf):
-    """Boosted trees (depth 6) on the (user, sku) table; importance > 0, best 50 (L3)."""
-    from shopcast.operators.model import fit_gbt, importance_table
-    train, _, cols = _train_test_ui(spark, sf)
-    m = fit_gbt(train, cols, max_depth=6, max_iter=30, keys=("user_id", "sku_id"))
+    """100 boosted trees of depth 6, learning rate 1, on the mean-imputed (user, sku) table; importance > 0, best 50 (L3)."""
+    from shopcast.operators.model import fit_gbt, importance_table, impute_mean
+    train, cols = _train_ui(load_a(spark, sf))
+    m = fit_gbt(impute_mean(train, cols), cols, max_depth=6, max_iter=100, step=1.0, keys=("user_id", "sku_id"))
     return ev.importance_topn(importance_table(spark, m, cols), 50)
 
 
 @register("m7_importance_partition")
 def m7(spark, sf):
+    """Up to 1000 rounds with early stopping; which features the model uses."""
     from shopcast.operators.model import fit_gbt, importance_table
-    train, _, cols = _train_test_ui(spark, sf)
-    m = fit_gbt(train, cols, max_depth=5, max_iter=30, step=0.05, validation=True, keys=("user_id", "sku_id"))
+    train, cols = _train_ui(load_a(spark, sf))
+    m = fit_gbt(train, cols, max_depth=5, max_iter=1000, step=0.05, columns=0.8, validation=True, keys=("user_id", "sku_id"))
     return importance_table(spark, m, cols).select("feature", (F.col("importance") > 0).cast("int").alias("used"))
 
 
 @register("m8_subspace_ensemble")
 def m8(spark, sf):
-    """Entry 2: 11-model random-subspace ensemble on the (user, sku) table of
-    the true buyers, scored on the shifted table of the candidate users,
-    best sku per user (W4)."""
-    from shopcast.operators.model import subspace_ensemble
-    train, test, cols = _train_test_ui(spark, sf)
-    d = load_a(spark, sf)
-    cands = _user_scores_plain(d).orderBy(F.col("prob").desc(), "user_id").limit(1000)
-    test = jn.semi_restrict(test, cands, bound=1000)
-    scored = subspace_ensemble(train, test, cols, max_iter=20, parallelism=6)
-    return wn.top1_per_key(scored.select("user_id", "sku_id", "label"))
+    """Entries 1 to 3: the user model's best 1000 users to the ranked candidate
+    file (S7), read back (S10) to restrict the scoring rows of the 11-model
+    ensemble, the best sku per user (W4) to the score file (S8) and from it the
+    submission (S9)."""
+    from shopcast.sources.files import read_candidates
+    from shopcast.sources.sinks import final_submission, write_scores, write_user_submission
+    d = _with_daily(load_a(spark, sf))
+    users, scores, out = (_scratch(spark, x) for x in ("pred_user", "scores", "submission"))
+    write_user_submission(_user_model_scores(d), 1000, users)
+    best = wn.top1_per_key(_ensemble_scores(d, read_candidates(spark, users)))
+    write_scores(best, scores)
+    return final_submission(spark, scores, out)
 
 
 # ---- streaming: daily table maintained by a file stream, cube derived for the end date ----------
@@ -1113,7 +1157,7 @@ def p6(spark, sf):
 def p8(spark, sf):
     d = load_a(spark, sf)
     D = d["dates"]
-    lab = fam.labels(d["actions"], D.label_start, D.label_end, ("user_id", "sku_id"))
+    lab = fam.labels(d["actions"], D.label_start, D.label_end, ("user_id", "sku_id"), cate=D.target_cate)
     return lab.select(F.concat_ws("-", F.col("user_id").cast("string"), F.col("sku_id").cast("string")).alias("pair"))
 
 

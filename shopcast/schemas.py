@@ -75,4 +75,5 @@ SCORES = T.StructType([
 CANDIDATES = T.StructType([
     T.StructField("user_id", T.LongType()),
     T.StructField("sku_id", T.LongType()),
+    T.StructField("rank", T.IntegerType()),
 ])

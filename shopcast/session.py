@@ -8,6 +8,7 @@ command-line use only.
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -28,13 +29,19 @@ DEFAULT_CONF = {
 }
 
 
+def conf_master(master: str | None, cpus: str) -> str:
+    return master or f"local[{cpus}]"
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app: str = "shopcast", extra: dict | None = None) -> SparkSession:
     cpus = os.environ.get("BENCH_CPUS", "8")
-    builder = SparkSession.builder.master(master or f"local[{cpus}]").appName(app)
+    builder = SparkSession.builder.master(conf_master(master, cpus)).appName(app)
     conf = dict(DEFAULT_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or int(cpus))
     conf.setdefault("spark.driver.memory", "16g")
+    if conf_master(master, cpus).startswith("local"):
+        conf["spark.checkpoint.dir"] = tempfile.mkdtemp(prefix="shopcast-shared-")
     if extra:
         conf.update(extra)
     for k, v in conf.items():
@@ -54,13 +61,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
-        # local runs only: a cluster always names shared storage here
-        import tempfile
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that the driver and all executors of {master} share")
         d = tempfile.mkdtemp(prefix="shopcast-ckpt-")
-        try:
-            spark.conf.set("spark.checkpoint.dir", d)
-        except Exception:  # core configs may be read-only at runtime
-            pass
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
     return d

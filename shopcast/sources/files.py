@@ -84,9 +84,16 @@ def materialize(df: DataFrame, family: str, **params) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once under the shared checkpoint folder and read back."""
+    import uuid
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/staged/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def read_candidates(spark: SparkSession, path: str, topi: int = 1000) -> DataFrame:
-    """The first ``topi`` rows of a ranked candidate CSV (single file,
-    written by ``write_user_submission``).  File order is made explicit with
-    an increasing id before the bounded top-k."""
-    df = _csv(spark, path, schemas.CANDIDATES).withColumn("_rn", F.monotonically_increasing_id())
-    return df.orderBy("_rn").limit(topi).drop("_rn")
+    """The ``topi`` best rows of a candidate CSV written by
+    ``write_user_submission``, by its rank column (a bounded top-k, whatever
+    the number and order of the files)."""
+    return _csv(spark, path, schemas.CANDIDATES).orderBy("rank").limit(topi).drop("rank")

@@ -17,8 +17,12 @@ def top_users(scores: DataFrame, k: int, prob_col: str = "prob") -> DataFrame:
 
 
 def write_user_submission(scores: DataFrame, k: int, path: str, prob_col: str = "prob") -> DataFrame:
-    """Top-k users CSV with a header, no index, one file in rank order."""
-    out = top_users(scores, k, prob_col)
+    """Top-k users CSV with a header, one file in rank order, the rank as
+    a column (1 = best)."""
+    from shopcast.operators.evaluate import ranked_top
+    top = ranked_top(scores, k, [F.col(prob_col).desc(), F.col("user_id").asc()])
+    out = top.select(F.col("user_id").cast("long").alias("user_id"), F.lit(-1).cast("long").alias("sku_id"),
+                     F.col("rank").cast("int").alias("rank")).orderBy("rank")
     out.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
     return out
 

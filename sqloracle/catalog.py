@@ -194,10 +194,10 @@ def label_where(ctx, extra=None):
 
 
 SQL["a14_distinct_users"] = A.sql(f"SELECT DISTINCT user_id FROM actions WHERE {where(A, 30, 'cate = 8')}")
-SQL["a15u_user_labels"] = A.sql(f"SELECT DISTINCT user_id, 1 AS label FROM actions WHERE {label_where(A)}")
+SQL["a15u_user_labels"] = A.sql(f"SELECT DISTINCT user_id, 1 AS label FROM actions WHERE {label_where(A, 'cate = 8')}")
 SQL["a15ui_pair_labels"] = A.sql(
     f"SELECT DISTINCT user_id, sku_id, 1 AS label FROM actions WHERE {label_where(A, 'cate = 8')}")
-SQL["a15t_truth_rows"] = A.sql(f"SELECT user_id FROM actions WHERE {label_where(A)}")
+SQL["a15t_truth_rows"] = A.sql(f"SELECT user_id FROM actions WHERE {label_where(A, 'cate = 8')}")
 
 
 # ---- A2 -------------------------------------------------------------------------------------
@@ -370,6 +370,8 @@ def d7_window(ctx, i):
 UM_WINDOWS = (1, 2, 3, 5, 7, 10, 15, 21, 30)
 AGE_CASE = ("CASE age WHEN '-1' THEN 0 WHEN '15岁以下' THEN 1 WHEN '16-25岁' THEN 2 WHEN '26-35岁' THEN 3 "
             "WHEN '36-45岁' THEN 4 WHEN '46-55岁' THEN 5 WHEN '56岁以上' THEN 6 ELSE -1 END")
+AGE_CASE_1_7 = ("CASE age WHEN '-1' THEN 1 WHEN '15岁以下' THEN 2 WHEN '16-25岁' THEN 3 WHEN '26-35岁' THEN 4 "
+                "WHEN '36-45岁' THEN 5 WHEN '46-55岁' THEN 6 WHEN '56岁以上' THEN 7 ELSE 0 END")
 
 
 def profile_sql(with_sex=True):
@@ -428,8 +430,7 @@ SQL["p2_product_one_hot"] = A.sql(
         f"CASE WHEN {a} = {v} THEN 1 ELSE 0 END AS {q(f'{a}_{v}')}" for a in ("a1", "a2", "a3")
         for v in (-1, 0, 1, 2, 3)) + " FROM products")
 SQL["p3_recode_age"] = A.sql(
-    "SELECT user_id, CASE age WHEN '15岁以下' THEN 1 WHEN '16-25岁' THEN 2 WHEN '26-35岁' THEN 3 "
-    "WHEN '36-45岁' THEN 4 WHEN '46-55岁' THEN 5 WHEN '56岁以上' THEN 6 ELSE 0 END AS age FROM users")
+    f"SELECT user_id, {AGE_CASE_1_7} AS age FROM users")
 _nonnull = "age IS NOT NULL AND sex IS NOT NULL AND user_lv_cd IS NOT NULL AND user_reg_tm IS NOT NULL"
 SQL["t6_days_registered"] = A.sql(
     f"SELECT user_id, CAST(CASE WHEN d < 0 THEN -1 ELSE d END AS BIGINT) AS user_reg_tm FROM "
@@ -489,17 +490,17 @@ USCORE = (f"SELECT user_id, CAST(count(*) FILTER (WHERE type = 4) AS DOUBLE) AS
           f"WHERE {where(A, 0)} GROUP BY user_id")
 PSCORE = (f"SELECT user_id, sku_id, CAST(count(*) FILTER (WHERE type = 4) * 10 + count(*) FILTER (WHERE type = 1) "
           f"AS DOUBLE) AS label FROM actions WHERE {where(A, 0)} GROUP BY user_id, sku_id")
-TRUTH_U = f"SELECT DISTINCT user_id FROM actions WHERE {label_where(A)}"
-TRUTH_P = f"SELECT DISTINCT user_id, sku_id FROM actions WHERE {label_where(A)}"
+TRUTH_U = f"SELECT DISTINCT user_id FROM actions WHERE {label_where(A, 'cate = 8')}"
+TRUTH_P = f"SELECT DISTINCT user_id, sku_id FROM actions WHERE {label_where(A, 'cate = 8')}"
 
 SQL["l1_topk_by_score"] = A.sql(f"SELECT user_id, CAST(-1 AS BIGINT) AS sku_id FROM ({USCORE}) s "
-                                f"ORDER BY prob DESC, user_id LIMIT 20")
+                                f"ORDER BY prob DESC, user_id LIMIT 1000")
 
 
 def _sweep():
     top = f"SELECT user_id, row_number() OVER (ORDER BY prob DESC, user_id) AS rk FROM ({USCORE}) s"
     rows = []
-    for c in (20, 50, 100):
+    for c in (900, 950, 1000):
         rows.append(
             f"SELECT {c} AS cutoff, CAST(count(*) FILTER (WHERE t.user_id IS NOT NULL AND rk <= {c}) AS BIGINT) AS hits, "
             f"CAST(count(*) FILTER (WHERE rk <= {c}) AS BIGINT) AS predicted, (SELECT count(*) FROM truth) AS actual "
@@ -508,7 +509,7 @@ def _sweep():
     f = ("CASE WHEN hits > 0 THEN 6.0 * (hits / predicted) * (hits / actual) / "
          "(5.0 * (hits / actual) + hits / predicted) ELSE 0.0 END")
     return A.sql(f"SELECT cutoff, hits, predicted, actual, {r(f.replace('hits /', 'CAST(hits AS DOUBLE) /'))} AS f11 "
-                 f"FROM ({body}) x", [f"top AS ({top} QUALIFY rk <= 100)", f"truth AS ({TRUTH_U})"])
+                 f"FROM ({body}) x", [f"top AS ({top} QUALIFY rk <= 1000)", f"truth AS ({TRUTH_U})"])
 
 
 SQL["l2_e3_cutoff_sweep"] = _sweep()
@@ -538,6 +539,25 @@ SQL["e2_f12_score"] = A.sql(
     f"(SELECT pair_hits, {r(f'CASE WHEN pair_hits > 0 THEN 5.0 * {_P2} * {_R2} / (2.0 * {_R2} + 3.0 * {_P2}) ELSE 0.0 END')}"
     f" AS f12 FROM ({_pairs}) x) q")
 
+def _pair_sweep():
+    top = f"SELECT *, row_number() OVER (ORDER BY label DESC, user_id, sku_id) AS rk FROM ({PSCORE}) s QUALIFY rk <= 1000"
+    rows = [f"SELECT {c} AS cutoff, "
+            f"(SELECT count(DISTINCT user_id) FROM top WHERE rk <= {c} AND user_id IN (SELECT user_id FROM truth)) AS user_hits, "
+            f"(SELECT count(DISTINCT user_id) FROM top WHERE rk <= {c}) AS users_predicted, "
+            f"(SELECT count(DISTINCT user_id) FROM truth) AS users_actual, "
+            f"(SELECT count(*) FROM top JOIN truth USING (user_id, sku_id) WHERE rk <= {c}) AS pair_hits, "
+            f"(SELECT count(*) FROM top WHERE rk <= {c}) AS pairs_predicted, (SELECT count(*) FROM truth) AS pairs_actual"
+            for c in (600, 800, 900, 1000)]
+    up, ur = "(CAST(user_hits AS DOUBLE) / users_predicted)", "(CAST(user_hits AS DOUBLE) / users_actual)"
+    pp, pr = "(CAST(pair_hits AS DOUBLE) / pairs_predicted)", "(CAST(pair_hits AS DOUBLE) / pairs_actual)"
+    f11 = f"CASE WHEN user_hits > 0 THEN 6.0 * {up} * {ur} / (5.0 * {ur} + {up}) ELSE 0.0 END"
+    f12 = f"CASE WHEN pair_hits > 0 THEN 5.0 * {pp} * {pr} / (2.0 * {pr} + 3.0 * {pp}) ELSE 0.0 END"
+    return A.sql(f"SELECT *, {r(f11)} AS f11, {r(f12)} AS f12, {r(f'0.4 * ({f11}) + 0.6 * ({f12})')} AS score "
+                 f"FROM ({' UNION ALL '.join(rows)}) x", [f"top AS ({top})", f"truth AS ({TRUTH_P})"])
+
+
+SQL["e3_pair_cutoff_sweep"] = _pair_sweep()
+
 _DB = (f"SELECT user_id, sku_id, cate, brand, " + ", ".join(
     f"{r(f'coalesce(sum(exp(-{b(A)})) FILTER (WHERE type = {k}), 0)')} AS action_{k}" for k in TYPES)
     + f" FROM actions WHERE {where(A, 0)} GROUP BY user_id, sku_id, cate, brand")
@@ -557,6 +577,11 @@ SQL["j4_cart_uncart_as_written"] = A.sql(
 SQL["j5_topk_overlap"] = A.sql(
     f"SELECT a.user_id, a.prob, b.sku_id, b.label FROM (SELECT * FROM ({USCORE}) s ORDER BY prob DESC, user_id LIMIT 50) a "
     f"JOIN (SELECT * FROM ({PSCORE}) p ORDER BY label DESC, user_id, sku_id LIMIT 200) b ON a.user_id = b.user_id")
+_PVIEWS = (f"SELECT user_id, sku_id, CAST(count(*) FILTER (WHERE type = 1) AS DOUBLE) AS views FROM actions "
+           f"WHERE {where(A, 0)} GROUP BY user_id, sku_id")
+SQL["j5_topk_overlap_pairs"] = A.sql(
+    f"SELECT user_id, sku_id, a.label, b.views FROM (SELECT * FROM ({PSCORE}) s ORDER BY label DESC, user_id, sku_id LIMIT 1000) a "
+    f"JOIN (SELECT * FROM ({_PVIEWS}) p ORDER BY views DESC, user_id, sku_id LIMIT 1000) b USING (user_id, sku_id)")
 _VIEWS = (f"SELECT user_id, CAST(count(*) FILTER (WHERE type = 1) AS DOUBLE) AS prob FROM actions "
           f"WHERE {where(A, 0)} GROUP BY user_id")
 SQL["u2_intersect"] = A.sql(
@@ -577,6 +602,9 @@ _SV = (f"SELECT sku_id, cate, count(*) FILTER (WHERE type = 1) AS views FROM act
 SQL["w3_relative_order"] = A.sql(
     "SELECT s.sku_id, s.cate, s.views, (SELECT count(*) FROM sv s2 WHERE s2.cate = s.cate AND s2.views >= s.views) - 1 "
     "AS view_order FROM sv s", [f"sv AS ({_SV})"])
+SQL["w3_relative_order_global"] = A.sql(
+    "SELECT s.sku_id, s.views, (SELECT count(*) FROM sv s2 WHERE s2.views >= s.views) - 1 AS view_order FROM sv s",
+    [f"sv AS (SELECT sku_id, {n('type = 1')} AS views FROM actions WHERE {where(A, 0)} GROUP BY sku_id)"])
 SQL["w4_top1_per_user"] = A.sql(
     f"SELECT user_id, sku_id, label FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY label DESC, sku_id) "
     f"AS rn FROM ({PSCORE}) p) x WHERE rn = 1")
@@ -605,7 +633,8 @@ SQL["m1_downsample_negatives"] = A.sql(
     [f"lab AS ({_LAB})"])
 SQL["m2_shuffle_rows"] = A.sql(f"SELECT *, {_h(7)} AS shuffle_key FROM ({_LAB}) l")
 SQL["m3_train_eval_split"] = A.sql(
-    f"SELECT *, CAST(CAST(('0x' || substr({_h(0)}, 1, 8)) AS BIGINT) % 5 AS INTEGER) AS bucket FROM ({_LAB}) l")
+    f"SELECT *, CASE WHEN bucket = 0 THEN 1 ELSE 0 END AS is_eval FROM (SELECT *, "
+    f"CAST(CAST(('0x' || substr({_h(0)}, 1, 8)) AS BIGINT) % 5 AS INTEGER) AS bucket FROM ({_LAB}) l) x")
 _M4 = (f"SELECT b.user_id, " + ", ".join(f"w.{q(f'5_day_user_action_{k}')}" for k in TYPES)
        + f" FROM (SELECT DISTINCT user_id FROM actions WHERE {where(A, 30, 'cate = 8')}) b LEFT JOIN ("
        + f"SELECT user_id, " + ", ".join(f"{n(f'type = {k}')} AS {q(f'5_day_user_action_{k}')}" for k in TYPES)
@@ -624,9 +653,11 @@ SQL["s3_scan_products"] = A.sql("SELECT * FROM products")
 SQL["s4_scan_comments"] = A.sql("SELECT CAST(dt AS VARCHAR) AS dt, sku_id, comment_num, has_bad_comment, "
                                 "round(bad_comment_rate, 6) AS bad_comment_rate FROM comments")
 SQL["s6_materialize"] = SQL["a3_decayed_counts"]
-SQL["s7_write_user_submission"] = SQL["l1_topk_by_score"]
+SQL["s7_write_user_submission"] = A.sql(
+    f"SELECT user_id, CAST(-1 AS BIGINT) AS sku_id, CAST(row_number() OVER (ORDER BY prob DESC, user_id) AS INTEGER) "
+    f"AS rank FROM ({USCORE}) s ORDER BY prob DESC, user_id LIMIT 1000")
 SQL["s10_read_candidates"] = A.sql(f"SELECT user_id, CAST(-1 AS BIGINT) AS sku_id FROM ({USCORE}) s "
-                                   f"ORDER BY prob DESC, user_id LIMIT 10")
+                                   f"ORDER BY prob DESC, user_id LIMIT 1000")
 SQL["s8_s9_scores_submission"] = A.sql(f"SELECT user_id, sku_id FROM ({PSCORE}) p")
 
 
