@@ -38,15 +38,17 @@ def basic_product_features(products: DataFrame) -> DataFrame:
                            *one_hot("a2", ATTR_CODES, "a2"), *one_hot("a3", ATTR_CODES, "a3"))
 
 
-def static_user_features(users: DataFrame, end, mapping: dict = AGE_CODES_0_6, drop_sex: bool = True) -> DataFrame:
+def static_user_features(users: DataFrame, end, mapping: dict = AGE_CODES_0_6, default: int = -1,
+                         drop_sex: bool = True) -> DataFrame:
     """P2 + T6 in one projection of the user table (one scan, one join): the
     profile one-hot plus days registered, NULL for users with a missing
     attribute (the users ``registration_days`` drops)."""
     complete = None
     for c in users.columns:
         complete = F.col(c).isNotNull() if complete is None else complete & F.col(c).isNotNull()
-    age = recode("age", mapping, -1)
-    cols = [F.col("user_id")] + one_hot(age, sorted(set(mapping.values())), "age")
+    age = recode("age", mapping, default)
+    codes = sorted({*mapping.values(), *([default] if default >= 0 else [])})
+    cols = [F.col("user_id")] + one_hot(age, codes, "age")
     if not drop_sex:
         cols += one_hot("sex", SEX_CODES, "sex")
     cols += one_hot("user_lv_cd", USER_LEVELS, "user_lv_cd")

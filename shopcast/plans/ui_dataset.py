@@ -31,7 +31,7 @@ from shopcast.operators.cube import (
     Win, day_mask_aggs, days_from_masks, in_win, is_type, mask_columns, materialized_cube, sql_col,
 )
 from shopcast.operators.profile import (
-    basic_product_features, comment_features, reg_to_first_buy, static_user_features,
+    AGE_CODES_1_7, basic_product_features, comment_features, reg_to_first_buy, static_user_features,
 )
 from shopcast.operators.pivots import cate_purchase_basket
 from shopcast.schemas import CONV_TYPES, MODEL_IDS, PURCHASE, TYPES, UI_DAY_WINDOWS
@@ -66,7 +66,7 @@ def _with_days(grouped_aggs, keys, cube, wins, max_day, any_fmt, buy_fmt, tag):
 def _share_cols(child_fmt: str, parent_fmt: str, rank: str, ratio4: str):
     """Share rank from counts on the row: Σ_k child_k / parent_k (NULL when a
     parent total is 0) and the purchase share."""
-    r = [f"try_divide(CAST(`{child_fmt.format(i=0, k=k)}` AS DOUBLE), `{parent_fmt.format(i=0, k=k)}`)" for k in TYPES]
+    r = [f"try_divide(CAST(`{child_fmt.format(k=k)}` AS DOUBLE), `{parent_fmt.format(k=k)}`)" for k in TYPES]
     return [sql_col(" + ".join(r), rank), sql_col(r[PURCHASE - 1], ratio4)]
 
 
@@ -78,8 +78,9 @@ def user_sku_dataset(src: dict, with_label: bool = True, spec: UISpec = UISpec()
     end = end or D.end
     acc_days = (end - D.acc_start).days
     acc = Win(0, acc_days)
+    racc = Win(0, (end - D.rank_start).days)    # ranks, conversions, first / last purchase, basket
     wins = [Win.of(i) for i in spec.windows]
-    start = min(D.acc_start, window_start(end, days=max(spec.windows)))
+    start = min(D.acc_start, D.rank_start, window_start(end, days=max(spec.windows)))
     cate = D.target_cate
     actions = src["actions"]
     cube = materialized_cube(actions, end, start, src.get("daily"))
@@ -93,7 +94,7 @@ def user_sku_dataset(src: dict, with_label: bool = True, spec: UISpec = UISpec()
     ui_m = []
     for w in wins + [acc]:
         ui_m += fam.type_counts(w, "{i}_action_{k}")
-    ui_m += fam.conv_ratios(acc, "{i}_ui_conv_ratio_{k}")
+    ui_m += fam.conv_ratios(racc, "{i}_ui_conv_ratio_{k}") + fam.type_counts(racc, "_rui_{k}")
     ui_m += [_recency_in_cate(acc, "ui_last_cart", 3, cate), _recency_in_cate(acc, "ui_last_buy", PURCHASE, cate),
              _recency_in_cate(acc, "ui_last_del_cart", 2, cate)]
     max_day = max(acc_days, max(spec.windows))
@@ -109,42 +110,42 @@ def user_sku_dataset(src: dict, with_label: bool = True, spec: UISpec = UISpec()
     uic_m = []
     for w in wins + [acc]:
         uic_m += fam.type_counts(w, "{i}_syn_action_{k}")
-    uic_m += fam.conv_ratios(acc, "{i}_syn_conv_ratio_{k}")
-    uic_m += fam.first_last_buy(acc, "0_first_buy", "0_interval")
+    uic_m += fam.conv_ratios(racc, "{i}_syn_conv_ratio_{k}") + fam.type_counts(racc, "_ruic_{k}")
+    uic_m += fam.first_last_buy(racc, "0_first_buy", "0_interval")
     uic = cube.groupBy("user_id", "cate", "sku_id").agg(*uic_m)
 
-    # U grain (+ hidden accumulate totals per type: the parent of the user share ranks)
+    # U grain (+ hidden totals per type: the parent of the user share ranks)
     u_m = fam.type_counts(acc, "{i}_user_action_{k}", CONV_TYPES)
-    u_m += fam.type_counts(acc, "_utot_{k}")
-    for w in wins + [acc]:
+    u_m += fam.type_counts(racc, "_ru_{k}")
+    for w in wins + [racc]:
         u_m += fam.conv_ratios(w, "{i}_user_conv_ratio_{k}")
-    u_m += fam.first_last_buy(acc, "0_user_first_buy", "0_user_interval")
+    u_m += fam.first_last_buy(racc, "0_user_first_buy", "0_user_interval")
     u_m += [fam.recency_days(acc, "user_last_buy", PURCHASE), fam.recency_days(acc, "user_last_cart", 3)]
     u = _with_days(u_m, ["user_id"], cube, [acc] + wins, max_day, "{i}_user_action_tm", "{i}_user_action_buy_tm", "u")
     u_stats = stats.user_category_sku_stats(cube, [acc] + [Win.of(i) for i in spec.stat_windows], cate)
     users = src["users"]
-    profile = static_user_features(users, end, drop_sex=True)    # one-hot + days registered; D4: no sex
-    reg_first = reg_to_first_buy(cube, users, end, acc)
+    profile = static_user_features(users, end, AGE_CODES_1_7, default=0, drop_sex=True)   # D4: no sex
+    reg_first = reg_to_first_buy(cube, users, end, racc)
     period = fam.action_period(cube, users, acc, acc_days)
-    basket = cate_purchase_basket(cube, users, acc)
+    basket = cate_purchase_basket(cube, users, racc)
 
     # UC grain
     uc_m = []
     for w in wins + [acc]:
         uc_m += fam.type_counts(w, "{i}_uc_action_{k}") + [fam.purchase_rows(w, f"{w.label}_sku_buy_num_in_cate")]
-    uc_m += fam.conv_ratios(acc, "{i}_uc_conv_ratio_{k}")
+    uc_m += fam.conv_ratios(racc, "{i}_uc_conv_ratio_{k}") + fam.type_counts(racc, "_ruc_{k}")
     uc = _with_days(uc_m, ["user_id", "cate"], cube, [acc] + wins, max_day, "{i}_uc_tm", "{i}_uc_buy_tm", "uc")
 
     # I / IC / BC grains
     i_m = []
     for w in wins + [acc]:
         i_m += fam.type_counts(w, "{i}_sku_action_{k}")
-    i_m += fam.conv_ratios(acc, "{i}_sku_conv_ratio_{k}")
+    i_m += fam.conv_ratios(racc, "{i}_sku_conv_ratio_{k}")
     sku = cube.groupBy("sku_id").agg(*i_m)
     pwins = [Win(0, spec.product_stat_days)] + [Win.of(i) for i in spec.stat_windows]
     sku_stats = stats.sku_daily_stats(cube, pwins, cate)
-    sku_in_cate = shares.sku_share_in_cate(cube, acc)
-    brand_in_cate = shares.brand_share_in_cate(cube, acc)
+    sku_in_cate = shares.sku_share_in_cate(cube, racc)
+    brand_in_cate = shares.brand_share_in_cate(cube, racc)
     product = basic_product_features(src["products"])
     comments = comment_features(src["comments"], end)
 
@@ -166,12 +167,12 @@ def user_sku_dataset(src: dict, with_label: bool = True, spec: UISpec = UISpec()
     df = df.join(product, ["sku_id", "cate", "brand"], "left")
     df = df.join(brand_in_cate, ["brand", "cate"], "left")
 
-    # W1a–W1c as projections: child and parent accumulate counts are already
+    # W1a–W1c as projections: child and parent counts since rank_start are already
     # on every row (user totals, (user, cate) and (user, cate, sku) counts)
-    df = df.select("*", *_share_cols("0_action_{k}", "_utot_{k}", "0_sku_user_rank", "0_sku_user_ratio_4"),
-                   *_share_cols("0_syn_action_{k}", "0_uc_action_{k}", "sku_in_uc_rank", "sku_in_uc_ratio_4"),
-                   *_share_cols("0_uc_action_{k}", "_utot_{k}", "cate_user_rank", "cate_user_ratio_4"))
-    df = df.drop(*[f"_utot_{k}" for k in TYPES])
+    df = df.select("*", *_share_cols("_rui_{k}", "_ru_{k}", "0_sku_user_rank", "0_sku_user_ratio_4"),
+                   *_share_cols("_ruic_{k}", "_ruc_{k}", "sku_in_uc_rank", "sku_in_uc_ratio_4"),
+                   *_share_cols("_ruc_{k}", "_ru_{k}", "cate_user_rank", "cate_user_ratio_4"))
+    df = df.drop(*[f"_{g}_{k}" for g in ("ru", "rui", "ruc", "ruic") for k in TYPES])
 
     df = df.na.fill(0)
     return df.withColumn("cart_or_not", flag((F.col("ui_last_del_cart") - F.col("ui_last_cart")) <= 0))

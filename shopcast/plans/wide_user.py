@@ -68,9 +68,10 @@ def user_dataset_wide(src: dict, with_label: bool = True, end=None, days: int =
     cate = D.target_cate
     acc_days = (end - D.acc_start).days
     acc = Win(0, acc_days)
+    racc = Win(0, (end - D.rank_start).days)    # conversions, registration to first purchase
     wins = [Win.of(i) for i in windows]
     allw = [acc] + wins
-    start = min(D.acc_start, window_start(end, days=max(windows)))
+    start = min(D.acc_start, D.rank_start, window_start(end, days=max(windows)))
     cube = materialized_cube(src["actions"], end, start, src.get("daily"))
     users = src["users"]
 
@@ -79,28 +80,28 @@ def user_dataset_wide(src: dict, with_label: bool = True, end=None, days: int =
     m = []
     for w in allw:
         wd = acc_days if w is acc else w.days
-        m += fam.conv_ratios(w, "{i}_user_conv_ratio_{k}")
+        m += fam.conv_ratios(racc if w is acc else w, "{i}_user_conv_ratio_{k}")
         m += fam.type_counts(w, "{i}_user_action_{k}", CONV_TYPES)
         m += period_measures(w, wd, "{i}_action_period_{k}")
         m += cate_share_measures(w, cate, "{i}_user_cate8_ratio_{k}")
     m += [fam.recency_days(acc, "user_last_cart", 3), fam.recency_days(acc, "user_last_buy", PURCHASE)]
+    # per-category conversions since rank_start; in the day windows of the target category only
+    m += cate_conv_measures(racc, "{i}_cate_{c}_conv_ratio_{k}")
+    m += [c for w in wins for c in cate_conv_measures(w, "{i}_cate_{c}_conv_ratio_{k}", (cate,))]
     # distinct active / purchase days (all categories and the target one) from day bitmasks
     max_day = max(acc_days, max(windows))
     masks = [("ux", None), ("up", "type = 4"), ("cx", f"cate = {cate}"), ("cp", f"cate = {cate} AND type = 4")]
     for tag, cond in masks:
         m += day_mask_aggs(tag, max_day, cond)
     g = cube.groupBy("user_id").agg(*m)
-    days = []
+    day_cols = []
     for w in allw:
-        days += [F.expr(days_from_masks("ux", w, max_day)).alias(f"{w.label}_user_action_tm"),
+        day_cols += [F.expr(days_from_masks("ux", w, max_day)).alias(f"{w.label}_user_action_tm"),
                  F.expr(days_from_masks("up", w, max_day)).alias(f"{w.label}_user_action_buy_tm"),
                  F.expr(f"coalesce({days_from_masks('cx', w, max_day)}, 0)").alias(f"{w.label}_cate_{cate}_action_days"),
                  F.expr(f"coalesce({days_from_masks('cp', w, max_day)}, 0)").alias(f"{w.label}_cate_{cate}_buy_days")]
     hidden = [c for tag, _ in masks for c in mask_columns(g, tag)]
-    u = g.select(*[F.col(f"`{c}`") for c in g.columns if c not in hidden], *days)
-
-    conv_piv = cube.groupBy("user_id").agg(*[c for w in allw for c in cate_conv_measures(w, "{i}_cate_{c}_conv_ratio_{k}")])
-
+    u = g.select(*[F.col(f"`{c}`") for c in g.columns if c not in hidden], *day_cols)
 
     # J4 default: latest cart / uncart per user in the category, then the flag
     cart = (cube.filter((F.col("c") <= acc_days) & (F.col("cate") == cate) & F.col("type").isin(2, 3))
@@ -113,8 +114,8 @@ def user_dataset_wide(src: dict, with_label: bool = True, end=None, days: int =
 
     parts = [
         static_user_features(users, end, AGE_CODES_0_6, drop_sex=True),
-        reg_to_first_buy(cube, users, end, acc),
-        u, conv_piv, cart,
+        reg_to_first_buy(cube, users, end, racc),
+        u, cart,
         pivots.cate_rank_pivot(shares.cate_share_in_user(cube, acc)),
         pivots.cate_purchase_basket(cube, users, acc),
         pivots.cate_pivot_recency(cube, acc),

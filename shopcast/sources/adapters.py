@@ -9,7 +9,7 @@ Catalyst prunes and pushes down like any other plan.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 import datetime as _dt
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,12 +26,12 @@ class Dates:
     end: _dt.datetime                 # feature end (exclusive)
     label_start: _dt.datetime         # label window [label_start, label_end)
     label_end: _dt.datetime
-    acc_start: _dt.datetime           # accumulate start
+    acc_start: _dt.datetime           # accumulate start of counts, days, periods, recency, model ids
+    rank_start: _dt.datetime          # accumulate start of ranks, conversions, first / last purchase
     score_end: _dt.datetime           # end used for the scoring set
     excl_lo: _dt.datetime | None = None   # holiday period (F4)
     excl_hi: _dt.datetime | None = None
     target_cate: int = 8
-    extra: dict = field(default_factory=dict)
 
     @property
     def acc_days(self) -> int:
@@ -41,10 +41,10 @@ class Dates:
 _d = _dt.datetime
 # Dates of the two adapters (fixed by the test fixtures).
 DATES_A = Dates(end=_d(2024, 1, 26), label_start=_d(2024, 1, 26), label_end=_d(2024, 1, 31),
-                acc_start=_d(2024, 1, 1), score_end=_d(2024, 1, 31),
+                acc_start=_d(2024, 1, 1), rank_start=_d(2024, 1, 6), score_end=_d(2024, 1, 31),
                 excl_lo=_d(2024, 1, 7), excl_hi=_d(2024, 1, 13))
 DATES_B = Dates(end=_d(2001, 6, 5), label_start=_d(2001, 6, 5), label_end=_d(2001, 6, 10),
-                acc_start=_d(2001, 1, 1), score_end=_d(2001, 6, 10))
+                acc_start=_d(2001, 1, 1), rank_start=_d(2001, 2, 1), score_end=_d(2001, 6, 10))
 
 
 def actions_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:

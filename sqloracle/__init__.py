@@ -75,12 +75,14 @@ class Ctx:
             self.end = _dt.datetime(2024, 1, 26)
             self.label_end = _dt.datetime(2024, 1, 31)
             self.acc_start = _dt.datetime(2024, 1, 1)
+            self.rank_start = _dt.datetime(2024, 1, 6)
             self.score_end = _dt.datetime(2024, 1, 31)
             self.ctes = [ACTIONS_A, USERS, PRODUCTS_A, COMMENTS]
         else:
             self.end = _dt.datetime(2001, 6, 5)
             self.label_end = _dt.datetime(2001, 6, 10)
             self.acc_start = _dt.datetime(2001, 1, 1)
+            self.rank_start = _dt.datetime(2001, 2, 1)
             self.score_end = _dt.datetime(2001, 6, 10)
             self.ctes = [ACTIONS_B, USERS, PRODUCTS_B, COMMENTS]
         self.excl_lo = _dt.datetime(2024, 1, 7)

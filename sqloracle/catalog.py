@@ -374,12 +374,12 @@ AGE_CASE_1_7 = ("CASE age WHEN '-1' THEN 1 WHEN '15岁以下' THEN 2 WHEN '16-25
                 "WHEN '36-45岁' THEN 5 WHEN '46-55岁' THEN 6 WHEN '56岁以上' THEN 7 ELSE 0 END")
 
 
-def profile_sql(with_sex=True):
-    cols = [f"CASE WHEN code = {v} THEN 1 ELSE 0 END AS age_{v}" for v in range(7)]
+def profile_sql(with_sex=True, codes=range(7), case=AGE_CASE):
+    cols = [f"CASE WHEN code = {v} THEN 1 ELSE 0 END AS age_{v}" for v in codes]
     if with_sex:
         cols += [f"CASE WHEN sex = {v}.0 THEN 1 ELSE 0 END AS sex_{v}" for v in range(3)]
     cols += [f"CASE WHEN user_lv_cd = {v} THEN 1 ELSE 0 END AS user_lv_cd_{v}" for v in range(1, 6)]
-    return f"SELECT user_id, {', '.join(cols)} FROM (SELECT *, {AGE_CASE} AS code FROM users) u"
+    return f"SELECT user_id, {', '.join(cols)} FROM (SELECT *, {case} AS code FROM users) u"
 
 
 def joined(ctx, base, parts, tail=""):
@@ -683,12 +683,18 @@ def d3_sql(ctx0: Ctx, end=None, with_label=True):
         return [f"CASE WHEN {cnt_w(i)} > 0 THEN CAST({cnt_w(i, f'type = {k}')} AS BIGINT) END "
                 f"AS {q(fmt.format(i=i, k=k))}" for i in ws for k in types]
 
+    def since(i):      # ranks, conversions and first purchases accumulate from rank_start
+        return f"time >= {ts(c.rank_start)}" if i == 0 else wf(i)
+
+    def rcnt(i, cond=None):
+        return f"count(*) FILTER (WHERE {since(i)}" + (f" AND {cond})" if cond else ")")
+
     def conv_cols(fmt, ws):
         out = []
         for i in ws:
             for k in CONV:
-                num, den = cnt_w(i, "type = 4"), cnt_w(i, f"type = {k}")
-                e = f"CASE WHEN {cnt_w(i)} > 0 THEN (CASE WHEN {den} = 0 THEN 0.0 ELSE CAST({num} AS DOUBLE) / {den} END) END"
+                num, den = rcnt(i, "type = 4"), rcnt(i, f"type = {k}")
+                e = f"CASE WHEN {rcnt(i)} > 0 THEN (CASE WHEN {den} = 0 THEN 0.0 ELSE CAST({num} AS DOUBLE) / {den} END) END"
                 out.append(f"{r(e)} AS {q(fmt.format(i=i, k=k))}")
         return out
 
@@ -701,7 +707,7 @@ def d3_sql(ctx0: Ctx, end=None, with_label=True):
         return out
 
     def first_last_cols(first, interval):
-        m = f"{wf(0)} AND type = 4"
+        m = f"{since(0)} AND type = 4"
         return [f"max({bexp}) FILTER (WHERE {m}) AS {q(first)}",
                 f"max({bexp}) FILTER (WHERE {m}) - min({bexp}) FILTER (WHERE {m}) AS {q(interval)}"]
 
@@ -712,7 +718,7 @@ def d3_sql(ctx0: Ctx, end=None, with_label=True):
 
     def share_body(child, parent, rank, ratio4):
         g = (f"SELECT {child}, " + ", ".join(f"count(*) FILTER (WHERE type = {k}) AS g{k}" for k in TYPES)
-             + f" FROM actions WHERE {where(c, 0)} GROUP BY {child}")
+             + f" FROM actions WHERE {in_range(c.rank_start, c.end)} GROUP BY {child}")
         pp = f"SELECT {parent}, " + ", ".join(f"sum(g{k}) AS p{k}" for k in TYPES) + f" FROM ({g}) g0 GROUP BY {parent}"
         ratios = [f"CAST(g{k} AS DOUBLE) / NULLIF(p{k}, 0)" for k in TYPES]
         return (f"SELECT {child}, {r(' + '.join(ratios))} AS {q(rank)}, {r(ratios[3])} AS {q(ratio4)} "
@@ -734,7 +740,7 @@ def d3_sql(ctx0: Ctx, end=None, with_label=True):
     reg_first = (f"SELECT u.user_id, CAST(floor((coalesce(u.reg, -1) - coalesce(f.first_buy, -1) + 1) / 5.0) AS BIGINT) "
                  f"AS inter_reg_first_buy FROM (SELECT user_id, date_diff('day', CAST(user_reg_tm AS DATE), {dt(c.end)}) "
                  f"AS reg FROM users WHERE {_nonnull}) u LEFT JOIN (SELECT user_id, max({bexp}) AS first_buy FROM actions "
-                 f"WHERE {where(c, 0, 'type = 4')} GROUP BY user_id) f ON u.user_id = f.user_id")
+                 f"WHERE {in_range(c.rank_start, c.end)} AND type = 4 GROUP BY user_id) f ON u.user_id = f.user_id")
     per = ", ".join(f"count(*) FILTER (WHERE type = {k}) AS n{k}" for k in TYPES)
     period = (f"SELECT u.user_id, " + ", ".join(
         f"{r(f'CASE WHEN p.n{k} > 0 THEN {float(ac)} / p.n{k} ELSE -1.0 END')} AS {q(f'0_action_period_{k}')}"
@@ -742,7 +748,7 @@ def d3_sql(ctx0: Ctx, end=None, with_label=True):
         f"GROUP BY user_id) p ON u.user_id = p.user_id")
     basket = ("SELECT u.user_id, " + ", ".join(f"p.cate_{cc}" for cc in CATES) + " FROM users u LEFT JOIN (SELECT user_id, "
               + ", ".join(f"{n(f'cate = {cc}')} AS cate_{cc}" for cc in CATES)
-              + f" FROM actions WHERE {where(c, 0, 'type = 4')} GROUP BY user_id) p ON u.user_id = p.user_id")
+              + f" FROM actions WHERE {in_range(c.rank_start, c.end)} AND type = 4 GROUP BY user_id) p ON u.user_id = p.user_id")
 
     def model(keys, prefix, extra=None):
         cond = "model_id IN (14, 21, 28, 110, 210)" + (f" AND {extra}" if extra else "")
@@ -769,7 +775,7 @@ def d3_sql(ctx0: Ctx, end=None, with_label=True):
     product = ("SELECT sku_id, cate, brand, " + ", ".join(
         f"CASE WHEN {a} = {v} THEN 1 ELSE 0 END AS {q(f'{a}_{v}')}" for a in ("a1", "a2", "a3") for v in (-1, 0, 1, 2, 3))
         + " FROM products")
-    joins = [("user_id", u), ("user_id", u_stats), ("user_id", profile_sql(with_sex=False)), ("user_id", reg),
+    joins = [("user_id", u), ("user_id", u_stats), ("user_id", profile_sql(with_sex=False, codes=range(8), case=AGE_CASE_1_7)), ("user_id", reg),
              ("user_id", reg_first), ("user_id", period), ("user_id", basket),
              ("user_id", model("user_id", "user_model_id")), ("user_id", model("user_id", "user_cate8_model_id", "cate = 8")),
              ("user_id, cate", uc), ("user_id, cate", share_body("user_id, cate", "user_id", "cate_user_rank",
@@ -822,6 +828,12 @@ def d2_sql(ctx0: Ctx, end=None, with_label=True, days=5):
     def cw(i, cond=None):
         return f"count(*) FILTER (WHERE {wf(i)}" + (f" AND {cond})" if cond else ")")
 
+    def since(i):      # conversions accumulate from rank_start
+        return f"time >= {ts(c.rank_start)}" if i == 0 else wf(i)
+
+    def rw(i, cond=None):
+        return f"count(*) FILTER (WHERE {since(i)}" + (f" AND {cond})" if cond else ")")
+
     def ratio0(num, den):
         return f"CASE WHEN {den} = 0 THEN 0.0 ELSE CAST({num} AS DOUBLE) / {den} END"
 
@@ -829,7 +841,7 @@ def d2_sql(ctx0: Ctx, end=None, with_label=True, days=5):
     for i in wins:
         wd = ac if i == 0 else i
         for k in CONV:
-            ucols.append(f"{r(f'CASE WHEN {cw(i)} > 0 THEN {ratio0(cw(i, 'type = 4'), cw(i, f'type = {k}'))} END')} "
+            ucols.append(f"{r(f'CASE WHEN {rw(i)} > 0 THEN {ratio0(rw(i, 'type = 4'), rw(i, f'type = {k}'))} END')} "
                          f"AS {q(f'{i}_user_conv_ratio_{k}')}")
         for k in CONV:
             ucols.append(f"CASE WHEN {cw(i)} > 0 THEN CAST({cw(i, f'type = {k}')} AS BIGINT) END AS {q(f'{i}_user_action_{k}')}")
@@ -839,10 +851,10 @@ def d2_sql(ctx0: Ctx, end=None, with_label=True, days=5):
         for k in TYPES:
             ucols.append(f"{r(f'CASE WHEN {cw(i, 'cate = 8')} > 0 THEN {ratio0(cw(i, f'cate = 8 AND type = {k}'), cw(i, 'cate = 8'))} END')} "
                          f"AS {q(f'{i}_user_cate8_ratio_{k}')}")
-        for cc in CATES:
+        for cc in (CATES if i == 0 else (8,)):
             for k in CONV:
-                e = (f"CASE WHEN {cw(i, f'cate = {cc}')} > 0 THEN "
-                     f"{ratio0(cw(i, f'cate = {cc} AND type = 4'), cw(i, f'cate = {cc} AND type = {k}'))} END")
+                e = (f"CASE WHEN {rw(i, f'cate = {cc}')} > 0 THEN "
+                     f"{ratio0(rw(i, f'cate = {cc} AND type = 4'), rw(i, f'cate = {cc} AND type = {k}'))} END")
                 ucols.append(f"{r(e)} AS {q(f'{i}_cate_{cc}_conv_ratio_{k}')}")
         ucols.append(f"CAST(NULLIF(count(DISTINCT {bexp}) FILTER (WHERE {wf(i)}), 0) AS BIGINT) AS {q(f'{i}_user_action_tm')}")
         ucols.append(f"CAST(NULLIF(count(DISTINCT {bexp}) FILTER (WHERE {wf(i)} AND type = 4), 0) AS BIGINT) "
@@ -879,7 +891,7 @@ def d2_sql(ctx0: Ctx, end=None, with_label=True, days=5):
     reg_first = (f"SELECT u.user_id, CAST(floor((coalesce(u.reg, -1) - coalesce(f.first_buy, -1) + 1) / 5.0) AS BIGINT) "
                  f"AS inter_reg_first_buy FROM (SELECT user_id, date_diff('day', CAST(user_reg_tm AS DATE), {dt(c.end)}) "
                  f"AS reg FROM users WHERE {_nonnull}) u LEFT JOIN (SELECT user_id, max({bexp}) AS first_buy FROM actions "
-                 f"WHERE {where(c, 0, 'type = 4')} GROUP BY user_id) f ON u.user_id = f.user_id")
+                 f"WHERE {in_range(c.rank_start, c.end)} AND type = 4 GROUP BY user_id) f ON u.user_id = f.user_id")
     st = two_level(c, "user_id", "sku_id", [0, 5, 30], "{i}_action_{stat}_{k}", ("mean", "max", "min", "var", "std"),
                    False, "cate = 8", raw=True)
     parts = [profile_sql(with_sex=False), reg, reg_first, u, cart, rank_piv, basket, last_buy, st]
