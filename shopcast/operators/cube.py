@@ -57,18 +57,25 @@ class Win:
 ALL = Win(0, None)
 
 
-def activity_cube(actions: DataFrame, end, start=None) -> DataFrame:
-    """Aggregate the action log in ``[start, end)`` to the daily cube."""
+def model_counts(ids) -> list[Column]:
+    """Hidden cube columns ``m_{v}``: events with each listed model id."""
+    return [F.count(F.when(F.col("model_id") == v, 1)).alias(f"m_{v}") for v in ids]
+
+
+def activity_cube(actions: DataFrame, end, start=None, models=()) -> DataFrame:
+    """Aggregate the action log in ``[start, end)`` to the daily cube;
+    ``models`` adds the counts of those model ids."""
     cond = F.col("time") < ts_lit(end)
     if start is not None:
         cond = cond & (F.col("time") >= ts_lit(start))
     return (actions.filter(cond)
-            .select("user_id", "sku_id", "cate", "brand", "type", "time",
+            .select("user_id", "sku_id", "cate", "brand", "type", "time", *(["model_id"] if models else []),
                     calendar_distance(end).alias("c"), elapsed_days(end).alias("b"))
             .groupBy(*CUBE_KEYS)
             .agg(F.count(F.lit(1)).alias("n"),
                  F.min("time").alias("t_min"),
-                 F.max("time").alias("t_max")))
+                 F.max("time").alias("t_max"),
+                 *model_counts(models)))
 
 
 # ---- conditional aggregate building blocks ---------------------------------
@@ -224,7 +231,7 @@ def days_in(w: Win, purchase: bool = False) -> Column:
     return F.nullif(F.count(F.when(m, F.lit(1))), F.lit(0))
 
 
-def materialized_cube(actions: DataFrame, end, start=None, daily: DataFrame | None = None) -> DataFrame:
+def materialized_cube(actions: DataFrame, end, start=None, daily: DataFrame | None = None, models=()) -> DataFrame:
     """The cube written once as Parquet under the shared checkpoint folder
     (``spark.checkpoint.dir``) and read back.
 
@@ -247,9 +254,9 @@ def materialized_cube(actions: DataFrame, end, start=None, daily: DataFrame | No
     path = f"{checkpoint_dir(spark).rstrip('/')}/cube/{uuid.uuid4().hex}"
     if daily is not None:
         from shopcast.streaming.daily_cube import cube_from_daily
-        cube = cube_from_daily(daily, end, start)
+        cube = cube_from_daily(daily, end, start, models)
     else:
-        cube = activity_cube(actions, end, start)
+        cube = activity_cube(actions, end, start, models)
     cube.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 

@@ -53,9 +53,19 @@ def static_user_features(users: DataFrame, end, mapping: dict = AGE_CODES_0_6, d
         cols += one_hot("sex", SEX_CODES, "sex")
     cols += one_hot("user_lv_cd", USER_LEVELS, "user_lv_cd")
     cols.append(F.when(complete, days_registered(end, "user_reg_tm")).alias("user_reg_tm"))
+    # hidden: the raw distance, -1 where it is unknown, of the same users (see ``first_buy_bucket``)
+    raw = F.coalesce(F.datediff(date_lit(end), parse_reg_date("user_reg_tm")), F.lit(-1))
+    cols += [F.when(complete, raw).alias("_reg"), F.lit(True).alias("_known")]
     return users.select(*cols)
 
 
+def first_buy_bucket(first_buy: str, name: str = "inter_reg_first_buy"):
+    """A8c on a row that has ``static_user_features`` and the elapsed days of
+    the user's first purchase; NULL for users with a missing attribute."""
+    x = F.col("_reg") - F.coalesce(F.col(f"`{first_buy}`"), F.lit(-1))
+    return interval_bucket(x).alias(name)
+
+
 def registration_days(users: DataFrame, end, name: str = "user_reg_tm") -> DataFrame:
     """Days registered at ``end`` (future registrations -> -1); users with
     any NULL attribute are dropped (F7), as in the source."""

@@ -29,12 +29,13 @@ from shopcast.operators import families as fam
 from shopcast.operators import shares, stats
 from shopcast.operators.cube import (
     Win, day_mask_aggs, days_from_masks, in_win, is_type, mask_columns, materialized_cube, sql_col,
+    win_sql,
 )
 from shopcast.operators.profile import (
-    AGE_CODES_1_7, basic_product_features, comment_features, reg_to_first_buy, static_user_features,
+    AGE_CODES_1_7, basic_product_features, comment_features, static_user_features,
 )
-from shopcast.operators.pivots import cate_purchase_basket
-from shopcast.schemas import CONV_TYPES, MODEL_IDS, PURCHASE, TYPES, UI_DAY_WINDOWS
+from shopcast.plans.wide_user import basket_measures, of_known_users, period_measures
+from shopcast.schemas import CATES, CONV_TYPES, MODEL_IDS, PURCHASE, TYPES, UI_DAY_WINDOWS
 from shopcast.sources.adapters import Dates
 
 
@@ -50,6 +51,12 @@ def _recency_in_cate(w: Win, name: str, k: int, cate: int):
     return F.min(F.when(in_win(w) & is_type(k) & (F.col("cate") == cate), F.col("b"))).alias(name)
 
 
+def _model_ids(w: Win, prefix: str, cond: str | None = None) -> list:
+    """A11 on the cube's model-id counts."""
+    m = win_sql(w) + (f" AND {cond}" if cond else "")
+    return [sql_col(f"sum(CASE WHEN {m} THEN m_{v} END)", f"{prefix}_{v}") for v in MODEL_IDS]
+
+
 def _with_days(grouped_aggs, keys, cube, wins, max_day, any_fmt, buy_fmt, tag):
     """Grain aggregate plus distinct active / purchase days per window, from
     day bitmasks in the same aggregate (no day-level table, no extra join)."""
@@ -83,7 +90,7 @@ def user_sku_dataset(src: dict, with_label: bool = True, spec: UISpec = UISpec()
     start = min(D.acc_start, D.rank_start, window_start(end, days=max(spec.windows)))
     cate = D.target_cate
     actions = src["actions"]
-    cube = materialized_cube(actions, end, start, src.get("daily"))
+    cube = materialized_cube(actions, end, start, src.get("daily"), MODEL_IDS)
 
     # base rows: decayed counts per (user, sku, cate, brand) in the base window, target category
     bw = acc if spec.base_days == 0 else Win.of(spec.base_days)
@@ -97,15 +104,9 @@ def user_sku_dataset(src: dict, with_label: bool = True, spec: UISpec = UISpec()
     ui_m += fam.conv_ratios(racc, "{i}_ui_conv_ratio_{k}") + fam.type_counts(racc, "_rui_{k}")
     ui_m += [_recency_in_cate(acc, "ui_last_cart", 3, cate), _recency_in_cate(acc, "ui_last_buy", PURCHASE, cate),
              _recency_in_cate(acc, "ui_last_del_cart", 2, cate)]
+    ui_m += _model_ids(acc, "ui_model_id")
     max_day = max(acc_days, max(spec.windows))
     ui = _with_days(ui_m, ["user_id", "sku_id"], cube, [acc] + wins, max_day, "{i}_ui_tm", "{i}_ui_buy_tm", "ui")
-    # model-id counts: one scan of the log at (user, sku, cate), re-aggregated per grain
-    m_uic = fam.model_id_counts(actions, D.acc_start, end, ("user_id", "sku_id", "cate"), "_m")
-    ui_model = m_uic.groupBy("user_id", "sku_id").agg(*[F.sum(f"_m_{v}").alias(f"ui_model_id_{v}") for v in MODEL_IDS])
-    user_model = m_uic.groupBy("user_id").agg(
-        *[F.sum(f"_m_{v}").alias(f"user_model_id_{v}") for v in MODEL_IDS],
-        *[F.sum(F.when(F.col("cate") == cate, F.col(f"_m_{v}"))).alias(f"user_cate8_model_id_{v}") for v in MODEL_IDS])
-
     # UIC grain
     uic_m = []
     for w in wins + [acc]:
@@ -121,13 +122,12 @@ def user_sku_dataset(src: dict, with_label: bool = True, spec: UISpec = UISpec()
         u_m += fam.conv_ratios(w, "{i}_user_conv_ratio_{k}")
     u_m += fam.first_last_buy(racc, "0_user_first_buy", "0_user_interval")
     u_m += [fam.recency_days(acc, "user_last_buy", PURCHASE), fam.recency_days(acc, "user_last_cart", 3)]
+    u_m += _model_ids(acc, "user_model_id") + _model_ids(acc, "user_cate8_model_id", f"cate = {cate}")
+    u_m += period_measures(acc, acc_days, "{i}_action_period_{k}") + basket_measures(racc, "cate_{c}")
     u = _with_days(u_m, ["user_id"], cube, [acc] + wins, max_day, "{i}_user_action_tm", "{i}_user_action_buy_tm", "u")
     u_stats = stats.user_category_sku_stats(cube, [acc] + [Win.of(i) for i in spec.stat_windows], cate)
     users = src["users"]
     profile = static_user_features(users, end, AGE_CODES_1_7, default=0, drop_sex=True)   # D4: no sex
-    reg_first = reg_to_first_buy(cube, users, end, racc)
-    period = fam.action_period(cube, users, acc, acc_days)
-    basket = cate_purchase_basket(cube, users, racc)
 
     # UC grain
     uc_m = []
@@ -152,12 +152,12 @@ def user_sku_dataset(src: dict, with_label: bool = True, spec: UISpec = UISpec()
     # joins, grouped by key set (consecutive joins on the same keys reuse the
     # base's partitioning)
     df = base
-    for t in (u, u_stats, profile, reg_first, period, basket, user_model):
+    for t in (u, u_stats, profile):
         df = df.join(t, "user_id", "left")
+    df = of_known_users(df, [f"0_action_period_{k}" for k in TYPES] + [f"cate_{c}" for c in CATES], "0_user_first_buy")
     df = df.join(uc, ["user_id", "cate"], "left")
     df = df.join(uic, ["user_id", "cate", "sku_id"], "left")
-    for t in (ui, ui_model):
-        df = df.join(t, ["user_id", "sku_id"], "left")
+    df = df.join(ui, ["user_id", "sku_id"], "left")
     if with_label:
         lab = fam.labels(actions, D.label_start, D.label_end, ("user_id", "sku_id"), cate=cate)
         df = df.join(lab, ["user_id", "sku_id"], "left")
@@ -172,7 +172,7 @@ def user_sku_dataset(src: dict, with_label: bool = True, spec: UISpec = UISpec()
     df = df.select("*", *_share_cols("_rui_{k}", "_ru_{k}", "0_sku_user_rank", "0_sku_user_ratio_4"),
                    *_share_cols("_ruic_{k}", "_ruc_{k}", "sku_in_uc_rank", "sku_in_uc_ratio_4"),
                    *_share_cols("_ruc_{k}", "_ru_{k}", "cate_user_rank", "cate_user_ratio_4"))
-    df = df.drop(*[f"_{g}_{k}" for g in ("ru", "rui", "ruc", "ruic") for k in TYPES])
+    df = df.drop("_reg", "_known", *[f"_{g}_{k}" for g in ("ru", "rui", "ruc", "ruic") for k in TYPES])
 
     df = df.na.fill(0)
     return df.withColumn("cart_or_not", flag((F.col("ui_last_del_cart") - F.col("ui_last_cart")) <= 0))

@@ -31,7 +31,7 @@ from shopcast.operators.cube import (
     Win, day_mask_aggs, days_from_masks, is_type, mask_columns, materialized_cube,
 )
 from shopcast.operators.profile import AGE_CODES_0_6, basic_user_features
-from shopcast.schemas import PURCHASE, USER_MODEL_DAY_WINDOWS, USER_MODEL_HOUR_WINDOWS
+from shopcast.schemas import PURCHASE, TYPES, USER_MODEL_DAY_WINDOWS, USER_MODEL_HOUR_WINDOWS
 from shopcast.sources.adapters import Dates
 
 SAMPLE_DAYS = 30
@@ -84,6 +84,19 @@ def user_windows(cube8: DataFrame, windows=USER_MODEL_DAY_WINDOWS) -> DataFrame:
     return u.filter(F.col(f"{max(windows)}_day_user_action_1").isNotNull())
 
 
+def user_windows_and_accumulate(cube8: DataFrame, end, acc: Win, windows=USER_MODEL_DAY_WINDOWS) -> DataFrame:
+    """D5 and D7 in one aggregate (the base's users all have events in the
+    widest window, so D7's restriction to such users takes nothing away)."""
+    ms = [m for i in windows for m in fam.type_counts(Win.of(i), "{i}_day_user_action_{k}")]
+    ms += fam.type_counts(acc, "user_action_{k}")
+    ms += fam.conv_ratios(acc, "user_action_{k}_ratio", ks=(1, 2, 5, 6), on_zero="inf")
+    ms += [fam.recency_hours(acc, end, "user_active_last"),
+           fam.recency_hours(acc, end, "user_buy_last", is_type(PURCHASE))]
+    md = _max_day(max(acc.days, max(windows)))
+    wins = [(Win.of(i), f"{i}_day_user") for i in windows if i != 1] + [(acc, "user")]
+    return _with_cal_days(cube8, ms, wins, "{i}_active_days", "{i}_buy_days", md)
+
+
 def user_dataset(src: dict, with_label: bool = True, end=None,
                  windows=USER_MODEL_DAY_WINDOWS, hours=USER_MODEL_HOUR_WINDOWS) -> DataFrame:
     D: Dates = src["dates"]
@@ -96,16 +109,17 @@ def user_dataset(src: dict, with_label: bool = True, end=None,
     actions8 = src["actions"].filter(F.col("cate") == cate)
 
     base = fam.distinct_users(cube8, Win.of(SAMPLE_DAYS))
+    hour = fam.hour_window_counts(actions8, end, (*hours, 24), fmt="{h}_h_user_action_{k}", active_fmt="{h}_h_user_active_hours")
+    hour = hour.withColumnRenamed("24_h_user_active_hours", "1_day_user_active_hours").drop(
+        *[f"24_h_user_action_{k}" for k in TYPES])
+    per_sku = stats.user_sku_stats(cube8, [acc, Win.of(5), Win.of(30)], "{i}_day_user_action_{k}_{stat}")
+    per_sku = per_sku.withColumnsRenamed({c: c.replace("0_day_user", "user", 1) for c in per_sku.columns if c.startswith("0_day_")})
     parts = [
-        user_windows(cube8, windows),
-        fam.hour_window_counts(actions8, end, hours),
-        fam.hour_window_counts(actions8, end, (24,), fmt="_drop_{h}_{k}", active_fmt="1_day_user_active_hours")
-           .select("user_id", "1_day_user_active_hours"),
+        user_windows_and_accumulate(cube8, end, acc, windows),
+        hour,
         fam.distinct_skus_df(cube8, Win.of(1), "1_day_user_product_nums"),
-        stats.user_sku_stats(cube8, [Win.of(5), Win.of(30)], "{i}_day_user_action_{k}_{stat}"),
+        per_sku,
         basic_user_features(src["users"], AGE_CODES_0_6, drop_sex=True),
-        user_accumulate(cube8, end, acc),
-        stats.user_sku_stats(cube8, [acc], "user_action_{k}_{stat}"),
         user_accumulate_all(cube, end, acc),
     ]
     df = base

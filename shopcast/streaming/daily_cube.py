@@ -3,8 +3,8 @@
 The cube of ``operators.cube`` is keyed by distances to one ``end`` date, so
 it cannot be kept up to date as events arrive.  What can be is the
 end-independent *daily* table: per (user, sku, cate, brand, type, calendar
-day) the event count, how many of those events were exactly at midnight, and
-the first / last non-midnight time.  For any midnight ``end`` the cube
+day) the event count, how many of those events were exactly at midnight, both
+also for the listed model ids, and the first / last non-midnight time.  For any midnight ``end`` the cube
 follows exactly: a day at calendar distance c contributes its midnight events
 with elapsed days b = c and the rest with b = c - 1.
 
@@ -29,24 +29,30 @@ DAY_KEYS = ("user_id", "sku_id", "cate", "brand", "type", "day")
 def daily_partials(actions: DataFrame) -> DataFrame:
     """Daily aggregate of a batch of actions (batch or micro-batch)."""
     mid = F.col("time") == F.col("day").cast("timestamp_ntz")
-    return (actions.select("user_id", "sku_id", "cate", "brand", "type", "time",
+    models = [c for v in schemas.MODEL_IDS for c in (
+        F.count(F.when(F.col("model_id") == v, 1)).alias(f"m_{v}"),
+        F.count(F.when((F.col("model_id") == v) & mid, 1)).alias(f"m_mid_{v}"))]
+    return (actions.select("user_id", "sku_id", "cate", "brand", "type", "time", "model_id",
                            F.to_date("time").alias("day"))
                    .groupBy(*DAY_KEYS)
                    .agg(F.count(F.lit(1)).alias("n"),
                         F.count(F.when(mid, 1)).alias("n_mid"),
                         F.min(F.when(~mid, F.col("time"))).alias("t_min_nm"),
-                        F.max(F.when(~mid, F.col("time"))).alias("t_max_nm")))
+                        F.max(F.when(~mid, F.col("time"))).alias("t_max_nm"), *models))
 
 
 def merge_partials(partials: DataFrame) -> DataFrame:
     """Merge partial daily rows written by different micro-batches."""
     return partials.groupBy(*DAY_KEYS).agg(F.sum("n").alias("n"), F.sum("n_mid").alias("n_mid"),
                                            F.min("t_min_nm").alias("t_min_nm"),
-                                           F.max("t_max_nm").alias("t_max_nm"))
+                                           F.max("t_max_nm").alias("t_max_nm"),
+                                           *[F.sum(f"{p}_{v}").alias(f"{p}_{v}") for v in schemas.MODEL_IDS
+                                             for p in ("m", "m_mid")])
 
 
-def cube_from_daily(daily: DataFrame, end, start=None) -> DataFrame:
-    """The activity cube for ``[start, end)`` (midnights) from the daily table."""
+def cube_from_daily(daily: DataFrame, end, start=None, models=()) -> DataFrame:
+    """The activity cube for ``[start, end)`` (midnights) from the daily table;
+    ``models`` adds the counts of those model ids."""
     cond = F.col("day") < date_lit(end)
     if start is not None:
         cond = cond & (F.col("day") >= date_lit(start))
@@ -54,10 +60,12 @@ def cube_from_daily(daily: DataFrame, end, start=None) -> DataFrame:
     keys = ["user_id", "sku_id", "cate", "brand", "type", "c"]
     later = d.filter(F.col("n") > F.col("n_mid")).select(
         *keys, (F.col("c") - 1).alias("b"), (F.col("n") - F.col("n_mid")).alias("n"),
-        F.col("t_min_nm").alias("t_min"), F.col("t_max_nm").alias("t_max"))
+        F.col("t_min_nm").alias("t_min"), F.col("t_max_nm").alias("t_max"),
+        *[(F.col(f"m_{v}") - F.col(f"m_mid_{v}")).alias(f"m_{v}") for v in models])
     midnight = d.filter(F.col("n_mid") > 0).select(
         *keys, F.col("c").alias("b"), F.col("n_mid").alias("n"),
-        F.col("day").cast("timestamp_ntz").alias("t_min"), F.col("day").cast("timestamp_ntz").alias("t_max"))
+        F.col("day").cast("timestamp_ntz").alias("t_min"), F.col("day").cast("timestamp_ntz").alias("t_max"),
+        *[F.col(f"m_mid_{v}").alias(f"m_{v}") for v in models])
     return later.unionByName(midnight)
 
 

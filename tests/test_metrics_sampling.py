@@ -53,5 +53,5 @@ def test_split_is_stable_under_repartitioning(spark):
 def test_cutoff_sweep_monotone(spark):
     import __spark_entry__ as entry
     rows = entry.queries()["l2_e3_cutoff_sweep"](spark, SF_SMALL).orderBy("cutoff").collect()
-    assert [r.cutoff for r in rows] == [20, 50, 100]
+    assert [r.cutoff for r in rows] == [900, 950, 1000]
     assert rows[0].hits <= rows[1].hits <= rows[2].hits

@@ -13,7 +13,8 @@ import __spark_entry__ as entry
 
 KEYS = ["a1u_user_type_counts", "a3_decayed_counts_lineitem", "a2p_sku_daily_stats", "w1a_sku_share_in_user",
         "a13b_cate_pivot_conv", "a5_active_hours", "d5_user_accumulate", "j4_cart_uncart_latest",
-        "m1_downsample_negatives", "e2_f12_score", "t1_t7_time_bins", "a16_comment_features"]
+        "m1_downsample_negatives", "e2_f12_score", "e3_pair_cutoff_sweep", "w3_relative_order_global", "j5_topk_overlap_pairs",
+        "a15u_user_labels", "a15t_truth_rows", "p3_recode_age", "j4_cart_uncart_as_written", "m3_train_eval_split", "t1_t7_time_bins", "a16_comment_features"]
 
 
 def _norm(v):
@@ -52,9 +53,10 @@ def test_matches_oracle(spark, duck, key):
 def test_every_query_has_oracle_or_is_model(spark):
     q, o = entry.queries(), entry.oracle_sql()
     missing = sorted(set(q) - set(o))
-    assert all(k.startswith(("m5_", "m6_", "m7_", "m8_")) for k in missing), missing
+    rest = [k for k in missing if not k.startswith("op") and k != "pipeline"]    # those have tests of their own
+    assert all(k.startswith(("m5_", "m6_", "m7_", "m8_")) for k in rest), rest
 
 
 def test_entry_smoke(spark):
     df = entry.entry(spark)
-    assert df.count() >= 0 and len(df.columns) > 100
+    assert df.count() > 0 and len(df.columns) > 600
