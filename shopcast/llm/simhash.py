@@ -252,6 +252,9 @@ def links(distinct: DataFrame) -> DataFrame:
     grid = written(crowd.groupBy("anchor").agg(F.sum(F.col("home").cast("long")).alias("homes"), F.count("*").alias("n"))
                    .where("homes > 0")
                    .selectExpr("anchor", f"ceil(homes / {CELL}) AS down", f"ceil(n / {CELL}) AS across"), "simhash-grid")
+    edges = first.where("key IS NULL").select("a", "b")
+    if grid.isEmpty():
+        return edges
     many = crowd.join(grid, "anchor").selectExpr(
         "*", "pmod(xxhash64(fp, 7), down) AS i", "pmod(xxhash64(fp, 8), across) AS j")
     copied = many.selectExpr("anchor", "explode(transform(sequence(0, down - 1), x -> x * across + j)) AS cell",
@@ -259,26 +262,25 @@ def links(distinct: DataFrame) -> DataFrame:
     at_home = many.where("home").selectExpr(
         "anchor", "explode(transform(sequence(0, across - 1), y -> i * across + y)) AS cell", "home", "fp")
     cells = copied.unionByName(at_home).repartition("anchor", "cell").sortWithinPartitions("anchor", "cell")
-    return first.where("key IS NULL").select("a", "b").unionByName(cells.mapInArrow(_compare_cells, "a long, b long"))
+    return edges.unionByName(cells.mapInArrow(_compare_cells, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row; links at four or fewer differing bits."""
     fps = written(fingerprints(docs, shingle), "simhash-fp")
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-    edges = written(links(distinct.select("fp")), "simhash-links")
-    groups = components(edges, "a", "b")   # node, root
-    first = (groups.join(distinct.withColumnRenamed("fp", "node"), "node")
-             .groupBy("root").agg(F.min("doc_id").alias("component_id")))
-    named = written(groups.join(first, "root").select(F.col("node").alias("fp"), "component_id")
-                    .unionByName(distinct.join(groups.select(F.col("node").alias("fp")), "fp", "left_anti")
-                                 .select("fp", F.col("doc_id").alias("component_id"))), "simhash-groups")
+    groups = components(links(distinct.select("fp")), "a", "b").withColumnRenamed("node", "fp")
+    rooted = written(distinct.join(groups, "fp", "left").selectExpr("fp", "doc_id", "coalesce(root, fp) AS root"), "simhash-roots")
+    first = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    named = written(rooted.join(first, "root").select("fp", "component_id"), "simhash-groups")
     return (fps.join(named, "fp")
             .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """The rows with the smallest id of their component, with all their columns; equal ids and texts once."""
-    own = "__smallest_id_of_component"     # no column of the documents
-    stays = near_duplicates(docs, shingle).where("doc_id <=> component_id").select(F.col("doc_id").alias(own)).distinct()
-    return docs.join(stays, F.col("doc_id").eqNullSafe(F.col(own)), "left_semi").dropDuplicates(["doc_id", "text"])
+    own = "__own_id"     # no column of the documents; a null id is one more id
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1 << 63)).alias(own)
+    stays = near_duplicates(docs, shingle).where("doc_id <=> component_id").select(key).distinct()
+    # joined and made distinct on one partitioning, so the text is shuffled once
+    return docs.select("*", key).join(stays, own, "left_semi").dropDuplicates([own, "text"]).drop(own)
