@@ -4,5 +4,5 @@ from shopcast.functions.timebins import (  # noqa: F401
     days_registered, exp_decay, interval_bucket, cast_int,
 )
 from shopcast.functions.exprs import (  # noqa: F401
-    one_hot, recode, row_sum, safe_ratio, fill_zero, nonpositive_to, flag, rounded,
+    one_hot, recode, row_sum, safe_ratio, nonpositive_to, flag, rounded,
 )

@@ -65,11 +65,6 @@ def safe_ratio(num, den, on_zero: str = "null") -> Column:
     raise ValueError(on_zero)
 
 
-def fill_zero(df: DataFrame, cols=None) -> DataFrame:
-    """NULL -> 0 on numeric columns (``fillna(0)``)."""
-    return df.na.fill(0, subset=list(cols) if cols is not None else None)
-
-
 def nonpositive_to(col, value=-1) -> Column:
     """Values <= 0 (or NULL) -> ``value``."""
     c = _c(col)

@@ -102,12 +102,6 @@ def cnt0(w: Win, cond: Column | None = None) -> Column:
     return F.coalesce(cnt(w, cond), F.lit(0).cast("long"))
 
 
-def present(w: Win, value: Column) -> Column:
-    """``value`` for groups with at least one event in the window, else NULL
-    (what a per-window table left-joined onto a base would give)."""
-    return F.when(has(w), value)
-
-
 # ---- the same building blocks as SQL text ------------------------------------
 # Feature tables have hundreds of columns; composing each through the Column
 # API costs ~20 driver->JVM calls per column, while one SQL expression per

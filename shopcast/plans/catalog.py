@@ -482,6 +482,16 @@ def d1_b(spark, sf):
     return user_dataset(load_b(spark, sf), with_label=True)
 
 
+@register("d1_user_dataset_lineitem_all")
+def d1_b_all(spark, sf):
+    """Adapter B accumulated from before its first event: the look-back covers the whole log."""
+    import dataclasses
+    import datetime as dt
+    from shopcast.plans.user_dataset import user_dataset
+    d = load_b(spark, sf)
+    return user_dataset(dict(d, dates=dataclasses.replace(d["dates"], acc_start=dt.datetime(1995, 1, 1))), with_label=True)
+
+
 @register("d5_user_accumulate")
 def d5(spark, sf):
     from shopcast.plans.user_dataset import user_accumulate

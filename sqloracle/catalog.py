@@ -420,6 +420,9 @@ SQL["d7_user_window"] = d7_sql(A)
 SQL["d1_user_dataset"] = d1_sql(A)
 SQL["d1_user_dataset_test"] = d1_sql(A, A.score_end, with_label=False)
 SQL["d1_user_dataset_lineitem"] = d1_sql(B)
+B_ALL = Ctx("B")
+B_ALL.acc_start = _dt.datetime(1995, 1, 1)
+SQL["d1_user_dataset_lineitem_all"] = d1_sql(B_ALL)
 
 
 # ---- profile / product / comments ----------------------------------------------------------------

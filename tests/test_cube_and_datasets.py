@@ -106,3 +106,15 @@ def test_d2_one_row_per_user_and_schema_equal(spark):
     test = user_dataset_wide_test(d)
     assert train.count() == train.select("user_id").distinct().count()
     assert sorted(c for c in train.columns if c != "label") == sorted(test.columns)
+
+
+def test_active_days_without_a_window_equal_the_bitmasks(spark):
+    d = load_a(spark, SF_SMALL)
+    D = d["dates"]
+    cube = activity_cube(d["actions"], D.end, D.acc_start)
+    wide = Win(0, D.acc_days)
+    for purchase in (False, True):
+        for by in ("b", "c"):
+            a, b = (sorted(tuple(r) for r in fam.active_days_df(cube, "UC", w, "n", purchase, by).collect())
+                    for w in (Win(0, None), wide))
+            assert a == b and a
