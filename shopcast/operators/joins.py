@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from shopcast.operators.windows import keep_latest
 
+SALTS = 32
+
 
 def left_join(left: DataFrame, right: DataFrame, on) -> DataFrame:
     """Left join on one or more keys."""
@@ -30,6 +32,32 @@ def semi_restrict(rows: DataFrame, keep: DataFrame, on="user_id", bound: int | N
     return rows.join(k, on, "left_semi")
 
 
+def hot_keys(df: DataFrame, key: str, share: float = 0.05) -> list:
+    """Keys that hold more than ``share`` of the rows — at most 1 / share of
+    them, so the list is small whatever the data.  ``df`` is read twice: give
+    a written table."""
+    most = df.count() * share
+    return [r[0] for r in df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).select(key).collect()
+            if r[0] is not None]
+
+
+def salted(df: DataFrame, key: str, hot: list, spread, salts: int = SALTS) -> DataFrame:
+    """``df`` with ``_salt``: rows of a hot key are spread over ``salts``
+    values by the ``spread`` columns, all others have 0."""
+    salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
+    return df.withColumn("_salt", F.when(F.col(key).isin(hot), salt).otherwise(0) if hot else F.lit(0))
+
+
+def salted_left_join(left: DataFrame, right: DataFrame, keys, key: str, hot: list, salts: int = SALTS) -> DataFrame:
+    """Left join of a ``salted`` table: the rows that ``right`` has for a hot
+    key (few: it is an aggregate by the join keys) are copied to every salt, so
+    the hot key's rows meet them in ``salts`` tasks instead of one."""
+    if not hot:
+        return left.join(right, list(keys), "left")
+    copies = F.when(F.col(key).isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return left.join(right.withColumn("_salt", F.explode(copies)), [*keys, "_salt"], "left")
+
+
 def latest_per_user_join(left: DataFrame, right: DataFrame, left_time: str, right_time: str,
                          left_ties=(), right_ties=()) -> DataFrame:
     """Join two per-user event lists, each reduced to its latest event per

@@ -816,7 +816,8 @@ def u1(spark, sf):
     """Positives and negatives of the pair table concatenated by name."""
     d = load_a(spark, sf)
     D = d["dates"]
-    base = fam.decayed_df(_cube(d), "UICB", _acc(d), "action_{k}").select("user_id", "sku_id")
+    from shopcast.sources.files import staged
+    base = staged(fam.decayed_df(_cube(d), "UICB", _acc(d), "action_{k}").select("user_id", "sku_id"), "pairs")
     lab = fam.labels(d["actions"], D.label_start, D.label_end, ("user_id", "sku_id"), cate=D.target_cate)
     pos = base.join(lab, ["user_id", "sku_id"], "left_semi").withColumn("label", F.lit(1))
     neg = base.join(lab, ["user_id", "sku_id"], "left_anti").withColumn("label", F.lit(0))
@@ -898,7 +899,8 @@ def m2(spark, sf):
 
 @register("m3_train_eval_split")
 def m3(spark, sf):
-    train, held = smp.train_eval_split(_pairs_labelled(load_a(spark, sf)), ["user_id", "sku_id"])
+    from shopcast.sources.files import staged
+    train, held = smp.train_eval_split(staged(_pairs_labelled(load_a(spark, sf)), "labelled"), ["user_id", "sku_id"])
     both = train.withColumn("is_eval", F.lit(0)).unionByName(held.withColumn("is_eval", F.lit(1)))
     return both.withColumn("bucket", smp.split_bucket(0, ["user_id", "sku_id"]))
 

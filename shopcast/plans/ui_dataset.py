@@ -31,12 +31,14 @@ from shopcast.operators.cube import (
     Win, day_mask_aggs, days_from_masks, in_win, is_type, mask_columns, materialized_cube, sql_col,
     win_sql,
 )
+from shopcast.operators.joins import hot_keys, salted, salted_left_join
 from shopcast.operators.profile import (
     AGE_CODES_1_7, basic_product_features, comment_features, static_user_features,
 )
 from shopcast.plans.wide_user import basket_measures, of_known_users, period_measures
 from shopcast.schemas import CATES, CONV_TYPES, MODEL_IDS, PURCHASE, TYPES, UI_DAY_WINDOWS
 from shopcast.sources.adapters import Dates
+from shopcast.sources.files import staged
 
 
 @dataclass(frozen=True)
@@ -151,11 +153,15 @@ def user_sku_dataset(src: dict, with_label: bool = True, spec: UISpec = UISpec()
 
     # joins, grouped by key set (consecutive joins on the same keys reuse the
     # base's partitioning)
-    df = base
+    # the base is written and measured first: a user with a large share of the
+    # rows is spread over salts in the joins by user
+    base = staged(base, "ui-base")
+    hot = hot_keys(base, "user_id")
+    df = salted(base, "user_id", hot, ["sku_id", "brand"])
     for t in (u, u_stats, profile):
-        df = df.join(t, "user_id", "left")
+        df = salted_left_join(df, t, ["user_id"], "user_id", hot)
     df = of_known_users(df, [f"0_action_period_{k}" for k in TYPES] + [f"cate_{c}" for c in CATES], "0_user_first_buy")
-    df = df.join(uc, ["user_id", "cate"], "left")
+    df = salted_left_join(df, uc, ["user_id", "cate"], "user_id", hot).drop("_salt")
     df = df.join(uic, ["user_id", "cate", "sku_id"], "left")
     df = df.join(ui, ["user_id", "sku_id"], "left")
     if with_label:

@@ -118,3 +118,32 @@ def test_active_days_without_a_window_equal_the_bitmasks(spark):
             a, b = (sorted(tuple(r) for r in fam.active_days_df(cube, "UC", w, "n", purchase, by).collect())
                     for w in (Win(0, None), wide))
             assert a == b and a
+
+
+def test_a_user_with_a_third_of_the_rows_is_spread_over_tasks(spark):
+    from shopcast.operators import joins
+    rows = spark.range(9000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 400 + 100).alias("user_id"),
+                                    F.col("id").alias("sku_id"))
+    per_user = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    hot = joins.hot_keys(rows, "user_id")
+    assert hot == [7]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = joins.salted_left_join(joins.salted(rows, "user_id", hot, ["sku_id"]), per_user, ["user_id"], "user_id", hot)
+        assert got.where("user_id = 7").select("_salt").distinct().count() == joins.SALTS
+        assert "_salt" in got._jdf.queryExecution().executedPlan().toString()
+        want = rows.join(per_user, ["user_id"], "left")
+        assert sorted(map(tuple, got.drop("_salt").collect())) == sorted(map(tuple, want.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_d3_with_a_hot_user_equals_the_plain_joins(spark, monkeypatch):
+    from shopcast.plans import ui_dataset
+    d = load_a(spark, SF_SMALL)
+    plain = ui_dataset.user_sku_dataset(d).select("user_id", "sku_id", "0_user_action_1", "0_uc_action_1", "user_lv_cd_1")
+    users = [r.user_id for r in d["actions"].groupBy("user_id").count().orderBy(F.col("count").desc()).limit(2).collect()]
+    monkeypatch.setattr(ui_dataset, "hot_keys", lambda *_: users)
+    split = ui_dataset.user_sku_dataset(d).select(*plain.columns)
+    assert sorted(map(tuple, split.collect())) == sorted(map(tuple, plain.collect()))

@@ -82,16 +82,16 @@ def test_last_is_latest_by_time_not_file_order(spark):
     assert out.time.day == 9
 
 
-def test_cart_uncart_fanout(spark):
-    from shopcast.operators.joins import latest_per_user_join
+def test_cart_uncart_latest_and_fan_out(spark):
+    from shopcast.operators.joins import fan_out_counts, latest_per_user_join
     rows = [(1, 1, f"2016-04-0{d} 10:00:00", 2) for d in (1, 2)] + [(1, 1, f"2016-04-0{d} 10:00:00", 3) for d in (3, 4, 5)]
     a = actions_df(spark, rows)
-    cart = a.filter("type = 2").select("user_id", "time")
-    uncart = a.filter("type = 3").select("user_id", F.col("time").alias("t2"))
-    assert latest_per_user_join(cart, uncart.withColumnRenamed("t2", "time"), as_written=True).count() == 6
-    l = wn.keep_latest(cart, ["user_id"], "time")
-    r = wn.keep_latest(uncart, ["user_id"], "t2")
-    assert l.join(r, "user_id", "left").count() == 1
+    cart = a.filter("type = 2").select("user_id", F.col("time").alias("t2"))
+    uncart = a.filter("type = 3").select("user_id", F.col("time").alias("t3"))
+    assert [r.rows for r in fan_out_counts(cart, uncart).collect()] == [6] == [cart.join(uncart, "user_id", "left").count()]
+    latest = latest_per_user_join(cart, uncart, "t2", "t3").collect()
+    assert [(r.t2.day, r.t3.day) for r in latest] == [(2, 5)]
+
 
 
 def test_no_cart_events_flag(spark):

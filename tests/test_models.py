@@ -59,7 +59,7 @@ def test_ensemble_weights_and_scores(spark, table):
     assert len(rows) == 400 and all(0 <= r.label <= 1 for r in rows)
 
 
-def test_reference_defaults():
+def test_training_defaults():
     import inspect
     ensemble, boosted = (inspect.signature(f).parameters for f in (md.subspace_ensemble, md.fit_predict_boosted))
     assert ensemble["max_iter"].default == 1000 and ensemble["columns"].default == 0.8 and ensemble["step"].default == 0.05
