@@ -1,10 +1,12 @@
 """Approximate nearest neighbours on robust-pruned directed graphs, one graph per shard of the vectors.
 
-Points enter a shard's graph in batches.  A greedy beam search from the middle
-point proposes neighbours; pruning keeps a candidate unless a kept one is
-nearer to it, by the factor ``ALPHA``, than the point itself, so edges point in
-diverse directions; reverse edges are added and pruned alike.  A first pass
-with factor 1 is refined by a second with ``ALPHA``.  Every query is searched
+A shard's graph starts with random edges.  Batch by batch, a greedy beam search
+from the entry points proposes neighbours of each point; pruning keeps a
+candidate unless a kept one is nearer to it, by the factor ``ALPHA``, than the
+point itself, so edges point in diverse directions; reverse edges are added and
+pruned alike.  A first pass with factor 1 is refined by a second with ``ALPHA``,
+and points that no entry reaches (a tight cluster can cut itself off) get an edge
+from the nearest one that is reached.  Every query is searched
 by beam in every shard, in blocks, and the shards' best are merged.
 
 Equal vectors are one node, with the smallest ids of its members beside it, so
@@ -27,7 +29,8 @@ from pyspark.sql import functions as F
 
 from .tables import written
 
-DEGREE, BEAM, SEARCH_BEAM, ALPHA = 28, 48, 64, 1.2
+DEGREE, BEAM, SEARCH_BEAM, ALPHA = 32, 64, 160, 1.2
+ENTRIES = 16            # random entry points beside the middle one
 SHARD = 8192            # vectors of a shard
 BLOCK = 512             # points or queries searched together
 
@@ -38,15 +41,15 @@ class Graph:
     def __init__(self, vectors: np.ndarray, seed: int = 6):
         self.x = vectors.astype(np.float32)
         self.norm = np.einsum("nd,nd->n", self.x, self.x)
-        self.out = np.full((len(vectors), DEGREE), -1, np.int32)
-        self.middle = int(np.argmin(self.norm - 2 * self.x @ self.x.mean(axis=0)))
-        order = np.random.default_rng(seed).permutation(len(vectors))
+        n, rng = len(vectors), np.random.default_rng(seed)
+        self.out = rng.integers(0, n, (n, DEGREE), dtype=np.int32)
+        middle = int(np.argmin(self.norm - 2 * self.x @ self.x.mean(axis=0)))
+        self.entries = np.unique(np.append(rng.integers(0, n, ENTRIES), middle))
+        order = rng.permutation(n)
         for alpha in (1.0, ALPHA):
-            at, size = 0, 1
-            while at < len(order):
-                self._insert(order[at:at + size], alpha)
-                at += size
-                size = min(BLOCK, 2 * size) if alpha == 1.0 else BLOCK
+            for at in range(0, n, BLOCK):
+                self._insert(order[at:at + BLOCK], alpha)
+        self._reach_all()
 
     def _distances(self, q: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Squared distances of each query to its own row of points, less the query's own norm."""
@@ -54,15 +57,16 @@ class Graph:
 
     def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Beam ids (-1: none) and their distances, nearest first, and all expanded ids of each query."""
-        b = len(q)
+        b, beam = len(q), max(beam, len(self.entries))
         rows = np.arange(b)
         ids = np.full((b, beam), -1, np.int64)
         dist = np.full((b, beam), np.inf, np.float32)
         done = np.ones((b, beam), bool)
         seen = np.zeros((b, len(self.x)), bool)
-        ids[:, 0], done[:, 0] = self.middle, False
-        dist[:, 0] = self._distances(q, ids[:, :1])[:, 0]
-        seen[:, self.middle] = True
+        start = self.entries
+        ids[:, :len(start)], done[:, :len(start)] = start, False
+        dist[:, :len(start)] = self._distances(q, ids[:, :len(start)])
+        seen[:, start] = True
         expanded = []
         while True:
             open_ = np.where(done, np.inf, dist)
@@ -92,7 +96,7 @@ class Graph:
         result = np.full((len(points), DEGREE), -1, np.int32)
         for at in range(0, len(points), 64):
             p, c = points[at:at + 64], np.sort(cands[at:at + 64], axis=1)
-            c = np.where((c == p[:, None]) | (np.diff(c, axis=1, prepend=-1) == 0), -1, c)
+            c = np.where((c == p[:, None]) | (np.diff(c, axis=1, prepend=-2) == 0), -1, c)
             safe = np.maximum(c, 0)
             d = np.where(c >= 0, self._distances(self.x[p], safe) + self.norm[p][:, None], np.inf)
             order = np.argsort(d, axis=1, kind="stable")
@@ -136,6 +140,28 @@ class Graph:
             if (~fits).any():
                 self.out[nodes[~fits]] = self._prune(nodes[~fits], both[~fits], alpha)
 
+    def _reach_all(self) -> None:
+        """Give every point that the entries do not lead to an edge from the nearest point they do."""
+        while True:
+            seen = np.zeros(len(self.x), bool)
+            front = self.entries
+            while len(front):
+                seen[front] = True
+                near = np.unique(self.out[front])
+                front = near[(near >= 0) & ~seen[np.maximum(near, 0)]]
+            lost = np.flatnonzero(~seen)
+            if not len(lost):
+                return
+            lost = lost[:BLOCK]
+            ids, _, _ = self.search(self.x[lost], BEAM)
+            for point, found in zip(lost, ids, strict=True):
+                near = found[(found >= 0) & seen[np.maximum(found, 0)]]
+                free = [f for f in near if (self.out[f] < 0).any()]
+                if free:
+                    self.out[free[0], np.argmax(self.out[free[0]] < 0)] = point
+                else:       # no room near it: one more entry
+                    self.entries = np.append(self.entries, point)
+
     def nearest(self, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest found (-1: none) and their exact double-precision distances."""
         ids, _, _ = self.search(q.astype(np.float32), max(SEARCH_BEAM, k))
