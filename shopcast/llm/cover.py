@@ -195,3 +195,21 @@ def repeated_windows_removed(docs: DataFrame) -> DataFrame:
     windows = C.exchange(rest, lambda c, d: _send_windows(c, d, parts), _answer_windows, 3, parts)
     last = C.with_replies(rest, windows, "cover-windows").mapInArrow(_remove, _SCHEMA)
     return first.where("data IS NULL").unionByName(last).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+SQL = r"""WITH split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM split WHERE len(w) >= 13)),
+least AS (SELECT s, min(doc_id) AS first FROM windows GROUP BY s),
+gone AS (
+  SELECT DISTINCT doc_id, i + k AS p
+  FROM (SELECT doc_id, i FROM windows JOIN least USING (s) WHERE first < doc_id), (SELECT unnest(range(0, 13)) AS k)),
+words AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM split),
+kept AS (
+  SELECT doc_id, count(gone.p) AS n_removed, string_agg(x, ' ' ORDER BY words.p) FILTER (WHERE gone.p IS NULL) AS t
+  FROM words LEFT JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM split LEFT JOIN kept USING (doc_id)"""

@@ -65,4 +65,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-SQL: dict[str, str] = {"op8_mixing": mixing.SQL}
+SQL: dict[str, str] = {"op7_substring_dedup": cover.SQL, "op8_mixing": mixing.SQL}
