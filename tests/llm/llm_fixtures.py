@@ -2,6 +2,18 @@
 
 import random
 
+import pytest
+
+
+@pytest.fixture(scope="session", autouse=True)
+def shared_folder(spark, tmp_path_factory):
+    """The folder that a cluster would name, and the package for the workers."""
+    from shopcast.llm.tables import ship
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        spark.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
+    ship(spark)
+
+
 AWKWARD = [
     (0, "The same words again and again, the same words again and again."), (1, None), (2, ""), (3, " \n\t "), (4, "one"),
     (5, "The same words again and again, the same words again and again."), (6, "mail a.b@c.example.org or 10.0.0.7 now"),

@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 import pytest
-from helpers import AWKWARD, documents, passages
+from llm_fixtures import AWKWARD, documents, passages, shared_folder  # noqa: F401
 
 from shopcast.llm import components, cover, graph, simhash, suffix, tables
 

@@ -3,7 +3,7 @@
 import duckdb
 import numpy as np
 import pytest
-from helpers import AWKWARD, documents
+from llm_fixtures import AWKWARD, documents, shared_folder  # noqa: F401
 
 from shopcast.llm import mixing, pii, quality, queries, simhash, tables, toxicity
 

@@ -5,7 +5,7 @@ import re
 
 import numpy as np
 import pytest
-from helpers import AWKWARD, documents
+from llm_fixtures import AWKWARD, documents, shared_folder  # noqa: F401
 
 from shopcast.llm import bpe, minhash, pii, tables, text
 
