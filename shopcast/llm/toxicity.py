@@ -11,9 +11,10 @@ per word over its most toxic stretch of ``STRETCH`` words, and a logistic
 regression on one fold of the labelled rows turns both into a probability.
 
 Bounds: at most ``TRAIN_ROWS`` labelled rows (smallest hashes of their ids)
-are used for fitting; the table of scores has ``BUCKETS`` entries, in which
-grams that share a bucket share the score of the more frequent one.  Counts
-behind the back-off cover every document.
+are used for fitting.  The table of scores holds every corpus gram whose context
+(the bytes before the last) occurs in those rows, each with its own score; the
+score of any other gram is 0, as both classes leave it to the shared back-off.
+Counts behind the back-off cover every document.
 
 Defined cases: a null or empty text, and one without letters, has differences
 of zero.  Repeated label rows count once per document, the higher label wins;
@@ -38,7 +39,6 @@ from .tables import written
 
 ORDER, STRETCH = 5, 2
 TRAIN_ROWS = 50_000
-BUCKETS = 1 << 22
 FOLDS, HELD_OUT, CALIBRATE = 5, 0, 4
 
 
@@ -127,24 +127,24 @@ def gram_scores(counts: DataFrame, order: int = ORDER) -> DataFrame:
     return top.select("g", "n", (logs["toxic"] - logs["ordinary"]).alias("score"))
 
 
-def _bucket(g: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
-    return (T.mix(g.view(T.U64)) & T.U64(buckets - 1)).astype(np.int64)
+def score_table(scores: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted grams and their scores, those of 0 left out; contexts that no fitted row has do not reach the driver."""
+    rows = scores.where("score <> 0").select("g", F.col("score").cast("float").alias("score")).toArrow()
+    g, score = rows["g"].to_numpy(), rows["score"].to_numpy()
+    order = np.argsort(g)
+    return g[order], score[order]
 
 
-def score_table(scores: DataFrame) -> np.ndarray:
-    """The scores by bucket; what reaches the driver is bounded by ``BUCKETS``."""
-    @F.pandas_udf("long")
-    def bucket(g: pd.Series) -> pd.Series:
-        return pd.Series(_bucket(g.to_numpy(np.int64)))
+def scores_of(key: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The score of each gram, looked up exactly; 0 of grams that are not in the table."""
+    g, score = table
+    if not len(g):
+        return np.zeros(len(key), np.float32)
+    at = np.minimum(np.searchsorted(g, key), len(g) - 1)
+    return np.where(g[at] == key, score[at], np.float32(0))
 
-    rows = (scores.groupBy(bucket("g").alias("b"))
-            .agg(F.max_by(F.col("score").cast("float"), F.struct("n", "g")).alias("score"))).toArrow()
-    table = np.zeros(BUCKETS, np.float32)
-    table[rows["b"].to_numpy()] = rows["score"].to_numpy()
-    return table
 
-
-def features(raw: np.ndarray, off: np.ndarray, table: np.ndarray) -> np.ndarray:
+def features(raw: np.ndarray, off: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Per text: difference per letter, and per word of the most toxic stretch."""
     key, word, first = grams(raw, off)
     n = len(off) - 1
@@ -152,7 +152,7 @@ def features(raw: np.ndarray, off: np.ndarray, table: np.ndarray) -> np.ndarray:
     if not len(key):
         return out
     letters = np.bincount(word, minlength=first[-1])
-    by_word = np.bincount(word, table[_bucket(key)], minlength=first[-1])
+    by_word = np.bincount(word, scores_of(key, table), minlength=first[-1])
     owner = np.repeat(np.arange(n), np.diff(first))
     out[:, 0] = np.bincount(owner, by_word, n) / np.maximum(np.bincount(owner, letters, n), 1)
     sums = np.concatenate(([0.0], np.cumsum(by_word)))
@@ -188,7 +188,7 @@ def training_rows(labels: DataFrame, most: int = TRAIN_ROWS) -> dict[int, int]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[Broadcast, np.ndarray]:
-    """The score table (broadcast, of fixed size) and the logistic weights (zeros if a class is missing)."""
+    """The score table (broadcast, bounded by the contexts of the fitted rows) and the logistic weights (zeros if a class is missing)."""
     spark = docs.sparkSession
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     label = training_rows(labels, train_rows)

@@ -45,6 +45,36 @@ def test_kneser_ney_lower_orders_are_distributions(spark):
     assert scores[only] > scores[both]
 
 
+def test_grams_of_one_hash_keep_their_own_scores(spark):
+    """A rare toxic gram beside a frequent one of score 0 whose mixed hash has the same 22 low bits."""
+    from shopcast.llm import text as T
+    letters = np.random.default_rng(1).integers(97, 123, (20_000, 5))
+    g = np.unique(letters @ (1 << np.array([32, 24, 16, 8, 0])))
+    low = (T.mix(g.astype(np.uint64)) & np.uint64((1 << 22) - 1)).astype(np.int64)
+    order = np.argsort(low, kind="stable")
+    hit = np.flatnonzero(np.diff(low[order]) == 0)[0]
+    rare, often = (int(x) for x in g[order[hit:hit + 2]])
+    scores = spark.createDataFrame([(rare, 1, 3.0), (often, 99, 0.0)], "g long, n long, score double")
+    table = toxicity.score_table(scores)
+    raw = rare.to_bytes(5, "big") + often.to_bytes(5, "big")
+    got = toxicity.features(np.frombuffer(raw, np.uint8), np.array([0, 5, 10]), table)
+    assert got.tolist() == [[pytest.approx(3 / 5), pytest.approx(3.0)], [0.0, 0.0]]
+
+
+def test_every_gram_of_a_fitted_context_is_in_the_table(spark):
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "text": ["abc abd abe xyz", "abc xyz", "abz qrs"]})
+    counts = spark.createDataFrame([tuple(int(v) for v in r) for b in toxicity._count(iter([batch]), {1: 1, 2: 0})
+                                    for r in zip(*(c.to_pylist() for c in b.columns), strict=True)],
+                                   "g long, n long, toxic long, ordinary long")
+    rows = toxicity.gram_scores(counts).collect()
+    table = toxicity.score_table(toxicity.gram_scores(counts))
+    got = toxicity.scores_of(np.array([r.g for r in rows]), table)
+    assert got.tolist() == pytest.approx([r.score for r in rows])
+    seen = {r.g >> 8 for r in counts.collect() if r.toxic + r.ordinary}
+    assert all(r.score == 0 for r in rows if r.g >> 8 not in seen) and any(r.g >> 8 not in seen for r in rows)
+
+
 def test_toxicity_of_awkward_rows(spark):
     docs = documents(spark, extra=True)
     labels = spark.createDataFrame([(i, 0, i % 2) for i, _ in AWKWARD if i is not None] + [(4, 0, None)], "doc_id long, quality int, toxic int")
