@@ -724,7 +724,7 @@ def e3(spark, sf):
 def e1(spark, sf):
     d = load_a(spark, sf)
     D = d["dates"]
-    pred = _user_scores_plain(d).orderBy(F.col("prob").desc(), "user_id").limit(50)
+    pred = _user_scores_plain(d).orderBy(F.col("prob").desc(), "user_id").limit(1000)
     return ev.f11(pred, fam.labels(d["actions"], D.label_start, D.label_end, cate=D.target_cate))
 
 
@@ -732,7 +732,7 @@ def e1(spark, sf):
 def e2(spark, sf):
     d = load_a(spark, sf)
     D = d["dates"]
-    pred = _pair_scores(d).orderBy(F.col("label").desc(), "user_id", "sku_id").limit(200)
+    pred = _pair_scores(d).orderBy(F.col("label").desc(), "user_id", "sku_id").limit(1000)
     truth = fam.labels(d["actions"], D.label_start, D.label_end, ("user_id", "sku_id"), cate=D.target_cate)
     return ev.f12_score(pred.select("user_id", "sku_id"), truth)
 
@@ -747,11 +747,11 @@ def j3(spark, sf):
 
 @register("j3_semi_restrict_topk")
 def j3k(spark, sf):
-    """Scoring rows restricted to the first 100 candidate users (bounded -> broadcast)."""
+    """Scoring rows restricted to the first 1000 candidate users (bounded -> broadcast)."""
     d = load_a(spark, sf)
     base = fam.decayed_df(_cube(d), "UICB", _acc(d), "action_{k}")
-    cands = _user_scores_plain(d).orderBy(F.col("prob").desc(), "user_id").limit(100)
-    return jn.semi_restrict(base, cands, bound=100)
+    cands = _user_scores_plain(d).orderBy(F.col("prob").desc(), "user_id").limit(1000)
+    return jn.semi_restrict(base, cands, bound=1000)
 
 
 def _cart_sides(d):
@@ -784,7 +784,7 @@ def j5(spark, sf):
     d = load_a(spark, sf)
     us = _user_scores_plain(d)
     ps = _pair_scores(d)
-    return jn.topk_overlap(us, ps, 50, 200, [F.col("prob").desc(), F.col("user_id")],
+    return jn.topk_overlap(us, ps, 1000, 1000, [F.col("prob").desc(), F.col("user_id")],
                            [F.col("label").desc(), F.col("user_id"), F.col("sku_id")])
 
 
@@ -806,8 +806,8 @@ def u2(spark, sf):
     from shopcast.operators.cube import cnt0
     w = _acc(d)
     views = fam.aggregate(_cube(d), "U", [cnt0(w, is_type(1)).cast("double").alias("prob")], w)
-    a = _user_scores_plain(d).orderBy(F.col("prob").desc(), "user_id").limit(50).select("user_id")
-    b = views.orderBy(F.col("prob").desc(), "user_id").limit(50).select("user_id")
+    a = _user_scores_plain(d).orderBy(F.col("prob").desc(), "user_id").limit(1000).select("user_id")
+    b = views.orderBy(F.col("prob").desc(), "user_id").limit(1000).select("user_id")
     return a.intersect(b)
 
 
