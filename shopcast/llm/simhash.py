@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
@@ -60,19 +60,28 @@ def fingerprint(words: list[bytes], shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(bits * 2 > len(h)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp as signed long) of every text; no shuffle."""
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def text_hash(text_col: str = "text") -> Column:
+    """SHA-256 of a text (32 bytes); no bytes for a null text."""
+    return F.coalesce(F.unhex(F.sha2(F.col(text_col).cast("string").cast("binary"), 256)), F.lit(b""))
+
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text",
+                 hashed: bool = False) -> DataFrame:
+    """(id, fp as signed long; ``hashed``: and the text's hash) of every text; no shuffle."""
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+                      *([text_hash(text_col).alias("hash")] if hashed else []))
     lower = bytes(T.LOWER)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").cast(pa.large_binary())
             fps = [fingerprint((t.as_py() or b"").translate(lower).split(), shingle) for t in texts]
+            more = [batch.column("hash")] if hashed else []
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["doc_id", "fp"])
+                [batch.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64)), *more],
+                names=["doc_id", "fp", "hash"][:2 + len(more)])
 
-    return src.mapInArrow(run, "doc_id long, fp long")
+    return src.mapInArrow(run, "doc_id long, fp long" + (", hash binary" if hashed else ""))
 
 
 def _hamming_words() -> np.ndarray:
@@ -265,12 +274,17 @@ def links(distinct: DataFrame) -> DataFrame:
     return edges.unionByName(cells.mapInArrow(_compare_cells, "a long, b long"))
 
 
+def _rooted(fps: DataFrame) -> DataFrame:
+    """(fp, doc_id, root) of each distinct fingerprint: its smallest id and its component's root."""
+    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
+    groups = components(links(distinct.select("fp")), "a", "b").withColumnRenamed("node", "fp")
+    return written(distinct.join(groups, "fp", "left").selectExpr("fp", "doc_id", "coalesce(root, fp) AS root"), "simhash-roots")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row; links at four or fewer differing bits."""
     fps = written(fingerprints(docs, shingle), "simhash-fp")
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-    groups = components(links(distinct.select("fp")), "a", "b").withColumnRenamed("node", "fp")
-    rooted = written(distinct.join(groups, "fp", "left").selectExpr("fp", "doc_id", "coalesce(root, fp) AS root"), "simhash-roots")
+    rooted = _rooted(fps)
     first = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = written(rooted.join(first, "root").select("fp", "component_id"), "simhash-groups")
     return (fps.join(named, "fp")
@@ -278,9 +292,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The rows with the smallest id of their component, with all their columns; equal ids and texts once."""
-    own = "__own_id"     # no column of the documents; a null id is one more id
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1 << 63)).alias(own)
-    stays = near_duplicates(docs, shingle).where("doc_id <=> component_id").select(key).distinct()
+    """One row of each component, with all its columns: the smallest id, null ids last, then the smallest text hash."""
+    own, none, text = key = ["__own_id", "__no_id", "__own_text"]     # no columns of the documents
+
+    def keys(doc_id: Column, hashed: Column) -> list[Column]:
+        """Columns that join null-safely: a null id is one more id."""
+        return [F.coalesce(doc_id, F.lit(0)).alias(own), doc_id.isNull().alias(none), hashed.alias(text)]
+
+    fps = written(fingerprints(docs, shingle, hashed=True), "simhash-fp")
+    least = fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hash")).alias("least"))
+    stays = (least.join(_rooted(fps.select("doc_id", "fp")).select("fp", "root"), "fp").groupBy("root")
+             .agg(F.min("least").alias("least")).select(*keys(F.col("least.doc_id"), F.col("least.hash"))))
     # joined and made distinct on one partitioning, so the text is shuffled once
-    return docs.select("*", key).join(stays, own, "left_semi").dropDuplicates([own, "text"]).drop(own)
+    return (docs.select("*", *keys(F.col("doc_id").cast("long"), text_hash())).join(stays, key, "left_semi")
+            .dropDuplicates(key).drop(*key))

@@ -112,6 +112,19 @@ def test_simhash_of_awkward_rows(spark):
     assert simhash.near_duplicates(documents(spark, [])).count() == 0
 
 
+def test_one_row_of_each_component_stays(spark):
+    """Null ids and an id of two texts: near copies go, whatever their ids; one text of each group is left."""
+    line = "one two three four five six seven eight nine ten eleven twelve " * 3
+    far = ["other words of another text " + c * 9 for c in "qz"]
+    near = [line, line + "\n", line + " \t"]      # the same words, so the same fingerprint
+    nulls = [(None, t) for t in near] + [(None, t + " ") for t in near] + [(None, far[0]), (None, None), (None, "")]
+    got = [tuple(r)[:2] for r in simhash.one_of_each(documents(spark, nulls)).collect()]
+    assert len(got) == 3 and sum(bool(t) and t.startswith("one") for _, t in got) == 1
+    mixed = [(None, near[0]), (7, near[1]), (7, near[2]), (9, near[0]), (9, far[0]), (8, far[0] + " "), (9, far[1]), (9, far[1])]
+    got = [tuple(r)[:2] for r in simhash.one_of_each(documents(spark, mixed)).collect()]
+    assert sorted(i for i, _ in got) == [7, 8, 9] and (8, far[0] + " ") in got and (9, far[1]) in got
+
+
 def brute_suffix(rows):
     texts, count, out = [(t or "").encode() for _, t in rows], {}, []
     for b in texts:
