@@ -134,14 +134,14 @@ def _features(shape: str) -> tuple[str, ...]:
 
 
 def shape_of(token: str) -> str:
-    return _RUN.sub(_run, token[:256])
+    return _RUN.sub(_run, token)
 
 
 def token_at(text: str, start: int, end: int) -> tuple[int, int, str]:
     """The trimmed token of a word: start, end, shape."""
     word = text[start:end]
     head = re.match(r"[^A-Za-z0-9+(@]*", word).end()
-    tail = len(re.search(r"[^A-Za-z0-9)]*\Z", word)[0]) if len(word) < 4096 else 0
+    tail = re.match(r"[^A-Za-z0-9)]*", word[::-1]).end()
     if head + tail >= len(word):
         head = tail = 0
     return start + head, end - tail, shape_of(text[start + head:end - tail])
@@ -166,7 +166,8 @@ def _steps() -> tuple[np.ndarray, np.ndarray]:
 def chain_features(shapes: list[str]) -> list[tuple[str, ...]]:
     """Features of each token of a chain; beyond its ends are plain words."""
     around = ["w", *shapes, "w"]
-    return [_features(s) + ("before=" + around[i][:16], "after=" + around[i + 2][:16],
+    of = [_features(s) if len(s) <= 256 else _features.__wrapped__(s) for s in shapes]     # long shapes are not remembered
+    return [of[i] + ("before=" + around[i][:16], "after=" + around[i + 2][:16],
                             f"before={around[i][:16]} {s[:16]}", f"after={s[:16]} {around[i + 2][:16]}")
             for i, s in enumerate(shapes)]
 

@@ -112,6 +112,19 @@ def test_field_learns_its_table_and_finds_more():
         [("phone", "(212) 555-0199")], [("email", "root@localhost")], []]
 
 
+def test_long_words_are_read_whole():
+    assert pii.shape_of("x" * 300 + "@y.org") == "a@a.a"
+    word = "é" * 300 + "7" + "-" * 5000
+    assert pii.token_at("a " + word, 2, 2 + len(word)) == (302, 303, "d1")
+    assert pii.token_at("y" * 9000 + "...", 0, 9003) == (0, 9000, "a")
+    field = pii.train(pii.labelled_table())
+    texts = [f"mail {'root' * n}@localhost{end} today" for n in (1, 100, 2000) for end in ("", ".")]
+    spans = pii.added_spans(texts, [[] for _ in texts], field)
+    assert [[(pii.KINDS[k], t[s:e]) for s, k, e in x] for t, x in zip(texts, spans, strict=True)] == [
+        [("email", t.split()[1].rstrip("."))] for t in texts]
+    assert len(pii.added_spans(["a1" * 500_000 + "-" * 500_000], [[]], field)) == 1
+
+
 def test_viterbi_is_the_best_path():
     from itertools import product
     field = pii.train(pii.labelled_table(), rounds=20)
