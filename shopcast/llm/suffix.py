@@ -46,7 +46,7 @@ LENGTH = 400
 REACH, GRAM = 128, 16                    # REACH is a power of two and at most 256
 CERTAIN = LENGTH - REACH + 1
 CROWD = 65_536
-SPLIT = 32                               # leading bytes by which suffixes are dealt into ranges
+SPLIT = CERTAIN                          # leading bytes by which suffixes are dealt into ranges
 SAMPLES = 64                             # sampled suffixes for each range
 _BASE2 = 0xC2B2AE3D27D4EB4F
 YES, LOOK = 1, 2                         # of an anchor: all its strings are repeats; look at each of them

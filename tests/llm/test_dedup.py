@@ -205,6 +205,38 @@ def test_crowds_are_looked_at_whole(monkeypatch):
     assert all(int(r[0]) & suffix.LOOK for r in suffix._answer_runs(rows))
 
 
+def one_phrase(n=16):
+    """Texts in pairs whose anchors nearly all lie at one phrase, 32 bytes or more before its end."""
+    rng = random.Random(11)
+    word = lambda k: "".join(rng.choice("abcdefgh ") for _ in range(k))
+    for _ in range(2000):
+        phrase = word(56)
+        rows = [(2 * i + j, t) for i in range(n) for t in ["".join(phrase + word(40) for _ in range(12))] for j in (0, 1)]
+        raw = rows[0][1].encode()
+        at = suffix.anchors(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[1]
+        if np.mean([raw[a:a + 32] in phrase.encode() for a in at]) > 0.9:
+            return rows
+    raise AssertionError("no phrase")
+
+
+def test_suffixes_of_one_phrase_are_divided(spark):
+    """Different passages after a common phrase of 32 bytes do not land in one range."""
+    from bisect import bisect_right
+
+    from shopcast.llm import chunks as C
+    rows = one_phrase()
+    packed = C.pack(documents(spark, rows))
+    certain = C.exchange(packed, lambda c, d: suffix._send_certain(c, d, 4), suffix._answer_certain, 2, 4)
+    first = tables.written(C.with_replies(packed, certain, "test-certain").mapInArrow(suffix._filter, suffix._SCHEMA), "test-first")
+    rest = first.where("data IS NOT NULL").select("chunk", "data")
+    borders = suffix._splitters(rest, 8)
+    strings = [s for r in rest.toArrow()["data"] for s in suffix._Open(r).run()[2]]
+    ranges = np.bincount([bisect_right(borders, s) for s in strings], minlength=8)
+    assert ranges.max() < 0.4 * ranges.sum()
+    got = [tuple(r) for r in suffix.repeated_bytes_removed(documents(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted(brute_suffix(rows), key=str)
+
+
 def test_graph_recall(spark):
     from pyspark.sql import functions as F
     vectors = tables.table(spark, SF, "embeddings").withColumn("node", F.lit("clash"))
