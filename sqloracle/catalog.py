@@ -530,9 +530,9 @@ def _f11_sql(pred, truth, prefix=""):
             f"{r(f'CASE WHEN hits > 0 THEN 6.0 * {P} * {R} / (5.0 * {R} + {P}) ELSE 0.0 END')} AS f11 FROM ({m}) mm")
 
 
-_PRED_U = f"SELECT user_id FROM ({USCORE}) s ORDER BY prob DESC, user_id LIMIT 50"
+_PRED_U = f"SELECT user_id FROM ({USCORE}) s ORDER BY prob DESC, user_id LIMIT 1000"
 SQL["e1_f11"] = A.sql(_f11_sql(_PRED_U, TRUTH_U))
-_PRED_P = f"SELECT user_id, sku_id FROM ({PSCORE}) s ORDER BY label DESC, user_id, sku_id LIMIT 200"
+_PRED_P = f"SELECT user_id, sku_id FROM ({PSCORE}) s ORDER BY label DESC, user_id, sku_id LIMIT 1000"
 _pairs = (f"SELECT CAST(count(*) FILTER (WHERE t.user_id IS NOT NULL) AS BIGINT) AS pair_hits, "
           f"CAST(count(*) AS BIGINT) AS pp, (SELECT count(*) FROM ({TRUTH_P}) tt) AS pa "
           f"FROM ({_PRED_P}) p LEFT JOIN ({TRUTH_P}) t ON p.user_id = t.user_id AND p.sku_id = t.sku_id")
@@ -566,7 +566,7 @@ _DB = (f"SELECT user_id, sku_id, cate, brand, " + ", ".join(
     + f" FROM actions WHERE {where(A, 0)} GROUP BY user_id, sku_id, cate, brand")
 SQL["j3_semi_restrict"] = A.sql(f"SELECT * FROM ({_DB}) d WHERE user_id IN ({TRUTH_U})")
 SQL["j3_semi_restrict_topk"] = A.sql(
-    f"SELECT * FROM ({_DB}) d WHERE user_id IN (SELECT user_id FROM ({USCORE}) s ORDER BY prob DESC, user_id LIMIT 100)")
+    f"SELECT * FROM ({_DB}) d WHERE user_id IN (SELECT user_id FROM ({USCORE}) s ORDER BY prob DESC, user_id LIMIT 1000)")
 _CART = f"SELECT user_id, time FROM actions WHERE {where(A, 0, 'type = 2')}"
 _UNCART = f"SELECT user_id, time FROM actions WHERE {where(A, 0, 'type = 3')}"
 SQL["j4_cart_uncart_latest"] = A.sql(
@@ -578,8 +578,8 @@ SQL["j4_cart_uncart_as_written"] = A.sql(
     f"SELECT c.user_id, count(*) AS rows FROM ({_CART}) c LEFT JOIN ({_UNCART}) u ON c.user_id = u.user_id "
     f"GROUP BY c.user_id")
 SQL["j5_topk_overlap"] = A.sql(
-    f"SELECT a.user_id, a.prob, b.sku_id, b.label FROM (SELECT * FROM ({USCORE}) s ORDER BY prob DESC, user_id LIMIT 50) a "
-    f"JOIN (SELECT * FROM ({PSCORE}) p ORDER BY label DESC, user_id, sku_id LIMIT 200) b ON a.user_id = b.user_id")
+    f"SELECT a.user_id, a.prob, b.sku_id, b.label FROM (SELECT * FROM ({USCORE}) s ORDER BY prob DESC, user_id LIMIT 1000) a "
+    f"JOIN (SELECT * FROM ({PSCORE}) p ORDER BY label DESC, user_id, sku_id LIMIT 1000) b ON a.user_id = b.user_id")
 _PVIEWS = (f"SELECT user_id, sku_id, CAST(count(*) FILTER (WHERE type = 1) AS DOUBLE) AS views FROM actions "
            f"WHERE {where(A, 0)} GROUP BY user_id, sku_id")
 SQL["j5_topk_overlap_pairs"] = A.sql(
@@ -588,8 +588,8 @@ SQL["j5_topk_overlap_pairs"] = A.sql(
 _VIEWS = (f"SELECT user_id, CAST(count(*) FILTER (WHERE type = 1) AS DOUBLE) AS prob FROM actions "
           f"WHERE {where(A, 0)} GROUP BY user_id")
 SQL["u2_intersect"] = A.sql(
-    f"SELECT user_id FROM (SELECT user_id FROM ({USCORE}) s ORDER BY prob DESC, user_id LIMIT 50) a "
-    f"INTERSECT SELECT user_id FROM (SELECT user_id FROM ({_VIEWS}) v ORDER BY prob DESC, user_id LIMIT 50) b")
+    f"SELECT user_id FROM (SELECT user_id FROM ({USCORE}) s ORDER BY prob DESC, user_id LIMIT 1000) a "
+    f"INTERSECT SELECT user_id FROM (SELECT user_id FROM ({_VIEWS}) v ORDER BY prob DESC, user_id LIMIT 1000) b")
 _PAIRS = f"SELECT DISTINCT user_id, sku_id FROM actions WHERE {where(A, 0)}"
 SQL["u1_union_all"] = A.sql(
     f"SELECT user_id, sku_id, 1 AS label FROM ({_PAIRS}) p WHERE (user_id, sku_id) IN ({TRUTH_P}) UNION ALL "
