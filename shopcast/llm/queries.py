@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, cover, graph, minhash, mixing, pii, quality, simhash, suffix, toxicity
+from . import bpe, cover, graph, hadamard, minhash, mixing, pii, quality, simhash, suffix, toxicity
 from .tables import table
 
 
@@ -52,6 +52,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hadamard.clustered(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op2_byte_bpe": op2_byte_bpe,
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
+    "op11_centroid_clusters": op11_centroid_clusters,
 }
 
-SQL: dict[str, str] = {"op7_substring_dedup": cover.SQL, "op8_mixing": mixing.SQL}
+SQL: dict[str, str] = {"op7_substring_dedup": cover.SQL, "op8_mixing": mixing.SQL, "op11_centroid_clusters": hadamard.SQL}
