@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, cover, graph, hadamard, minhash, mixing, packing, pii, quality, simhash, suffix, toxicity
+from . import bpe, cover, graph, hadamard, minhash, mixing, packing, pii, quality, repair, simhash, suffix, toxicity
 from .tables import table
 
 
@@ -56,6 +56,10 @@ def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hadamard.clustered(table(spark, sf_dir, "embeddings"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired(table(spark, sf_dir, "conversations"))
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
     "op11_centroid_clusters": op11_centroid_clusters,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_packing": op13_packing,
 }
 
