@@ -27,6 +27,7 @@ from array import array
 from bisect import bisect_right
 from collections import deque
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +42,11 @@ SENTENCE, INSIDE, EACH = 8, 24, 1
 SHORTEST = 64                   # shorter windows are counted as padded, powers of two or not
 BLOCK = 1 << 18                 # tokens after which a block is closed
 CLOSING = b"\0\0\0\0"           # id 0 ends a document
-CACHE_BYTES = 48 << 20          # parts and their ids remembered by a worker; emptied when full
+CACHE_BYTES = 96 << 20          # parts and their ids remembered by a worker; emptied when full
 GROUP = 400                     # parts encoded in one call
 GAP = re.compile(r"(?<=\S) (?=\S)")
+MARKS = ",.;:!?"
+LETTERS = frozenset(c for c in map(chr, range(0x250)) if c.isalpha())
 
 
 class Encoder:
@@ -63,6 +66,7 @@ class Encoder:
         self.opens = np.array([w[:1] in {"Ġ", "Ċ", "ĉ", "č"} for w in words])          # begins with white space
         self.stops = np.array([w.rstrip("\"')]")[-1:] in {".", "!", "?"} for w in words])
         self.lines = np.array(["Ċ" in w for w in words])
+        self.marks = dict(zip(MARKS, self._ids(list(MARKS)), strict=True))      # a mark after a letter is a pre-token
         self.heads: dict[str, bytes] = {}           # parts that begin a text
         self.parts: dict[str, bytes] = {}           # parts after a space
         self.odd: set[str] = set()                  # parts that white space touches: the spaces beside them are no cuts
@@ -78,43 +82,34 @@ class Encoder:
     def _learn(self, heads: set[str], parts: set[str]) -> None:
         if self.held > CACHE_BYTES:
             self.heads, self.parts, self.odd, self.held = {}, {}, set(), 0
-        new = [h for h in heads if h not in self.heads]
+        new = list(heads.difference(self.heads))
         self._remember(self.heads, new, self._ids(new))
-        plain, mixed = [], []
-        for p in parts:
-            if p not in self.parts and p not in self.odd:
-                if not p or p[0].isspace() or p[-1].isspace():
-                    self.odd.add(p)
-                else:
-                    (mixed if " " in p else plain).append(p)
-        self._remember(self.parts, mixed, self._ids([" " + p for p in mixed]))
-        groups = [plain[i:i + GROUP] for i in range(0, len(plain), GROUP)]
+        fresh = parts.difference(self.parts).difference(self.odd)
+        plain = [p for p in fresh if p and p == p.strip()]
+        if len(plain) < len(fresh):
+            self.odd.update(fresh.difference(plain))
+        marked = [p for p in plain if p[-1] in self.marks and p[-2:-1] in LETTERS]
+        todo = list(set(plain).difference(marked).union([p[:-1] for p in marked]).difference(self.parts))
+        groups = [todo[i:i + GROUP] for i in range(0, len(todo), GROUP)]
         for group, raw in zip(groups, self._ids([" " + " ".join(g) for g in groups]), strict=True):
             at = (4 * np.flatnonzero(self.spaced[np.frombuffer(raw, "<u4")])).tolist() + [len(raw)]
             self._remember(self.parts, group, [raw[a:b] for a, b in zip(at, at[1:], strict=False)])
+        self._remember(self.parts, marked, [self.parts[p[:-1]] + self.marks[p[-1]] for p in marked])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cut = [t.split(" ") for t in texts]
-        self._learn({c[0] for c in cut}, {p for c in cut for p in c[1:]})
-        held = [(c[0], c[1:]) for c in cut]
-        loose = [i for i, (h, rest) in enumerate(held) if rest and (h and h[-1].isspace() or not self.odd.isdisjoint(rest))]
+        heads, rests = [c[0] for c in cut], [c[1:] for c in cut]
+        self._learn(set(heads), set(chain.from_iterable(rests)))
+        loose = [i for i, (h, rest) in enumerate(zip(heads, rests, strict=True))
+                 if rest and (h and h[-1].isspace() or not self.odd.isdisjoint(rest))]
         for i in loose:
-            first, *rest = GAP.split(texts[i])
-            held[i] = first, rest
-        if loose:
-            heads, parts = {held[i][0] for i in loose}, {p for i in loose for p in held[i][1]}
-            kept = self.held
-            self.held = 0                           # nothing is forgotten between the two steps
-            self._gaps(heads, parts)
-            self.held += kept
-        return [self.heads[h] + b"".join(map(self.parts.__getitem__, rest)) for h, rest in held]
-
-    def _gaps(self, heads: set[str], parts: set[str]) -> None:
-        """Parts of texts cut at safe spaces only: white space may touch or fill them."""
-        for into, keys, lead in ((self.heads, heads, ""), (self.parts, parts, " ")):
-            new = [k for k in keys if k not in into]
+            heads[i], *rests[i] = GAP.split(texts[i])
+        for into, lead, keys in ((self.heads, "", {heads[i] for i in loose}),
+                                 (self.parts, " ", set(chain.from_iterable(rests[i] for i in loose)))):
+            new = list(keys.difference(into))
             self._remember(into, new, self._ids([lead + k for k in new]))
+        return [self.heads[h] + b"".join(map(self.parts.__getitem__, rest)) for h, rest in zip(heads, rests, strict=True)]
 
     def sentence_ends(self, ids: np.ndarray) -> np.ndarray:
         """Places after which a new sentence or line begins."""
@@ -140,42 +135,40 @@ def window_cuts(places: np.ndarray, penalties: np.ndarray, window: int = WINDOW,
 
     near = np.searchsorted(places, places + window, "right") - 1
     lacking = (places + window < last) & (places[near] < places + window - slack)
-    powers = [1 << k for k in range(window.bit_length()) if shortest <= 1 << k <= window]
-    cost, back = {0: 0}, {}
-    look = cost.get
+    # by place + window, so that places before the block read as out of reach
+    far = 1 << 30
+    cost, back = array("i", [far]) * (last + window + 1), array("i", [0]) * (last + 1)
+    cost[window] = 0
+    offsets = [window - (1 << k) for k in range(window.bit_length()) if shortest <= 1 << k <= window]
     queue, keys = deque([0]), deque([0])            # cuts in reach, by place and by cost + place, both ascending
-    full: deque[int] = deque()                      # ends of full windows inside a sentence
-
-    def settle(here: int, penalty: int) -> None:
-        while queue[0] < here - window:
-            queue.popleft()
-            keys.popleft()
-        start, least = queue[0], keys[0] + window - here
-        for length in powers:
-            c = look(here - length)
-            if c is not None and c < least:
-                start, least = here - length, c
-        cost[here] = least = least + penalty + each
-        back[here] = start
-        key = least + here
-        while keys and keys[-1] >= key:
-            queue.pop()
-            keys.pop()
-        queue.append(here)
-        keys.append(key)
-
-    if lacks_end(0):
-        full.append(window)
-    for here, penalty, lacks in zip(ends, penalties.tolist(), lacking.tolist(), strict=True):
-        while full and full[0] <= here:
-            inner = full.popleft()
-            if inner < here:
-                settle(inner, inside)
-                if lacks_end(inner):
-                    full.append(inner + window)
-        settle(here, penalty)
-        if lacks:
-            full.append(here + window)
+    full: deque[int] = deque([window] if lacks_end(0) else [])      # ends of full windows inside a sentence
+    for place, penalty, lacks in zip(ends, (penalties + each).tolist(), lacking.tolist(), strict=True):
+        here = -1
+        while here < place:
+            if full and full[0] < place:
+                here, more, spawns = full.popleft(), inside + each, None
+            else:
+                here, more, spawns = place, penalty, lacks
+                if full and full[0] == place:
+                    full.popleft()
+            while queue[0] < here - window:
+                queue.popleft()
+                keys.popleft()
+            start, least = queue[0], keys[0] + window - here
+            for offset in offsets:
+                c = cost[here + offset]
+                if c < least:
+                    start, least = here + offset - window, c
+            cost[here + window] = least = least + more
+            back[here] = start
+            key = least + here
+            while keys and keys[-1] >= key:
+                queue.pop()
+                keys.pop()
+            queue.append(here)
+            keys.append(key)
+            if spawns or spawns is None and lacks_end(here):
+                full.append(here + window)
     cuts = [last]
     while back[cuts[-1]]:
         cuts.append(back[cuts[-1]])
@@ -204,6 +197,9 @@ def _pieces(names: pa.Array, ids: list[bytes], encoder: Encoder, first: int, win
     return pa.RecordBatch.from_arrays(cols, names=["doc", *COLUMNS]), first + len(cuts)
 
 
+_encoders: dict[str, Encoder] = {}      # one per model and worker, kept between tasks
+
+
 COLUMNS = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
@@ -225,7 +221,8 @@ def packed(docs: DataFrame, spec_file: str, window: int = WINDOW, id_col: str =
         names, ids, held = [], [], 0
         rename = lambda b: b.rename_columns([id_col, *COLUMNS])
         for batch in batches:
-            encoder = encoder or Encoder(spec.value)
+            if encoder is None:
+                encoder = _encoders.get(spec.value) or _encoders.setdefault(spec.value, Encoder(spec.value))
             for part in T.slices(batch, "text"):
                 coded = [x + CLOSING for x in encoder.encode([t or "" for t in part.column("text").to_pylist()])]
                 low = 0
