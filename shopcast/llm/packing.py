@@ -45,6 +45,8 @@ CLOSING = b"\0\0\0\0"           # id 0 ends a document
 CACHE_BYTES = 96 << 20          # parts and their ids remembered by a worker; emptied when full
 GROUP = 400                     # parts encoded in one call
 GAP = re.compile(r"(?<=\S) (?=\S)")
+TOUCHED = re.compile(r"(?:\A|\0)\s|\s(?:\0|\Z)")
+WIDE_LINE = re.compile(r"\s\n|\n\s")
 MARKS = ",.;:!?"
 LETTERS = frozenset(c for c in map(chr, range(0x250)) if c.isalpha())
 
@@ -67,7 +69,9 @@ class Encoder:
         self.stops = np.array([w.rstrip("\"')]")[-1:] in {".", "!", "?"} for w in words])
         self.lines = np.array(["Ċ" in w for w in words])
         self.marks = dict(zip(MARKS, self._ids(list(MARKS)), strict=True))      # a mark after a letter is a pre-token
-        self.heads: dict[str, bytes] = {}           # parts that begin a text
+        self.feed, = self._ids(["\n"])              # between characters that are no white space it is a pre-token
+        self.line = int(np.frombuffer(self.feed, "<u4")[0])
+        self.heads: dict[str, bytes] = {}           # parts that begin a text or a line
         self.parts: dict[str, bytes] = {}           # parts after a space
         self.odd: set[str] = set()                  # parts that white space touches: the spaces beside them are no cuts
         self.held = 0
@@ -77,24 +81,42 @@ class Encoder:
 
     def _remember(self, into: dict[str, bytes], keys: list[str], values: list[bytes]) -> None:
         into.update(zip(keys, values, strict=True))
-        self.held += sum(map(len, keys)) + sum(map(len, values)) + 150 * len(keys)
+        self.held += len("".join(keys)) + len(b"".join(values)) + 150 * len(keys)
 
     def _learn(self, heads: set[str], parts: set[str]) -> None:
         if self.held > CACHE_BYTES:
             self.heads, self.parts, self.odd, self.held = {}, {}, set(), 0
-        new = list(heads.difference(self.heads))
-        self._remember(self.heads, new, self._ids(new))
         fresh = parts.difference(self.parts).difference(self.odd)
-        plain = [p for p in fresh if p and p == p.strip()]
-        if len(plain) < len(fresh):
+        plain = list(fresh)
+        if "" in fresh or TOUCHED.search("\0".join(plain)):
+            plain = [p for p in fresh if p and p == p.strip()]
             self.odd.update(fresh.difference(plain))
-        marked = [p for p in plain if p[-1] in self.marks and p[-2:-1] in LETTERS]
-        todo = list(set(plain).difference(marked).union([p[:-1] for p in marked]).difference(self.parts))
-        groups = [todo[i:i + GROUP] for i in range(0, len(todo), GROUP)]
-        for group, raw in zip(groups, self._ids([" " + " ".join(g) for g in groups]), strict=True):
+        lined = {p: p.split("\n") for p in plain if "\n" in p}
+        if WIDE_LINE.search("\0".join(lined)):
+            lined = {p: q for p, q in lined.items() if not WIDE_LINE.search(p)}
+        heads = heads.union(chain.from_iterable(q[1:] for q in lined.values()))
+        words = set(plain).difference(lined).union([q[0] for q in lined.values()]).difference(self.parts)
+        marked = [p for p in words if p[-1] in self.marks and p[-2:-1] in LETTERS]
+        todo = list(words.difference(marked).union([p[:-1] for p in marked]).difference(self.parts))
+        for group, raw in self._together(todo, " ", " "):
             at = (4 * np.flatnonzero(self.spaced[np.frombuffer(raw, "<u4")])).tolist() + [len(raw)]
             self._remember(self.parts, group, [raw[a:b] for a, b in zip(at, at[1:], strict=False)])
         self._remember(self.parts, marked, [self.parts[p[:-1]] + self.marks[p[-1]] for p in marked])
+        new = heads.difference(self.heads)
+        line = [h for h in new if h and h == h.strip() and "\n" not in h]
+        for group, raw in self._together(line, "", "\n"):
+            at = [-4, *(4 * np.flatnonzero(np.frombuffer(raw, "<u4") == self.line)).tolist(), len(raw)]
+            self._remember(self.heads, group, [raw[a + 4:b] for a, b in zip(at, at[1:], strict=False)])
+        rest = list(new.difference(line))
+        self._remember(self.heads, rest, self._ids(rest))
+        feed = self.feed
+        self._remember(self.parts, list(lined), [feed.join([self.parts[q[0]], *map(self.heads.__getitem__, q[1:])])
+                                                 for q in lined.values()])
+
+    def _together(self, keys: list[str], lead: str, between: str) -> list[tuple[list[str], bytes]]:
+        """Ids of many keys in one text, a pre-token's edge between any two."""
+        groups = [keys[i:i + GROUP] for i in range(0, len(keys), GROUP)]
+        return list(zip(groups, self._ids([lead + between.join(g) for g in groups]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -139,7 +161,7 @@ def window_cuts(places: np.ndarray, penalties: np.ndarray, window: int = WINDOW,
     far = 1 << 30
     cost, back = array("i", [far]) * (last + window + 1), array("i", [0]) * (last + 1)
     cost[window] = 0
-    offsets = [window - (1 << k) for k in range(window.bit_length()) if shortest <= 1 << k <= window]
+    offsets = [window - (1 << k) for k in range(window.bit_length()) if shortest <= 1 << k < window]
     queue, keys = deque([0]), deque([0])            # cuts in reach, by place and by cost + place, both ascending
     full: deque[int] = deque([window] if lacks_end(0) else [])      # ends of full windows inside a sentence
     for place, penalty, lacks in zip(ends, (penalties + each).tolist(), lacking.tolist(), strict=True):
@@ -182,10 +204,11 @@ def _pieces(names: pa.Array, ids: list[bytes], encoder: Encoder, first: int, win
     size = np.array([len(x) // 4 for x in ids], np.int64)
     ends = np.cumsum(size)
     tokens = np.frombuffer(raw, "<u4")
-    places = np.union1d(encoder.sentence_ends(tokens), ends)
-    penalties = np.full(len(places), SENTENCE)
-    penalties[np.searchsorted(places, ends)] = 0
-    cuts = np.array(window_cuts(places, penalties, window), np.int64)
+    kind = np.zeros(len(tokens) + 1, np.int8)
+    kind[encoder.sentence_ends(tokens)] = 1
+    kind[ends] = 2
+    places = np.flatnonzero(kind)
+    cuts = np.array(window_cuts(places, np.where(kind[places] == 1, SENTENCE, 0), window), np.int64)
     edges = np.union1d(cuts, ends)
     lo = np.concatenate(([0], edges[:-1]))
     doc, seq = np.searchsorted(ends, lo, "right"), np.searchsorted(cuts, lo, "right")
