@@ -1,4 +1,4 @@
-"""Metrics (E1–E3) and ranking helpers.
+"""Metrics (E1–E4) and ranking helpers.
 
 Every metric is an aggregate over a tagged union of predictions and truth
 grouped by key — no join, no driver loop, no cross join — so it scales with
@@ -7,9 +7,11 @@ both inputs and a hot key is combined map-side.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+AUC_RANGES = 200
+
 
 def _metric_frame(pred: DataFrame, truth: DataFrame, keys, pred_dedup: bool) -> DataFrame:
     keys = list(keys)
@@ -53,6 +55,34 @@ def f12_score(pred_pairs: DataFrame, truth_pairs: DataFrame) -> DataFrame:
     return both.withColumn("score", F.lit(0.4) * F.col("f11") + F.lit(0.6) * F.col("f12"))
 
 
+def auc_by(df: DataFrame, by, score: Column, positive: Column) -> DataFrame:
+    """Area under the ROC curve per group of ``by`` (at least one column
+    without NULLs; few groups: rounds, models): the share of (positive, negative) pairs with the positive above,
+    ties counting half; with the class counts.  NULL without both classes.
+    Rows without a score take no part.
+
+    On the histogram of distinct scores (a map-side-combined aggregate).  The
+    scores of a group are cut into ``AUC_RANGES`` ranges at approximate
+    quantiles: negatives below are counted inside each range, and the ranges'
+    totals are added over at most that many rows a group."""
+    by = list(by)
+    hist = (df.select(*by, score.alias("_s"), positive.cast("int").alias("_y")).where("_s IS NOT NULL")
+            .groupBy(*by, "_s").agg(F.sum(F.coalesce("_y", F.lit(0))).alias("_p"), F.count(F.lit(1)).alias("_n"))
+            .withColumn("_n", F.col("_n") - F.col("_p")))
+    cuts = hist.groupBy(*by).agg(F.percentile_approx("_s", [i / AUC_RANGES for i in range(1, AUC_RANGES)], 10_000).alias("_cuts"))
+    # one row a group, with AUC_RANGES - 1 numbers
+    hist = hist.join(F.broadcast(cuts), by).withColumn(
+        "_range", F.size(F.filter(F.array_distinct("_cuts"), lambda c: c < F.col("_s")))).drop("_cuts")
+    inside = Window.partitionBy(*by, "_range").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    parts = (hist.withColumn("_below", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+             .groupBy(*by, "_range").agg(F.sum("_p").alias("_p"), F.sum("_n").alias("_n"),
+                                         F.sum(F.col("_p") * (F.col("_below") + F.col("_n") / 2)).alias("_won")))
+    lower = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_won", F.col("_won") + F.col("_p") * F.coalesce(F.sum("_n").over(lower), F.lit(0)))
+    return parts.groupBy(*by).agg(F.sum("_p").alias("positives"), F.sum("_n").alias("negatives"), F.sum("_won").alias("_won")).select(
+        *by, "positives", "negatives", F.try_divide("_won", F.col("positives") * F.col("negatives")).alias("auc"))
+
+
 def ranked_top(df: DataFrame, k: int, order, rank_col: str = "rank") -> DataFrame:
     """L1: the first ``k`` rows by ``order`` (a bounded TakeOrdered), with
     their 1-based rank (a window over at most ``k`` rows)."""

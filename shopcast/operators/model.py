@@ -1,26 +1,25 @@
-"""Models on Spark ML (M4–M8).
+"""Model steps on Spark ML (M4–M8).
 
 The source trains gradient-boosted trees with a single-machine library; here
-the same steps run as Spark ML ``GBTClassifier`` fits on the feature
-DataFrames (distributed tree building, no data collected to the driver).
-Known deviations: Spark's GBT has no hessian-based ``min_child_weight``
-(``minInstancesPerNode`` is used), its feature importance is gain based, and
-early stopping uses a validation tolerance instead of a patience count.
-
-Spark ML rejects NaN / NULL in feature vectors, so features are filled with
-a sentinel first (``prepare``); ±inf become a large finite value.
+the same steps are Spark ML tree fits on the feature DataFrames (distributed
+tree building, no rows collected to the driver): M5 with ``GBTClassifier``,
+M6–M8 with the second-order rounds of ``boosting``.
+
+Spark ML rejects NaN / NULL in feature vectors.  ``boosting`` lets a split send
+them to either side; for M5 they are filled first (``impute_mean``, ``prepare``).
 """
 
 from __future__ import annotations
 
 import random
+from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shopcast.operators.boosting import Boosted, fit_boosted
 from shopcast.operators.sampling import split_bucket
 
 SENTINEL = -1.0
@@ -59,44 +58,12 @@ def _assemble(df: DataFrame, cols, out: str = "features") -> DataFrame:
         .drop(*safe.values())
 
 
-def fit_gbt(train: DataFrame, cols, label: str = "label", max_depth: int = 5, max_iter: int = 100,
-            step: float = 0.1, min_instances: int = 1, pos_weight: float | None = None,
-            subsample: float = 1.0, columns: float = 1.0, validation: bool = False, seed: int = 0, keys=("user_id",)):
-    """Fit one boosted-tree binary classifier.  ``pos_weight`` weights the
-    positive class; ``columns`` is the share of the features that a tree may
-    split on; ``validation`` holds out a stable 20 % (M3) for early stopping."""
-    df = prepare(train, cols)
-    if pos_weight is not None:
-        df = df.withColumn("_w", F.when(F.col(label) == 1, F.lit(float(pos_weight))).otherwise(F.lit(1.0)))
-    if validation:
-        df = df.withColumn("_val", split_bucket(seed, list(keys)) == 0)
-    df = _assemble(df, cols).withColumn(label, F.col(label).cast("double"))
-    kw = {"validationIndicatorCol": "_val", "validationTol": 0.001} if validation else {}
-    if pos_weight is not None:
-        kw["weightCol"] = "_w"
-    gbt = GBTClassifier(featuresCol="features", labelCol=label, maxDepth=max_depth, maxIter=max_iter,
-                        stepSize=step, minInstancesPerNode=min_instances, subsamplingRate=subsample,
-                        featureSubsetStrategy=str(float(columns)) if columns < 1 else "all",
-                        seed=seed, maxBins=32, **kw)
-    return gbt.fit(df)
-
-
-def predict(model, df: DataFrame, cols, out: str = "prob", prepared: bool = False) -> DataFrame:
-    """Probability of class 1 as a double column (``prepared``: the feature
-    columns are already sentinel-filled)."""
-    x = _assemble(df if prepared else prepare(df, cols), cols)
-    p = model.transform(x).withColumn(out, vector_to_array(F.col("probability"))[1])
-    return p.drop("features", "rawPrediction", "probability", "prediction")
-
-
-def fit_predict_boosted(train: DataFrame, test: DataFrame, cols, label: str = "label",
-                        max_iter: int = 100) -> DataFrame:
-    """M6: depth 3, min 4 rows per node, positive weight = negatives/16/positives."""
-    counts = {r[label]: r["n"] for r in train.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
-    pos, neg = counts.get(1, 0), counts.get(0, 0)
-    w = (neg / 16.0 / pos) if pos else 1.0
-    m = fit_gbt(train, cols, label, max_depth=3, max_iter=max_iter, min_instances=4, pos_weight=w)
-    return predict(m, test, cols)
+def fit_gbt(train: DataFrame, cols, label: str = "label", max_depth: int = 6, max_iter: int = 100, step: float = 1.0,
+            seed: int = 0):
+    """M5: one Spark ML boosted-tree classifier on filled features."""
+    df = _assemble(prepare(train, cols), cols).withColumn(label, F.col(label).cast("double"))
+    return GBTClassifier(featuresCol="features", labelCol=label, maxDepth=max_depth, maxIter=max_iter, stepSize=step,
+                         seed=seed, maxBins=32).fit(df)
 
 
 def importances(model, cols) -> list[tuple[str, float]]:
@@ -105,34 +72,60 @@ def importances(model, cols) -> list[tuple[str, float]]:
 
 
 def importance_table(spark, model, cols) -> DataFrame:
-    """M5/M7 helper: (feature, importance) — one row per feature (bounded by
+    """M5 helper: (feature, importance) — one row per feature (bounded by
     the schema, not the data)."""
     return spark.createDataFrame(importances(model, cols), "feature string, importance double")
 
 
-def importance_partition(model, cols) -> tuple[list[str], list[str]]:
-    """M7: features the model used (importance > 0) and the rest."""
-    imp = importances(model, cols)
-    used = [c for c, v in imp if v > 0]
-    return used, [c for c, v in imp if v <= 0]
+def fit_user_model(train: DataFrame, cols, label: str = "label", rounds: int = 100) -> Boosted:
+    """M6: depth 3, hessian sum of a node at least 4, positive weight = negatives/16/positives."""
+    counts = {r[label]: r["n"] for r in train.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    pos, neg = counts.get(1, 0), counts.get(0, 0)
+    return fit_boosted(train, cols, label, rounds=rounds, depth=3, rate=0.1, min_child_weight=4,
+                       pos_weight=(neg / 16.0 / pos) if pos else 1.0)
+
+
+def fit_predict_boosted(train: DataFrame, test: DataFrame, cols, label: str = "label", max_iter: int = 100) -> DataFrame:
+    """M6: the user model's probability of class 1 for the rows of ``test``."""
+    return fit_user_model(train, cols, label, max_iter).predict(test)
+
+
+def fit_stopped(train: DataFrame, cols, label: str = "label", max_iter: int = 1000, max_depth: int = 5, step: float = 0.05,
+                columns: float = 0.8, patience: int = 50, seed: int = 0, keys=("user_id", "sku_id")) -> Boosted:
+    """M7 / M8: trees that each see ``columns`` of the features, until the AUC
+    on a stable 20 % of the rows (M3) has not risen for ``patience`` rounds."""
+    return fit_boosted(train, cols, label, rounds=max_iter, depth=max_depth, rate=step, min_child_weight=1, columns=columns,
+                       validation=split_bucket(seed, list(keys)) == 0, patience=patience, seed=seed)
+
 
+def importance_partition(model: Boosted, spark) -> tuple[list[str], list[str]]:
+    """M7: features that the model's trees split on, and the rest."""
+    splits = {r.feature: r.splits for r in model.split_counts(spark).collect()}     # one row a feature
+    return [c for c in model.features.names if splits[c]], [c for c in model.features.names if not splits[c]]
 
-def subspace_ensemble(train: DataFrame, test: DataFrame, cols, label: str = "label",
-                      weights=(0.3,) + (0.07,) * 10, frac: float = 0.4, seed: int = 0,
-                      max_iter: int = 1000, max_depth: int = 5, step: float = 0.05, columns: float = 0.8,
-                      keys=("user_id", "sku_id"), parallelism: int = 4) -> DataFrame:
+
+@dataclass(frozen=True)
+class Member:
+    """One model of the ensemble: its weight and its fit."""
+    weight: float
+    model: Boosted
+
+
+def fit_ensemble(train: DataFrame, cols, label: str = "label", weights=(0.3,) + (0.07,) * 10, frac: float = 0.4, seed: int = 0,
+                 max_iter: int = 1000, max_depth: int = 5, step: float = 0.05, columns: float = 0.8, patience: int = 50,
+                 keys=("user_id", "sku_id"), parallelism: int = 4) -> list[Member]:
     """M8: model 0 on the important features (weight 0.3) and 10 models on
-    seeded random 40 % subsets of the other features (0.07 each); the score is
-    the weighted sum of the probabilities.  Every fit early-stops on a stable
-    20 % validation split.  The independent fits are submitted from
-    ``parallelism`` driver threads so their (small, per-iteration) Spark jobs
-    run concurrently."""
+    seeded random 40 % subsets of the other features (0.07 each).  The
+    independent fits are submitted from ``parallelism`` driver threads so their
+    (small, per-round) Spark jobs run concurrently."""
     from concurrent.futures import ThreadPoolExecutor
 
     cols = list(cols)
-    probe = fit_gbt(train, cols, label, max_depth=max_depth, max_iter=max_iter, step=step,
-                    columns=columns, validation=True, seed=seed, keys=keys)
-    important, trivial = importance_partition(probe, cols)
+
+    def fit(subset) -> Boosted:
+        return fit_stopped(train, subset, label, max_iter, max_depth, step, columns, patience, seed, keys)
+
+    important, trivial = importance_partition(fit(cols), train.sparkSession)
     rng = random.Random(seed)
     subsets = []
     for i in range(len(weights)):
@@ -141,19 +134,19 @@ def subspace_ensemble(train: DataFrame, test: DataFrame, cols, label: str = "lab
         else:
             k = max(1, int(len(trivial) * frac))
             subsets.append(sorted(rng.sample(trivial, k)) if len(trivial) >= k else (trivial or cols))
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        return [Member(float(w), m) for w, m in zip(weights, pool.map(fit, subsets), strict=True)]
 
-    def fit(sub):
-        return fit_gbt(train, sub, label, max_depth=max_depth, max_iter=max_iter, step=step, columns=columns,
-                       validation=True, seed=seed, keys=keys)
 
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        models = list(pool.map(fit, subsets))
-    scored = prepare(test, cols)          # once, not once per member
-    parts = []
-    for i, (w, sub, m) in enumerate(zip(weights, subsets, models)):
-        scored = predict(m, scored, sub, out=f"_p{i}", prepared=True)
-        parts.append(F.lit(float(w)) * F.col(f"_p{i}"))
-    total = parts[0]
-    for p in parts[1:]:
-        total = total + p
-    return scored.withColumn("label", total).drop(*[f"_p{i}" for i in range(len(weights))])
+def score_ensemble(members: list[Member], test: DataFrame) -> DataFrame:
+    """``test`` with ``label``: the weighted sum of the members' probabilities."""
+    scored = test
+    for i, member in enumerate(members):
+        scored = member.model.predict(scored, out=f"_p{i}")
+    total = sum((F.lit(m.weight) * F.col(f"_p{i}") for i, m in enumerate(members)), F.lit(0.0))
+    return scored.withColumn("label", total).drop(*[f"_p{i}" for i in range(len(members))])
+
+
+def subspace_ensemble(train: DataFrame, test: DataFrame, cols, **options) -> DataFrame:
+    """M8: ``fit_ensemble`` on ``train``, ``score_ensemble`` on ``test``."""
+    return score_ensemble(fit_ensemble(train, cols, **options), test)
