@@ -32,13 +32,18 @@ def semi_restrict(rows: DataFrame, keep: DataFrame, on="user_id", bound: int | N
     return rows.join(k, on, "left_semi")
 
 
+def key_sizes(df: DataFrame, key: str, total: int, share: float = 0.05) -> tuple[int, list]:
+    """Number of distinct keys, and those that hold more than ``share`` of the
+    ``total`` rows — at most 1 / share of them, so the list is small whatever
+    the data.  ``df`` is read again: give a written table."""
+    hot = F.collect_list(F.when((F.col("_n") > total * share) & F.col(key).isNotNull(), F.col(key)))
+    row = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).agg(F.count(F.lit(1)).alias("keys"), hot.alias("hot")).first()
+    return row["keys"], row["hot"]
+
+
 def hot_keys(df: DataFrame, key: str, share: float = 0.05) -> list:
-    """Keys that hold more than ``share`` of the rows — at most 1 / share of
-    them, so the list is small whatever the data.  ``df`` is read twice: give
-    a written table."""
-    most = df.count() * share
-    return [r[0] for r in df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).select(key).collect()
-            if r[0] is not None]
+    """Keys that hold more than ``share`` of the rows."""
+    return key_sizes(df, key, df.count(), share)[1]
 
 
 def salted(df: DataFrame, key: str, hot: list, spread, salts: int = SALTS) -> DataFrame:

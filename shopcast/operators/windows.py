@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shopcast.operators.pieces import running_order
+
 RANGES = 200
 
 
@@ -31,14 +33,17 @@ def relative_order(df: DataFrame, value: str, out: str = "order", partition_by=(
 
     Computed on the histogram of distinct values (a map-side-combined
     aggregate), whose running total is joined back — rows are never sorted,
-    only distinct values are.  Without partition keys the values are cut into
-    ``RANGES`` ranges at approximate quantiles: a running total inside each
-    range plus the totals of the ranges above it, so no task sees them all.
-    NULL comes after every value."""
+    only distinct values are.  With partition keys the histogram is cut into
+    range pieces by key and value, so a hot key's values lie in several tasks
+    (``running_order``).  Without, the values are cut into ``RANGES`` ranges at
+    approximate quantiles: a running total inside each range plus the totals of
+    the ranges above it, so no task sees them all.  NULL comes after every
+    value."""
     keys = list(partition_by)
     hist = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    above = F.lit(0)
-    if not keys:
+    if keys:
+        ranks = running_order(hist, keys, value, "_n", out).withColumnRenamed(value, "_v")
+    else:
         cuts = hist.agg(F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 10_000).alias("c")).first().c
         cuts = sorted(set(cuts or []))
         below = F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: F.col(value) < c) if cuts else F.array()
@@ -47,10 +52,10 @@ def relative_order(df: DataFrame, value: str, out: str = "order", partition_by=(
         sums = hist.groupBy("_range").agg(F.sum("_n").alias("_s"))
         order = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         sums = sums.select("_range", (F.sum("_s").over(order) - F.col("_s")).alias("_above"))
-        hist, above = hist.join(F.broadcast(sums), "_range"), F.col("_above")
-    w = (Window.partitionBy(*(keys or ["_range"])).orderBy(F.col(value).desc_nulls_last())
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranks = hist.select(*keys, F.col(value).alias("_v"), (F.sum("_n").over(w) + above - 1).alias(out))
+        hist = hist.join(F.broadcast(sums), "_range")
+        w = (Window.partitionBy("_range").orderBy(F.col(value).desc_nulls_last())
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        ranks = hist.select(F.col(value).alias("_v"), (F.sum("_n").over(w) + F.col("_above") - 1).alias(out))
     same = F.col(value).eqNullSafe(F.col("_v"))
     for k in keys:
         ranks = ranks.withColumnRenamed(k, f"_k_{k}")

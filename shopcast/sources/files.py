@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,23 +65,46 @@ def land_actions(actions: DataFrame, path: str) -> None:
     actions.write.mode("overwrite").partitionBy("cate").parquet(path)
 
 
-def feature_path(spark: SparkSession, family: str, **params) -> str:
-    """Storage path of a materialised feature set, keyed by *all* parameters."""
-    key = hashlib.sha1(json.dumps(params, sort_keys=True, default=str).encode()).hexdigest()[:16]
+def manifest(*inputs: DataFrame) -> list[list]:
+    """Name, length and modification time of every file that the DataFrames
+    read, in order of the names: it changes when a log gains, loses or rewrites
+    a file."""
+    found = {}
+    for df in inputs:
+        sc = df.sparkSession.sparkContext
+        new_path, conf = sc._jvm.org.apache.hadoop.fs.Path, sc._jsc.hadoopConfiguration()
+        folders: dict[str, set[str]] = {}
+        for path in map(new_path, df.inputFiles()):
+            folders.setdefault(path.getParent().toString(), set()).add(path.getName())
+        for folder, names in folders.items():      # one listing a folder
+            path = new_path(folder)
+            for status in path.getFileSystem(conf).listStatus(path):
+                if status.getPath().getName() in names:
+                    found[status.getPath().toString()] = [status.getLen(), status.getModificationTime()]
+    return [[name, *found[name]] for name in sorted(found)]
+
+
+def feature_path(spark: SparkSession, family: str, inputs=(), **params) -> str:
+    """Storage path of a materialised feature set, keyed by *all* parameters
+    and by the files that ``inputs`` read."""
+    text = json.dumps([params, manifest(*inputs)], sort_keys=True, default=str)
+    key = hashlib.sha256(text.encode()).hexdigest()[:16]
     return f"{checkpoint_dir(spark).rstrip('/')}/features/{family}/{key}"
 
 
-def materialize(df: DataFrame, family: str, **params) -> DataFrame:
+def materialize(df: DataFrame | Callable[[], DataFrame], family: str, inputs=(), spark: SparkSession | None = None,
+                **params) -> DataFrame:
     """Write the feature set once to the shared checkpoint folder and read
     it back (cuts lineage; survives executor loss).  Re-uses an existing
-    complete write keyed by the same parameters."""
-    spark = df.sparkSession
-    path = feature_path(spark, family, **params)
+    complete write of the same parameters and the same input files; ``df`` may
+    be a function, which is then not called."""
+    spark = spark or df.sparkSession
+    path = feature_path(spark, family, inputs, **params)
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
     if not p.getFileSystem(conf).exists(p):
-        df.write.mode("overwrite").parquet(path)
+        (df() if callable(df) else df).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
