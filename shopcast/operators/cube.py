@@ -45,9 +45,11 @@ GRAINS = {
 @dataclass(frozen=True)
 class Win:
     """A look-back window: ``label`` is used in column names, ``days`` selects
-    ``c <= days`` (``None`` = everything in the cube)."""
+    ``c <= days`` (``None`` = everything in the cube); ``cate`` keeps one
+    category's events only."""
     label: int
     days: int | None
+    cate: int | None = None
 
     @staticmethod
     def of(i: int) -> "Win":
@@ -81,7 +83,7 @@ def activity_cube(actions: DataFrame, end, start=None, models=()) -> DataFrame:
 # ---- conditional aggregate building blocks ---------------------------------
 
 def in_win(w: Win) -> Column:
-    return F.lit(True) if w.days is None else (F.col("c") <= F.lit(w.days))
+    return F.expr(win_sql(w))
 
 
 def is_type(k: int) -> Column:
@@ -108,7 +110,8 @@ def cnt0(w: Win, cond: Column | None = None) -> Column:
 # column is parsed in a single call.  Same semantics as the Column helpers.
 
 def win_sql(w: Win) -> str:
-    return "TRUE" if w.days is None else f"c <= {int(w.days)}"
+    days = "TRUE" if w.days is None else f"c <= {int(w.days)}"
+    return days if w.cate is None else f"{days} AND cate = {int(w.cate)}"
 
 
 def cnt_sql(w: Win, cond: str | None = None) -> str:

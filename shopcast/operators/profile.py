@@ -99,8 +99,7 @@ def comment_features(comments: DataFrame, end) -> DataFrame:
     one-hot comment-count bucket (1..4; 0 dropped)."""
     # rows with begin <= dt < end; when no snapshot precedes ``end`` the
     # default (earliest) date is not before ``end`` and nothing is kept.
-    snap = asof_snapshot(comments, end).filter(F.col("snap") < date_lit(end))
-    # one row, bounded: broadcast the as-of date
-    c = comments.join(F.broadcast(snap), comments.dt == snap.snap, "inner")
+    snap = asof_snapshot(comments, end).first().snap       # one date
+    c = comments.filter((F.col("dt") == F.lit(snap)) & (F.col("dt") < date_lit(end)))
     return c.select("sku_id", "has_bad_comment", "bad_comment_rate",
                     *one_hot("comment_num", COMMENT_NUM_CODES, "comment_num"))

@@ -552,6 +552,16 @@ def a8c(spark, sf):
     return prof.reg_to_first_buy(_cube(d), d["users"], d["dates"].end, _acc(d))
 
 
+@register("t8_asof_rows")
+def t8r(spark, sf):
+    """Each action with its sku's latest comment snapshot before it."""
+    from shopcast.operators.pieces import asof_join
+    d = load_a(spark, sf)
+    rows = d["actions"].select("user_id", "sku_id", "time", "type")
+    out = asof_join(rows, d["comments"], ["sku_id"], "time", "dt", ["comment_num", "has_bad_comment", "bad_comment_rate"])
+    return out.withColumn("time", _ts("time")).withColumn("dt", F.col("dt").cast("string"))
+
+
 @register("t8_asof_snapshot_date")
 def t8(spark, sf):
     d = load_a(spark, sf)
@@ -737,6 +747,21 @@ def e2(spark, sf):
     return ev.f12_score(pred.select("user_id", "sku_id"), truth)
 
 
+@register("e4_auc")
+def e4(spark, sf):
+    """AUC of the user scores against the true buyers and of the pair scores against the true pairs."""
+    d = load_a(spark, sf)
+    D = d["dates"]
+    sides = []
+    for kind, scores, score, keys in (("user", _user_scores_plain(d), "prob", ["user_id"]),
+                                      ("pair", _pair_scores(d), "label", ["user_id", "sku_id"])):
+        true = fam.labels(d["actions"], D.label_start, D.label_end, keys, cate=D.target_cate).withColumnRenamed("label", "_true")
+        sides.append(scores.join(true, keys, "left").select(F.lit(kind).alias("kind"), F.col(score).alias("score"),
+                                                            F.col("_true").isNotNull().alias("true")))
+    out = ev.auc_by(sides[0].unionByName(sides[1]), ["kind"], F.col("score"), F.col("true"))
+    return rounded(out)
+
+
 @register("j3_semi_restrict")
 def j3(spark, sf):
     d = load_a(spark, sf)
@@ -973,12 +998,11 @@ def s4(spark, sf):
 
 @register("s6_materialize")
 def s6(spark, sf):
-    """Decayed counts written once as a feature set keyed by its parameters and read back."""
+    """Decayed counts written once as a feature set keyed by its parameters and the log's files; later calls read it."""
     from shopcast.sources.files import materialize
     d = load_a(spark, sf)
-    df = fam.decayed_df(_cube(d), "UICB", _acc(d), "action_{k}")
-    return materialize(df, "decayed_counts", sf=sf, end=str(d["dates"].end), start=str(d["dates"].acc_start),
-                       run=_scratch(spark, "m"))
+    return materialize(lambda: fam.decayed_df(_cube(d), "UICB", _acc(d), "action_{k}"), "decayed_counts", [d["actions"]], spark,
+                       end=str(d["dates"].end), start=str(d["dates"].acc_start))
 
 
 @register("s7_write_user_submission")
@@ -1060,17 +1084,17 @@ def m5(spark, sf):
     """100 boosted trees of depth 6, learning rate 1, on the mean-imputed (user, sku) table; importance > 0, best 50 (L3)."""
     from shopcast.operators.model import fit_gbt, importance_table, impute_mean
     train, cols = _train_ui(load_a(spark, sf))
-    m = fit_gbt(impute_mean(train, cols), cols, max_depth=6, max_iter=100, step=1.0, keys=("user_id", "sku_id"))
+    m = fit_gbt(impute_mean(train, cols), cols, max_depth=6, max_iter=100, step=1.0)
     return ev.importance_topn(importance_table(spark, m, cols), 50)
 
 
 @register("m7_importance_partition")
 def m7(spark, sf):
-    """Up to 1000 rounds with early stopping; which features the model uses."""
-    from shopcast.operators.model import fit_gbt, importance_table
+    """Up to 1000 rounds until 50 bring no better AUC; how often the model splits on each feature."""
+    from shopcast.operators.model import fit_stopped
     train, cols = _train_ui(load_a(spark, sf))
-    m = fit_gbt(train, cols, max_depth=5, max_iter=1000, step=0.05, columns=0.8, validation=True, keys=("user_id", "sku_id"))
-    return importance_table(spark, m, cols).select("feature", (F.col("importance") > 0).cast("int").alias("used"))
+    splits = fit_stopped(train, cols).split_counts(spark)
+    return splits.select("feature", "splits", (F.col("splits") > 0).cast("int").alias("used"))
 
 
 @register("m8_subspace_ensemble")

@@ -2,18 +2,19 @@
 
 Physical plan:
 
-1. one activity cube over ``[min(acc_start, end - 35d), end)``;
-2. ONE fused ``groupBy(grain).agg(...)`` per grain (UI, UIC, U, UC, I) with
-   every window of every family as conditional aggregates, distinct-day
-   counts from day bitmasks inside the same aggregate, plus the two-level
-   statistics (user×sku -> user, sku×day -> sku);
-3. share ranks: user / category parents as projections over the joined
-   accumulate counts, category parents as broadcast totals (bounded);
-4. left joins onto the base rows ordered by key set, so the base is
-   re-partitioned once per key set, not once per family.
-
-The cube is written once to the shared checkpoint folder, so the raw log is
-scanned and shuffled once however many families read it.
+1. one activity cube over ``[min(acc_start, end - 35d), end)``, written once to
+   the shared checkpoint folder, so the raw log is scanned and shuffled once
+   however many families read it;
+2. the base rows — pairs of the target category with an event in the last 30
+   days — written and measured: the aggregates by user, pair and sku read only
+   the cube rows of the base's users and skus (category totals read all);
+3. ONE fused ``groupBy(grain).agg(...)`` per grain (pair, user, sku) with every
+   window of every family as conditional aggregates.  The base has one category,
+   so the families within the category are windows with that condition in the
+   same aggregates; distinct-day counts come from day bitmasks in them, and the
+   shares of a category from its totals (one row);
+4. left joins onto the base rows ordered by key set.  A user, sku or brand with a
+   large share of the base is spread over salts in its joins.
 """
 
 from __future__ import annotations
@@ -26,12 +27,12 @@ from pyspark.sql import functions as F
 from shopcast.functions.exprs import flag
 from shopcast.functions.timebins import window_start
 from shopcast.operators import families as fam
-from shopcast.operators import shares, stats
+from shopcast.operators import stats
 from shopcast.operators.cube import (
-    Win, day_mask_aggs, days_from_masks, in_win, is_type, mask_columns, materialized_cube, sql_col,
-    win_sql,
+    Win, cnt0_sql, day_mask_aggs, days_from_masks, in_win, is_type, mask_columns, materialized_cube, sql_col,
+    type_sql, win_sql,
 )
-from shopcast.operators.joins import hot_keys, salted, salted_left_join
+from shopcast.operators.joins import key_sizes, salted, salted_left_join, semi_restrict
 from shopcast.operators.profile import (
     AGE_CODES_1_7, basic_product_features, comment_features, static_user_features,
 )
@@ -40,6 +41,8 @@ from shopcast.schemas import CATES, CONV_TYPES, MODEL_IDS, PURCHASE, TYPES, UI_D
 from shopcast.sources.adapters import Dates
 from shopcast.sources.files import staged
 
+FEW_KEYS = 1 << 20      # a list of so many ids (8 MB) is broadcast
+
 
 @dataclass(frozen=True)
 class UISpec:
@@ -59,23 +62,49 @@ def _model_ids(w: Win, prefix: str, cond: str | None = None) -> list:
     return [sql_col(f"sum(CASE WHEN {m} THEN m_{v} END)", f"{prefix}_{v}") for v in MODEL_IDS]
 
 
-def _with_days(grouped_aggs, keys, cube, wins, max_day, any_fmt, buy_fmt, tag):
+def _with_days(aggs, keys, cube, max_day, *families):
     """Grain aggregate plus distinct active / purchase days per window, from
-    day bitmasks in the same aggregate (no day-level table, no extra join)."""
-    aggs = list(grouped_aggs) + day_mask_aggs(f"{tag}x", max_day) + day_mask_aggs(f"{tag}p", max_day, "type = 4")
+    day bitmasks in the same aggregate (no day-level table, no extra join).
+    ``families``: (tag, windows, active-day name, purchase-day name)."""
+    aggs, days = list(aggs), []
+    for tag, wins, any_fmt, buy_fmt in families:
+        of = f"cate = {wins[0].cate}" if wins[0].cate is not None else "TRUE"
+        aggs += day_mask_aggs(f"{tag}x", max_day, of) + day_mask_aggs(f"{tag}p", max_day, f"type = {PURCHASE} AND {of}")
+        for w in wins:
+            days.append(F.expr(days_from_masks(f"{tag}x", w, max_day)).alias(any_fmt.format(i=w.label)))
+            days.append(F.expr(days_from_masks(f"{tag}p", w, max_day)).alias(buy_fmt.format(i=w.label)))
     g = cube.groupBy(*keys).agg(*aggs)
-    days = []
-    for w in wins:
-        days.append(F.expr(days_from_masks(f"{tag}x", w, max_day)).alias(any_fmt.format(i=w.label)))
-        days.append(F.expr(days_from_masks(f"{tag}p", w, max_day)).alias(buy_fmt.format(i=w.label)))
-    hidden = mask_columns(g, f"{tag}x") + mask_columns(g, f"{tag}p")
+    hidden = {c for tag, *_ in families for c in mask_columns(g, f"{tag}x") + mask_columns(g, f"{tag}p")}
     return g.select(*[F.col(f"`{c}`") for c in g.columns if c not in hidden], *days)
 
 
-def _share_cols(child_fmt: str, parent_fmt: str, rank: str, ratio4: str):
+def _restricted(rows: DataFrame, base: DataFrame, key: str, keys: int) -> DataFrame:
+    """``rows`` of the keys that ``base`` (a written table) has; they are
+    broadcast only where their number shows that they are few."""
+    return semi_restrict(rows, base.select(key).distinct(), key, bound=keys if keys <= FEW_KEYS else None)
+
+
+def pruned(cube: DataFrame, base: DataFrame, users: int, skus: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The cube rows that the aggregates by user, by pair and by sku need;
+    ``users`` and ``skus`` are how many the base has."""
+    of_users = _restricted(cube, base, "user_id", users)
+    return of_users, _restricted(of_users, base, "sku_id", skus), _restricted(cube, base, "sku_id", skus)
+
+
+def _one_row_a_key(frames, key: str) -> DataFrame:
+    """Frames with one row a key and columns of their own, as one such frame (no join)."""
+    both = frames[0]
+    for f in frames[1:]:
+        both = both.unionByName(f, allowMissingColumns=True)
+    return both.groupBy(key).agg(*[F.max(F.col(f"`{c}`")).alias(c) for c in both.columns if c != key])
+
+
+def _share_cols(child_fmt: str, parent, rank: str, ratio4: str):
     """Share rank from counts on the row: Σ_k child_k / parent_k (NULL when a
-    parent total is 0) and the purchase share."""
-    r = [f"try_divide(CAST(`{child_fmt.format(k=k)}` AS DOUBLE), `{parent_fmt.format(k=k)}`)" for k in TYPES]
+    parent total is 0) and the purchase share.  ``parent``: the names of the
+    totals on the row, or a row of totals ``t{k}``."""
+    total = {k: f"`{parent.format(k=k)}`" if isinstance(parent, str) else f"{parent[f't{k}']}L" for k in TYPES}
+    r = [f"try_divide(CAST(`{child_fmt.format(k=k)}` AS DOUBLE), {total[k]})" for k in TYPES]
     return [sql_col(" + ".join(r), rank), sql_col(r[PURCHASE - 1], ratio4)]
 
 
@@ -99,25 +128,32 @@ def user_sku_dataset(src: dict, with_label: bool = True, spec: UISpec = UISpec()
     base = fam.aggregate(cube.filter(F.col("cate") == cate), "UICB",
                          fam.decayed_counts(bw, "action_{k}"), bw)
 
-    # UI grain
-    ui_m = []
-    for w in wins + [acc]:
-        ui_m += fam.type_counts(w, "{i}_action_{k}")
-    ui_m += fam.conv_ratios(racc, "{i}_ui_conv_ratio_{k}") + fam.type_counts(racc, "_rui_{k}")
-    ui_m += [_recency_in_cate(acc, "ui_last_cart", 3, cate), _recency_in_cate(acc, "ui_last_buy", PURCHASE, cate),
-             _recency_in_cate(acc, "ui_last_del_cart", 2, cate)]
-    ui_m += _model_ids(acc, "ui_model_id")
+    # the base is written and measured first: only its users and skus are
+    # aggregated, and those with a large share of its rows are spread over salts
+    base = staged(base, "ui-base")
+    rows = base.count()
+    (users, hot_users), (skus, hot_skus), (_, hot_brands) = (key_sizes(base, k, rows) for k in ("user_id", "sku_id", "brand"))
+    by_user, by_pair, by_sku = pruned(cube, base, users, skus)
+    in_cate = cube.filter(F.col("cate") == cate)
+    wins8, acc8, racc8 = ([Win(w.label, w.days, cate) for w in ws] for ws in (wins, [acc], [racc]))
+    acc8, racc8 = acc8[0], racc8[0]
     max_day = max(acc_days, max(spec.windows))
-    ui = _with_days(ui_m, ["user_id", "sku_id"], cube, [acc] + wins, max_day, "{i}_ui_tm", "{i}_ui_buy_tm", "ui")
-    # UIC grain
-    uic_m = []
-    for w in wins + [acc]:
-        uic_m += fam.type_counts(w, "{i}_syn_action_{k}")
-    uic_m += fam.conv_ratios(racc, "{i}_syn_conv_ratio_{k}") + fam.type_counts(racc, "_ruic_{k}")
-    uic_m += fam.first_last_buy(racc, "0_first_buy", "0_interval")
-    uic = cube.groupBy("user_id", "cate", "sku_id").agg(*uic_m)
 
-    # U grain (+ hidden totals per type: the parent of the user share ranks)
+    # pairs, over all categories (base pairs have one) and within the category
+    pair_m = []
+    for w in wins + [acc]:
+        pair_m += fam.type_counts(w, "{i}_action_{k}")
+    pair_m += fam.conv_ratios(racc, "{i}_ui_conv_ratio_{k}") + fam.type_counts(racc, "_rui_{k}")
+    pair_m += [_recency_in_cate(acc, "ui_last_cart", 3, cate), _recency_in_cate(acc, "ui_last_buy", PURCHASE, cate),
+               _recency_in_cate(acc, "ui_last_del_cart", 2, cate)]
+    pair_m += _model_ids(acc, "ui_model_id")
+    for w in wins8 + [acc8]:
+        pair_m += fam.type_counts(w, "{i}_syn_action_{k}")
+    pair_m += fam.conv_ratios(racc8, "{i}_syn_conv_ratio_{k}") + fam.type_counts(racc8, "_ruic_{k}")
+    pair_m += fam.first_last_buy(racc8, "0_first_buy", "0_interval")
+    pair = _with_days(pair_m, ["user_id", "sku_id"], by_pair, max_day, ("ui", [acc] + wins, "{i}_ui_tm", "{i}_ui_buy_tm"))
+
+    # users (+ hidden totals per type: the parent of the user share ranks), also within the category
     u_m = fam.type_counts(acc, "{i}_user_action_{k}", CONV_TYPES)
     u_m += fam.type_counts(racc, "_ru_{k}")
     for w in wins + [racc]:
@@ -126,52 +162,45 @@ def user_sku_dataset(src: dict, with_label: bool = True, spec: UISpec = UISpec()
     u_m += [fam.recency_days(acc, "user_last_buy", PURCHASE), fam.recency_days(acc, "user_last_cart", 3)]
     u_m += _model_ids(acc, "user_model_id") + _model_ids(acc, "user_cate8_model_id", f"cate = {cate}")
     u_m += period_measures(acc, acc_days, "{i}_action_period_{k}") + basket_measures(racc, "cate_{c}")
-    u = _with_days(u_m, ["user_id"], cube, [acc] + wins, max_day, "{i}_user_action_tm", "{i}_user_action_buy_tm", "u")
-    u_stats = stats.user_category_sku_stats(cube, [acc] + [Win.of(i) for i in spec.stat_windows], cate)
-    users = src["users"]
-    profile = static_user_features(users, end, AGE_CODES_1_7, default=0, drop_sex=True)   # D4: no sex
-
-    # UC grain
-    uc_m = []
-    for w in wins + [acc]:
-        uc_m += fam.type_counts(w, "{i}_uc_action_{k}") + [fam.purchase_rows(w, f"{w.label}_sku_buy_num_in_cate")]
-    uc_m += fam.conv_ratios(racc, "{i}_uc_conv_ratio_{k}") + fam.type_counts(racc, "_ruc_{k}")
-    uc = _with_days(uc_m, ["user_id", "cate"], cube, [acc] + wins, max_day, "{i}_uc_tm", "{i}_uc_buy_tm", "uc")
-
-    # I / IC / BC grains
+    for w in wins8 + [acc8]:
+        u_m += fam.type_counts(w, "{i}_uc_action_{k}") + [fam.purchase_rows(w, f"{w.label}_sku_buy_num_in_cate")]
+    u_m += fam.conv_ratios(racc8, "{i}_uc_conv_ratio_{k}") + fam.type_counts(racc8, "_ruc_{k}")
+    u = _with_days(u_m, ["user_id"], by_user, max_day,
+                   ("u", [acc] + wins, "{i}_user_action_tm", "{i}_user_action_buy_tm"),
+                   ("uc", [acc8] + wins8, "{i}_uc_tm", "{i}_uc_buy_tm"))
+    u_stats = stats.user_category_sku_stats(by_user, [acc] + [Win.of(i) for i in spec.stat_windows], cate)
+    profile = static_user_features(src["users"], end, AGE_CODES_1_7, default=0, drop_sex=True)   # D4: no sex
+
+    # skus and brands; their shares of the category from its totals per type (one row)
+    totals = in_cate.filter(in_win(racc)).agg(*[sql_col(cnt0_sql(racc, type_sql(k)), f"t{k}") for k in TYPES]).first()
     i_m = []
     for w in wins + [acc]:
         i_m += fam.type_counts(w, "{i}_sku_action_{k}")
-    i_m += fam.conv_ratios(racc, "{i}_sku_conv_ratio_{k}")
-    sku = cube.groupBy("sku_id").agg(*i_m)
+    i_m += fam.conv_ratios(racc, "{i}_sku_conv_ratio_{k}") + fam.type_counts(racc8, "_ric_{k}")
+    sku = by_sku.groupBy("sku_id").agg(*i_m)
+    sku = sku.select("*", *_share_cols("_ric_{k}", totals, "sku_cate_rank", "sku_cate_ratio_4")).drop(*[f"_ric_{k}" for k in TYPES])
     pwins = [Win(0, spec.product_stat_days)] + [Win.of(i) for i in spec.stat_windows]
-    sku_stats = stats.sku_daily_stats(cube, pwins, cate)
-    sku_in_cate = shares.sku_share_in_cate(cube, racc)
-    brand_in_cate = shares.brand_share_in_cate(cube, racc)
-    product = basic_product_features(src["products"])
-    comments = comment_features(src["comments"], end)
+    sku_stats = stats.sku_daily_stats(by_sku, pwins, cate)
+    by_one_sku = _one_row_a_key([sku, sku_stats, comment_features(src["comments"], end)], "sku_id")
+    brand = in_cate.filter(in_win(racc)).groupBy("brand").agg(*fam.type_counts(racc, "_rb_{k}"))
+    brand = brand.select("brand", *_share_cols("_rb_{k}", totals, "brand_cate_rank", "brand_cate_ratio_4"))
+    product = basic_product_features(src["products"].filter(F.col("cate") == cate)).drop("cate")
 
     # joins, grouped by key set (consecutive joins on the same keys reuse the
     # base's partitioning)
-    # the base is written and measured first: a user with a large share of the
-    # rows is spread over salts in the joins by user
-    base = staged(base, "ui-base")
-    hot = hot_keys(base, "user_id")
-    df = salted(base, "user_id", hot, ["sku_id", "brand"])
-    for t in (u, u_stats, profile):
-        df = salted_left_join(df, t, ["user_id"], "user_id", hot)
-    df = of_known_users(df, [f"0_action_period_{k}" for k in TYPES] + [f"cate_{c}" for c in CATES], "0_user_first_buy")
-    df = salted_left_join(df, uc, ["user_id", "cate"], "user_id", hot).drop("_salt")
-    df = df.join(uic, ["user_id", "cate", "sku_id"], "left")
-    df = df.join(ui, ["user_id", "sku_id"], "left")
+    df = base.join(pair, ["user_id", "sku_id"], "left")
     if with_label:
         lab = fam.labels(actions, D.label_start, D.label_end, ("user_id", "sku_id"), cate=cate)
         df = df.join(lab, ["user_id", "sku_id"], "left")
-    for t in (sku, sku_stats, comments):
-        df = df.join(t, "sku_id", "left")
-    df = df.join(sku_in_cate, ["sku_id", "cate"], "left")
-    df = df.join(product, ["sku_id", "cate", "brand"], "left")
-    df = df.join(brand_in_cate, ["brand", "cate"], "left")
+    df = salted(df, "user_id", hot_users, ["sku_id", "brand"])
+    for t in (u, u_stats, profile):
+        df = salted_left_join(df, t, ["user_id"], "user_id", hot_users)
+    df = of_known_users(df, [f"0_action_period_{k}" for k in TYPES] + [f"cate_{c}" for c in CATES], "0_user_first_buy")
+    df = salted(df, "sku_id", hot_skus, ["user_id"])
+    df = salted_left_join(df, by_one_sku, ["sku_id"], "sku_id", hot_skus)
+    df = salted_left_join(df, product, ["sku_id", "brand"], "sku_id", hot_skus)
+    df = salted(df, "brand", hot_brands, ["user_id", "sku_id"])
+    df = salted_left_join(df, brand, ["brand"], "brand", hot_brands).drop("_salt")
 
     # W1a–W1c as projections: child and parent counts since rank_start are already
     # on every row (user totals, (user, cate) and (user, cate, sku) counts)

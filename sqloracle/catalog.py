@@ -472,6 +472,11 @@ SQL["t3_elapsed_days_lineitem"] = B.sql(
 # ---- filters --------------------------------------------------------------------------------------
 
 TSF = "strftime(time, '%Y-%m-%d %H:%M:%S.%f')"
+SQL["t8_asof_rows"] = A.sql(
+    f"SELECT a.user_id, a.sku_id, {TSF.replace('(time', '(a.time')} AS time, a.type, CAST(c.dt AS VARCHAR) AS dt, c.comment_num, "
+    "c.has_bad_comment, round(c.bad_comment_rate, 6) AS bad_comment_rate "
+    "FROM actions a LEFT JOIN comments c ON c.sku_id = a.sku_id AND c.dt = (SELECT max(x.dt) FROM comments x "
+    "WHERE x.sku_id = a.sku_id AND x.dt < a.time)")
 ROWS = f"SELECT user_id, sku_id, type, cate, {TSF} AS time FROM actions"
 SQL["f1_time_range"] = A.sql(f"{ROWS} WHERE {where(A, 5)}")
 SQL["f2_f3_category_type"] = A.sql(f"{ROWS} WHERE cate = 8 AND type = 4")
@@ -542,6 +547,18 @@ SQL["e2_f12_score"] = A.sql(
     f"(SELECT pair_hits, {r(f'CASE WHEN pair_hits > 0 THEN 5.0 * {_P2} * {_R2} / (2.0 * {_R2} + 3.0 * {_P2}) ELSE 0.0 END')}"
     f" AS f12 FROM ({_pairs}) x) q")
 
+def _auc_sql(kind, scores, score, truth, on):
+    ranked = (f"SELECT {score} AS s, CASE WHEN t.user_id IS NULL THEN 0 ELSE 1 END AS y, "
+              f"rank() OVER (ORDER BY {score}) + (count(*) OVER (PARTITION BY {score}) - 1) / 2.0 AS mid "
+              f"FROM ({scores}) p LEFT JOIN ({truth}) t ON {on}")
+    return (f"SELECT '{kind}' AS kind, CAST(sum(y) AS BIGINT) AS positives, CAST(sum(1 - y) AS BIGINT) AS negatives, "
+            f"{r('(sum(y * mid) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * sum(1 - y))')} AS auc FROM ({ranked}) x")
+
+
+SQL["e4_auc"] = A.sql(_auc_sql("user", USCORE, "prob", TRUTH_U, "p.user_id = t.user_id") + " UNION ALL "
+                      + _auc_sql("pair", PSCORE, "label", TRUTH_P, "p.user_id = t.user_id AND p.sku_id = t.sku_id"))
+
+
 def _pair_sweep():
     top = f"SELECT *, row_number() OVER (ORDER BY label DESC, user_id, sku_id) AS rk FROM ({PSCORE}) s QUALIFY rk <= 1000"
     rows = [f"SELECT {c} AS cutoff, "

@@ -44,7 +44,7 @@ def test_dataset_plans_have_few_joins(spark):
     from shopcast.plans.user_dataset import user_dataset
     from shopcast.plans.wide_user import user_dataset_wide
     d = load_a(spark, SF_SMALL)
-    for build, most, columns in ((user_sku_dataset, 16, 661), (user_dataset, 8, 208), (user_dataset_wide, 6, 488)):
+    for build, most, columns in ((user_sku_dataset, 8, 661), (user_dataset, 8, 208), (user_dataset_wide, 6, 488)):
         df = build(d)
         joins = len(re.findall(r"\bJoin (?:LeftOuter|Inner)", df._jdf.queryExecution().optimizedPlan().toString()))
         assert joins <= most, (build.__name__, joins)
