@@ -10,8 +10,9 @@ anchors at the same offset, so it is enough to sort the suffixes at anchors.
    approximate distinguishing prefixes of string merge sort).
 2. The others are sorted in each chunk into a run, equal ones once, front-coded:
    of each suffix only the bytes beyond its common prefix with the one before
-   are sent, cut into ranges by splitters.  A loser tree merges the runs of a
-   range; it knows every head's common prefix with the last winner and compares
+   are sent.  Runs are dealt out by the hash of the certain prefix, as only
+   suffixes that share it can be neighbours that matter; nothing of them passes
+   through the driver.  A loser tree merges the runs of a part; it knows every head's common prefix with the last winner and compares
    characters only beyond it, where two heads tie.
 3. Neighbours in the merged order that agree from the first to the last string
    of their anchors make all these strings repeats; an anchor whose neighbours
@@ -30,7 +31,6 @@ Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,8 +46,6 @@ LENGTH = 400
 REACH, GRAM = 128, 16                    # REACH is a power of two and at most 256
 CERTAIN = LENGTH - REACH + 1
 CROWD = 65_536
-SPLIT = CERTAIN                          # leading bytes by which suffixes are dealt into ranges
-SAMPLES = 64                             # sampled suffixes for each range
 _BASE2 = 0xC2B2AE3D27D4EB4F
 YES, LOOK = 1, 2                         # of an anchor: all its strings are repeats; look at each of them
 
@@ -150,11 +148,11 @@ class _Open:
         self.at, self.lo, self.hi, self.state = join["at"] + base, join["lo"] + base, join["hi"] + base, join["state"]
         self.sums = T.prefix_sums(self.raw)
 
-    def run(self) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-        """The sorted run of suffixes that are not in a crowd, equal ones once.
+    def run(self, parts: int) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The run of suffixes that are not in a crowd, equal ones once, sorted within each part.
 
         (anchors, place of each in the run; of the run: suffixes, bytes to the left
-        that its strings take, their hash, anchors).
+        that its strings take, their hash, anchors, parts).
         """
         which = np.flatnonzero(self.state == 0)
         at, end = self.at[which], np.minimum(self.at[which] + LENGTH, self.off[1:][self.owner[which]])
@@ -167,11 +165,13 @@ class _Open:
         data = self.raw.tobytes()
         strings = [data[a:b] for a, b in zip(at[one].tolist(), end[one].tolist(), strict=True)]
         l, h = left[one].tolist(), left_hash[one].tolist()
-        order = sorted(range(n), key=lambda i: (strings[i], l[i], h[i]))
+        deal = (T.mix(T.range_hashes(self.sums, at[one], at[one] + CERTAIN)) % np.uint64(parts)).astype(np.int64)
+        d = deal.tolist()
+        order = sorted(range(n), key=lambda i: (d[i], strings[i], l[i], h[i]))
         place = np.empty(n, np.int64)
         place[order] = np.arange(n)
         one = one[order]
-        return which, place[group], [strings[i] for i in order], left[one], left_hash[one], which[one]
+        return which, place[group], [strings[i] for i in order], left[one], left_hash[one], which[one], deal[order]
 
 
 def _common(strings: list[bytes]) -> np.ndarray:
@@ -192,24 +192,23 @@ def common(a: bytes, b: bytes, known: int) -> int:
     return most
 
 
-def _send_run(chunk: int, data: pa.Scalar, splitters: list[bytes]) -> Iterator[pa.RecordBatch]:
+def _send_run(chunk: int, data: pa.Scalar, parts: int) -> Iterator[pa.RecordBatch]:
     chunk_data = _Open(data)
-    which, place, strings, left, left_hash, one = chunk_data.run()
+    which, place, strings, left, left_hash, one, deal = chunk_data.run(parts)
     if not strings:
         return
     twice = (np.bincount(place, minlength=len(strings)) > 1).astype(np.uint8)
     last = (chunk_data.at[one] - chunk_data.hi[one]).astype(np.uint8)
     shared = _common(strings)
-    cuts = [0, *(bisect_left(strings, s) for s in splitters), len(strings)]
+    cuts = [0, *(np.flatnonzero(np.diff(deal)) + 1).tolist(), len(strings)]
     rows = []
-    for part, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
-        if lo < hi:
-            h = shared[lo:hi].copy()
-            h[0] = 0
-            rest = b"".join(s[k:] for s, k in zip(strings[lo:hi], h.tolist(), strict=True))
-            rows.append((part, chunk, h.tobytes(), np.array([len(s) for s in strings[lo:hi]], np.uint16).tobytes(),
-                         pa.compress(rest, "zstd", asbytes=True) if rest else b"", left[lo:hi].astype(np.uint8).tobytes(),
-                         last[lo:hi].tobytes(), twice[lo:hi].tobytes(), left_hash[lo:hi].tobytes()))
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        h = shared[lo:hi].copy()
+        h[0] = 0
+        rest = b"".join(s[k:] for s, k in zip(strings[lo:hi], h.tolist(), strict=True))
+        rows.append((int(deal[lo]), chunk, h.tobytes(), np.array([len(s) for s in strings[lo:hi]], np.uint16).tobytes(),
+                     pa.compress(rest, "zstd", asbytes=True) if rest else b"", left[lo:hi].astype(np.uint8).tobytes(),
+                     last[lo:hi].tobytes(), twice[lo:hi].tobytes(), left_hash[lo:hi].tobytes()))
     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64() if i < 2 else pa.binary()) for i in range(9)],
                                      names=["part", "chunk", *(f"v{i}" for i in range(7))])
 
@@ -336,12 +335,12 @@ def _answer_runs(rows: list[list[np.ndarray]]) -> list[np.ndarray]:
     return out
 
 
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _settle(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """Chunks with the state of every anchor after the merge."""
     for batch in batches:
         for chunk, data, reply in zip(batch.column("chunk"), batch.column("data"), batch.column("reply"), strict=True):
             c = _Open(data)
-            which, place, strings, *_ = c.run()
+            which, place, strings, *_ = c.run(parts)
             state = c.state.copy()
             if strings:
                 state[which] = C.reply_bytes(reply)[place]
@@ -397,22 +396,6 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _result(rows)
 
 
-def _splitters(rest: DataFrame, parts: int) -> list[bytes]:
-    """Range borders: quantiles of the leading bytes of ``SAMPLES`` sampled suffixes for each range."""
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk, data in zip(batch.column("chunk").to_pylist(), batch.column("data"), strict=True):
-                c = _Open(data)
-                at = np.flatnonzero(c.state == 0)
-                at = np.random.default_rng(chunk).permutation(at)[:4 * SAMPLES]
-                raw = c.raw.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([raw[a:a + SPLIT] for a in c.at[at].tolist()], pa.binary())], names=["s"])
-
-    rows = (rest.mapInArrow(pick, "s binary").select("s").orderBy(F.rand(5)).limit(SAMPLES * parts)).toArrow()
-    found = sorted(rows["s"].to_pylist())
-    return sorted({found[len(found) * i // parts] for i in range(1, parts)}) if found else []
-
-
 def repeated_bytes_removed(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
     packed = C.pack(docs)
@@ -420,9 +403,8 @@ def repeated_bytes_removed(docs: DataFrame) -> DataFrame:
     certain = C.exchange(packed, lambda c, d: _send_certain(c, d, parts), _answer_certain, 2, parts)
     first = written(C.with_replies(packed, certain, "suffix-certain").mapInArrow(_filter, _SCHEMA), "suffix-first")
     rest = first.where("data IS NOT NULL").select("chunk", "data")
-    borders = _splitters(rest, parts)
-    order = C.exchange(rest, lambda c, d: _send_run(c, d, borders), _answer_runs, 7, parts)
-    settled = written(C.with_replies(rest, order, "suffix-order").mapInArrow(_settle, "chunk long, data binary"), "suffix-settled")
+    order = C.exchange(rest, lambda c, d: _send_run(c, d, parts), _answer_runs, 7, parts)
+    settled = written(C.with_replies(rest, order, "suffix-order").mapInArrow(lambda b: _settle(b, parts), "chunk long, data binary"), "suffix-settled")
     strings = C.exchange(settled, lambda c, d: _send_strings(c, d, parts), _answer_strings, 3, parts)
     last = C.with_replies(settled, strings, "suffix-strings").mapInArrow(_remove, _SCHEMA)
     return first.where("data IS NULL").unionByName(last).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
