@@ -15,7 +15,9 @@ a vector that makes up a third of all rows is one point.
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite
 components take no part, neither do null ids; vectors are compared with those
 of their own length only.  Repeated rows of an id count once per vector.  With fewer
-candidates than ``k`` all are returned.  Other columns are ignored.
+candidates than ``k`` all are returned.  The graph compares in single precision
+(scaled, where the values are very large or small); distances are those of the
+vectors in double precision.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,13 +35,17 @@ DEGREE, BEAM, SEARCH_BEAM, ALPHA = 32, 64, 160, 1.2
 ENTRIES = 16            # random entry points beside the middle one
 SHARD = 8192            # vectors of a shard
 BLOCK = 512             # points or queries searched together
+MOST_TASKS = 100_000
 
 
 class Graph:
     """A shard's vectors and their out-neighbours (-1: none)."""
 
     def __init__(self, vectors: np.ndarray, seed: int = 6):
-        self.x = vectors.astype(np.float32)
+        self.exact = vectors                    # in double precision, for the final distances
+        largest = float(np.abs(vectors).max(initial=0))
+        self.scale = largest if not 1e-9 < largest < 1e9 else 1.0      # squares stay within a float
+        self.x = (vectors / self.scale).astype(np.float32)
         self.norm = np.einsum("nd,nd->n", self.x, self.x)
         n, rng = len(vectors), np.random.default_rng(seed)
         self.out = rng.integers(0, n, (n, DEGREE), dtype=np.int32)
@@ -164,9 +170,12 @@ class Graph:
 
     def nearest(self, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest found (-1: none) and their exact double-precision distances."""
-        ids, _, _ = self.search(q.astype(np.float32), max(SEARCH_BEAM, k))
-        diff = self.x[np.maximum(ids, 0)].astype(np.float64) - q.astype(np.float64)[:, None, :]
-        d = np.where(ids >= 0, np.sqrt((diff * diff).sum(axis=2)), np.inf)
+        near = np.clip(q / self.scale, -1e12, 1e12).astype(np.float32)
+        ids, _, _ = self.search(near, max(SEARCH_BEAM, k))
+        diff = self.exact[np.maximum(ids, 0)] - q[:, None, :]
+        unit = np.maximum(np.abs(diff).max(axis=2, keepdims=True), 1e-300)     # no square overflows
+        unit = np.where((unit > 1e150) | (unit < 1e-150), unit, 1.0)
+        d = np.where(ids >= 0, np.sqrt(((diff / unit) ** 2).sum(axis=2)) * unit[:, :, 0], np.inf)
         order = np.argsort(d, axis=1, kind="stable")[:, :k]
         return np.take_along_axis(ids, order, 1), np.take_along_axis(d, order, 1)
 
@@ -183,7 +192,7 @@ def _search_shards(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Rec
             part = batch.slice(lo, hi - lo)
             if shard[lo] != now:
                 now, graph, held = shard[lo], None, []
-            x = np.asarray(part.column("x").flatten(), np.float32).reshape(hi - lo, -1)
+            x = np.asarray(part.column("x").flatten(), np.float64).reshape(hi - lo, -1)
             if not query[lo]:
                 held.append((part.column("id").to_numpy(), x))
                 continue
@@ -201,23 +210,24 @@ def _search_shards(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Rec
 def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id",
             vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest found of every id divisible by ``every``."""
-    sane = (vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("x"))
+    sane = (vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("x"))
             .where("id IS NOT NULL AND x IS NOT NULL AND size(x) > 0 AND exists(x, v -> v <> 0) "
-                   "AND forall(x, v -> v IS NOT NULL AND NOT isnan(v) AND abs(v) < CAST('Infinity' AS FLOAT))"))
+                   "AND forall(x, v -> v IS NOT NULL AND NOT isnan(v) AND abs(v) < CAST('Infinity' AS DOUBLE))"))
     few = Window.partitionBy("x").orderBy("id")   # only the first k + 1 members of a class can be among the k nearest
     members = written(sane.distinct().withColumn("n", F.row_number().over(few)).where(F.col("n") <= k + 1)
                       .withColumn("node", F.min("id").over(few)).drop("n"), "ann-members")
     nodes = members.where("id = node").select("node", "x", F.size("x").alias("dim"))
-    dims = nodes.groupBy("dim").agg(F.count("*").alias("n")).selectExpr(
-        "dim", f"CAST(ceil(n / {SHARD}) AS INT) AS shards")
-    placed = nodes.join(dims, "dim").selectExpr(
-        "concat(dim, '-', pmod(xxhash64(node), shards)) AS shard", "0 AS query", "node AS id", "x")
+    # shards are numbered, and each has a task of its own
+    before = Window.orderBy("dim").rowsBetween(Window.unboundedPreceding, -1)     # one row a length of vectors
+    dims = nodes.groupBy("dim").agg(F.count("*").alias("n")).selectExpr("dim", f"CAST(ceil(n / {SHARD}) AS INT) AS shards").withColumn(
+        "first", F.coalesce(F.sum("shards").over(before), F.lit(0)))
+    parts = min(MOST_TASKS, max(1, dims.agg(F.sum("shards")).first()[0] or 0))
+    placed = nodes.join(dims, "dim").selectExpr("first + pmod(xxhash64(node), shards) AS shard", "0 AS query", "node AS id", "x")
     asked = (sane.where(F.pmod("id", F.lit(every)) == 0).withColumn("dim", F.size("x")).distinct().join(dims, "dim")
-             .selectExpr("id", "x", "dim", "explode(sequence(0, shards - 1)) AS s")
-             .selectExpr("concat(dim, '-', s) AS shard", "1 AS query", "id", "x"))
-    parts = max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = (placed.unionByName(asked).withColumn("shard", F.xxhash64("shard"))
-             .repartition(parts, "shard").sortWithinPartitions("shard", "query")
+             .selectExpr("id", "x", "first", "explode(sequence(0, shards - 1)) AS s")
+             .selectExpr("first + s AS shard", "1 AS query", "id", "x"))
+    found = (placed.unionByName(asked).repartitionById(parts, (F.col("shard") % parts).cast("int"))
+             .sortWithinPartitions("shard", "query")
              .mapInArrow(lambda b: _search_shards(b, k + 1), "query_id long, node long, score double"))
     best = Window.partitionBy("query_id").orderBy("score", "node")
     found = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)

@@ -220,19 +220,18 @@ def one_phrase(n=16):
 
 
 def test_suffixes_of_one_phrase_are_divided(spark):
-    """Different passages after a common phrase of 32 bytes do not land in one range."""
-    from bisect import bisect_right
-
+    """Different passages after a common phrase of 32 bytes do not land in one part."""
     from shopcast.llm import chunks as C
     rows = one_phrase()
     packed = C.pack(documents(spark, rows))
     certain = C.exchange(packed, lambda c, d: suffix._send_certain(c, d, 4), suffix._answer_certain, 2, 4)
     first = tables.written(C.with_replies(packed, certain, "test-certain").mapInArrow(suffix._filter, suffix._SCHEMA), "test-first")
-    rest = first.where("data IS NOT NULL").select("chunk", "data")
-    borders = suffix._splitters(rest, 8)
-    strings = [s for r in rest.toArrow()["data"] for s in suffix._Open(r).run()[2]]
-    ranges = np.bincount([bisect_right(borders, s) for s in strings], minlength=8)
-    assert ranges.max() < 0.4 * ranges.sum()
+    parts, suffixes = np.zeros(8, np.int64), 0
+    for r in first.where("data IS NOT NULL").select("data").toArrow()["data"]:
+        suffixes += len(suffix._Open(r).run(8)[2])
+        for batch in suffix._send_run(0, r, 8):
+            np.add.at(parts, batch.column("part").to_numpy(), [len(v.as_py()) // 2 for v in batch.column("v0")])
+    assert parts.sum() == suffixes and parts.max() < 0.4 * parts.sum()
     got = [tuple(r) for r in suffix.repeated_bytes_removed(documents(spark, rows)).collect()]
     assert sorted(got, key=str) == sorted(brute_suffix(rows), key=str)
 
@@ -260,5 +259,11 @@ def test_graph_recall(spark):
         assert np.allclose(g.score, d[[np.flatnonzero(ids == v)[0] for v in g.vec_id]], rtol=0, atol=1e-12)
         assert list(zip(g.score, g.vec_id, strict=True)) == sorted(zip(g.score, g.vec_id, strict=True))
     assert hits / total >= 0.9
+    far = spark.createDataFrame([(i, [scale * (1 + 1e-9 * i) if j else float(i) for j in range(4)]) for scale in (1e200, 1.0, 1e-200)
+                                 for i in range(0, 5)][:5], "vec_id long, embedding array<double>")
+    scores = {r.vec_id: r.score for r in graph.nearest(far).collect()}
+    assert len(scores) == 4 and all(scores[i] == pytest.approx(np.sqrt(3) * 1e200 * 1e-9 * i) for i in scores)
+    close = spark.createDataFrame([(i, [1.0 + 1e-12 * i, 2.0]) for i in range(6)], "vec_id long, embedding array<double>")
+    assert [r.vec_id for r in graph.nearest(close).orderBy("rank").collect()] == [1, 2, 3, 4, 5]     # float could not tell them apart
     assert graph.nearest(vectors.where("vec_id = 0")).count() == 0 and graph.nearest(vectors.limit(0)).count() == 0
     assert graph.nearest(vectors.where("vec_id < 4")).count() == 3
