@@ -1,8 +1,9 @@
 """Personal data: fixed patterns, and a linear-chain conditional random field that adds to them.
 
 The patterns give the base spans.  The field reads tokens (words trimmed of
-surrounding signs): every feature is a property of the token's shape or of its
-neighbours' shapes, and it is trained on the driver from the small labelled
+surrounding signs): every feature is a property of the token's shape, of its
+neighbours' shapes, or whether a number's checksum and range are right, and it is
+trained on the driver from the small labelled
 table below.  A token without a digit or ``@`` can only be outside (a hard
 constraint), so a text falls into independent short chains between such tokens;
 all chains of a batch are decoded together by Viterbi in numpy.  A chain's span
@@ -71,7 +72,8 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out)
 
 
-# --- the labelled table: marked-up lines, <kind>...</kind>; '#' stands for a digit drawn by a fixed rule ---
+# --- the labelled table: marked-up lines, <kind>...</kind>; '#' stands for a digit drawn by a fixed rule.  The last
+# digit of a <card> makes its checksum right, that of a <wrong> number, which is none, makes it fail. ---
 
 LABELLED = (
     "write to <email>anna.##@mail#.example.com</email> about it", "mail <email>j.smith@web-##.example.org</email>, please",
@@ -87,25 +89,41 @@ LABELLED = (
     "in #### there were ## of them", "from 19## to 20##, about #,### people", "version #.##.# of ####-##-## is out",
     "token = \"####a#f##c##e#b#####d##a####f##c######\" set", "chapter # and ## and ###", "it is ##.# percent, ## of ##",
     "at ##:## on ##/##/####", "room #b, floor #", "price $##.## or ##.##", "id ######## of row #####", "# ## # ## ### # # ##",
+    "order <wrong>################</wrong> was sent", "no <wrong>#### #### #### ####</wrong> is void", "<wrong>####-####-####-####</wrong>, no",
+    "serial <wrong>###############</wrong>%%% of", "<wrong>################</wrong>", "item <wrong>##############</wrong> of them",
+    "id <wrong>################</wrong>*** or", "of <wrong>#### ###### #####</wrong> rows", "row <wrong>###################</wrong> is",
+    "both <card>################</card> <card>################</card> paid", "<wrong>################</wrong> <wrong>################</wrong> and",
+    "<card>################</card>!! and", "<card>####-####-####-####</card>&&& paid", "it is <card>################</card>",
+    "build 2##.6##.4##.5##", "part 3##.4##.9##.8##*** of", "version ###.999.##.#",
     "pages ##-## and ###", "the @ sign and @name here", "a#b#c# d##e f###", "ratio #:#, x#, #x", "build #.#.##-####",
     "#### #### words", "in ##### lines ###### cells", "hash ##a#bc##f#", "1. ## 2. ## 3. ##", "over ### ### km, #.# kg",
 )
 COPIES = 8
 _MARK = re.compile(r"<(/?)(\w+)>")
+_NUMBER = re.compile(r"<(card|wrong)>([^<]*)</")
 
 
-def labelled_table() -> list[tuple[str, list[Span]]]:
+def _with_checksum(number: str, right: bool) -> str:
+    """The number with its last digit set so that the checksum is right, or fails."""
+    for d in "0123456789":
+        if _luhn(re.sub(r"[\x20-]", "", number[:-1] + d)) == right:
+            return number[:-1] + d
+    raise AssertionError(number)
+
+
+def labelled_table(lines: tuple[str, ...] = LABELLED) -> list[tuple[str, list[Span]]]:
     """(text, spans) rows: every line with ``COPIES`` draws of its digits, the same each time."""
     rng = np.random.default_rng(3)
     rows = []
-    for line in LABELLED:
+    for line in lines:
         for _ in range(COPIES):
             drawn = re.sub("#", lambda _: str(rng.integers(10)), line)
+            drawn = _NUMBER.sub(lambda m: f"<{m[1]}>{_with_checksum(m[2], m[1] == 'card')}</", drawn)
             text, spans, last, begin = "", [], 0, 0
             for m in _MARK.finditer(drawn):
                 text += drawn[last:m.start()]
                 last = m.end()
-                if m[1]:
+                if m[1] and m[2] in KINDS:
                     spans.append((begin, KINDS.index(m[2]), len(text)))
                 begin = len(text)
             rows.append((text + drawn[last:], spans))
@@ -123,14 +141,57 @@ def _run(m: re.Match) -> str:
     return ("d" + (str(len(m[0])) if len(m[0]) < 20 else "+")) if m[0][0] in "0123456789" else "a"
 
 
+RIGHT, WRONG = "\u2713", "\u2717"       # after a shape: its checksum or its range is right, or fails
+_DIGITS = re.compile(r"d(?:\d+|\+)(?:-d(?:\d+|\+))*")
+_QUAD = re.compile(r"d\d+(?:\.d\d+){3}")
+
+
 @cache
 def _features(shape: str) -> tuple[str, ...]:
+    check = shape[-1:] if shape[-1:] in (RIGHT, WRONG) else ""
+    shape = _plain(shape)
     digits = sum(20 if n == "+" else int(n) for n in re.findall(r"d(\d+|\+)", shape))
     size = next((b for b in (0, 1, 3, 4, 6, 7, 9, 10, 11, 13, 16, 19) if digits <= b), 20)
     signs = re.sub(r"d(\d+|\+)|a", "", shape)
     mixed = len(re.findall(r"a(?=d)|d(?:\d+|\+)(?=a)", shape))
     return ("shape=" + shape[:24], f"digits={size}", "signs=" + signs[:8], f"first={shape[:1]}", f"last={shape[-1:]}",
-            f"at={'@' in shape[1:]}", f"dot={'.' in shape.partition('@')[2]}", f"letters={'a' in shape}", f"mixed={min(mixed, 3)}")
+            f"at={'@' in shape[1:]}", f"dot={'.' in shape.partition('@')[2]}", f"letters={'a' in shape}", f"mixed={min(mixed, 3)}",
+            f"check={check}", f"check={check} digits={size}")
+
+
+def _plain(shape: str) -> str:
+    return shape[:-1] if shape[-1:] in (RIGHT, WRONG) else shape
+
+
+def checked(text: str, chain: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The chain with a mark after the shapes of numbers of 14 to 19 digits, alone or as neighbouring short
+    groups, by their checksum, and of four dotted numbers by their range."""
+    out = list(chain)
+
+    def mark(lo: int, hi: int, right: bool) -> None:
+        for i in range(lo, hi):
+            out[i] = (*out[i][:2], out[i][2] + (RIGHT if right else WRONG))
+
+    at = 0
+    while at < len(chain):
+        start, end, shape = chain[at]
+        if _QUAD.fullmatch(shape):
+            mark(at, at + 1, all(len(p) <= 3 and int(p) <= 255 for p in text[start:end].split(".")))
+        if not _DIGITS.fullmatch(shape):
+            at += 1
+            continue
+        digits = text[start:end].replace("-", "")
+        to = at + 1
+        if len(digits) < 14:        # short groups side by side are one number
+            while to < len(chain) and _DIGITS.fullmatch(chain[to][2]) and len(digits) < 20:
+                digits += text[chain[to][0]:chain[to][1]].replace("-", "")
+                to += 1
+        if 14 <= len(digits) <= 19:
+            mark(at, to, _luhn(digits))
+            at = to
+        else:
+            at += 1
+    return out
 
 
 def shape_of(token: str) -> str:
@@ -165,11 +226,11 @@ def _steps() -> tuple[np.ndarray, np.ndarray]:
 
 def chain_features(shapes: list[str]) -> list[tuple[str, ...]]:
     """Features of each token of a chain; beyond its ends are plain words."""
-    around = ["w", *shapes, "w"]
+    around = ["w", *map(_plain, shapes), "w"]
     of = [_features(s) if len(s) <= 256 else _features.__wrapped__(s) for s in shapes]     # long shapes are not remembered
     return [of[i] + ("before=" + around[i][:16], "after=" + around[i + 2][:16],
                             f"before={around[i][:16]} {s[:16]}", f"after={s[:16]} {around[i + 2][:16]}")
-            for i, s in enumerate(shapes)]
+            for i, s in enumerate(around[1:-1])]
 
 
 class Field:
@@ -298,7 +359,7 @@ def _chains(text: str, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, ma
         else:
             out.append([token])
         last = i
-    return out
+    return [checked(text, chain) for chain in out]
 
 
 def added_spans(texts: list[str], base: list[list[Span]], field: Field) -> list[list[Span]]:

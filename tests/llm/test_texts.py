@@ -112,6 +112,30 @@ def test_field_learns_its_table_and_finds_more():
         [("phone", "(212) 555-0199")], [("email", "root@localhost")], []]
 
 
+def test_numbers_that_fail_their_check_are_left_alone():
+    """Decoys: a lone number, groups, a number beside another, with signs around them."""
+    field = pii.train(pii.labelled_table())
+    right, wrong = "4111111111111111", "4111111111111112"
+    texts = [f"in {wrong} words", f"{wrong}.", f"the {wrong}*** of", f"a {wrong} {wrong} b", "row 4111 1111 1111 1112 of", "so 4111-1111-1111-1112, no",
+             f"a {right} {right} b", f"a {wrong} {right} b", "host 300.1.2.3 is", "build 10.999.2.3 of"]
+    spans = pii.added_spans(texts, [[] for _ in texts], field)
+    got = [[(pii.KINDS[k], t[s:e]) for s, k, e in x] for t, x in zip(texts, spans, strict=True)]
+    assert got == [[]] * 6 + [[("card", right)] * 2, [("card", right)], [], []]
+    chain = pii.chains_of("4111 1111 1111 1111")[0]
+    assert [s for *_, s in chain] == ["d4" + pii.RIGHT] * 4
+
+
+def test_field_on_patterns_it_has_not_seen():
+    """Every fifth line held out, with all its draws."""
+    hit = extra = missed = 0
+    for k in (0, 2):
+        field = pii.train(pii.labelled_table(tuple(x for i, x in enumerate(pii.LABELLED) if i % 5 != k)))
+        rows = pii.labelled_table(tuple(x for i, x in enumerate(pii.LABELLED) if i % 5 == k))
+        for (_, want), got in zip(rows, pii.added_spans([t for t, _ in rows], [[] for _ in rows], field), strict=True):
+            hit, extra, missed = hit + len({*want} & {*got}), extra + len({*got} - {*want}), missed + len({*want} - {*got})
+    assert hit / (hit + extra) > 0.8 and hit / (hit + missed) > 0.6
+
+
 def test_long_words_are_read_whole():
     assert pii.shape_of("x" * 300 + "@y.org") == "a@a.a"
     word = "é" * 300 + "7" + "-" * 5000
