@@ -6,9 +6,10 @@ modified Kneser-Ney discounts; both classes back off to the same Kneser-Ney
 distribution of the lower orders, made of the continuation counts of *all*
 documents, so an expression that neither class has seen tells nothing.  For
 every gram of the corpus the difference of the two log-likelihoods is one
-number; a text is scored by that difference per letter over the whole text and
-per word over its most toxic stretch of ``STRETCH`` words, and a logistic
-regression on one fold of the labelled rows turns both into a probability.
+number; a text is scored by that difference per letter over the whole text, per
+word over its most toxic stretches of a few words, and of its most toxic words,
+and a logistic regression on one fold of the labelled rows turns these into a
+probability.
 
 Bounds: at most ``TRAIN_ROWS`` labelled rows (smallest hashes of their ids)
 are used for fitting.  The table of scores holds every corpus gram whose context
@@ -37,7 +38,9 @@ from pyspark.sql import functions as F
 from . import text as T
 from .tables import written
 
-ORDER, STRETCH = 5, 2
+ORDER = 5
+STRETCHES, RANKS = (1, 2, 3, 5), (2, 3, 5)
+FEATURES = 2 + len(STRETCHES) + len(RANKS)
 TRAIN_ROWS = 50_000
 FOLDS, HELD_OUT, CALIBRATE = 5, 0, 4
 
@@ -145,10 +148,11 @@ def scores_of(key: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarr
 
 
 def features(raw: np.ndarray, off: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Per text: difference per letter, and per word of the most toxic stretch."""
+    """Per text: difference per letter; per word of the most toxic stretch of each length; of the
+    second, third ... most toxic words; logarithm of the number of words."""
     key, word, first = grams(raw, off)
     n = len(off) - 1
-    out = np.zeros((n, 2))
+    out = np.zeros((n, FEATURES))
     if not len(key):
         return out
     letters = np.bincount(word, minlength=first[-1])
@@ -156,11 +160,17 @@ def features(raw: np.ndarray, off: np.ndarray, table: tuple[np.ndarray, np.ndarr
     owner = np.repeat(np.arange(n), np.diff(first))
     out[:, 0] = np.bincount(owner, by_word, n) / np.maximum(np.bincount(owner, letters, n), 1)
     sums = np.concatenate(([0.0], np.cumsum(by_word)))
-    end = np.minimum(np.arange(len(owner)) + STRETCH, first[owner + 1])
-    begin = np.maximum(end - STRETCH, first[owner])
-    best = np.full(n, -np.inf)
-    np.maximum.at(best, owner, (sums[end] - sums[begin]) / (end - begin))
-    out[:, 1] = np.where(np.isfinite(best), best, 0.0)
+    for i, words in enumerate(STRETCHES, 1):
+        end = np.minimum(np.arange(len(owner)) + words, first[owner + 1])
+        begin = np.maximum(end - words, first[owner])
+        best = np.full(n, -np.inf)
+        np.maximum.at(best, owner, (sums[end] - sums[begin]) / (end - begin))
+        out[:, i] = np.where(np.isfinite(best), best, 0.0)
+    ranked = by_word[np.lexsort((by_word, owner))]
+    for i, rank in enumerate(RANKS, 1 + len(STRETCHES)):
+        some = np.diff(first) >= rank
+        out[some, i] = ranked[first[1:][some] - rank]
+    out[:, -1] = np.log1p(np.diff(first))
     return out
 
 
@@ -202,11 +212,11 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tup
             continue
         ids = spark.createDataFrame(pd.DataFrame({"doc_id": list(use), "toxic": list(use.values())}))
         rows = _measured(src.join(F.broadcast(ids.select("doc_id")), "doc_id"), table).groupBy("doc_id").agg(
-            F.max("whole").alias("whole"), F.max("stretch").alias("stretch")).toArrow()
+            F.max("x").alias("x")).toArrow()
         y = np.array([use[i] for i in rows["doc_id"].to_pylist()])
         if len(set(y.tolist())) == 2:
-            return table, logistic(np.column_stack((rows["whole"].to_numpy(), rows["stretch"].to_numpy())), y)
-    return table, np.zeros(3)
+            return table, logistic(np.array(rows["x"].to_pylist()), y)
+    return table, np.zeros(FEATURES + 1)
 
 
 def _measured(src: DataFrame, table: Broadcast) -> DataFrame:
@@ -214,14 +224,15 @@ def _measured(src: DataFrame, table: Broadcast) -> DataFrame:
         for batch in batches:
             for part in T.slices(batch, "text"):
                 x = features(*T.string_bytes(part.column("text")), table.value)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(x[:, 0]), pa.array(x[:, 1])],
-                                                 names=["doc_id", "whole", "stretch"])
+                cuts = pa.array(np.arange(0, x.size + 1, FEATURES, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(cuts, pa.array(x.ravel()))],
+                                                 names=["doc_id", "x"])
 
-    return src.select("doc_id", "text").mapInArrow(run, "doc_id long, whole double, stretch double")
+    return src.select("doc_id", "text").mapInArrow(run, "doc_id long, x array<double>")
 
 
 def probability(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x @ w[:2] + w[2], -700, 700))) if w.any() else np.zeros(len(x))
+    return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -700, 700))) if w.any() else np.zeros(len(x))
 
 
 def scored(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -229,10 +240,10 @@ def scored(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) ->
     table, w = fit(docs, labels, train_rows)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS)) == HELD_OUT, F.lit(True))
-    z = F.col("whole") * float(w[0]) + F.col("stretch") * float(w[1]) + float(w[2])
+    z = sum((F.col("x")[i] * float(v) for i, v in enumerate(w[:-1])), F.lit(float(w[-1])))
     score = 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-700.0)), F.lit(700.0)))) if w.any() else F.lit(0.0)
-    return _measured(src, table).select("doc_id", held.alias("held_out"), score.alias("score"), "whole", "stretch").selectExpr(
-        "doc_id", "held_out", "score", "CASE WHEN score >= 0.5 THEN 1 ELSE 0 END AS predicted", "whole", "stretch")
+    return _measured(src, table).select("doc_id", held.alias("held_out"), score.alias("score")).selectExpr(
+        "doc_id", "held_out", "score", "CASE WHEN score >= 0.5 THEN 1 ELSE 0 END AS predicted")
 
 
 def clean(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:

@@ -32,17 +32,61 @@ def test_toxicity_held_out(spark, toxic):
     assert (h.predicted == h.toxic).mean() > 0.93
 
 
-def test_kneser_ney_lower_orders_are_distributions(spark):
-    docs = spark.createDataFrame([(1, "abc abd abe xyz"), (2, "abc xyz")], "doc_id long, text string")
+def plain_kneser_ney(rows):
+    """(scores of all grams, lower and class distributions) by dictionaries.  ``rows``: gram, toxic count, ordinary count."""
+    grams = {g: (t, o) for g, t, o in rows}
+    orders = {}
+
+    def lower(context, byte):
+        """P(byte | context) of the shared orders below the top one."""
+        size = len(context) + 1
+        if not size:
+            return 1 / 256
+        if size not in orders:
+            above = {g[-size - 1:] for g in grams}
+            counts = {}
+            for x in above:
+                counts[x[1:]] = counts.get(x[1:], 0) + 1
+            orders[size] = counts
+        mine = {x: c for x, c in orders[size].items() if x[:-1] == context}
+        below = 1 / 256 if size == 1 else lower(context[1:], byte)
+        if not mine:
+            return below
+        total = sum(mine.values())
+        return max(mine.get(context + byte, 0) - 0.75, 0) / total + 0.75 * len(mine) / total * below
+
+    def discount(cls):
+        c = [max(1, sum(v[cls] == i for v in grams.values())) for i in (1, 2, 3, 4)]
+        y = c[0] / (c[0] + 2 * c[1])
+        return [0.0] + [min(max(i - (i + 1) * y * c[i] / c[i - 1], 0.1), i - 0.01) for i in (1, 2, 3)]
+    ds = discount(0), discount(1)
+
+    def top(cls, context, byte):
+        mine = {g: v[cls] for g, v in grams.items() if g[:-1] == context}
+        total, d = sum(mine.values()), ds[cls]
+        if not total:
+            return lower(context[1:], byte)
+        n = mine.get(context + byte, 0)
+        return (n - d[min(n, 3)] + sum(d[min(v, 3)] for v in mine.values()) * lower(context[1:], byte)) / total
+    return {g: np.log(top(0, g[:-1], g[-1:])) - np.log(top(1, g[:-1], g[-1:])) for g in grams}, lower, top
+
+
+def test_kneser_ney_equals_dictionaries_and_sums_to_one(spark):
     import pyarrow as pa
-    raw = toxicity._count(iter([pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["abc abd abe xyz", "abc xyz"]})]), {1: 1, 2: 0})
-    counts = spark.createDataFrame([tuple(int(v) for v in r) for b in raw for r in zip(*(c.to_pylist() for c in b.columns), strict=True)],
-                                   "g long, n long, toxic long, ordinary long")
-    scores = {r.g: r.score for r in toxicity.gram_scores(counts).collect()}
-    assert len(scores) == counts.count() and docs.count() == 2
-    both = int.from_bytes(b"   ab", "big")      # seen by both classes after the same context
-    only = int.from_bytes(b"  abd", "big")      # seen by the toxic class only
-    assert scores[only] > scores[both]
+    texts = ["abc abd abe xyz abcab", "abc xyz abc", "abz qrs", "bad badly bad", "Abd xy z", None, ""]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    rows = [tuple(int(v) for v in r) for b in toxicity._count(iter([batch]), {0: 1, 1: 0, 3: 1, 4: 0})
+            for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    counts = spark.createDataFrame(rows, "g long, n long, toxic long, ordinary long")
+    want, lower, top = plain_kneser_ney([(g.to_bytes(toxicity.ORDER, "big"), t, o) for g, _, t, o in rows])
+    got = {r.g.to_bytes(toxicity.ORDER, "big"): r.score for r in toxicity.gram_scores(counts).collect()}
+    assert got.keys() == want.keys() and all(got[g] == pytest.approx(want[g], abs=1e-12) for g in got)
+    every = [bytes([b]) for b in range(256)]
+    for context in {g[:-1] for g in got}:
+        for cut in range(1, len(context) + 1):
+            assert sum(lower(context[cut:], b) for b in every) == pytest.approx(1)
+        for cls in (0, 1):
+            assert sum(top(cls, context, b) for b in every) == pytest.approx(1)
 
 
 def test_grams_of_one_hash_keep_their_own_scores(spark):
@@ -58,7 +102,8 @@ def test_grams_of_one_hash_keep_their_own_scores(spark):
     table = toxicity.score_table(scores)
     raw = rare.to_bytes(5, "big") + often.to_bytes(5, "big")
     got = toxicity.features(np.frombuffer(raw, np.uint8), np.array([0, 5, 10]), table)
-    assert got.tolist() == [[pytest.approx(3 / 5), pytest.approx(3.0)], [0.0, 0.0]]
+    one = [3 / 5] + [3.0] * len(toxicity.STRETCHES) + [0.0] * len(toxicity.RANKS) + [np.log(2)]
+    assert got.tolist() == [pytest.approx(one), [0.0] * (toxicity.FEATURES - 1) + [pytest.approx(np.log(2))]]
 
 
 def test_every_gram_of_a_fitted_context_is_in_the_table(spark):
