@@ -41,7 +41,7 @@ from shopcast.session import checkpoint_dir
 
 BIG = 1e12          # stands for an infinite value
 GAP = 4e12          # stands for a missing one, below or above everything else
-CHUNK = 20          # rounds between written margins
+CHUNK = 10          # rounds between written margins
 LEAST_HESSIAN = 1e-16
 
 
