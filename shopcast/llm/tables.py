@@ -30,6 +30,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Remove the folder of a table that ``written`` made and nothing reads any more."""
+    spark = df.sparkSession
+    new_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for folder in {new_path(f).getParent().toString() for f in df.inputFiles()}:
+        path = new_path(folder)
+        if path.getParent().equals(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(
+                new_path(checkpoint_dir(spark)))):
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Give executors this package (the driver serves it to them), once per application."""
     app = spark.sparkContext.applicationId

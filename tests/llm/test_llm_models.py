@@ -236,6 +236,61 @@ def test_pipeline_equals_its_stages_by_hand(spark):
     assert (got[got.doc_id.isin(set(whole[whole["size"] > 0].doc_id))].groupby("doc_id").size() == 2).all()
 
 
+def test_pipeline_on_awkward_and_empty_tables(spark, tmp_path):
+    """Null and repeated ids, null and empty texts: every word the mix takes of what the stages keep is encoded."""
+    import corpus_pipeline
+    for name, rows in (("awkward", AWKWARD), ("empty", [])):
+        folder = str(tmp_path / name)
+        documents(spark, rows).write.parquet(f"{folder}/documents.parquet")
+        no_labels(spark).write.parquet(f"{folder}/labels.parquet")
+        got = corpus_pipeline.run(spark, folder)
+        left = {f.rsplit("/", 2)[1].rsplit("-", 1)[0] for f in got.inputFiles()}
+        assert left == {"pipeline-mixing"} or not rows
+        got = got.toPandas()
+        assert {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(got.columns)
+        if not rows:
+            assert got.empty
+            continue
+        kept = simhash.one_of_each(documents(spark, rows))
+        taken = mixing.allotted(kept).where("taken > 0").toPandas()
+        known = lambda df: {None if np.isnan(float("nan") if i is None else i) else int(i) for i in df.doc_id}
+        assert known(got) == known(taken) and (got.n_tokens > 0).all()
+
+
+def test_texts_beyond_a_slice(spark):
+    """Two copies of a text of 2.3 MB among short ones, in different partitions."""
+    import hashlib
+    import random
+
+    import public_tokenizers
+    import tiktoken
+
+    from shopcast.llm import bpe, minhash
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghé") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    long = " ".join(rng.choice(words) for _ in range(350_000))
+    assert len(long.encode()) > 2 << 20
+    rows = [(0, long), (1, "a few words here"), (2, ""), (3, long), (4, "some more of them")]
+    docs = documents(spark, rows)
+    prints = minhash.edited_pairs(docs).toPandas().set_index("doc_id")
+    edited = long[:len(long) - len(long) // 2] + "a few words here"
+    assert prints.edited_sha256[0] == hashlib.sha256(edited.encode()).hexdigest() and prints.fingerprint[0] == prints.fingerprint[3]
+    near = simhash.near_duplicates(docs).toPandas().set_index("doc_id")
+    assert near.component_id[3] == 0 and near.fingerprint[0] == near.fingerprint[3] != near.fingerprint[1]
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    with open(path, "rb") as f:
+        plain = tiktoken.Encoding("test", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(f.read()), special_tokens={})
+    ids = np.array(plain.encode_ordinary(long), "<u4")
+    codes = bpe.encoded(docs, path, public_tokenizers.PATTERN).toPandas().set_index("doc_id")
+    for i in (0, 3):
+        assert codes.n_tokens[i] == len(ids) and codes.ids_sha256[i] == hashlib.sha256(ids.tobytes()).hexdigest()
+        assert codes.decoded_sha256[i] == hashlib.sha256(long.encode()).hexdigest()
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(5)], "doc_id long, quality int, toxic int")
+    for score in (quality.scored, toxicity.scored):
+        got = score(docs, labels).toPandas().set_index("doc_id").score
+        assert got.between(0, 1).all() and got[0] == got[3]
+
+
 def test_every_query_is_registered():
-    assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 14))
     assert set(queries.SQL) <= set(queries.QUERIES)
