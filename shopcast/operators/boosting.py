@@ -11,9 +11,10 @@ second-order expansion.  ``min_child_weight`` is the least hessian sum of a node
 * Missing values: a feature that has any in the training rows enters twice, its
   gaps below and above every value, so that a split sends them to the side that
   fits better.  Other features' gaps at scoring time go below.
-* Stopping by patience: every ``CHUNK`` rounds the margins after each round are
-  made in one pass over the validation rows; their AUC per round decides.  The
-  first best round is kept once ``patience`` rounds bring nothing better.
+* Stopping by patience: every ``CHUNK`` rounds, and at the first round that can
+  be the last, the margins after each round are made in one pass over the
+  validation rows; their AUC per round decides.  The first best round is kept
+  once ``patience`` rounds bring nothing better.
 
 Rows with their margins are written every ``CHUNK`` rounds and the older copy is
 removed, so a round's plan holds at most ``CHUNK`` trees and a lost executor
@@ -41,7 +42,7 @@ from shopcast.session import checkpoint_dir
 
 BIG = 1e12          # stands for an infinite value
 GAP = 4e12          # stands for a missing one, below or above everything else
-CHUNK = 10          # rounds between written margins
+CHUNK = 10          # most rounds between written margins
 LEAST_HESSIAN = 1e-16
 
 
@@ -182,7 +183,7 @@ def fit_boosted(train: DataFrame, cols, label: str = "label", rounds: int = 100,
         "features", y.alias("y"), F.when(y == 1, F.lit(float(pos_weight))).otherwise(1.0).alias("w"), "_held",
         F.lit(0.0).alias("m")), None)
     model, chunk = Boosted(spec), Boosted(spec)
-    stop = table.where("NOT _held").isEmpty()
+    stop, last = table.where("NOT _held").isEmpty(), None
     while not stop and len(model.trees) < rounds:
         fitted = chunk.gains(table.where("NOT _held"), "_gains")
         fitted = _with_gradients(fitted.withColumn("m", F.col("m") + F.aggregate("_gains", F.lit(0.0), lambda a, x: a + x)))
@@ -192,10 +193,11 @@ def fit_boosted(train: DataFrame, cols, label: str = "label", rounds: int = 100,
             m.trees.append(tree)
             m.values.append([rate * v for v in values])
             m.draws.append(drawn)
-        if len(chunk.trees) == CHUNK or len(model.trees) == rounds:
+        if len(chunk.trees) == CHUNK or len(model.trees) in (rounds, last):
             if patience is not None:
                 model.aucs += _aucs(chunk, table.where("_held"))
-                stop = best_round(model.aucs, patience)[1]
+                best, stop = best_round(model.aucs, patience)
+                last = best + patience      # the first round that can end the fit
             if not stop and len(model.trees) < rounds:
                 added = chunk.gains(table, "_gains").withColumn(
                     "m", F.col("m") + F.aggregate("_gains", F.lit(0.0), lambda a, x: a + x)).drop("_gains")

@@ -1069,7 +1069,7 @@ def _ensemble_scores(d: dict, candidates: DataFrame) -> DataFrame:
     train, cols = _train_ui(d)
     test = user_sku_dataset(d, with_label=False, end=d["dates"].score_end)
     test = jn.semi_restrict(test, candidates, bound=1000)
-    return subspace_ensemble(train, test, cols, parallelism=6).select("user_id", "sku_id", "label")
+    return subspace_ensemble(train, test, cols, parallelism=11).select("user_id", "sku_id", "label")
 
 
 @register("m6_fit_predict_boosted")

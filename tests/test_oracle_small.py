@@ -14,7 +14,8 @@ import __spark_entry__ as entry
 KEYS = ["a1u_user_type_counts", "a3_decayed_counts_lineitem", "a2p_sku_daily_stats", "w1a_sku_share_in_user",
         "a13b_cate_pivot_conv", "a5_active_hours", "d5_user_accumulate", "j4_cart_uncart_latest",
         "m1_downsample_negatives", "e2_f12_score", "e3_pair_cutoff_sweep", "w3_relative_order_global", "j5_topk_overlap_pairs",
-        "a15u_user_labels", "a15t_truth_rows", "p3_recode_age", "j4_cart_uncart_as_written", "m3_train_eval_split", "t1_t7_time_bins", "a16_comment_features"]
+        "a15u_user_labels", "a15t_truth_rows", "p3_recode_age", "j4_cart_uncart_as_written", "m3_train_eval_split", "t1_t7_time_bins", "a16_comment_features",
+        "t8_asof_rows", "e4_auc", "w3_relative_order", "s6_materialize"]
 
 
 def _norm(v):
