@@ -164,6 +164,6 @@ def test_same_seed_gives_the_same_scores_and_no_copies_stay(spark, noisy):
     from shopcast.session import checkpoint_dir
     staged = os.path.join(checkpoint_dir(spark), "staged")
     before = set(os.listdir(staged)) if os.path.isdir(staged) else set()
-    a, b = (bo.fit_boosted(noisy, NINE, rounds=25, depth=2, columns=0.8) for _ in range(2))
+    a, b = (bo.fit_boosted(noisy, NINE, rounds=12, depth=2, columns=0.8) for _ in range(2))
     assert a.values == b.values and a.draws == b.draws
     assert {n for n in os.listdir(staged) if n.startswith("boosting")} <= before
