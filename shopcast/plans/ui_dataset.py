@@ -108,6 +108,22 @@ def _share_cols(child_fmt: str, parent, rank: str, ratio4: str):
     return [sql_col(" + ".join(r), rank), sql_col(r[PURCHASE - 1], ratio4)]
 
 
+def packed(t: DataFrame, keys, name: str) -> DataFrame:
+    """``t``'s columns beside the keys as one struct, which joins and sorts copy as a whole."""
+    return t.select(*keys, F.struct(*[F.col(f"`{c}`") for c in t.columns if c not in keys]).alias(name))
+
+
+def unpacked(df: DataFrame, names) -> DataFrame:
+    """The structs' columns in place of the structs (NULL where a left join found no row)."""
+    out = []
+    for c in df.columns:
+        if c in names:
+            out += [F.col(f"`{c}`.`{f}`").alias(f) for f in df.schema[c].dataType.names]
+        else:
+            out.append(F.col(f"`{c}`"))
+    return df.select(*out)
+
+
 def user_sku_dataset(src: dict, with_label: bool = True, spec: UISpec = UISpec(),
                      end=None) -> DataFrame:
     """Build the (user, sku) table.  ``src`` has ``actions``, ``users``,
@@ -187,20 +203,26 @@ def user_sku_dataset(src: dict, with_label: bool = True, spec: UISpec = UISpec()
     product = basic_product_features(src["products"].filter(F.col("cate") == cate)).drop("cate")
 
     # joins, grouped by key set (consecutive joins on the same keys reuse the
-    # base's partitioning)
-    df = base.join(pair, ["user_id", "sku_id"], "left")
+    # base's partitioning); each side's columns travel as one struct, so that a
+    # row of hundreds of columns is taken apart once, after the last join
+    df = base.join(packed(pair, ["user_id", "sku_id"], "_pair"), ["user_id", "sku_id"], "left")
     if with_label:
         lab = fam.labels(actions, D.label_start, D.label_end, ("user_id", "sku_id"), cate=cate)
         df = df.join(lab, ["user_id", "sku_id"], "left")
     df = salted(df, "user_id", hot_users, ["sku_id", "brand"])
-    for t in (u, u_stats, profile):
-        df = salted_left_join(df, t, ["user_id"], "user_id", hot_users)
-    df = of_known_users(df, [f"0_action_period_{k}" for k in TYPES] + [f"cate_{c}" for c in CATES], "0_user_first_buy")
+    for name, t in (("_user", u), ("_user_stats", u_stats), ("_profile", profile)):
+        df = salted_left_join(df, packed(t, ["user_id"], name), ["user_id"], "user_id", hot_users)
     df = salted(df, "sku_id", hot_skus, ["user_id"])
-    df = salted_left_join(df, by_one_sku, ["sku_id"], "sku_id", hot_skus)
-    df = salted_left_join(df, product, ["sku_id", "brand"], "sku_id", hot_skus)
+    df = salted_left_join(df, packed(by_one_sku, ["sku_id"], "_sku"), ["sku_id"], "sku_id", hot_skus)
+    df = salted_left_join(df, packed(product, ["sku_id", "brand"], "_product"), ["sku_id", "brand"], "sku_id", hot_skus)
     df = salted(df, "brand", hot_brands, ["user_id", "sku_id"])
     df = salted_left_join(df, brand, ["brand"], "brand", hot_brands).drop("_salt")
+    last_of_user = df.schema["_profile"].dataType.names[-1]
+    df = unpacked(df, ("_pair", "_user", "_user_stats", "_profile", "_sku", "_product"))
+    df = of_known_users(df, [f"0_action_period_{k}" for k in TYPES] + [f"cate_{c}" for c in CATES], "0_user_first_buy")
+    *names, first_buy = df.columns
+    names.insert(names.index(last_of_user) + 1, first_buy)      # beside the other columns of the user
+    df = df.select(*[F.col(f"`{c}`") for c in names])
 
     # W1a–W1c as projections: child and parent counts since rank_start are already
     # on every row (user totals, (user, cate) and (user, cate, sku) counts)

@@ -147,3 +147,14 @@ def test_d3_with_a_hot_user_equals_the_plain_joins(spark, monkeypatch):
     monkeypatch.setattr(ui_dataset, "key_sizes", lambda df, key, total: (total, users if key == "user_id" else []))
     split = ui_dataset.user_sku_dataset(d).select(*plain.columns)
     assert sorted(map(tuple, split.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_packed_columns_come_back_in_place(spark):
+    from shopcast.plans.ui_dataset import packed, unpacked
+    left = spark.createDataFrame([(1, 5), (2, 6)], "k long, a long")
+    right = spark.createDataFrame([(1, 7, None)], "k long, `0_x` long, y double")
+    joined = left.join(packed(right, ["k"], "_r"), "k", "left")
+    assert joined.columns == ["k", "a", "_r"]
+    out = unpacked(joined.withColumn("z", F.lit(0)), ("_r",))
+    assert out.columns == ["k", "a", "0_x", "y", "z"]
+    assert sorted(map(tuple, out.collect())) == [(1, 5, 7, None, 0), (2, 6, None, None, 0)]
