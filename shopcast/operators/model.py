@@ -19,7 +19,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopcast.operators.boosting import Boosted, fit_boosted
+from shopcast.operators.boosting import Boosted, fit_all, fit_boosted, predict_all
 from shopcast.operators.sampling import split_bucket
 
 SENTINEL = -1.0
@@ -94,8 +94,16 @@ def fit_stopped(train: DataFrame, cols, label: str = "label", max_iter: int = 10
                 columns: float = 0.8, patience: int = 50, seed: int = 0, keys=("user_id", "sku_id")) -> Boosted:
     """M7 / M8: trees that each see ``columns`` of the features, until the AUC
     on a stable 20 % of the rows (M3) has not risen for ``patience`` rounds."""
-    return fit_boosted(train, cols, label, rounds=max_iter, depth=max_depth, rate=step, min_child_weight=1, columns=columns,
-                       validation=split_bucket(seed, list(keys)) == 0, patience=patience, seed=seed)
+    cols = list(cols)
+    return fit_all_stopped(train, cols, [cols], label, max_iter, max_depth, step, columns, patience, seed, keys)[0]
+
+
+def fit_all_stopped(train: DataFrame, cols, subsets, label: str = "label", max_iter: int = 1000, max_depth: int = 5,
+                    step: float = 0.05, columns: float = 0.8, patience: int = 50, seed: int = 0,
+                    keys=("user_id", "sku_id")) -> list[Boosted]:
+    """``fit_stopped`` for each of ``subsets`` of the features ``cols``."""
+    return fit_all(train, cols, subsets, label, rounds=max_iter, depth=max_depth, rate=step, min_child_weight=1, columns=columns,
+                   validation=split_bucket(seed, list(keys)) == 0, patience=patience, seed=seed)
 
 
 def importance_partition(model: Boosted, spark) -> tuple[list[str], list[str]]:
@@ -116,16 +124,12 @@ def fit_ensemble(train: DataFrame, cols, label: str = "label", weights=(0.3,) +
                  keys=("user_id", "sku_id"), parallelism: int = 4) -> list[Member]:
     """M8: model 0 on the important features (weight 0.3) and 10 models on
     seeded random 40 % subsets of the other features (0.07 each).  The
-    independent fits are submitted from ``parallelism`` driver threads so their
-    (small, per-round) Spark jobs run concurrently."""
-    from concurrent.futures import ThreadPoolExecutor
-
+    independent fits grow side by side, ``parallelism`` at a time: one pass
+    serves a level of all of them."""
     cols = list(cols)
-
-    def fit(subset) -> Boosted:
-        return fit_stopped(train, subset, label, max_iter, max_depth, step, columns, patience, seed, keys)
-
-    important, trivial = importance_partition(fit(cols), train.sparkSession)
+    options = dict(label=label, max_iter=max_iter, max_depth=max_depth, step=step, columns=columns, patience=patience, seed=seed,
+                   keys=keys)
+    important, trivial = importance_partition(fit_stopped(train, cols, **options), train.sparkSession)
     rng = random.Random(seed)
     subsets = []
     for i in range(len(weights)):
@@ -134,15 +138,14 @@ def fit_ensemble(train: DataFrame, cols, label: str = "label", weights=(0.3,) +
         else:
             k = max(1, int(len(trivial) * frac))
             subsets.append(sorted(rng.sample(trivial, k)) if len(trivial) >= k else (trivial or cols))
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        return [Member(float(w), m) for w, m in zip(weights, pool.map(fit, subsets), strict=True)]
+    at_once = max(1, parallelism)
+    models = [m for i in range(0, len(subsets), at_once) for m in fit_all_stopped(train, cols, subsets[i:i + at_once], **options)]
+    return [Member(float(w), m) for w, m in zip(weights, models, strict=True)]
 
 
 def score_ensemble(members: list[Member], test: DataFrame) -> DataFrame:
     """``test`` with ``label``: the weighted sum of the members' probabilities."""
-    scored = test
-    for i, member in enumerate(members):
-        scored = member.model.predict(scored, out=f"_p{i}")
+    scored = predict_all([m.model for m in members], test, [f"_p{i}" for i in range(len(members))])
     total = sum((F.lit(m.weight) * F.col(f"_p{i}") for i, m in enumerate(members)), F.lit(0.0))
     return scored.withColumn("label", total).drop(*[f"_p{i}" for i in range(len(members))])
 

@@ -167,3 +167,29 @@ def test_same_seed_gives_the_same_scores_and_no_copies_stay(spark, noisy):
     a, b = (bo.fit_boosted(noisy, NINE, rounds=12, depth=2, columns=0.8) for _ in range(2))
     assert a.values == b.values and a.draws == b.draws
     assert {n for n in os.listdir(staged) if n.startswith("boosting")} <= before
+
+
+def test_sums_by_shuffle_and_on_the_driver_give_the_same_trees(spark, noisy, monkeypatch):
+    few = dict(rounds=3, depth=3, columns=0.8)
+    a = bo.fit_boosted(noisy.repartition(3), NINE, **few)
+    monkeypatch.setattr(bo, "DIRECT", 0)
+    monkeypatch.setattr(bo, "PIECE", 2)
+    b = bo.fit_boosted(noisy.repartition(3), NINE, **few)
+    assert [t.place for t in a.trees] == [t.place for t in b.trees] and [t.threshold for t in a.trees] == [t.threshold for t in b.trees]
+    for x, y in zip(a.values, b.values, strict=True):
+        assert x == pytest.approx(y)
+
+
+def test_models_side_by_side_equal_those_alone(spark, noisy):
+    few = dict(rounds=12, depth=2, columns=0.8, validation=F.col("id") % 5 == 0, patience=3)
+    subsets = [["f1", "f2"], ["f0", "f7", "f8"]]
+    for subset, model in zip(subsets, bo.fit_all(noisy, NINE, subsets, **few), strict=True):
+        alone = bo.fit_boosted(noisy, subset, **few)
+        assert model.draws == alone.draws and model.rounds_run == alone.rounds_run
+        assert [(t.place, t.threshold) for t in model.trees] == [(t.place, t.threshold) for t in alone.trees]
+
+
+def test_more_values_than_bins_keep_at_most_255_candidates(spark):
+    df = spark.range(3000).select("id", (F.col("id") * 1.0).alias("x"), (F.col("id") > 1999).cast("int").alias("label"))
+    tree = bo.fit_boosted(df, ["x"], rounds=1, depth=1).trees[0]
+    assert abs(tree.threshold[0] - 1999.5) < 3000 / 255 and max(tree.cut) < 255
