@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from shopcast.operators.boosting import Boosted, fit_all, fit_boosted, predict_all
 from shopcast.operators.sampling import split_bucket
+from shopcast.sources.files import staged
 
 SENTINEL = -1.0
 BIG = 1e12
@@ -50,6 +51,19 @@ def impute_mean(df: DataFrame, cols) -> DataFrame:
                        if c in fills else F.col(f"`{c}`") for c in df.columns])
 
 
+VECTOR_BYTES = 4 << 20      # values that a task should at least have
+
+
+def _vectors(df: DataFrame, cols, label: str) -> DataFrame:
+    """(features, label), dealt evenly to as many tasks as there are cores or parts (a part of a file may hold no
+    rows), as long as each has ``VECTOR_BYTES``; a smaller table stays as it is."""
+    df = _assemble(df, cols).select("features", F.col(label).cast("double").alias(label))
+    one = df.select(label)      # cheap to plan, and in as many parts
+    parts = one.rdd.getNumPartitions()
+    wanted = min(max(df.sparkSession.sparkContext.defaultParallelism, parts), one.count() * 8 * len(cols) // VECTOR_BYTES)
+    return df.repartition(wanted) if 1 < wanted >= parts else df
+
+
 def _assemble(df: DataFrame, cols, out: str = "features") -> DataFrame:
     # backticks: feature names may start with digits
     safe = {c: f"f_{i}" for i, c in enumerate(cols)}
@@ -60,8 +74,12 @@ def _assemble(df: DataFrame, cols, out: str = "features") -> DataFrame:
 
 def fit_gbt(train: DataFrame, cols, label: str = "label", max_depth: int = 6, max_iter: int = 100, step: float = 1.0,
             seed: int = 0):
-    """M5: one Spark ML boosted-tree classifier on filled features."""
-    df = _assemble(prepare(train, cols), cols).withColumn(label, F.col(label).cast("double"))
+    """M5: one Spark ML boosted-tree classifier on filled features.
+
+    The vectors are written once: every level of every tree ships its plan to
+    the tasks, and that of a scan of two columns is small whatever the number of
+    features."""
+    df = staged(_vectors(prepare(train, cols), cols, label), "gbt-vectors")
     return GBTClassifier(featuresCol="features", labelCol=label, maxDepth=max_depth, maxIter=max_iter, stepSize=step,
                          seed=seed, maxBins=32).fit(df)
 

@@ -42,6 +42,17 @@ def test_importances_are_positive(spark, table):
     assert top[0].feature == "x1" and all(r.importance > 0 for r in top) and len(top) <= 2
 
 
+def test_the_importance_fit_reads_short_vectors_dealt_to_all_cores(spark, table, monkeypatch):
+    one, cores, kept = table.coalesce(1), spark.sparkContext.defaultParallelism, []
+    sizes = lambda df: [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    assert sizes(md._vectors(one, COLS, "label")) == [400]      # too small to be dealt
+    monkeypatch.setattr(md, "VECTOR_BYTES", 400 * 8 * len(COLS) // cores)
+    assert sizes(md._vectors(one, COLS, "label")) == [400 // cores] * cores
+    monkeypatch.setattr(md, "staged", lambda df, label: kept.append(df) or df)
+    md.fit_gbt(one, COLS, max_iter=1)
+    assert [df.columns for df in kept] == [["features", "label"]]
+
+
 def test_ensemble_weights_and_scores(spark, table):
     import inspect
     weights = inspect.signature(md.fit_ensemble).parameters["weights"].default
