@@ -24,13 +24,13 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from bisect import bisect_right
 from collections import deque
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,7 +42,8 @@ SENTENCE, INSIDE, EACH = 8, 24, 1
 SHORTEST = 64                   # shorter windows are counted as padded, powers of two or not
 BLOCK = 1 << 18                 # tokens after which a block is closed
 CLOSING = b"\0\0\0\0"           # id 0 ends a document
-CACHE_BYTES = 96 << 20          # parts and their ids remembered by a worker; emptied when full
+CACHE_BYTES = 96 << 20          # parts and their ids remembered by a worker; when full, only those in use stay
+SLICE = 16 << 20                # bytes of text whose words are looked up together, each distinct one once
 GROUP = 400                     # parts encoded in one call
 GAP = re.compile(r"(?<=\S) (?=\S)")
 TOUCHED = re.compile(r"(?:\A|\0)\s|\s(?:\0|\Z)")
@@ -84,8 +85,11 @@ class Encoder:
         self.held += len("".join(keys)) + len(b"".join(values)) + 150 * len(keys)
 
     def _learn(self, heads: set[str], parts: set[str]) -> None:
-        if self.held > CACHE_BYTES:
+        if self.held > CACHE_BYTES:     # what these texts use again stays
+            kept = [{k: known[k] for k in keys if k in known} for known, keys in ((self.heads, heads), (self.parts, parts))]
             self.heads, self.parts, self.odd, self.held = {}, {}, set(), 0
+            for into, some in zip((self.heads, self.parts), kept, strict=True):
+                self._remember(into, list(some), list(some.values()))
         fresh = parts.difference(self.parts).difference(self.odd)
         plain = list(fresh)
         if "" in fresh or TOUCHED.search("\0".join(plain)):
@@ -120,18 +124,42 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [t.split(" ") for t in texts]
-        heads, rests = [c[0] for c in cut], [c[1:] for c in cut]
-        self._learn(set(heads), set(chain.from_iterable(rests)))
-        loose = [i for i, (h, rest) in enumerate(zip(heads, rests, strict=True))
-                 if rest and (h and h[-1].isspace() or not self.odd.isdisjoint(rest))]
-        for i in loose:
-            heads[i], *rests[i] = GAP.split(texts[i])
-        for into, lead, keys in ((self.heads, "", {heads[i] for i in loose}),
-                                 (self.parts, " ", set(chain.from_iterable(rests[i] for i in loose)))):
+        if not texts:
+            return []
+        cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        at = cut.offsets.to_numpy()
+        coded = cut.values.dictionary_encode()
+        words, code = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        first = at[:-1]
+        after = np.ones(len(code), bool)            # a part after a space
+        after[first] = False
+        heads = np.unique(code[first])
+        seen = np.zeros(len(words), bool)
+        seen[code[after]] = True
+        self._learn({words[k] for k in heads.tolist()}, set(compress(words, seen.tolist())))
+        wide = np.array([words[k][-1:].isspace() for k in heads.tolist()])
+        odd = np.zeros(len(words), bool)
+        if not self.odd.isdisjoint(words):
+            odd[[k for k, w in enumerate(words) if w in self.odd]] = True
+        head = np.searchsorted(heads, code[first])
+        loose = (np.diff(at) > 1) & (wide[head] | np.logical_or.reduceat(odd[code] & after, first))
+        known = pa.array([*map(self.parts.get, words), *(self.heads[words[k]] for k in heads.tolist())],
+                         pa.large_binary())         # the heads' ids behind those of the parts
+        entry = code.astype(np.int64)
+        entry[first] = len(words) + head
+        found = known.take(pa.array(entry))
+        _, edges, data = found.buffers()
+        edges = np.frombuffer(edges, np.int64)[found.offset:found.offset + len(found) + 1][at].tolist()
+        raw = memoryview(data or b"")
+        out = [bytes(raw[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+        again = {i: GAP.split(texts[i]) for i in np.flatnonzero(loose).tolist()}
+        for into, lead, keys in ((self.heads, "", {c[0] for c in again.values()}),
+                                 (self.parts, " ", set(chain.from_iterable(c[1:] for c in again.values())))):
             new = list(keys.difference(into))
             self._remember(into, new, self._ids([lead + k for k in new]))
-        return [self.heads[h] + b"".join(map(self.parts.__getitem__, rest)) for h, rest in zip(heads, rests, strict=True)]
+        for i, (head, *rest) in again.items():
+            out[i] = self.heads[head] + b"".join(map(self.parts.__getitem__, rest))
+        return out
 
     def sentence_ends(self, ids: np.ndarray) -> np.ndarray:
         """Places after which a new sentence or line begins."""
@@ -149,47 +177,44 @@ def window_cuts(places: np.ndarray, penalties: np.ndarray, window: int = WINDOW,
     slack, ends = inside - sentence, places.tolist()
     last = ends[-1]
 
-    def lacks_end(cut: int) -> bool:
-        """Whether a full window from the cut ends inside a sentence with no other end near."""
-        to = cut + window
-        i = bisect_right(ends, to)
-        return to < last and (not i or ends[i - 1] < to - slack)
-
-    near = np.searchsorted(places, places + window, "right") - 1
-    lacking = (places + window < last) & (places[near] < places + window - slack)
+    # whether a full window from a cut ends inside a sentence with no other end near
+    upto = np.zeros(last + 1, np.int64)
+    upto[places] = 1
+    np.cumsum(upto, out=upto)
+    to = np.arange(window, max(window, last))
+    lacks = (upto[to] == upto[np.maximum(to - slack - 1, 0)]).tobytes() + bytes(min(window, last) + 1)
     # by place + window, so that places before the block read as out of reach
     far = 1 << 30
     cost, back = array("i", [far]) * (last + window + 1), array("i", [0]) * (last + 1)
     cost[window] = 0
     offsets = [window - (1 << k) for k in range(window.bit_length()) if shortest <= 1 << k < window]
-    queue, keys = deque([0]), deque([0])            # cuts in reach, by place and by cost + place, both ascending
-    full: deque[int] = deque([window] if lacks_end(0) else [])      # ends of full windows inside a sentence
-    for place, penalty, lacks in zip(ends, (penalties + each).tolist(), lacking.tolist(), strict=True):
+    bits = last.bit_length()
+    on, queue = (1 << bits) - 1, deque([0])         # cuts in reach as cost + place and, in the low bits, place; both ascending
+    full: deque[int] = deque([window] if lacks[0] else [])      # ends of full windows inside a sentence
+    for place, penalty in zip(ends, (penalties + each).tolist(), strict=True):
         here = -1
         while here < place:
             if full and full[0] < place:
-                here, more, spawns = full.popleft(), inside + each, None
+                here, more = full.popleft(), inside + each
             else:
-                here, more, spawns = place, penalty, lacks
+                here, more = place, penalty
                 if full and full[0] == place:
                     full.popleft()
-            while queue[0] < here - window:
+            while queue[0] & on < here - window:
                 queue.popleft()
-                keys.popleft()
-            start, least = queue[0], keys[0] + window - here
+            best = queue[0]
+            start, least = best & on, (best >> bits) + window - here
             for offset in offsets:
                 c = cost[here + offset]
                 if c < least:
                     start, least = here + offset - window, c
             cost[here + window] = least = least + more
             back[here] = start
-            key = least + here
-            while keys and keys[-1] >= key:
+            key = least + here << bits
+            while queue and queue[-1] >= key:
                 queue.pop()
-                keys.pop()
-            queue.append(here)
-            keys.append(key)
-            if spawns or spawns is None and lacks_end(here):
+            queue.append(key | here)
+            if lacks[here]:
                 full.append(here + window)
     cuts = [last]
     while back[cuts[-1]]:
@@ -246,7 +271,7 @@ def packed(docs: DataFrame, spec_file: str, window: int = WINDOW, id_col: str =
         for batch in batches:
             if encoder is None:
                 encoder = _encoders.get(spec.value) or _encoders.setdefault(spec.value, Encoder(spec.value))
-            for part in T.slices(batch, "text"):
+            for part in T.slices(batch, "text", SLICE):
                 coded = [x + CLOSING for x in encoder.encode([t or "" for t in part.column("text").to_pylist()])]
                 low = 0
                 for i, x in enumerate(coded):

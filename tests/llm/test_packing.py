@@ -45,6 +45,16 @@ def test_forgetting_changes_nothing(encoder, monkeypatch):
         assert encoder.encode(texts) == library(encoder, texts)
 
 
+def test_a_full_cache_keeps_what_is_in_use(encoder, monkeypatch):
+    monkeypatch.setattr(K, "CACHE_BYTES", 10)
+    texts, asked, ids = ["one two, three\nfour", "five two", ""], [], encoder._ids
+    want = encoder.encode(texts)
+    monkeypatch.setattr(encoder, "_ids", lambda keys: asked.extend(keys) or ids(keys))
+    assert encoder.encode(texts) == want == library(encoder, texts) and not asked
+    encoder.encode(["six"])
+    assert "five" not in encoder.parts and set(encoder.heads) == {"six"}
+
+
 def cost_of(cuts, places, penalties, window, shortest):
     at, total = 0, 0
     for c in cuts:
