@@ -21,12 +21,10 @@ cut like any other.  An empty table gives no rows.  Other columns are ignored.
 
 from __future__ import annotations
 
-import re
 import zlib
 from array import array
 from collections import deque
 from collections.abc import Iterator
-from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -42,22 +40,70 @@ SENTENCE, INSIDE, EACH = 8, 24, 1
 SHORTEST = 64                   # shorter windows are counted as padded, powers of two or not
 BLOCK = 1 << 18                 # tokens after which a block is closed
 CLOSING = b"\0\0\0\0"           # id 0 ends a document
-CACHE_BYTES = 96 << 20          # parts and their ids remembered by a worker; when full, only those in use stay
-SLICE = 16 << 20                # bytes of text whose words are looked up together, each distinct one once
-GROUP = 400                     # parts encoded in one call
-GAP = re.compile(r"(?<=\S) (?=\S)")
-TOUCHED = re.compile(r"(?:\A|\0)\s|\s(?:\0|\Z)")
-WIDE_LINE = re.compile(r"\s\n|\n\s")
-MARKS = ",.;:!?"
-LETTERS = frozenset(c for c in map(chr, range(0x250)) if c.isalpha())
+CACHE_BYTES = 96 << 20          # pieces and their ids remembered by a worker; when full, only the last slice's stay
+SLICE = 16 << 20                # bytes of text whose pieces are looked up together, each distinct one once
+GROUP = 400                     # pieces encoded in one text
+SPACE, LEAD = 0x20, " x"        # pieces that begin with a mark are encoded behind LEAD
+LETTER, MARK, SEEN = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+LETTER[[*range(65, 91), *range(97, 123)]] = True
+MARK[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
+SEEN[33:127] = SEEN[128:] = True                # no white space, unless the character has several bytes
+
+
+def _white(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Whether the character of three bytes can be white space (a few that are not are taken for it)."""
+    return ((a == 0xE2) & (b >> 1 == 0x40) & ((c < 0x90) | (c > 0xA7)) | (a == 0xE1) & ((b == 0x9A) | (b == 0xA0))
+            | (a == 0xE3) & (b == 0x80) & (c == 0x80))
+
+
+def _seen_before(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the character that ends before each place is surely no white space."""
+    c = raw[at - 1]
+    out, wide = SEEN[c], np.flatnonzero(c > 127)
+    a, b, c = raw[at[wide] - 3], raw[at[wide] - 2], c[wide]
+    out[wide] = ~((b == 0xC2) & (c <= 0xA0) | _white(a, b, c))
+    return out
+
+
+def _seen_after(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the character that begins at each place is surely no white space."""
+    a = raw[at]
+    out, wide = SEEN[a], np.flatnonzero(a > 127)
+    a, b, c = a[wide], raw[at[wide] + 1], raw[np.minimum(at[wide] + 2, len(raw) - 1)]
+    out[wide] = ~((a == 0xC2) & (b <= 0xA0) | _white(a, b, c))
+    return out
+
+
+def piece_starts(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Where the pieces of texts begin; all of them are edges of pre-tokens.
+
+    A piece begins with a text, with a single space between two characters that are
+    no white space, and with an ASCII mark after a Latin letter.
+    """
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[off] = True
+    cut = edge[:-1].copy()
+    gap = np.flatnonzero(raw == SPACE)
+    gap = gap[~(edge[gap] | edge[gap + 1])]
+    gap = gap[_seen_before(raw, gap)]
+    cut[gap[_seen_after(raw, gap + 1)]] = True
+    mark = np.flatnonzero(MARK[raw])
+    mark = mark[~edge[mark]]
+    c, b = raw[mark - 1], raw[mark - 2]             # U+00C0 to U+023F are letters but for two signs
+    cut[mark[LETTER[c] | (c > 127) & (b >= 0xC3) & (b <= 0xC8) & ~((b == 0xC3) & ((c == 0x97) | (c == 0xB7)))]] = True
+    return np.flatnonzero(cut)
+
+
+def _binary(off: np.ndarray, data: bytes | np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_binary(), len(off) - 1,
+                                 [None, pa.py_buffer(np.ascontiguousarray(off, np.int64)), pa.py_buffer(data)])
 
 
 class Encoder:
     """Ids of texts by a byte-level ``tokenizers`` model.
 
-    A single space between two characters that are no white space always begins
-    a pre-token, so the parts between such spaces are encoded once each and
-    remembered.
+    Texts are cut into pieces at edges of pre-tokens; the distinct pieces of a call
+    are encoded once each, many in one text, and remembered.
     """
 
     def __init__(self, spec: str):
@@ -69,97 +115,79 @@ class Encoder:
         self.opens = np.array([w[:1] in {"Ġ", "Ċ", "ĉ", "č"} for w in words])          # begins with white space
         self.stops = np.array([w.rstrip("\"')]")[-1:] in {".", "!", "?"} for w in words])
         self.lines = np.array(["Ċ" in w for w in words])
-        self.marks = dict(zip(MARKS, self._ids(list(MARKS)), strict=True))      # a mark after a letter is a pre-token
-        self.feed, = self._ids(["\n"])              # between characters that are no white space it is a pre-token
-        self.line = int(np.frombuffer(self.feed, "<u4")[0])
-        self.heads: dict[str, bytes] = {}           # parts that begin a text or a line
-        self.parts: dict[str, bytes] = {}           # parts after a space
-        self.odd: set[str] = set()                  # parts that white space touches: the spaces beside them are no cuts
-        self.held = 0
+        self.lead = len(self._ids([LEAD])[0]) // 4
+        self.known = self.known_ids = pa.array([], pa.large_binary())
+
+    @property
+    def heads(self) -> set[str]:
+        """The remembered pieces that do not begin with a space."""
+        return {w.decode() for w in self.known.to_pylist() if w[0] != SPACE}
+
+    @property
+    def parts(self) -> set[str]:
+        """The remembered pieces after a space."""
+        return {w[1:].decode() for w in self.known.to_pylist() if w[0] == SPACE}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _remember(self, into: dict[str, bytes], keys: list[str], values: list[bytes]) -> None:
-        into.update(zip(keys, values, strict=True))
-        self.held += len("".join(keys)) + len(b"".join(values)) + 150 * len(keys)
-
-    def _learn(self, heads: set[str], parts: set[str]) -> None:
-        if self.held > CACHE_BYTES:     # what these texts use again stays
-            kept = [{k: known[k] for k in keys if k in known} for known, keys in ((self.heads, heads), (self.parts, parts))]
-            self.heads, self.parts, self.odd, self.held = {}, {}, set(), 0
-            for into, some in zip((self.heads, self.parts), kept, strict=True):
-                self._remember(into, list(some), list(some.values()))
-        fresh = parts.difference(self.parts).difference(self.odd)
-        plain = list(fresh)
-        if "" in fresh or TOUCHED.search("\0".join(plain)):
-            plain = [p for p in fresh if p and p == p.strip()]
-            self.odd.update(fresh.difference(plain))
-        lined = {p: p.split("\n") for p in plain if "\n" in p}
-        if WIDE_LINE.search("\0".join(lined)):
-            lined = {p: q for p, q in lined.items() if not WIDE_LINE.search(p)}
-        heads = heads.union(chain.from_iterable(q[1:] for q in lined.values()))
-        words = set(plain).difference(lined).union([q[0] for q in lined.values()]).difference(self.parts)
-        marked = [p for p in words if p[-1] in self.marks and p[-2:-1] in LETTERS]
-        todo = list(words.difference(marked).union([p[:-1] for p in marked]).difference(self.parts))
-        for group, raw in self._together(todo, " ", " "):
-            at = (4 * np.flatnonzero(self.spaced[np.frombuffer(raw, "<u4")])).tolist() + [len(raw)]
-            self._remember(self.parts, group, [raw[a:b] for a, b in zip(at, at[1:], strict=False)])
-        self._remember(self.parts, marked, [self.parts[p[:-1]] + self.marks[p[-1]] for p in marked])
-        new = heads.difference(self.heads)
-        line = [h for h in new if h and h == h.strip() and "\n" not in h]
-        for group, raw in self._together(line, "", "\n"):
-            at = [-4, *(4 * np.flatnonzero(np.frombuffer(raw, "<u4") == self.line)).tolist(), len(raw)]
-            self._remember(self.heads, group, [raw[a + 4:b] for a, b in zip(at, at[1:], strict=False)])
-        rest = list(new.difference(line))
-        self._remember(self.heads, rest, self._ids(rest))
-        feed = self.feed
-        self._remember(self.parts, list(lined), [feed.join([self.parts[q[0]], *map(self.heads.__getitem__, q[1:])])
-                                                 for q in lined.values()])
-
-    def _together(self, keys: list[str], lead: str, between: str) -> list[tuple[list[str], bytes]]:
-        """Ids of many keys in one text, a pre-token's edge between any two."""
-        groups = [keys[i:i + GROUP] for i in range(0, len(keys), GROUP)]
-        return list(zip(groups, self._ids([lead + between.join(g) for g in groups]), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        if not texts:
-            return []
-        cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
-        at = cut.offsets.to_numpy()
-        coded = cut.values.dictionary_encode()
-        words, code = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
-        first = at[:-1]
-        after = np.ones(len(code), bool)            # a part after a space
-        after[first] = False
-        heads = np.unique(code[first])
-        seen = np.zeros(len(words), bool)
-        seen[code[after]] = True
-        self._learn({words[k] for k in heads.tolist()}, set(compress(words, seen.tolist())))
-        wide = np.array([words[k][-1:].isspace() for k in heads.tolist()])
-        odd = np.zeros(len(words), bool)
-        if not self.odd.isdisjoint(words):
-            odd[[k for k, w in enumerate(words) if w in self.odd]] = True
-        head = np.searchsorted(heads, code[first])
-        loose = (np.diff(at) > 1) & (wide[head] | np.logical_or.reduceat(odd[code] & after, first))
-        known = pa.array([*map(self.parts.get, words), *(self.heads[words[k]] for k in heads.tolist())],
-                         pa.large_binary())         # the heads' ids behind those of the parts
-        entry = code.astype(np.int64)
-        entry[first] = len(words) + head
-        found = known.take(pa.array(entry))
-        _, edges, data = found.buffers()
-        edges = np.frombuffer(edges, np.int64)[found.offset:found.offset + len(found) + 1][at].tolist()
-        raw = memoryview(data or b"")
-        out = [bytes(raw[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
-        again = {i: GAP.split(texts[i]) for i in np.flatnonzero(loose).tolist()}
-        for into, lead, keys in ((self.heads, "", {c[0] for c in again.values()}),
-                                 (self.parts, " ", set(chain.from_iterable(c[1:] for c in again.values())))):
-            new = list(keys.difference(into))
-            self._remember(into, new, self._ids([lead + k for k in new]))
-        for i, (head, *rest) in again.items():
-            out[i] = self.heads[head] + b"".join(map(self.parts.__getitem__, rest))
-        return out
+    def _together(self, pieces: pa.Array, lead: str = "") -> pa.Array:
+        """Ids of pieces that begin with their only space, or with a mark (behind ``lead``), and end in no white space."""
+        if lead:
+            words = pieces.to_pylist()
+            texts = [lead + lead.join(w.decode() for w in words[i:i + GROUP]) for i in range(0, len(words), GROUP)]
+        else:
+            raw, off = T.string_bytes(pieces)
+            at, data = [*off[:-1:GROUP].tolist(), len(raw)], raw.tobytes()
+            texts = [data[a:b].decode() for a, b in zip(at, at[1:], strict=False)]
+        ids = np.frombuffer(b"".join(self._ids(texts)), "<u4")
+        at = np.flatnonzero(self.spaced[ids])
+        if len(at) != len(pieces):
+            raise RuntimeError("the pieces of a text are not the model's")
+        if lead:
+            ids = np.delete(ids, (at[:, None] + np.arange(self.lead)).ravel())
+            at = at - self.lead * np.arange(len(at))
+        return _binary(4 * np.append(at, len(ids)), ids.tobytes())
+
+    def _learn(self, pieces: pa.Array) -> pa.Array:
+        """Ids of distinct pieces."""
+        raw, off = T.string_bytes(pieces)
+        gap = np.flatnonzero(raw == SPACE)
+        owner = np.searchsorted(off, gap, "right") - 1
+        single = np.ones(len(pieces), bool)         # no space but the first byte, no white space at the end
+        single[owner[gap > off[owner]]] = False
+        single &= _seen_before(raw, off[1:])
+        first = raw[off[:-1]]
+        kind = np.where(single & (first == SPACE), 0, np.where(single & MARK[first], 1, 2))
+        spaced, marked, rest = (pieces.take(pa.array(np.flatnonzero(kind == k))) for k in range(3))
+        out = [self._together(spaced) if len(spaced) else spaced, self._together(marked, LEAD) if len(marked) else marked,
+               pa.array(self._ids([w.decode() for w in rest.to_pylist()]) if len(rest) else [], pa.large_binary())]
+        place = np.empty(len(kind), np.int64)
+        place[np.argsort(kind, kind="stable")] = np.arange(len(kind))
+        return pa.concat_arrays(out).take(pa.array(place))
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """Ids of each text (null: the empty text) as little-endian unsigned 32-bit integers."""
+        raw, off = T.string_bytes(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts)
+        if not len(raw):
+            return [b""] * (len(off) - 1)
+        starts = piece_starts(raw, off)
+        coded = _binary(np.append(starts, len(raw)), raw).dictionary_encode()
+        pieces = coded.dictionary
+        at = pc.index_in(pieces, value_set=self.known)
+        fresh = pieces.filter(at.is_null())
+        fresh_ids = self._learn(fresh) if len(fresh) else fresh
+        new = at.is_null().to_numpy(zero_copy_only=False)
+        where = at.fill_null(0).to_numpy().astype(np.int64)
+        where[new] = len(self.known) + np.arange(len(fresh))
+        known, ids = pa.concat_arrays([self.known, fresh]), pa.concat_arrays([self.known_ids, fresh_ids])
+        use = ids.take(pa.array(where))
+        if known.nbytes + ids.nbytes > CACHE_BYTES:
+            known, ids = pieces, use
+        self.known, self.known_ids = known, ids
+        data, edges = T.string_bytes(use.take(coded.indices))
+        at, view = edges[np.searchsorted(starts, off)].tolist(), memoryview(data)
+        return [bytes(view[a:b]) for a, b in zip(at, at[1:], strict=False)]
 
     def sentence_ends(self, ids: np.ndarray) -> np.ndarray:
         """Places after which a new sentence or line begins."""
@@ -174,48 +202,50 @@ def window_cuts(places: np.ndarray, penalties: np.ndarray, window: int = WINDOW,
     ``places`` are the ascending ends of sentences and documents and
     ``penalties`` the cost of a cut there.
     """
-    slack, ends = inside - sentence, places.tolist()
-    last = ends[-1]
-
-    # whether a full window from a cut ends inside a sentence with no other end near
+    slack, last = inside - sentence, int(places[-1])
     upto = np.zeros(last + 1, np.int64)
     upto[places] = 1
+    edge = upto.astype(bool)            # where a window can begin or end
+    edge[0] = True
     np.cumsum(upto, out=upto)
-    to = np.arange(window, max(window, last))
-    lacks = (upto[to] == upto[np.maximum(to - slack - 1, 0)]).tobytes() + bytes(min(window, last) + 1)
+    # a full window from an edge ends inside a sentence with no other end near: an edge, too
+    to = np.arange(window, last)
+    lacks = upto[to] == upto[np.maximum(to - slack - 1, 0)]
+    for at in range(0, len(lacks), window):
+        some = lacks[at:at + window]
+        edge[at + window:at + window + len(some)] |= edge[at:at + len(some)] & some
+    ends = np.flatnonzero(edge)[1:]
+    more = np.full(last + 1, inside + each)
+    more[places] = penalties + each
+    reach = [1 << k for k in range(window.bit_length()) if shortest <= 1 << k < window]
+    power = np.zeros(len(ends), bool)   # whether a window as long as a power of two can end here
+    for n in reach:
+        power |= (ends >= n) & edge[np.maximum(ends - n, 0)]
     # by place + window, so that places before the block read as out of reach
     far = 1 << 30
     cost, back = array("i", [far]) * (last + window + 1), array("i", [0]) * (last + 1)
     cost[window] = 0
-    offsets = [window - (1 << k) for k in range(window.bit_length()) if shortest <= 1 << k < window]
-    bits = last.bit_length()
-    on, queue = (1 << bits) - 1, deque([0])         # cuts in reach as cost + place and, in the low bits, place; both ascending
-    full: deque[int] = deque([window] if lacks[0] else [])      # ends of full windows inside a sentence
-    for place, penalty in zip(ends, (penalties + each).tolist(), strict=True):
-        here = -1
-        while here < place:
-            if full and full[0] < place:
-                here, more = full.popleft(), inside + each
-            else:
-                here, more = place, penalty
-                if full and full[0] == place:
-                    full.popleft()
-            while queue[0] & on < here - window:
-                queue.popleft()
-            best = queue[0]
-            start, least = best & on, (best >> bits) + window - here
+    offsets = [window - n for n in reach]
+    least_of, place_of = deque([0]), deque([0])     # of the cuts in reach: cost + place, and place; both ascending
+    for here, extra, short in zip(ends.tolist(), more[ends].tolist(), power.tolist(), strict=True):
+        floor = here - window
+        while (start := place_of[0]) < floor:
+            place_of.popleft()
+            least_of.popleft()
+        least = least_of[0] - floor
+        if short:
             for offset in offsets:
                 c = cost[here + offset]
                 if c < least:
                     start, least = here + offset - window, c
-            cost[here + window] = least = least + more
-            back[here] = start
-            key = least + here << bits
-            while queue and queue[-1] >= key:
-                queue.pop()
-            queue.append(key | here)
-            if lacks[here]:
-                full.append(here + window)
+        cost[here + window] = least = least + extra
+        back[here] = start
+        key = least + here
+        while least_of and least_of[-1] >= key:
+            least_of.pop()
+            place_of.pop()
+        least_of.append(key)
+        place_of.append(here)
     cuts = [last]
     while back[cuts[-1]]:
         cuts.append(back[cuts[-1]])
@@ -272,7 +302,7 @@ def packed(docs: DataFrame, spec_file: str, window: int = WINDOW, id_col: str =
             if encoder is None:
                 encoder = _encoders.get(spec.value) or _encoders.setdefault(spec.value, Encoder(spec.value))
             for part in T.slices(batch, "text", SLICE):
-                coded = [x + CLOSING for x in encoder.encode([t or "" for t in part.column("text").to_pylist()])]
+                coded = [x + CLOSING for x in encoder.encode(part.column("text"))]
                 low = 0
                 for i, x in enumerate(coded):
                     ids.append(x)

@@ -39,6 +39,19 @@ def test_any_character_beside_a_space(encoder):
     assert encoder.encode(texts) == library(encoder, texts)
 
 
+def test_any_character_beside_a_mark(encoder):
+    texts = [f"a{c}. {c}'s é{c}, .{c} ({c}" for c in map(chr, range(0x3100)) if not 0xD800 <= ord(c) < 0xE000]
+    assert encoder.encode(texts) == library(encoder, texts)
+
+
+def test_a_word_is_asked_for_once_whatever_follows_it(encoder, monkeypatch):
+    asked, ids = [], encoder._ids
+    monkeypatch.setattr(encoder, "_ids", lambda keys: asked.extend(keys) or ids(keys))
+    texts = ["a flurm### flurm flurm, flurm.\nThe flurm&&& (flurm)", "a flurm; flurm's"]
+    assert encoder.encode(texts) == library(encoder, texts)
+    assert sum(t.count(" flurm") for t in asked) == 1
+
+
 def test_forgetting_changes_nothing(encoder, monkeypatch):
     monkeypatch.setattr(K, "CACHE_BYTES", 500)
     for texts in (["one two three", "four  five six"], ["seven two", "four  five"], ["one two three"]):
