@@ -22,6 +22,11 @@ least hessian sum of a node, and a leaf's value is −G / (H + l2).
   once ``patience`` rounds bring nothing better.
 * Several models of one table (subsets of its features) grow side by side: a pass
   serves the level of all their trees.
+* A model whose places of all rows take at most ``ALONE`` bytes is grown by one
+  task, to which a shuffle brings them: the same rounds, sums and stopping,
+  without a Spark job for every level.  A place's most frequent bin is not summed
+  there but has what the others leave of the node, and of two children the one
+  with more rows has what the other leaves of their parent.
 
 Margins are brought up to date every ``CHUNK`` rounds in a checkpointed copy of
 the blocks and the older copy is removed, so a pass walks at most ``CHUNK`` trees
@@ -57,6 +62,9 @@ CELLS = 1 << 22     # values in a block
 PIECE = 64          # features whose sums travel together
 DIRECT = 1 << 26    # bytes of all tasks' sums that are added on the driver
 SAME_GAIN = 1e-9    # gains this near (relatively) are the same
+ALONE = 1 << 29     # bytes of a model's bins and entries that one task holds at most
+ENTRIES = 1 << 16   # entries that one task adds up at once
+FEW = 1024          # rows whose sums are added for a whole piece at once
 
 
 @dataclass(frozen=True)
@@ -435,29 +443,43 @@ def _histograms(blocks, work: dict) -> Iterator[tuple]:
                 some, slot, g, h = codes[:, here], slot[here], g[here], h[here]
             add((k, -1), np.stack([np.bincount(slot, x, count) for x in (g, h)]))
             for i, (places, bins) in enumerate(pieces):
-                at = some[places].astype(np.intp) + (slot * bins + (np.arange(len(places)) * count * bins)[:, None])
-                at, size = at.ravel(), len(places) * count * bins
-                add((k, i), np.stack([np.bincount(at, np.tile(x, len(places)), size) for x in (g, h)]))
+                add((k, i), _sums(some, places, bins, slot, count, g, h))
     return iter(sums.items())
 
 
+def _sums(codes: np.ndarray, places: list[int], bins: int, slot: np.ndarray, count: int, g: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """G and H of rows whose nodes are ``slot``, by place, node and bin."""
+    if len(slot) <= FEW:
+        at = codes[places].astype(np.intp) + (slot * bins + (np.arange(len(places)) * count * bins)[:, None])
+        at, size = at.ravel(), len(places) * count * bins
+        return np.stack([np.bincount(at, np.tile(x, len(places)), size) for x in (g, h)])
+    out, first = np.empty((2, len(places), count * bins)), slot * bins
+    for i, p in enumerate(places):
+        at = first + codes[p]
+        out[0, i], out[1, i] = np.bincount(at, g, count * bins), np.bincount(at, h, count * bins)
+    return out.reshape(2, -1)
+
+
 def _best(sums: np.ndarray, places: list[int], bins: int, least: float) -> list[tuple | None]:
     """For each open node the piece's best split, (gain, place, cut, GL, HL, GR, HR), or none."""
     g, h = np.cumsum(sums.reshape(2, len(places), -1, bins), axis=3)
     gl, hl, gr, hr = g[..., :-1], h[..., :-1], g[..., -1:] - g[..., :-1], h[..., -1:] - h[..., :-1]
-    low = least * (1 - 1e-9)
+    low = max(least * (1 - 1e-9), np.finfo(float).smallest_subnormal)      # and over 0
     with np.errstate(divide="ignore", invalid="ignore"):
         apart = gl * gl / hl + gr * gr / hr
         gain = apart - g[..., -1:] ** 2 / h[..., -1:]
-        good = (hl > 0) & (hr > 0) & (hl >= low) & (hr >= low) & (gain > 1e-10 * apart) & (gain > 1e-14 * h[..., -1:])
+        good = (hl >= low) & (hr >= low) & (gain > 1e-10 * apart) & (gain > 1e-14 * h[..., -1:])
     gain = np.where(good, gain, 0.0)
     found = []
     for n, most in enumerate(gain.max(axis=(0, 2)).tolist()):
+        if not most > 0:
+            found.append(None)
+            continue
         near = gain[:, n] >= most * (1 - SAME_GAIN)
         p = min(np.flatnonzero(near.any(axis=1)).tolist(), key=places.__getitem__)
         c = int(np.argmax(near[p]))
         at = p, n, c
-        found.append((float(gain[at]), places[p], c, *(float(x[at]) for x in (gl, hl, gr, hr))) if most > 0 else None)
+        found.append((float(gain[at]), places[p], c, *(float(x[at]) for x in (gl, hl, gr, hr))))
     return found
 
 
@@ -481,6 +503,54 @@ class _Growth:
     share: float = 0.0
     pieces: list[tuple[list[int], list[int], int]] = field(default_factory=list)    # places, those in the blocks, most bins
 
+    def begin(self, thresholds, columns: float, seed: int) -> None:
+        """The next round's draw and its pieces."""
+        features = self.model.features
+        drawn = features.drawn(columns, seed, len(self.model.trees))
+        usable = sorted((len(thresholds[b]) + 1, p, b) for p, (b, c) in enumerate(
+            zip(self.places, features.columns, strict=True)) if c in drawn and len(thresholds[b]))
+        pieces: list[list] = []         # of places with like numbers of bins
+        for x in usable:
+            if not pieces or len(pieces[-1]) == PIECE or x[0] > max(8, 2 * pieces[-1][0][0]):
+                pieces.append([])
+            pieces[-1].append(x)
+        self.pieces = [([p for _, p, _ in x], [b for _, _, b in x], x[-1][0]) for x in pieces]
+        self.model.draws.append(drawn)
+        self.tree, self.open = Tree(features=len(self.places)), [0]
+        self.tree.add(0.0, 0.0)
+
+    def weigh(self, g: float, h: float, min_child_weight: float) -> None:
+        """The sums of the root."""
+        self.tree.sums[0] = g, h
+        self.total = h
+        self.share = min_child_weight / h
+
+    @property
+    def least(self) -> float:
+        return min(self.share, 0.4999) * self.total
+
+    def split(self, found: list[list[tuple | None]], thresholds) -> list[int]:
+        """Splits the open nodes by the best of the pieces' splits; their children are open then.
+        Returns which of the open nodes were split."""
+        done, following, tree = [], [], self.tree
+        if self.share < 0.5:
+            for n, node in enumerate(self.open):
+                best = _first_best([piece[n] for piece in found])
+                if best:
+                    gain, place, cut, gl, hl, gr, hr = best
+                    tree.place[node], tree.cut[node], tree.gain[node] = place, cut, gain
+                    tree.threshold[node] = float(thresholds[self.places[place]][cut])
+                    tree.left[node], tree.right[node] = tree.add(gl, hl), tree.add(gr, hr)
+                    following += [tree.left[node], tree.right[node]]
+                    done.append(n)
+        self.open = following
+        return done
+
+    def end(self, rate: float, l2: float) -> None:
+        """The tree and its leaves' values join the model."""
+        self.model.trees.append(self.tree)
+        self.model.values.append([rate * g / (h + l2) for g, h in (self.tree.sums[n] for n in self.tree.leaves())])
+
 
 def _grow(state: RDD, growths: dict[int, _Growth], start: int, depth: int, min_child_weight: float, thresholds) -> None:
     """The round's tree of every model, level by level; ``start``: rounds that the margins hold."""
@@ -488,10 +558,8 @@ def _grow(state: RDD, growths: dict[int, _Growth], start: int, depth: int, min_c
     for k, m in growths.items():
         since = Boosted(m.model.features, m.model.trees[start:], m.model.values[start:])
         walks[k] = since.walks(m.places, True)
-        m.tree, m.open = Tree(features=len(m.places)), [0]
-        m.tree.add(0.0, 0.0)
     for level in range(max(1, depth)):
-        work, shapes, least, bytes_ = {}, {}, {}, 0
+        work, shapes, bytes_ = {}, {}, 0
         for k, m in growths.items():
             if not m.open:
                 continue
@@ -517,10 +585,8 @@ def _grow(state: RDD, growths: dict[int, _Growth], start: int, depth: int, min_c
         for k in work:
             m = growths[k]
             if level == 0:
-                m.tree.sums[0] = tuple(nodes[k][:, 0].tolist())
-                m.total = m.tree.sums[0][1]
-                m.share = min_child_weight / m.total
-            least[k] = min(m.share, 0.4999) * m.total
+                m.weigh(*nodes[k][:, 0].tolist(), min_child_weight)
+        least = {k: growths[k].least for k in work}
         if pieces is None:
             found = dict(merged.filter(lambda kv: kv[0][1] >= 0).map(
                 lambda kv: (kv[0], _best(kv[1], *shapes[kv[0][0]][kv[0][1]], least[kv[0][0]]))).collect())
@@ -528,35 +594,58 @@ def _grow(state: RDD, growths: dict[int, _Growth], start: int, depth: int, min_c
         else:
             found = {(k, i): _best(x, *shapes[k][i], least[k]) for (k, i), x in pieces.items()}
         for k in work:
-            m, following = growths[k], []
-            if depth and m.share < 0.5:
-                for n, node in enumerate(m.open):
-                    best = _first_best([found[k, i][n] for i in range(len(m.pieces))])
-                    if best:
-                        gain, place, cut, gl, hl, gr, hr = best
-                        tree = m.tree
-                        tree.place[node], tree.cut[node], tree.gain[node] = place, cut, gain
-                        tree.threshold[node] = float(thresholds[m.places[place]][cut])
-                        tree.left[node], tree.right[node] = tree.add(gl, hl), tree.add(gr, hr)
-                        following += [tree.left[node], tree.right[node]]
-            m.open = following
+            growths[k].split([found[k, i] for i in range(len(shapes[k]))], thresholds)
 
 
 def fit_all(train: DataFrame, cols, subsets, label: str = "label", rounds: int = 100, depth: int = 3, rate: float = 0.1,
             min_child_weight: float = 1.0, l2: float = 1.0, pos_weight: float = 1.0, columns: float = 1.0,
             validation: Column | None = None, patience: int | None = None, bins: int = 256, seed: int = 0) -> list[Boosted]:
     """One model for each of ``subsets`` of the features ``cols``, as ``fit_boosted`` fits it, side by side."""
-    spark = train.sparkSession
     data = binned(train, cols, label, pos_weight, validation, bins)
-    growths = {}
-    for k, subset in enumerate(subsets):
+    models = fit_binned(train.sparkSession, data, subsets, rounds, depth, rate, min_child_weight, l2, columns, patience, seed)
+    remove_binned(train.sparkSession, data)
+    return models
+
+
+def remove_binned(spark: SparkSession, data: Binned) -> None:
+    _remove(spark, data.path)
+
+
+def fit_binned(spark: SparkSession, data: Binned, subsets, rounds: int = 100, depth: int = 3, rate: float = 0.1,
+               min_child_weight: float = 1.0, l2: float = 1.0, columns: float = 1.0, patience: int | None = None,
+               seed: int = 0) -> list[Boosted]:
+    """``fit_all`` on a table's blocks, which stay."""
+    growths = []
+    for subset in subsets:
         twice = set(subset).intersection(data.features.two_sided)
         spec = Features(tuple(subset), tuple(c for c in data.features.two_sided if c in twice))
-        growths[k] = _Growth(Boosted(spec), data.places(subset), stop=not data.fitted)
-    count, everything = len(growths), data.features
-    spread = spark.read.schema(BLOCK).parquet(data.path)
-    spread = spread.repartition(max(1, min(spread.count(), spark.sparkContext.defaultParallelism)))
-    wide = len(everything.columns)
+        growths.append(_Growth(Boosted(spec), data.places(subset), stop=not data.fitted))
+    blocks = spark.read.schema(BLOCK).parquet(data.path)
+    size = blocks.agg(F.count(F.lit(1)).alias("blocks"), F.sum("n").alias("n")).first()
+    small = [((size.n or 0) + 8 * data.fitted) * len(m.places) <= ALONE for m in growths]
+    alone, apart = ([m for m, one in zip(growths, small, strict=True) if one is flag] for flag in (True, False))
+    options = dict(rounds=rounds, depth=depth, rate=rate, min_child_weight=min_child_weight, l2=l2, columns=columns,
+                   patience=patience, seed=seed)
+    if data.fitted and alone:
+        _fit_alone(blocks, data, alone, **options)
+    if data.fitted and apart:
+        _fit_apart(spark, blocks.repartition(max(1, min(size.blocks, spark.sparkContext.defaultParallelism))), data, apart, **options)
+    models = []
+    for m in growths:
+        model = m.model
+        model.rounds_run = len(model.trees)
+        if patience is not None and model.trees:
+            best, stopped = best_round(model.aucs, patience)
+            model.rounds_run = min(best + patience, model.rounds_run) if stopped else model.rounds_run
+            model = model.cut(best)
+        models.append(model)
+    return models
+
+
+def _fit_apart(spark: SparkSession, spread: DataFrame, data: Binned, models: list[_Growth], rounds: int, depth: int, rate: float,
+               min_child_weight: float, l2: float, columns: float, patience: int | None, seed: int) -> None:
+    """Grows the models level by level in passes over the blocks that ``spread`` deals out."""
+    count, wide, growths = len(models), len(data.features.columns), dict(enumerate(models))
     state = spread.rdd.map(lambda r: (r.held, np.frombuffer(r.bins, np.uint8).reshape(wide, r.n), np.frombuffer(r.y),
                                       np.frombuffer(r.w), np.zeros((count, r.n)))).persist(StorageLevel.MEMORY_AND_DISK)
     start, written = 0, None
@@ -566,19 +655,13 @@ def fit_all(train: DataFrame, cols, subsets, label: str = "label", rounds: int =
             break
         done = len(next(iter(active.values())).model.trees)
         if done - start == CHUNK:
-            state, written = _brought_up(state, growths, start, written)
+            state, written = _brought_up(spark, state, growths, start, written)
             start = done
         for m in active.values():
-            drawn = m.model.features.drawn(columns, seed, done)
-            usable = sorted((len(data.thresholds[b]) + 1, p, b) for p, (b, c) in enumerate(
-                zip(m.places, m.model.features.columns, strict=True)) if c in drawn and len(data.thresholds[b]))
-            pieces = [usable[i:i + PIECE] for i in range(0, len(usable), PIECE)]       # of places with like numbers of bins
-            m.pieces = [([p for _, p, _ in x], [b for _, _, b in x], x[-1][0]) for x in pieces]
-            m.model.draws.append(drawn)
+            m.begin(data.thresholds, columns, seed)
         _grow(state, active, start, depth, min_child_weight, data.thresholds)
         for m in active.values():
-            m.model.trees.append(m.tree)
-            m.model.values.append([rate * g / (h + l2) for g, h in (m.tree.sums[n] for n in m.tree.leaves())])
+            m.end(rate, l2)
         done += 1
         due = {k: m for k, m in active.items() if done - start == CHUNK or done in (rounds, m.last)}
         if patience is not None and due:
@@ -588,19 +671,169 @@ def fit_all(train: DataFrame, cols, subsets, label: str = "label", rounds: int =
                 best, m.stop = best_round(m.model.aucs, patience)
                 m.last = best + patience        # the first round that can end the fit
     state.unpersist()
-    for path in (data.path, written):
-        if path:
-            _remove(spark, path)
-    models = []
-    for m in growths.values():
-        model = m.model
-        model.rounds_run = len(model.trees)
-        if patience is not None and model.trees:
-            best, stopped = best_round(model.aucs, patience)
-            model.rounds_run = min(best + patience, model.rounds_run) if stopped else model.rounds_run
-            model = model.cut(best)
-        models.append(model)
-    return models
+    if written:
+        _remove(spark, written)
+
+
+# ---- models that one task grows ------------------------------------------------------------------------
+
+def _fit_alone(blocks: DataFrame, data: Binned, models: list[_Growth], **options) -> None:
+    """Grows each model in a task of its own; what reaches the driver are trees, leaf values and AUCs."""
+    wide, wanted = len(data.features.columns), [m.places for m in models]
+    specs = [m.model.features for m in models]
+    thresholds = [[data.thresholds[b] for b in places] for places in wanted]
+
+    def deal(r) -> Iterator[tuple]:
+        codes = np.frombuffer(r.bins, np.uint8).reshape(wide, r.n)
+        for k, places in enumerate(wanted):
+            yield k, (r.held, codes[places].tobytes(), r.n, bytes(r.y), bytes(r.w))
+
+    def fit(pairs: Iterator[tuple]) -> Iterator[tuple]:
+        mine: dict[int, list] = {}
+        for k, block in pairs:
+            mine.setdefault(k, []).append(block)
+        for k in sorted(mine):
+            yield k, _grown(specs[k], mine.pop(k), thresholds[k], **options)
+
+    for k, model in blocks.rdd.flatMap(deal).partitionBy(len(models), int).mapPartitions(fit).collect():
+        models[k].model = model
+
+
+def _grown(spec: Features, blocks: list[tuple], thresholds: list[np.ndarray], rounds: int, depth: int, rate: float,
+           min_child_weight: float, l2: float, columns: float, patience: int | None, seed: int) -> Boosted:
+    """The model of ``blocks`` (held, bins of its places, rows, y, w), which may come in any order."""
+    blocks.sort()
+    m, wide = _Growth(Boosted(spec), list(range(len(spec.columns)))), len(spec.columns)
+
+    def rows(flag: bool) -> tuple:
+        some = [b for b in blocks if b[0] == flag]
+        codes = [np.frombuffer(c, np.uint8).reshape(wide, n) for _, c, n, _, _ in some]
+        return (np.concatenate(codes, axis=1) if codes else np.zeros((wide, 0), np.uint8),
+                *(np.frombuffer(b"".join(b[i] for b in some)) for i in (3, 4)))
+
+    (codes, y, w), (held, truth, _) = rows(False), rows(True)
+    blocks.clear()
+    entries = _Entries(codes, [len(t) + 1 for t in thresholds])
+    margin, held_margin = np.zeros(len(y)), np.zeros(len(truth))
+    while not m.stop and len(m.model.trees) < rounds:
+        m.begin(thresholds, columns, seed)
+        p = _sigmoid(margin)
+        parts = _grow_alone(m, entries, w * (y - p), w * np.maximum(p * (1 - p), LEAST_HESSIAN), depth, min_child_weight, thresholds)
+        m.end(rate, l2)
+        for leaf, value in zip(m.tree.leaves(), m.model.values[-1], strict=True):
+            margin[parts[leaf]] += value
+        if patience is not None:
+            held_margin = _margin(held, [_arrays(m.tree, None, True, m.model.values[-1])], held_margin)
+            m.model.aucs.append(_auc(held_margin, truth == 1))
+            m.stop = best_round(m.model.aucs, patience)[1]
+    return m.model
+
+
+class _Entries:
+    """Rows to train on as their bins' numbers (over all places), without each place's most frequent bin; in order of the
+    rows, and the rows in order of the bins."""
+
+    def __init__(self, codes: np.ndarray, bins: list[int]) -> None:
+        wide, n = codes.shape
+        self.codes, self.bins = codes, np.array(bins, np.int64)
+        self.first = np.cumsum(self.bins) - self.bins
+        self.size = int(self.bins.sum())
+        counts = [np.bincount(c, minlength=b) for c, b in zip(codes, bins, strict=True)]
+        self.frequent = np.array([int(c.argmax()) for c in counts], np.int64)
+        total = sum(int(c.sum() - c.max()) for c in counts)
+        # by bin: pieces of whole bins, each with its rows and where its bins begin
+        self.by_bin, rows, ends, numbers, size = [], [], [], [], 0
+        for p, count in enumerate(counts):
+            order, upto = np.argsort(codes[p], kind="stable").astype(np.int32), np.cumsum(count)
+            for b in np.flatnonzero(count).tolist():
+                if b != self.frequent[p]:
+                    rows.append(order[upto[b] - count[b]:upto[b]])
+                    numbers.append(int(self.first[p]) + b)
+                    ends.append(size)
+                    size += int(count[b])
+            if size >= ENTRIES or (size and p + 1 == wide):
+                self.by_bin.append((np.concatenate(rows), np.array(ends), np.array(numbers)))
+                rows, ends, numbers, size = [], [], [], 0
+        # by row
+        self.numbers, self.count, size = np.empty(total, np.int32), np.zeros(n, np.int64), 0
+        step = max(1, CELLS // max(1, wide))
+        for lo in range(0, n, step):
+            some = codes[:, lo:lo + step].T
+            row, place = np.nonzero(some != self.frequent)
+            self.count[lo:lo + step] = np.bincount(row, minlength=len(some))
+            self.numbers[size:size + len(row)] = self.first[place] + some[row, place]
+            size += len(row)
+        self.begin = np.cumsum(self.count) - self.count
+
+    def root(self, g: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """G and H of all rows by bin, with an empty one behind."""
+        out = np.zeros((2, 1, self.size + 1))
+        both = g + 1j * h       # one look-up a row
+        for rows, begin, numbers in self.by_bin:
+            found = np.add.reduceat(both.take(rows, mode="clip"), begin)
+            out[0, 0, numbers], out[1, 0, numbers] = found.real, found.imag
+        return self._completed(out, np.array([[[g.sum()]], [[h.sum()]]]))
+
+    def sums(self, parts: list[np.ndarray], g: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """G and H by part of the rows and bin, with an empty one behind."""
+        out, totals = np.zeros((2, len(parts), self.size + 1)), np.zeros((2, len(parts), 1))
+        rows, slot = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+        for i, x in enumerate((g, h)):
+            totals[i, :, 0] = np.bincount(slot, x[rows], len(parts))
+        flat, upto = out.reshape(2, -1), np.cumsum(self.count[rows])
+        cuts = np.searchsorted(upto, np.arange(0, upto[-1] if len(upto) else 0, 4 * ENTRIES)[1:]).tolist()
+        for lo, hi in zip([0, *cuts], [*cuts, len(rows)], strict=True):
+            some, count = rows[lo:hi], self.count[rows[lo:hi]]
+            if count.any():
+                ends = np.cumsum(count)
+                at = np.arange(ends[-1]) + np.repeat(self.begin[some] - (ends - count), count)
+                at = self.numbers[at] + np.repeat(slot[lo:hi] * (self.size + 1), count)
+                for i, x in enumerate((g, h)):
+                    flat[i] += np.bincount(at, np.repeat(x[some], count), flat.shape[1])
+        return self._completed(out, totals)
+
+    def _completed(self, out: np.ndarray, totals: np.ndarray) -> np.ndarray:
+        """With the sums of the most frequent bins: what the others leave of the nodes' ``totals``."""
+        if len(self.first):
+            out[:, :, self.first + self.frequent] = totals - np.add.reduceat(out[:, :, :-1], self.first, axis=2)
+        return out
+
+    def piece(self, places: list[int], bins: int) -> np.ndarray:
+        """Numbers of the bins of each place, and of the empty one where it has fewer than ``bins``."""
+        b = np.arange(bins)
+        return np.where(b < self.bins[places][:, None], self.first[places][:, None] + b, self.size)
+
+
+def _grow_alone(m: _Growth, entries: _Entries, g: np.ndarray, h: np.ndarray, depth: int, min_child_weight: float,
+                thresholds) -> dict[int, np.ndarray]:
+    """The round's tree on rows that one task holds; returns the rows of each leaf."""
+    m.weigh(float(g.sum()), float(h.sum()), min_child_weight)
+    tree, parts, sums = m.tree, {0: np.arange(len(g))}, entries.root(g, h)
+    pieces = [(places, bins, entries.piece(places, bins)) for places, _, bins in m.pieces]
+    for level in range(depth):
+        before = m.open
+        done = m.split([_best(sums[:, :, at].transpose(0, 2, 1, 3), places, bins, m.least) for places, bins, at in pieces], thresholds)
+        if not done:
+            break
+        for node in (before[n] for n in done):
+            rows = parts.pop(node)
+            low = entries.codes[tree.place[node]][rows] <= tree.cut[node]
+            parts[tree.left[node]], parts[tree.right[node]] = rows[low], rows[~low]
+        if level + 1 < depth:
+            fewer = np.array([2 * i + int(len(parts[m.open[2 * i + 1]]) < len(parts[m.open[2 * i]])) for i in range(len(done))])
+            both = np.empty((2, len(m.open), sums.shape[2]))
+            both[:, fewer] = entries.sums([parts[m.open[i]] for i in fewer], g, h)
+            both[:, fewer ^ 1] = sums[:, done] - both[:, fewer]
+            sums = both
+    return parts
+
+
+def _auc(score: np.ndarray, positive: np.ndarray) -> float:
+    """Area under the ROC curve as ``auc_by`` has it; 0.5 without both classes."""
+    values, at = np.unique(score, return_inverse=True)
+    yes, no = (np.bincount(at, x, len(values)) for x in (positive, ~positive))
+    pairs = yes.sum() * no.sum()
+    return float((yes * (np.cumsum(no) - no + no / 2)).sum() / pairs) if pairs else 0.5
 
 
 def fit_boosted(train: DataFrame, cols, label: str = "label", rounds: int = 100, depth: int = 3, rate: float = 0.1,
@@ -618,7 +851,7 @@ def fit_boosted(train: DataFrame, cols, label: str = "label", rounds: int = 100,
                    patience, bins, seed)[0]
 
 
-def _brought_up(state: RDD, growths: dict[int, _Growth], start: int, before: str | None) -> tuple[RDD, str]:
+def _brought_up(spark: SparkSession, state: RDD, growths: dict[int, _Growth], start: int, before: str | None) -> tuple[RDD, str]:
     """The blocks with their margins after all rounds, checkpointed; the copy before is removed."""
     walks = {k: Boosted(m.model.features, m.model.trees[start:], m.model.values[start:]).walks(m.places, True)
              for k, m in growths.items() if not m.stop}
@@ -628,7 +861,6 @@ def _brought_up(state: RDD, growths: dict[int, _Growth], start: int, before: str
         return held, codes, y, w, np.stack([_margin(codes, walks.get(k, []), x) for k, x in enumerate(margins)])
 
     after = state.map(run).persist(StorageLevel.MEMORY_AND_DISK)
-    spark = SparkSession.active()
     checkpoint_dir(spark)
     after.checkpoint()
     after.count()

@@ -12,14 +12,15 @@ them to either side; for M5 they are filled first (``impute_mean``, ``prepare``)
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shopcast.operators.boosting import Boosted, fit_all, fit_boosted, predict_all
+from shopcast.operators.boosting import Boosted, binned, fit_all, fit_binned, fit_boosted, predict_all, remove_binned
 from shopcast.operators.sampling import split_bucket
 from shopcast.sources.files import staged
 
@@ -120,8 +121,18 @@ def fit_all_stopped(train: DataFrame, cols, subsets, label: str = "label", max_i
                     step: float = 0.05, columns: float = 0.8, patience: int = 50, seed: int = 0,
                     keys=("user_id", "sku_id")) -> list[Boosted]:
     """``fit_stopped`` for each of ``subsets`` of the features ``cols``."""
-    return fit_all(train, cols, subsets, label, rounds=max_iter, depth=max_depth, rate=step, min_child_weight=1, columns=columns,
-                   validation=split_bucket(seed, list(keys)) == 0, patience=patience, seed=seed)
+    return fit_all(train, cols, subsets, label, validation=_held(seed, keys),
+                   **_stopped(max_iter, max_depth, step, columns, patience, seed))
+
+
+def _held(seed: int, keys) -> Column:
+    """M3: the stable 20 % of the rows."""
+    return split_bucket(seed, list(keys)) == 0
+
+
+def _stopped(max_iter: int, max_depth: int, step: float, columns: float, patience: int, seed: int) -> dict:
+    """M7 / M8 as options of ``boosting``."""
+    return dict(rounds=max_iter, depth=max_depth, rate=step, min_child_weight=1, columns=columns, patience=patience, seed=seed)
 
 
 def importance_partition(model: Boosted, spark) -> tuple[list[str], list[str]]:
@@ -143,11 +154,12 @@ def fit_ensemble(train: DataFrame, cols, label: str = "label", weights=(0.3,) +
     """M8: model 0 on the important features (weight 0.3) and 10 models on
     seeded random 40 % subsets of the other features (0.07 each).  The
     independent fits grow side by side, ``parallelism`` at a time: one pass
-    serves a level of all of them."""
-    cols = list(cols)
-    options = dict(label=label, max_iter=max_iter, max_depth=max_depth, step=step, columns=columns, patience=patience, seed=seed,
-                   keys=keys)
-    important, trivial = importance_partition(fit_stopped(train, cols, **options), train.sparkSession)
+    serves a level of all of them, or a task each.  All fits, also that
+    of M7, read the same blocks."""
+    cols, spark = list(cols), train.sparkSession
+    options = _stopped(max_iter, max_depth, step, columns, patience, seed)
+    data = binned(train, cols, label, 1.0, _held(seed, keys), 256)
+    important, trivial = importance_partition(fit_binned(spark, data, [cols], **options)[0], spark)
     rng = random.Random(seed)
     subsets = []
     for i in range(len(weights)):
@@ -157,7 +169,8 @@ def fit_ensemble(train: DataFrame, cols, label: str = "label", weights=(0.3,) +
             k = max(1, int(len(trivial) * frac))
             subsets.append(sorted(rng.sample(trivial, k)) if len(trivial) >= k else (trivial or cols))
     at_once = max(1, parallelism)
-    models = [m for i in range(0, len(subsets), at_once) for m in fit_all_stopped(train, cols, subsets[i:i + at_once], **options)]
+    models = [m for i in range(0, len(subsets), at_once) for m in fit_binned(spark, data, subsets[i:i + at_once], **options)]
+    remove_binned(spark, data)
     return [Member(float(w), m) for w, m in zip(weights, models, strict=True)]
 
 
@@ -168,6 +181,7 @@ def score_ensemble(members: list[Member], test: DataFrame) -> DataFrame:
     return scored.withColumn("label", total).drop(*[f"_p{i}" for i in range(len(members))])
 
 
-def subspace_ensemble(train: DataFrame, test: DataFrame, cols, **options) -> DataFrame:
-    """M8: ``fit_ensemble`` on ``train``, ``score_ensemble`` on ``test``."""
-    return score_ensemble(fit_ensemble(train, cols, **options), test)
+def subspace_ensemble(train: DataFrame, test: DataFrame | Callable[[], DataFrame], cols, **options) -> DataFrame:
+    """M8: ``fit_ensemble`` on ``train``, ``score_ensemble`` on ``test`` (a function is called once the models are fitted)."""
+    members = fit_ensemble(train, cols, **options)
+    return score_ensemble(members, test() if callable(test) else test)

@@ -6,6 +6,8 @@ Every query returns doubles rounded to 6 places (stable comparison).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -1062,14 +1064,26 @@ def _user_model_scores(d: dict) -> DataFrame:
     return fit_predict_boosted(train, user_dataset_test(d), cols).select("user_id", "prob")
 
 
-def _ensemble_scores(d: dict, candidates: DataFrame) -> DataFrame:
-    """M8 on the (user, sku) rows of the (limited) candidate users."""
+def _ensemble_scores(d: dict, candidates: Callable[[], DataFrame]) -> DataFrame:
+    """M8 on the (user, sku) rows of the (limited) candidate users, who are
+    found and whose rows are written while the ensemble is fitted."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark import inheritable_thread_target
+
     from shopcast.operators.model import subspace_ensemble
     from shopcast.plans.ui_dataset import user_sku_dataset
-    train, cols = _train_ui(d)
-    test = user_sku_dataset(d, with_label=False, end=d["dates"].score_end)
-    test = jn.semi_restrict(test, candidates, bound=1000)
-    return subspace_ensemble(train, test, cols, parallelism=11).select("user_id", "sku_id", "label")
+    from shopcast.sources.files import staged
+
+    def rows() -> DataFrame:
+        keep = candidates()
+        test = user_sku_dataset(d, with_label=False, end=d["dates"].score_end)
+        return staged(jn.semi_restrict(test, keep, bound=1000), "ui-test")
+
+    with ThreadPoolExecutor(1) as beside:
+        test = beside.submit(inheritable_thread_target(d["actions"].sparkSession)(rows))
+        train, cols = _train_ui(d)
+        return subspace_ensemble(train, test.result, cols, parallelism=11).select("user_id", "sku_id", "label")
 
 
 @register("m6_fit_predict_boosted")
@@ -1107,9 +1121,12 @@ def m8(spark, sf):
     from shopcast.sources.sinks import final_submission, write_scores, write_user_submission
     d = _with_daily(load_a(spark, sf))
     users, scores, out = (_scratch(spark, x) for x in ("pred_user", "scores", "submission"))
-    write_user_submission(_user_model_scores(d), 1000, users)
-    best = wn.top1_per_key(_ensemble_scores(d, read_candidates(spark, users)))
-    write_scores(best, scores)
+
+    def candidates() -> DataFrame:
+        write_user_submission(_user_model_scores(d), 1000, users)
+        return read_candidates(spark, users)
+
+    write_scores(wn.top1_per_key(_ensemble_scores(d, candidates)), scores)
     return final_submission(spark, scores, out)
 
 

@@ -193,3 +193,67 @@ def test_more_values_than_bins_keep_at_most_255_candidates(spark):
     df = spark.range(3000).select("id", (F.col("id") * 1.0).alias("x"), (F.col("id") > 1999).cast("int").alias("label"))
     tree = bo.fit_boosted(df, ["x"], rounds=1, depth=1).trees[0]
     assert abs(tree.threshold[0] - 1999.5) < 3000 / 255 and max(tree.cut) < 255
+
+
+def awkward(spark):
+    """Gaps, a constant, many values, infinite ones; rows of class 1 are rare."""
+    h = lambda k, m: F.pmod(F.xxhash64(F.col("id"), F.lit(k)), F.lit(m)).cast("double")
+    df = spark.range(900).select("id", h(0, 3).alias("a"), F.when(h(1, 4) > 0, h(2, 50)).alias("b"), F.lit(7.0).alias("c"),
+                                 F.when(h(3, 90) == 0, F.lit(math.inf)).otherwise(h(4, 700)).alias("d"), h(5, 11).alias("e"))
+    return df.withColumn("label", (F.col("a") * 10 + F.coalesce("b", F.lit(60.0)) + h(6, 20) > 70).cast("int"))
+
+
+@pytest.mark.parametrize("options", [dict(rounds=25, depth=4, columns=0.6, rate=0.3, held=True, patience=6), dict(rounds=3, depth=3, pos_weight=4.0),
+                                     dict(rounds=4, depth=2, min_child_weight=30.0, held=True), dict(rounds=2, depth=0)])
+def test_one_task_grows_the_trees_that_passes_over_the_blocks_grow(spark, monkeypatch, options):
+    names, held = list("abcde"), (F.col("id") % 4 == 0) if options.pop("held", False) else None
+    df, subsets = awkward(spark).repartition(3).cache(), [names, ["b", "d"], ["c"]]
+    monkeypatch.setattr(bo, "ENTRIES", 64)
+    alone = bo.fit_all(df, names, subsets, validation=held, **options)
+    monkeypatch.setattr(bo, "ALONE", 0)
+    monkeypatch.setattr(bo, "_fit_alone", None)
+    for x, y in zip(alone, bo.fit_all(df, names, subsets, validation=held, **options), strict=True):
+        assert (x.features, x.draws, x.rounds_run) == (y.features, y.draws, y.rounds_run)
+        assert [(t.place, t.cut, t.threshold, t.left, t.right) for t in x.trees] == [(t.place, t.cut, t.threshold, t.left, t.right) for t in y.trees]
+        for a, b in zip(x.values, y.values, strict=True):
+            assert a == pytest.approx(b)
+        assert x.aucs == pytest.approx(y.aucs[:len(x.aucs)])
+
+
+def test_jobs_of_a_fit_do_not_grow_with_its_rounds(spark, noisy):
+    def jobs(rounds: int) -> int:
+        spark.sparkContext.setJobGroup(f"fit-{rounds}", "")
+        models = bo.fit_all(noisy, NINE, [NINE, NINE[:4]], rounds=rounds, depth=3, validation=F.col("id") % 5 == 0, patience=rounds)
+        spark.sparkContext.setJobGroup("", "")
+        assert [m.rounds_run for m in models] == [rounds] * 2
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"fit-{rounds}"))
+    assert jobs(30) == jobs(3) > 0
+
+
+def test_sums_of_entries_equal_direct_ones(monkeypatch):
+    import numpy as np
+    rng = np.random.default_rng(3)
+    bins = [1, 2, 7, 256, 3]
+    codes = np.stack([rng.integers(0, b, 500).astype(np.uint8) for b in bins])
+    codes[4] = np.where(rng.random(500) < 0.9, 1, codes[4])
+    g, h = rng.normal(size=500), rng.random(500)
+    parts = [np.arange(0, 500, 3), np.zeros(0, np.intp), np.array([499])]
+    for most in (1, 100, 1 << 16):
+        monkeypatch.setattr(bo, "ENTRIES", most)
+        entries = bo._Entries(codes, bins)
+        for got, rows in ((entries.root(g, h), [np.arange(500)]), (entries.sums(parts, g, h), parts)):
+            assert got.shape == (2, len(rows), sum(bins) + 1) and not got[:, :, -1].any()
+            for p, b in enumerate(bins):
+                for n, at in enumerate(rows):
+                    for i, x in enumerate((g, h)):
+                        assert got[i, n, entries.first[p]:][:b] == pytest.approx(np.bincount(codes[p][at], x[at], b), abs=1e-12)
+
+
+def test_auc_of_one_task_equals_the_tables(spark):
+    import numpy as np
+    rows = [(float(i * 7 % 23), float(i % 3 == 0) if i % 11 else None) for i in range(200)]
+    df = spark.createDataFrame([(1, *r) for r in rows], "g int, s double, y double")
+    want = ev.auc_by(df, ["g"], F.col("s"), F.col("y") == 1).first().auc
+    score, y = (np.array([r[k] for r in rows], float) for k in (0, 1))
+    assert bo._auc(score, y == 1) == want
+    assert bo._auc(score, y > 5) == bo._auc(score, y != 5) == bo._auc(score[:0], y[:0] == 1) == 0.5

@@ -62,6 +62,20 @@ def test_ensemble_weights_and_scores(spark, table):
     assert len(rows) == 400 and all(0 <= r.label <= 1 for r in rows)
 
 
+def test_all_fits_of_the_ensemble_read_the_same_blocks(spark, table, monkeypatch):
+    import os
+
+    from shopcast.operators import boosting as bo
+    from shopcast.session import checkpoint_dir
+    made, binned = [], bo.binned
+    for module in (bo, md):
+        monkeypatch.setattr(module, "binned", lambda *a: made.append(binned(*a)) or made[-1], raising=False)
+    scores = lambda test: md.subspace_ensemble(table, test, COLS, weights=(0.5, 0.3, 0.2), max_iter=3, parallelism=2)
+    rows = sorted(scores(table.drop("label")).select("user_id", "label").collect())
+    assert len(made) == 1 and not os.path.exists(made[0].path.removeprefix("file:"))
+    assert sorted(scores(lambda: table.drop("label")).select("user_id", "label").collect()) == rows
+
+
 def test_training_defaults():
     import inspect
     stopped, ensemble, boosted = (inspect.signature(f).parameters for f in (md.fit_stopped, md.fit_ensemble, md.fit_predict_boosted))
