@@ -39,6 +39,7 @@ from __future__ import annotations
 import math
 import random
 import uuid
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -108,6 +109,12 @@ class Tree:
             values.append(x)
         return len(self.place) - 1
 
+    def pack(self) -> None:
+        """Plain arrays in place of the lists of a grown tree: the driver holds thousands."""
+        for name, kind in (("place", "i"), ("threshold", "d"), ("cut", "i"), ("left", "i"), ("right", "i"), ("gain", "d")):
+            setattr(self, name, array(kind, getattr(self, name)))
+        self.sums = np.array(self.sums)
+
     def leaves(self, node: int = 0) -> list[int]:
         """The leaves' nodes from left to right."""
         if self.place[node] < 0:
@@ -149,13 +156,19 @@ class Boosted:
     features: Features
     trees: list[Tree] = field(default_factory=list)
     values: list[list[float]] = field(default_factory=list)
-    draws: list[frozenset[str]] = field(default_factory=list)
     aucs: list[float] = field(default_factory=list)
     rounds_run: int = 0
+    columns: float = 1.0
+    seed: int = 0
 
     def cut(self, rounds: int) -> Boosted:
         """The model after its first ``rounds`` rounds."""
-        return Boosted(self.features, self.trees[:rounds], self.values[:rounds], self.draws[:rounds], self.aucs, self.rounds_run)
+        return Boosted(self.features, self.trees[:rounds], self.values[:rounds], self.aucs, self.rounds_run, self.columns, self.seed)
+
+    @property
+    def draws(self) -> list[frozenset[str]]:
+        """The features that each tree may split on."""
+        return [self.features.drawn(self.columns, self.seed, i) for i in range(len(self.trees))]
 
     def walks(self, places: list[int] | None = None, by_bin: bool = False) -> list[tuple]:
         """Arrays of each tree for ``_walk`` (``places``: where the places lie in the rows), and its nodes' values."""
@@ -515,7 +528,7 @@ class _Growth:
                 pieces.append([])
             pieces[-1].append(x)
         self.pieces = [([p for _, p, _ in x], [b for _, _, b in x], x[-1][0]) for x in pieces]
-        self.model.draws.append(drawn)
+        self.model.columns, self.model.seed = columns, seed
         self.tree, self.open = Tree(features=len(self.places)), [0]
         self.tree.add(0.0, 0.0)
 
@@ -550,6 +563,7 @@ class _Growth:
         """The tree and its leaves' values join the model."""
         self.model.trees.append(self.tree)
         self.model.values.append([rate * g / (h + l2) for g, h in (self.tree.sums[n] for n in self.tree.leaves())])
+        self.tree.pack()
 
 
 def _grow(state: RDD, growths: dict[int, _Growth], start: int, depth: int, min_child_weight: float, thresholds) -> None:
